@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, mixing, ngram_join, quality_rules, secret_scan, sharding, token_counts
+from . import chat_format, decontaminate, line_dedup, mixing, ngram_join, quality_rules, secret_scan, sharding, token_counts, toxicity
 from .common import table
 
 TOKEN_LIMIT = 512
@@ -22,6 +22,11 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(docs, tokenizer_path()).withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_lines", "n_exact", "n_near", F.sha2("text", 256).alias("text_sha256"))
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality_rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -35,6 +40,12 @@ def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.plan_mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scored = toxicity.score_documents(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", (toxicity.fold_of(F.col("doc_id")) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secret_scan.scan_secrets(table(spark, sf_dir, "documents"))
     kinds = [r.kind for r in secret_scan.BASE_RULES]
@@ -67,6 +78,27 @@ def op10_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+OP2_SQL = r"""
+WITH l AS (
+  SELECT doc_id, unnest(string_split(text, chr(10))) AS raw, unnest(range(len(string_split(text, chr(10))))) AS no FROM documents WHERE text IS NOT NULL),
+t AS (SELECT doc_id, no, raw, trim(raw, ' ' || chr(9) || chr(13)) AS t FROM l),
+f AS (SELECT t, min((doc_id, no)) AS first, length(t) AS n FROM t WHERE length(t) >= 12 GROUP BY t),
+c AS (
+  SELECT a.t AS t, b.t AS o, a.n AS n, b.n AS m FROM f a JOIN f b ON abs(a.n - b.n) <= 1 AND b.first < a.first
+  AND (left(a.t, least(a.n, b.n) // 2) = left(b.t, least(a.n, b.n) // 2) OR right(a.t, least(a.n, b.n) // 2) = right(b.t, least(a.n, b.n) // 2))),
+near AS (
+  SELECT DISTINCT t FROM c WHERE CASE
+    WHEN n = m THEN len(list_filter(range(1, n + 1), lambda i: substring(t, i, 1) <> substring(o, i, 1))) = 1
+    WHEN n > m THEN len(list_filter(range(1, n + 1), lambda i: left(t, i - 1) || substring(t, i + 1) = o)) > 0
+    ELSE len(list_filter(range(1, m + 1), lambda i: left(o, i - 1) || substring(o, i + 1) = t)) > 0 END),
+w AS (
+  SELECT t.*, CASE WHEN length(t.t) < 12 THEN 0 WHEN (t.doc_id, t.no) <> f.first THEN 1 WHEN near.t IS NOT NULL THEN 2 ELSE 0 END AS why
+  FROM t LEFT JOIN f USING (t) LEFT JOIN near USING (t))
+SELECT d.doc_id, count(w.no) AS n_lines, count(*) FILTER (why = 1) AS n_exact, count(*) FILTER (why = 2) AS n_near,
+  CASE WHEN any_value(d.text) IS NULL THEN NULL ELSE sha256(coalesce(string_agg(raw, chr(10) ORDER BY no) FILTER (why = 0), '')) END AS text_sha256
+FROM documents d LEFT JOIN w USING (doc_id) GROUP BY d.doc_id
+"""
+
 OP4_SQL = r"""
 WITH RECURSIVE w AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws
@@ -124,9 +156,9 @@ FROM d LEFT JOIN h USING (doc_id) LEFT JOIN x USING (doc_id)
 
 
 def queries() -> dict:
-    found = (op1_token_counts, op3_quality_rules, op4_ngram_jaccard, op5_mix_sources, op7_secret_scan, op8_chat_format, op9_decontaminate, op10_shards)
+    found = (op1_token_counts, op2_line_dedup, op3_quality_rules, op4_ngram_jaccard, op5_mix_sources, op6_toxicity, op7_secret_scan, op8_chat_format, op9_decontaminate, op10_shards)
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_ngram_jaccard": OP4_SQL, "op8_chat_format": OP8_SQL, "op9_decontaminate": OP9_SQL}
+    return {"op2_line_dedup": OP2_SQL, "op4_ngram_jaccard": OP4_SQL, "op8_chat_format": OP8_SQL, "op9_decontaminate": OP9_SQL}
