@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 #: Control strings of the template.
 TURN, SAY, END = "<|turn|>", "<|say|>", "<|end|>"
 #: What may follow the first character of a control string, here or in other common templates.
-_REST = r"\||/?s>|/?INST\]|/?SYS>>|<SYS>>|<//SYS>>|/?think>"
+_REST = r"\||/?s>|/?INST\]|/?SYS>>|/?think>"
 TRAINED_ROLE = "assistant"
 TURNS = "array<struct<role: string, text: string>>"
 

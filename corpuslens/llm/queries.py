@@ -127,7 +127,7 @@ OP8_SQL = r"""
 WITH t AS (
   SELECT conv_id, coalesce(turn, 0) AS turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
-e AS (SELECT *, len(regexp_extract_all(role || text, '[<\[]\\*(\||/?s>|/?INST\]|/?SYS>>|<SYS>>|<//SYS>>|/?think>)')) AS escapes FROM t)
+e AS (SELECT *, len(regexp_extract_all(role || text, '[<\[]\\*(\||/?s>|/?INST\]|/?SYS>>|/?think>)')) AS escapes FROM t)
 SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
   CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
   sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
