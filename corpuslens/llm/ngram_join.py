@@ -55,7 +55,7 @@ def token_sets(column: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _sketched(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """For each document: size and 128-bit identity of its set, dense sketch, join keys and their spares."""
+    """For each document: size and 128-bit identity of its set, dense sketch, join keys, and their spares as runs."""
 
     def run(batches):
         for b in blocks(batches):
@@ -66,11 +66,26 @@ def _sketched(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
             dense = [sketch.bitmap(grams[a:z]) if z > a else b"" for a, z in zip(first[:-1], first[1:], strict=True)]
             key, owner, spare = sketch.keys(grams, first, num, den)
             order = np.argsort(owner, kind="stable")
-            at = pa.array(np.searchsorted(owner[order], np.arange(len(size) + 1)), pa.int32())
-            lists = [pa.ListArray.from_arrays(at, pa.array(x[order].astype(np.int64))) for x in (key, spare)]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(size, pa.int64()), *map(pa.array, names), pa.array(dense, pa.binary()), *lists], ["doc_id", "n", "f1", "f2", "dense", "keys", "spares"])
+            key, owner, spare = key[order].astype(np.int64), owner[order], spare[order]
+            new = np.ones(len(key), bool)
+            new[1:] = (owner[1:] != owner[:-1]) | (spare[1:] != spare[:-1])
+            run_at = np.flatnonzero(new)
+            lists = [pa.ListArray.from_arrays(pa.array(np.searchsorted(of, np.arange(len(size) + 1)), pa.int32()), pa.array(x)) for of, x in ((owner, key), (owner[run_at], spare[run_at]), (owner[run_at], np.diff(np.append(run_at, len(key)))))]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(size, pa.int64()), *map(pa.array, names), pa.array(dense, pa.binary()), *lists], ["doc_id", "n", "f1", "f2", "dense", "keys", "spares", "runs"])
 
-    return docs.mapInArrow(run, "doc_id bigint, n bigint, f1 bigint, f2 bigint, dense binary, keys array<bigint>, spares array<bigint>")
+    return docs.mapInArrow(run, "doc_id bigint, n bigint, f1 bigint, f2 bigint, dense binary, keys array<bigint>, spares array<bigint>, runs array<bigint>")
+
+
+def _each_key(classes: DataFrame) -> DataFrame:
+    """A row for each key of ``classes(id, keys, spares, runs)``."""
+
+    def run(batches):
+        for b in batches:
+            flat = lambda c: b.column(c).flatten().to_numpy()
+            many = np.diff(b.column("keys").offsets.to_numpy())
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(b.column("id").to_numpy(), many)), pa.array(flat("keys")), pa.array(np.repeat(flat("spares"), flat("runs")))], ["id", "key", "spare"])
+
+    return classes.mapInArrow(run, "id bigint, key bigint, spare bigint")
 
 
 def _grouped(keys: DataFrame) -> DataFrame:
@@ -207,8 +222,9 @@ def similar_documents(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100
     named = base.where("n > 0 AND doc_id IS NOT NULL")
     # A class is a set; the row of its smallest doc_id stands for it.
     of_class = named.groupBy("f1", "f2").agg(F.min("doc_id").alias("id"), F.count_distinct("doc_id").alias("weight"))
-    classes = cut(named.join(of_class.withColumnRenamed("id", "doc_id"), ["f1", "f2", "doc_id"]).dropDuplicates(["f1", "f2"]).select(F.col("doc_id").alias("id"), "f1", "f2", "weight", "n", "dense", "keys", "spares"))
-    keys = classes.select("id", F.inline(F.arrays_zip(F.col("keys").alias("key"), F.col("spares").alias("spare")))).toDF("id", "key", "spare")
+    standing = named.join(of_class.withColumnRenamed("id", "doc_id"), ["f1", "f2", "doc_id"]).withColumnRenamed("doc_id", "id")
+    keys = _each_key(standing.select("id", "keys", "spares", "runs"))
+    classes = cut(standing.select("id", "f1", "f2", "weight", "n", "dense").dropDuplicates(["f1", "f2"]))
     grouped = cut(_grouped(keys))
     slim = classes.select("id", "n", "dense")
     pairs = _sifted(grouped.where("NOT frequent").select("a", "b").distinct(), slim, num, den)
