@@ -5,6 +5,8 @@ All take ``docs(doc_id, text)`` and give a row for each finding.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -80,28 +82,62 @@ def section_jumps(docs: DataFrame) -> DataFrame:
     return rows.select("doc_id", "line_no", "number", F.explode(kinds).alias("kind"))
 
 
-def issue_counts(docs: DataFrame) -> DataFrame:
-    """``(doc_id, kind, n)`` of all checks."""
-    fences = code_fence_issues(docs).select("doc_id", F.lit("code").alias("kind"), (F.col("unclosed").cast("int") + (F.col("unlabelled") > 0).cast("int")).alias("n"))
-    each = [("ai", ai_flavor_hits), ("filler", filler_hits), ("figure_table", figure_table_gaps), ("quote", quote_issues), ("empty", empty_talk_issues), ("term", term_variants), ("section", section_jumps)]
-    out = fences
-    for kind, check in each:
-        out = out.unionByName(check(docs).select("doc_id", F.lit(kind).alias("kind"), F.lit(1).alias("n")))
-    return out.groupBy("doc_id", "kind").agg(F.sum("n").alias("n"))
+def issue_counts(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The kept columns and ``n_ai``, ``n_filler``, ... of each document: as many as the checks above find.
+
+    Counting needs no positions, so all checks are expressions over one scan,
+    without a shuffle; ordinal rules fold over a document's lines or numbers.
+    """
+    text = F.col("text")
+    rows = docs.select(*keep, "text", F.split("text", "\n", -1).alias("__raw"), T.without_code("text").alias("__body"), language("text").alias("__language"))
+    total = lambda parts: functools.reduce(lambda x, y: x + y, parts)
+
+    def gaps(kind: str):
+        numbers = F.transform(F.regexp_extract_all(text, F.lit(T.FLAGS + kind + r"\s*(\d+)"), F.lit(1)), T.to_number)
+        zero = F.struct(F.lit(1).cast("decimal(38,0)").alias("due"), F.lit(0).alias("n"))
+        step = lambda a, x: F.when(x >= a["due"], F.struct((x + 1).cast("decimal(38,0)").alias("due"), (a["n"] + (x > a["due"]).cast("int")).alias("n"))).otherwise(a)
+        return F.aggregate(numbers, zero, step, lambda a: a["n"])
+
+    fence = lambda x: x.rlike(r"(?U)^[\s\x1c-\x1f]*```")
+    state = F.struct(F.lit(False).alias("inside"), F.lit(0).alias("quotes"), F.lit(0).alias("fences"), F.lit(0).alias("bare"))
+
+    def walk(a, x):
+        bare = ~a["inside"] & x.rlike(r"(?U)^[\s\x1c-\x1f]*```[\s\x1c-\x1f]*$")
+        at_fence = F.struct((~a["inside"]).alias("inside"), a["quotes"].alias("quotes"), (a["fences"] + 1).alias("fences"), (a["bare"] + bare.cast("int")).alias("bare"))
+        quoted = ~a["inside"] & F.contains(x, F.lit('"'))
+        return F.when(fence(x), at_fence).when(quoted, F.struct(a["inside"].alias("inside"), (a["quotes"] + 1).alias("quotes"), a["fences"].alias("fences"), a["bare"].alias("bare"))).otherwise(a)
+
+    def says_nothing(line):
+        s = T.trimmed(line)
+        heading = F.startswith(s, F.lit("#"))
+        prose = ~heading & (F.length(s) > 0) & (F.length(s) < 120) & s.rlike(T.FLAGS + r"^[^#|>`\-\d*!]")
+        hits = [(heading & s.rlike(T.FLAGS + p)).cast("int") for p in P.EMPTY_HEADINGS] + [(prose & s.rlike(T.FLAGS + p)).cast("int") for p in P.EMPTY_LINES]
+        return total(hits)
+
+    hint = functools.reduce(lambda x, y: x | y, [F.contains(text, F.lit(w)) for w in ("具有重要意义", "值得关注", "不可忽视", "值得肯定", "意义重大", "综上所述", "总的来说", "总之", "的体现", "的证明", "的保障")])
+    numbered = F.transform(F.filter("__raw", lambda x: x.rlike(T.FLAGS + P.SECTION)), lambda x: F.struct(F.length(F.regexp_extract(x, T.FLAGS + P.SECTION, 1)).alias("level"), F.size(F.split(F.regexp_extract(x, T.FLAGS + P.SECTION, 2), r"\.")).alias("depth")))
+    first = F.struct(F.lit(None).cast("int").alias("level"), F.lit(None).cast("int").alias("depth"), F.lit(0).alias("n"))
+    jump = lambda a, x: F.struct(x["level"].alias("level"), x["depth"].alias("depth"), (a["n"] + F.coalesce((x["depth"] > a["depth"] + 1).cast("int"), F.lit(0)) + F.coalesce((x["level"] > a["level"] + 1).cast("int"), F.lit(0))).alias("n"))
+    rows = rows.withColumn("__walk", F.aggregate("__raw", state, walk))
+    counts = {
+        "ai": total([T.count(text, T.FLAGS + p) for p, _ in P.AI_PATTERNS]),
+        "filler": total([T.count(text, w) for w in P.FILLERS]),
+        "figure_table": gaps(P.FIGURE) + gaps(P.TABLE),
+        "quote": F.when(F.col("__language") == "zh", F.col("__walk.quotes")).otherwise(T.count(text, "[“”]")),
+        "empty": F.when(hint, F.aggregate("__raw", F.lit(0), lambda n, x: n + says_nothing(x))).otherwise(F.lit(0)),
+        "term": total([(F.size(F.array_distinct(F.regexp_extract_all("__body", F.lit(T.FLAGS + p), F.lit(1)))) > 1).cast("int") for p, _ in P.TERM_VARIANTS]),
+        "code": F.col("__walk.fences") % 2 + (F.col("__walk.bare") > 0).cast("int"),
+        "section": F.aggregate(numbered, first, jump, lambda a: a["n"]),
+    }
+    return rows.select(*keep, F.col("__language").alias("language"), F.size("__raw").cast("bigint").alias("lines"), *[c.cast("bigint").alias(f"n_{k}") for k, c in counts.items()])
 
 
 def audit_report(docs: DataFrame) -> DataFrame:
-    """A row for each document: language, lines, the number of issues of each kind, score and verdict."""
-    kinds = [k for k, _, _ in P.PENALTIES]
-    counts = issue_counts(docs).groupBy("doc_id").pivot("kind", kinds).agg(F.sum("n"))
-    base = docs.select("doc_id", language("text").alias("language"), T.line_count("text").cast("bigint").alias("lines"))
-    joined = base.join(counts, "doc_id", "left").na.fill(0, kinds)
-    lost = [F.least(F.col(k) * w, F.lit(cap)) for k, w, cap in P.PENALTIES]
-    score = F.lit(100)
-    for x in lost:
-        score = score - x
-    joined = joined.withColumn("score", F.greatest(score, F.lit(0)).cast("bigint"))
-    return joined.select("doc_id", "language", "lines", *[F.col(k).cast("bigint").alias(f"n_{k}") for k in kinds], "score", (F.col("score") >= P.GOOD_SCORE).alias("good"))
+    """A row for each document: language, lines, the number of issues of each kind, score and verdict. No shuffle."""
+    counted = issue_counts(docs)
+    score = functools.reduce(lambda x, k: x - F.least(F.col(f"n_{k[0]}") * k[1], F.lit(k[2])), P.PENALTIES, F.lit(100))
+    scored = counted.withColumn("score", F.greatest(score, F.lit(0)).cast("bigint"))
+    return scored.select("doc_id", "language", "lines", *[f"n_{k}" for k, _, _ in P.PENALTIES], "score", (F.col("score") >= P.GOOD_SCORE).alias("good"))
 
 
 def audit_score(docs: DataFrame) -> DataFrame:
