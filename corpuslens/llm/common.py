@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes hashed at a time; bounds the temporary arrays however long a text is.
-SEGMENT = 1 << 20
+SEGMENT = 1 << 18
 
 _ROOT = 0x9E3779B97F4A7C15 | 1
 _rng = np.random.default_rng(20240229)
@@ -144,7 +144,7 @@ def shingles(hashed: np.ndarray, k: int) -> np.ndarray:
     return mix(out)
 
 
-def blocks(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def blocks(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """Cuts batches so that a block holds about ``most`` bytes of text, or one longer text."""
     for batch in batches:
         if not batch.num_rows:

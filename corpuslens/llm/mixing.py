@@ -41,11 +41,13 @@ _CLOSE = 1e-9
 def sized(docs: DataFrame, columns: list[str]) -> DataFrame:
     """The ``columns`` as __c0, __c1, ... and ``__size``, the words of the text."""
     names = [f"__c{i}" for i in range(len(columns))]
-    rows = docs.select(*[docs[c].alias(n) for c, n in zip(columns, names, strict=True)], docs["text"].alias("__text"))
+    more = [] if "text" in columns else [docs["text"].alias("__text")]  # a text among the columns is sent once
+    text = names[columns.index("text")] if "text" in columns else "__text"
+    rows = docs.select(*[docs[c].alias(n) for c, n in zip(columns, names, strict=True)], *more)
 
     def run(batches):
-        for b in blocks(batches, "__text"):
-            _, _, _, first = words(*buffers(b.column("__text")), NOT_SPACE, hashes=False)
+        for b in blocks(batches, text):
+            _, _, _, first = words(*buffers(b.column(text)), NOT_SPACE, hashes=False)
             yield pa.RecordBatch.from_arrays([*(b.column(n) for n in names), pa.array(np.diff(first), pa.int64())], [*names, "__size"])
 
     return rows.mapInArrow(run, ", ".join([*(f"{n} {rows.schema[n].dataType.simpleString()}" for n in names), "__size bigint"]))

@@ -133,11 +133,14 @@ def document_stats(docs: DataFrame, keep: list[str] | None = None, text_column:
     """
     keep = ["doc_id"] if keep is None else keep
     names = [f"__keep{i}" for i in range(len(keep))]
-    rows = docs.select(*[docs[c].alias(n) for c, n in zip(keep, names, strict=True)], docs[text_column].alias("__text"))
+    rows = docs.select(*[docs[c].alias(n) for c, n in zip(keep, names, strict=True)])
+    text = names[keep.index(text_column)] if text_column in keep else "__text"  # a kept text is sent once
+    if text_column not in keep:
+        rows = docs.select(*[docs[c].alias(n) for c, n in zip(keep, names, strict=True)], docs[text_column].alias("__text"))
 
     def run(batches):
-        for b in blocks(batches, "__text"):
-            yield pa.RecordBatch.from_arrays([*(b.column(n) for n in names), *(pa.array(v, pa.int64()) for v in measure(b.column("__text")).values())], [*names, *STATS])
+        for b in blocks(batches, text):
+            yield pa.RecordBatch.from_arrays([*(b.column(n) for n in names), *(pa.array(v, pa.int64()) for v in measure(b.column(text)).values())], [*names, *STATS])
 
     schema = ", ".join([*(f"{n} {rows.schema[n].dataType.simpleString()}" for n in names), *(f"{k} {v}" for k, v in STATS.items())])
     out = rows.mapInArrow(run, schema)
@@ -286,5 +289,5 @@ def filter_documents(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX
     names = [f"_{c}" if c in STATS or c in ("base_failed", "kept") else c for c in keep]
     source = docs.select(*[docs[c].alias(n) for c, n in zip(keep, names, strict=True)])
     rules = learn_from_labels(docs, labels, max_labelled)
-    judged = document_stats(source, names).where(~base_failed() & ~rules_column(rules))
+    judged = document_stats(source, names, names[keep.index("text")]).where(~base_failed() & ~rules_column(rules))
     return judged.select(*[F.col(n).alias(c) for n, c in zip(names, keep, strict=True)])
