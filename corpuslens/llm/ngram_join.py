@@ -54,38 +54,42 @@ def token_sets(column: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
     return grams, np.searchsorted(owner_of, np.arange(len(per_text) + 1))
 
 
-def _sketched(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """For each document: size and 128-bit identity of its set, dense sketch, join keys, and their spares as runs."""
+def _sketched(docs: DataFrame, k: int) -> DataFrame:
+    """For each document: size and 128-bit identity of its set, and its dense sketch."""
 
     def run(batches):
         for b in blocks(batches):
             grams, first = token_sets(b.column("text"), k)
-            size = np.diff(first)
-            sums = [np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix(grams + np.uint64(s)), dtype=np.uint64))) for s in (3, 5)]
-            names = [mix(x[first[1:]] - x[first[:-1]]).astype(np.int64) for x in sums]
             dense = [sketch.bitmap(grams[a:z]) if z > a else b"" for a, z in zip(first[:-1], first[1:], strict=True)]
-            key, owner, spare = sketch.keys(grams, first, num, den)
-            order = np.argsort(owner, kind="stable")
-            key, owner, spare = key[order].astype(np.int64), owner[order], spare[order]
-            new = np.ones(len(key), bool)
-            new[1:] = (owner[1:] != owner[:-1]) | (spare[1:] != spare[:-1])
-            run_at = np.flatnonzero(new)
-            lists = [pa.ListArray.from_arrays(pa.array(np.searchsorted(of, np.arange(len(size) + 1)), pa.int32()), pa.array(x)) for of, x in ((owner, key), (owner[run_at], spare[run_at]), (owner[run_at], np.diff(np.append(run_at, len(key)))))]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(size, pa.int64()), *map(pa.array, names), pa.array(dense, pa.binary()), *lists], ["doc_id", "n", "f1", "f2", "dense", "keys", "spares", "runs"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(np.diff(first), pa.int64()), *_names(grams, first), pa.array(dense, pa.binary())], ["doc_id", "n", "f1", "f2", "dense"])
+
+    return docs.mapInArrow(run, "doc_id bigint, n bigint, f1 bigint, f2 bigint, dense binary")
 
-    return docs.mapInArrow(run, "doc_id bigint, n bigint, f1 bigint, f2 bigint, dense binary, keys array<bigint>, spares array<bigint>, runs array<bigint>")
 
+def _names(grams: np.ndarray, first: np.ndarray) -> list[pa.Array]:
+    """Two 64-bit sums over each set, together its identity."""
+    sums = [np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix(grams + np.uint64(s)), dtype=np.uint64))) for s in (3, 5)]
+    return [pa.array(mix(x[first[1:]] - x[first[:-1]]).astype(np.int64)) for x in sums]
 
-def _each_key(classes: DataFrame) -> DataFrame:
-    """A row for each key of ``classes(id, keys, spares, runs)``."""
+
+def _keys(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """A row for each join key of each document: (id, key, spare)."""
 
     def run(batches):
-        for b in batches:
-            flat = lambda c: b.column(c).flatten().to_numpy()
-            many = np.diff(b.column("keys").offsets.to_numpy())
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(b.column("id").to_numpy(), many)), pa.array(flat("keys")), pa.array(np.repeat(flat("spares"), flat("runs")))], ["id", "key", "spare"])
+        for b in blocks(batches):
+            key, owner, spare = sketch.keys(*token_sets(b.column("text"), k), num, den)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(owner)), pa.array(key.astype(np.int64)), pa.array(spare)], ["id", "key", "spare"])
+
+    return docs.mapInArrow(run, "id bigint, key bigint, spare bigint")
+
 
-    return classes.mapInArrow(run, "id bigint, key bigint, spare bigint")
+def _without_copies(docs: DataFrame, copies: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose doc_id is not in ``copies(copy)``; only those that share a bucket with one are moved."""
+    bucket = lambda c: F.pmod(F.xxhash64(c), F.lit(BUCKETS))
+    some = F.broadcast(copies.select(bucket("copy").alias("__bucket")).distinct())
+    rows = docs.where("doc_id IS NOT NULL").withColumn("__bucket", bucket("doc_id"))
+    moved = rows.join(some, "__bucket", "left_semi").join(copies, F.col("doc_id") == F.col("copy"), "left_anti")
+    return rows.join(some, "__bucket", "left_anti").union(moved).select("doc_id", "text")
 
 
 def _grouped(keys: DataFrame) -> DataFrame:
@@ -218,13 +222,15 @@ def similar_documents(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100
     reachable by links, n_links the number of other documents linked directly.
     """
     docs = docs.select(docs["doc_id"].cast("bigint").alias("doc_id"), docs["text"].alias("text"))
-    base = cut(_sketched(docs, k, num, den))
+    base = cut(_sketched(docs, k))
     named = base.where("n > 0 AND doc_id IS NOT NULL")
     # A class is a set; the row of its smallest doc_id stands for it.
     of_class = named.groupBy("f1", "f2").agg(F.min("doc_id").alias("id"), F.count_distinct("doc_id").alias("weight"))
     standing = named.join(of_class.withColumnRenamed("id", "doc_id"), ["f1", "f2", "doc_id"]).withColumnRenamed("doc_id", "id")
-    keys = _each_key(standing.select("id", "keys", "spares", "runs"))
     classes = cut(standing.select("id", "f1", "f2", "weight", "n", "dense").dropDuplicates(["f1", "f2"]))
+    copies = cut(named.select(F.col("doc_id").alias("copy")).distinct().join(classes.select(F.col("id").alias("copy")), "copy", "left_anti"))
+    # Keys are made from the texts again rather than stored: they are as large as the texts.
+    keys = _keys(_without_copies(docs, copies), k, num, den)
     grouped = cut(_grouped(keys))
     slim = classes.select("id", "n", "dense")
     pairs = _sifted(grouped.where("NOT frequent").select("a", "b").distinct(), slim, num, den)
@@ -254,10 +260,8 @@ def _sets(rows: DataFrame, k: int) -> DataFrame:
     def run(batches):
         for b in blocks(batches):
             grams, first = token_sets(b.column("text"), k)
-            sums = [np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix(grams + np.uint64(s)), dtype=np.uint64))) for s in (3, 5)]
-            names = [mix(x[first[1:]] - x[first[:-1]]).astype(np.int64) for x in sums]
             tokens = pa.array([grams[a:z].tobytes() for a, z in zip(first[:-1], first[1:], strict=True)], pa.binary())
-            yield pa.RecordBatch.from_arrays([b.column("cluster"), b.column("doc_id"), *map(pa.array, names), pa.array(np.diff(first), pa.int64()), tokens], ["cluster", "id", "f1", "f2", "n", "tokens"])
+            yield pa.RecordBatch.from_arrays([b.column("cluster"), b.column("doc_id"), *_names(grams, first), pa.array(np.diff(first), pa.int64()), tokens], ["cluster", "id", "f1", "f2", "n", "tokens"])
 
     return rows.select("cluster", "doc_id", "text").mapInArrow(run, "cluster bigint, id bigint, f1 bigint, f2 bigint, n bigint, tokens binary")
 
@@ -269,7 +273,7 @@ def _sets(rows: DataFrame, k: int) -> DataFrame:
             sums = [np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix(grams + np.uint64(s)), dtype=np.uint64))) for s in (3, 5)]
             names = [mix(x[first[1:]] - x[first[:-1]]).astype(np.int64) for x in sums]
             tokens = pa.array([grams[a:z].tobytes() for a, z in zip(first[:-1], first[1:], strict=True)], pa.binary())
-            yield pa.RecordBatch.from_arrays([b.column("cluster"), b.column("doc_id"), *map(pa.array, names), pa.array(np.diff(first), pa.int64()), tokens], ["cluster", "id", "f1", "f2", "n", "tokens"])
+            yield pa.RecordBatch.from_arrays([b.column("cluster"), b.column("doc_id"), *_names(grams, first), pa.array(np.diff(first), pa.int64()), tokens], ["cluster", "id", "f1", "f2", "n", "tokens"])
 
     return rows.select("cluster", "doc_id", "text").mapInArrow(run, "cluster bigint, id bigint, f1 bigint, f2 bigint, n bigint, tokens binary")
 
