@@ -33,29 +33,17 @@ BUCKETS = 1 << 18
 _LINES = 2_147_483_648  # more than a text can have
 
 
-def _step(n: Column) -> Column:
-    """The grid's step for lines of n characters: a quarter of the power of two below n."""
-    return F.greatest(F.lit(1), F.pow(F.lit(2.0), F.floor(F.log2(n.cast("double"))) - 2).cast("int"))
-
-
-def _stretch_keys(text: Column, n: Column, g: Column) -> Column:
-    """Keys of the text around each stretch of the grid: of p first and s last characters, n-p-s < 2g."""
-
-    def key(p, s):
-        rest = F.concat(F.substring(text, 1, p), F.when(s > 0, F.substring(text, n - s + 1, s)).otherwise(F.lit("")))
-        return F.struct(F.xxhash64(g, p, s, rest).alias("key"), p.alias("p"), s.alias("s"), g.alias("g"))
-
-    def both(p):
-        s = (F.floor((n - p) / g) * g).cast("int")
-        return F.filter(F.array(key(p, s), key(p, s - g)), lambda k: k["s"] >= 0)
-
-    return F.flatten(F.transform(F.sequence(F.lit(0), n, g), both))
-
-
-def _all_keys(text: Column) -> Column:
-    n = F.length(text)
-    also = F.log2((n + 1).cast("double"))  # one character more would use the next step
-    return F.when(also == F.floor(also), F.concat(_stretch_keys(text, n, _step(n)), _stretch_keys(text, n, _step(n + 1)))).otherwise(_stretch_keys(text, n, _step(n)))
+def _stretches(lines: DataFrame) -> DataFrame:
+    """Every stretch of the grid of each line: g, p, s, n and ``key``, a hash of the first p and the last s characters; n-p-s < 2g."""
+    rows = lines.withColumn("n", F.length("line"))
+    # The step is a quarter of the power of two below n. A line of one character less than a power of two also uses that one's.
+    rows = rows.withColumn("bits", F.length(F.bin("n")) - 1)
+    both = F.when(F.bit_count("n") == F.col("bits") + 1, F.array(F.col("bits"), F.col("bits") + 1)).otherwise(F.array("bits"))
+    rows = rows.withColumn("bit", F.explode(both)).withColumn("g", F.expr("shiftleft(1, greatest(0, bit - 2))")).drop("bits", "bit")
+    rows = rows.withColumn("p", F.explode(F.sequence(F.lit(0), F.col("n"), F.col("g"))))
+    least = F.col("n") - F.col("p") - (F.col("n") - F.col("p")) % F.col("g")
+    rows = rows.withColumn("s", F.explode(F.array(least, least - F.col("g")))).where("s >= 0")
+    return rows.withColumn("key", F.xxhash64("g", "p", "s", F.expr("substring(line, 1, p)"), F.expr("substring(line, n - s + 1, s)")))
 
 
 def _position(doc: Column, line: Column) -> Column:
@@ -66,34 +54,32 @@ def _trimmed(line: Column) -> Column:
     return F.btrim(line, F.lit(" \t\r"))
 
 
-def _distinct_lines(docs: DataFrame, min_chars: int) -> DataFrame:
-    """``(h1, h2, first, keys)`` of each distinct line: its 128-bit identity, earliest position and stretch keys."""
+def _lines(docs: DataFrame, min_chars: int) -> DataFrame:
+    """``(h1, h2, pos, line)`` of all lines compared: 128-bit identity, position and trimmed text."""
     lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line")).select("doc_id", "line_no", _trimmed(F.col("line")).alias("line")).where(F.length("line") >= min_chars)
-    named = lines.select(F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"), _position(F.col("doc_id"), F.col("line_no")).alias("pos"), F.transform(_all_keys(F.col("line")), lambda k: k["key"]).alias("keys"))
-    return named.groupBy("h1", "h2").agg(F.min("pos").alias("first"), F.any_value("keys").alias("keys"))
+    return lines.select(F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"), _position(F.col("doc_id"), F.col("line_no")).alias("pos"), "line")
 
 
-def near_lines(docs: DataFrame, distinct: DataFrame) -> DataFrame:
+def near_lines(docs: DataFrame, distinct: DataFrame, min_chars: int) -> DataFrame:
     """``(first, near)``: for distinct lines with an earlier line at edit distance 1, the earliest position of either."""
-    keyed = distinct.select("first", F.explode(F.array_distinct("keys")).alias("key")).repartition("key")
-    shared = keyed.groupBy("key").agg(F.min("first").alias("a"), F.max("first").alias("z")).where("a <> z").select("key")
-    some = cut(keyed.join(shared.hint("shuffle_hash"), "key").groupBy("first").agg(F.collect_set("key").alias("live")))
-    place = some.select(F.floor(F.col("first") / F.lit(_LINES)).cast("decimal(19,0)").cast("bigint").alias("doc"), (F.col("first") % F.lit(_LINES)).cast("int").alias("line_no"), "first", "live")
+    keyed = _stretches(_lines(docs, min_chars).select("h1", "line")).select("key", "h1")
+    # A key is shared if two lines have it: then some row of each stands beside another line's.
+    in_key = Window.partitionBy("key").orderBy("h1")
+    beside = keyed.withColumn("a", F.lag("h1").over(in_key)).withColumn("z", F.lead("h1").over(in_key))
+    some = cut(beside.where("a <> h1 OR z <> h1").select("key", "h1").distinct())
+    place = distinct.join(some.select("h1").distinct(), "h1", "left_semi")
+    place = cut(place.select("h1", "first", F.floor(F.col("first") / F.lit(_LINES)).cast("decimal(19,0)").cast("bigint").alias("doc"), (F.col("first") % F.lit(_LINES)).cast("int").alias("line_no")))
     bucket = lambda c: F.pmod(F.xxhash64(c), F.lit(BUCKETS))
     few = F.broadcast(place.select(bucket("doc").alias("__bucket")).distinct())
     texts = docs.select(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("__doc"), "text").withColumn("__bucket", bucket("__doc")).join(few, "__bucket", "left_semi")
-    live = texts.join(place, F.col("__doc") == F.col("doc")).select("first", "live", _trimmed(F.get(F.split("text", "\n"), F.col("line_no"))).alias("line"))
-    live = cut(live.where("line IS NOT NULL").groupBy("first").agg(F.any_value("live").alias("live"), F.any_value("line").alias("line")))
+    live = texts.join(place, F.col("__doc") == F.col("doc")).select("h1", "first", _trimmed(F.get(F.split("text", "\n"), F.col("line_no"))).alias("line"))
+    live = cut(live.where("line IS NOT NULL").groupBy("h1", "first").agg(F.any_value("line").alias("line")))
     # Deletions of single characters within the stretches that are shared.
-    n = F.length("line")
-    stretches = live.select("first", "line", F.explode(F.filter(_all_keys(F.col("line")), lambda k: F.array_contains("live", k["key"]))).alias("k"))
-    stretches = stretches.select("first", "k.*", n.alias("n"), F.substring(F.col("line"), F.col("p") + 1, n - F.col("p") - F.col("s")).alias("gap"))
-    low = F.greatest(F.lit(1), F.col("n") - F.col("s") - F.col("g") + 1 - F.col("p"))
-    high = F.least(F.col("g"), F.length("gap"))
-    without = lambda i: F.concat(F.substring(F.col("gap"), 1, i - 1), F.substring(F.col("gap"), i + 1, F.length("gap")))
-    deleted = F.when(low <= high, F.transform(F.sequence(low, F.greatest(low, high)), lambda i: F.struct(F.xxhash64(F.col("key"), without(i)).alias("v"), i.alias("at")))).otherwise(F.array().cast("array<struct<v: bigint, at: int>>"))
-    itself = F.array(F.struct(F.xxhash64("key", "gap").alias("v"), F.lit(0).alias("at")))
-    variants = stretches.select("first", F.inline(F.concat(itself, deleted)))
+    stretches = _stretches(live).join(some, ["key", "h1"], "left_semi").withColumn("gap", F.expr("substring(line, p + 1, n - p - s)"))
+    low, high = F.expr("greatest(1, n - s - g + 1 - p)"), F.expr("least(g, n - p - s)")
+    places = F.when(low <= high, F.concat(F.array(F.lit(0)), F.sequence(low, F.greatest(low, high)))).otherwise(F.array(F.lit(0)))
+    variants = stretches.select("first", "key", "gap", F.explode(places).alias("at"))
+    variants = variants.select("first", "at", F.xxhash64("key", F.expr("CASE WHEN at = 0 THEN gap ELSE concat(substring(gap, 1, at - 1), substring(gap, at + 1)) END")).alias("v"))
     by_v, by_place = Window.partitionBy("v"), Window.partitionBy("v", "at")
     own = F.when(F.col("at") == 0, F.col("first"))
     other = F.when(F.col("at") > 0, F.col("first"))
@@ -111,8 +97,8 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     line, n_near those removed for an earlier line at edit distance 1.
     """
     slim = docs.select(docs["doc_id"].cast("bigint").alias("doc_id"), docs["text"].alias("text"))
-    distinct = cut(_distinct_lines(slim, min_chars))
-    near = near_lines(slim, distinct)
+    distinct = cut(_lines(slim, min_chars).groupBy("h1", "h2").agg(F.min("pos").alias("first")))
+    near = near_lines(slim, distinct, min_chars)
     firsts = distinct.select("first").join(near, "first", "left")
     kept = firsts.select(F.floor(F.col("first") / F.lit(_LINES)).cast("decimal(19,0)").cast("bigint").alias("__doc"), (F.col("first") % F.lit(_LINES)).cast("int").alias("__line"), F.col("near").isNull().alias("__kept"))
     kept = kept.groupBy("__doc").agg(F.collect_list(F.when(F.col("__kept"), F.col("__line"))).alias("__kept_lines"), F.collect_list(F.when(~F.col("__kept"), F.col("__line"))).alias("__near_lines"))
