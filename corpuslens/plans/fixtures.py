@@ -2,6 +2,9 @@
 
 The tables hold plain prose, so lines of Markdown are added to it, by expressions
 that Spark and other SQL engines read alike.
+
+The queries run on whole texts (``WHOLE_CONSISTENCY``, ``WHOLE_MARKDOWN``);
+the SQL in ``oracles`` still takes CONSISTENCY and MARKDOWN, which cut texts.
 """
 
 from __future__ import annotations
@@ -39,18 +42,17 @@ AUDIT = " || ".join(
         _when("doc_id % 11 = 0", "A “quoted” text."),
     ]
 )
-CONSISTENCY = " || ".join(
-    [
-        "substring(text, 1, 300)",
-        _when("doc_id % 3 = 0", "往返时延(RTT)是 30 ms。", "取RTT的一半作为结果！再看往返时间。"),
-        _when("doc_id % 6 = 0", "单程为往返时延的一半。"),
-        _when("doc_id % 4 = 0", "时延约为 50ms，随后时延: 60 ms。", "窗口大小=64240字"),
-        _when("doc_id % 8 = 0", "此处为示例。"),
-        _when("doc_id % 5 = 0", "示例：窗口", "值 0x002 与 0xABCD", "末行"),
-        _when("doc_id % 7 = 0", "相对序号从零开始。", "a", "b", "c", "d", "e", "f", "g", "h", "i", "原始序号是随机值。"),
-        _when("doc_id % 14 = 0", "绝对序号与相对序号要区分。"),
-    ]
-)
+_CONSISTENCY_LINES = [
+    _when("doc_id % 3 = 0", "往返时延(RTT)是 30 ms。", "取RTT的一半作为结果！再看往返时间。"),
+    _when("doc_id % 6 = 0", "单程为往返时延的一半。"),
+    _when("doc_id % 4 = 0", "时延约为 50ms，随后时延: 60 ms。", "窗口大小=64240字"),
+    _when("doc_id % 8 = 0", "此处为示例。"),
+    _when("doc_id % 5 = 0", "示例：窗口", "值 0x002 与 0xABCD", "末行"),
+    _when("doc_id % 7 = 0", "相对序号从零开始。", "a", "b", "c", "d", "e", "f", "g", "h", "i", "原始序号是随机值。"),
+    _when("doc_id % 14 = 0", "绝对序号与相对序号要区分。"),
+]
+CONSISTENCY = " || ".join(["substring(text, 1, 300)", *_CONSISTENCY_LINES])
+WHOLE_CONSISTENCY = " || ".join(["text", *_CONSISTENCY_LINES])
 FACTS = " || ".join(
     [
         "text",
@@ -61,15 +63,15 @@ FACTS = " || ".join(
         _when("doc_id % 3 = 2", "Gateway Server once; Router and Router."),
     ]
 )
-MARKDOWN = " || ".join(
-    [
-        "'# Title ' || CAST(doc_id AS string) || chr(10) || substring(text, 1, 200)",
-        _when("doc_id % 2 = 0", "| a | b |", "|---|:-:|", "| 1 | **x** |", "| 2 | y |", "after"),
-        _when("doc_id % 3 = 0", "```sql", "SELECT 1", "| not | table |", "---", "```", "![pic](p.png)", "---"),
-        _when("doc_id % 5 = 0", "- one", "* two", "1. first", "2) second", "> said <b>", ">> more & more"),
-        _when("doc_id % 7 = 0", "#### Deep", "para with `code` and **bold** text"),
-    ]
-)
+_TITLE = "'# Title ' || CAST(doc_id AS string) || chr(10)"
+_MARKDOWN_LINES = [
+    _when("doc_id % 2 = 0", "| a | b |", "|---|:-:|", "| 1 | **x** |", "| 2 | y |", "after"),
+    _when("doc_id % 3 = 0", "```sql", "SELECT 1", "| not | table |", "---", "```", "![pic](p.png)", "---"),
+    _when("doc_id % 5 = 0", "- one", "* two", "1. first", "2) second", "> said <b>", ">> more & more"),
+    _when("doc_id % 7 = 0", "#### Deep", "para with `code` and **bold** text"),
+]
+MARKDOWN = " || ".join([_TITLE, "substring(text, 1, 200)", *_MARKDOWN_LINES])
+WHOLE_MARKDOWN = " || ".join([_TITLE, "text", *_MARKDOWN_LINES])
 DIFF = "'--- a/doc' || chr(10) || '+++ b/doc' || chr(10) || '-old 10 MB and v2.1.0' || chr(10) || '+new 30 个 and v3.' || CAST(doc_set_id % 7 AS string) || '.0' || chr(10) || ' same 40% and 9.9.9'"
 #: Documents of one set; a companion set is an argument of the checks.
 SET_OF = "CAST(floor(doc_id / 3) AS bigint)"
