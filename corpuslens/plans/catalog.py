@@ -29,7 +29,7 @@ def scan_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def doc_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = relations.lines(X.derived(spark, sf_dir, X.AUDIT))
+    rows = relations.lines(X.audit_docs(spark, sf_dir))
     return rows.select("doc_id", "line_no", F.length("raw").alias("n_chars"), "is_fence", "in_code")
 
 
@@ -94,7 +94,8 @@ def queries() -> dict:
     on_facts = {"doc_numbers": cross.doc_numbers, "doc_modules": cross.doc_modules}
     out = {"audit_report": None, "scan_documents": scan_documents, "doc_lines": doc_lines, "regex_hits": regex_hits}
     out |= {k: (lambda spark, sf_dir, f=f: f(_raw(spark, sf_dir))) for k, f in on_raw.items()}
-    for expression, checks in ((X.AUDIT, on_audit), (X.WHOLE_CONSISTENCY, on_consistency), (X.WHOLE_MARKDOWN, on_markdown), (X.FACTS, on_facts)):
+    out |= {k: (lambda spark, sf_dir, f=f: f(X.audit_docs(spark, sf_dir))) for k, f in on_audit.items()}
+    for expression, checks in ((X.WHOLE_CONSISTENCY, on_consistency), (X.WHOLE_MARKDOWN, on_markdown), (X.FACTS, on_facts)):
         out |= {k: _of(expression, f) for k, f in checks.items()}
     out |= {k: _across(getattr(cross, k)) for k in ("cross_versions", "cross_numbers", "cross_terms", "cross_modules")}
     return out | {f.__name__: f for f in (sync_signals, sync_check, compare_events, inline_runs, source_files, source_line_counts, source_summary)}

@@ -3,8 +3,8 @@
 The tables hold plain prose, so lines of Markdown are added to it, by expressions
 that Spark and other SQL engines read alike.
 
-The queries run on whole texts (``WHOLE_CONSISTENCY``, ``WHOLE_MARKDOWN``);
-the SQL in ``oracles`` still takes CONSISTENCY and MARKDOWN, which cut texts.
+The queries run on whole texts (``audit_docs``, ``WHOLE_CONSISTENCY``, ``WHOLE_MARKDOWN``);
+the SQL in ``oracles`` still takes AUDIT, CONSISTENCY and MARKDOWN, which cut texts.
 """
 
 from __future__ import annotations
@@ -31,17 +31,16 @@ _ZH = _lines(
     "总的来说。",
     "稳定是架构的体现。",
 )
-AUDIT = " || ".join(
-    [
-        f"CASE WHEN doc_id % 5 = 0 THEN {_ZH} || chr(10) || substring(text, 1, 12) ELSE text END",
-        _when("doc_id % 3 = 0", "如图 1 所示。", "图1 总览", "图4 细节", "见图 4 与图 2。", "表 2 参数", "表1 概览"),
-        _when("doc_id % 4 = 0", "```python", 'x = "1"', "```", "", "```", 'no language "q" API', "```"),
-        _when("doc_id % 8 = 0", "```"),
-        _when("doc_id % 6 = 0", "## 1. A", "#### 1.1.1 C", "### 2 B", "## 2.1 D"),
-        _when("doc_id % 7 = 0", "The API and Api with `api` on Docker or docker and GitHub Github (JSON only)."),
-        _when("doc_id % 11 = 0", "A “quoted” text."),
-    ]
-)
+_AUDIT_LINES = [
+    _when("doc_id % 3 = 0", "如图 1 所示。", "图1 总览", "图4 细节", "见图 4 与图 2。", "表 2 参数", "表1 概览"),
+    _when("doc_id % 4 = 0", "```python", 'x = "1"', "```", "", "```", 'no language "q" API', "```"),
+    _when("doc_id % 8 = 0", "```"),
+    _when("doc_id % 6 = 0", "## 1. A", "#### 1.1.1 C", "### 2 B", "## 2.1 D"),
+    _when("doc_id % 7 = 0", "The API and Api with `api` on Docker or docker and GitHub Github (JSON only)."),
+    _when("doc_id % 11 = 0", "A “quoted” text."),
+]
+AUDIT = " || ".join([f"CASE WHEN doc_id % 5 = 0 THEN {_ZH} || chr(10) || substring(text, 1, 12) ELSE text END", *_AUDIT_LINES])
+_WHOLE_AUDIT, _ZH_AUDIT = (" || ".join([x, *_AUDIT_LINES]) for x in ("text", _ZH))
 _CONSISTENCY_LINES = [
     _when("doc_id % 3 = 0", "往返时延(RTT)是 30 ms。", "取RTT的一半作为结果！再看往返时间。"),
     _when("doc_id % 6 = 0", "单程为往返时延的一半。"),
@@ -83,6 +82,13 @@ def derived(spark: SparkSession, sf_dir: str, expression: str) -> DataFrame:
     return docs.select("doc_id", F.expr(expression).alias("text"))
 
 
+def audit_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(doc_id, text)``: the whole text of every document with lines added, and Chinese documents as further rows of negative ids."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    chinese = docs.where("doc_id % 5 = 0").select((-1 - F.col("doc_id")).alias("doc_id"), F.expr(_ZH_AUDIT).alias("text"))
+    return docs.select("doc_id", F.expr(_WHOLE_AUDIT).alias("text")).unionAll(chinese)
+
+
 def sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(doc_set_id, doc_id)``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id")
