@@ -13,7 +13,8 @@ line without forming pairs in a group. That pair is verified by its edit distanc
 
 A line is kept if no earlier line (by doc_id, then line number) is equal to it or
 at edit distance 1. Lines are compared without blanks, tabs and carriage returns
-at their ends; those of fewer than ``min_chars`` characters are always kept.
+at their ends. Those of fewer than ``min_chars`` characters take no part in the
+near step; those of fewer than ``exact_chars`` are always kept.
 
 Defined cases: a null text has no lines; a doc_id that repeats names one
 document, whose rows keep the same line numbers; a null doc_id comes last;
@@ -90,14 +91,16 @@ def near_lines(docs: DataFrame, distinct: DataFrame, min_chars: int) -> DataFram
     return best.join(line_of("first", "line"), "first").join(line_of("near", "other"), "near").where(F.levenshtein("line", "other", 1) >= 0).select("first", "near")
 
 
-def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, exact_chars: int | None = None) -> DataFrame:
     """The rows and columns of ``docs`` with the lines kept as ``text``, and ``n_lines``, ``n_exact`` and ``n_near``.
 
     n_lines counts the lines before, n_exact those removed as equal to an earlier
-    line, n_near those removed for an earlier line at edit distance 1.
+    line, n_near those removed for an earlier line at edit distance 1. Without
+    ``exact_chars`` the exact step leaves out the lines that the near step leaves out.
     """
+    exact_chars = min_chars if exact_chars is None else exact_chars
     slim = docs.select(docs["doc_id"].cast("bigint").alias("doc_id"), docs["text"].alias("text"))
-    distinct = cut(_lines(slim, min_chars).groupBy("h1", "h2").agg(F.min("pos").alias("first")))
+    distinct = cut(_lines(slim, exact_chars).groupBy("h1", "h2").agg(F.min("pos").alias("first")))
     near = near_lines(slim, distinct, min_chars)
     firsts = distinct.select("first").join(near, "first", "left")
     kept = firsts.select(F.floor(F.col("first") / F.lit(_LINES)).cast("decimal(19,0)").cast("bigint").alias("__doc"), (F.col("first") % F.lit(_LINES)).cast("int").alias("__line"), F.col("near").isNull().alias("__kept"))
@@ -107,7 +110,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     # Maps answer whether a line number is listed in constant time.
     listed = lambda c: F.map_from_arrays(F.coalesce(c, none), F.transform(F.coalesce(c, none), lambda x: F.lit(True)))
     rows = rows.withColumn("__state", F.struct(listed("__kept_lines").alias("kept"), listed("__near_lines").alias("near")))
-    lines = F.transform(F.split(docs["text"], "\n"), lambda x, i: F.struct(x.alias("line"), F.when((F.length(_trimmed(x)) < min_chars) | F.map_contains_key("__state.kept", i), F.lit(0)).when(F.map_contains_key("__state.near", i), F.lit(2)).otherwise(F.lit(1)).alias("why")))
+    lines = F.transform(F.split(docs["text"], "\n"), lambda x, i: F.struct(x.alias("line"), F.when((F.length(_trimmed(x)) < exact_chars) | F.map_contains_key("__state.kept", i), F.lit(0)).when(F.map_contains_key("__state.near", i), F.lit(2)).otherwise(F.lit(1)).alias("why")))
     rows = rows.withColumn("__lines", lines)
     many = lambda k: F.coalesce(F.size(F.filter("__lines", lambda x: x["why"] == k)), F.lit(0)).cast("bigint")
     text = F.array_join(F.transform(F.filter("__lines", lambda x: x["why"] == 0), lambda x: x["line"]), "\n")
