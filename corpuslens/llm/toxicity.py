@@ -11,8 +11,10 @@ logistic curve, fitted on labelled documents that the models haven't counted,
 turns both into a probability. (Conditioning on the word before as well was
 tried; what copies and near copies repeat then outweighs the rest.)
 
-Words are 64-bit hashes; the finished models are tables of fixed size, so what
-is broadcast does not grow with the corpus.
+Words are 64-bit hashes. Counts of all documents are a table that grows with the
+corpus; the finished models hold the words that the labelled documents taught them,
+so what is broadcast is bounded by those. All other words share one value, since
+the shared counts cancel out for them.
 
 Defined cases: null and empty texts have no evidence and get the curve's base
 value; labels that are null or of unknown documents are ignored, a document
@@ -31,8 +33,6 @@ from pyspark.sql import functions as F
 
 from .common import ALNUM, blocks, buffers, mix, words
 
-#: Slots of the tables of words (a power of two).
-WORD_BUCKETS = 1 << 20
 #: Most labelled documents of each class that the models count, and most that the curve is fitted on: those of the smallest hash of their id.
 MAX_COUNTED, MAX_CURVE = 10_000, 6_000
 #: Taken from every count; what it leaves nothing of backs off in full, so that chance rarely counts as evidence.
@@ -60,29 +60,20 @@ def _bigrams(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return before, hashed, first
 
 
-def _bucket(hashed: np.ndarray) -> np.ndarray:
-    return (hashed >> np.uint64(20)).astype(np.int64) & (WORD_BUCKETS - 1)
-
-
 def _pair(before: np.ndarray, word: np.ndarray) -> np.ndarray:
     return mix(before * np.uint64(3) + (word ^ (before >> np.uint64(32))))
 
 
-def shared_counts(docs: DataFrame) -> np.ndarray:
-    """Counts of word buckets over all documents, summed on the map side first."""
+def shared_counts(docs: DataFrame) -> DataFrame:
+    """``(word, n)``: counts of all words of all documents, summed by block first."""
 
     def run(batches):
-        sums = np.zeros(WORD_BUCKETS, np.int64)
         for b in blocks(batches):
             hashed, _, _, _ = words(*buffers(b.column("text")), ALNUM, lower=True)
-            sums += np.bincount(_bucket(hashed), minlength=WORD_BUCKETS)
-        some = np.flatnonzero(sums)
-        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(sums[some])], ["bucket", "n"])
+            word, n = np.unique(hashed, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(word.astype(np.int64)), pa.array(n.astype(np.int64))], ["word", "n"])
 
-    rows = docs.select("text").mapInArrow(run, "bucket int, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
-    out = np.zeros(WORD_BUCKETS)
-    out[rows["bucket"].to_numpy()] = rows["n"].to_numpy()
-    return out
+    return docs.select("text").mapInArrow(run, "word bigint, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def class_counts(docs: DataFrame) -> DataFrame:
@@ -100,47 +91,21 @@ def class_counts(docs: DataFrame) -> DataFrame:
     return rows.distinct().groupBy("toxic", "word").agg(F.count("*").alias("n"))
 
 
-@dataclass
-class Slots:
-    """A hash table of fixed size: each slot holds the key of the greatest weight that falls there."""
-
-    key: np.ndarray
-    value: np.ndarray
-
-    @staticmethod
-    def of(rows: DataFrame, key: str, weight: str, value: str, size: int) -> list[Slots]:
-        """One table for each class of ``rows(toxic, ...)``."""
-        slot = F.shiftright(key, 20).bitwiseAND(F.lit(size - 1))
-        best = rows.groupBy("toxic", slot.alias("__slot")).agg(F.max(F.struct(F.col(weight).alias("w"), F.col(key).alias("k"), F.col(value).cast("double").alias("v"))).alias("b"))
-        got = best.select("toxic", "__slot", "b.k", "b.v").toArrow()
-        out = []
-        for c in (0, 1):
-            own = got["toxic"].to_numpy() == c
-            t = Slots(np.zeros(size, np.uint64), np.zeros(size, np.float32))
-            at = got["__slot"].to_numpy()[own]
-            t.key[at], t.value[at] = got["k"].to_numpy()[own].astype(np.uint64), got["v"].to_numpy()[own]
-            out.append(t)
-        return out
-
-    def get(self, key: np.ndarray, other: float = 0.0) -> np.ndarray:
-        at = (key >> np.uint64(20)).astype(np.int64) & (len(self.key) - 1)
-        return np.where(self.key[at] == key, self.value[at], np.float32(other))
-
-
 @dataclass
 class Models:
-    """Tables of both models; index 0 is ordinary, 1 toxic."""
+    """What both models say of each word that one of them knows."""
 
-    word: list[Slots]  # discounted share of a word's continuations
-    rest: tuple[float, float]  # weight of the shared counts below
-    base: np.ndarray  # shared probability of a word's slot
+    word: np.ndarray  # hashes, ascending
+    value: np.ndarray  # evidence of each
+    other: float  # evidence of any other word
     curve: tuple[float, float, float] = (0.0, 0.0, 0.0)
 
     def evidence(self, word: np.ndarray) -> np.ndarray:
         """Log-likelihood of each word as toxic, less that as ordinary, less what chance explains."""
-        base = self.base[_bucket(word)]
-        p = [self.word[c].get(word) + self.rest[c] * base for c in (0, 1)]
-        return np.clip(np.log(p[1] / p[0]) - CHANCE, 0, MOST)
+        if not len(self.word):
+            return np.full(len(word), self.other)
+        at = np.minimum(np.searchsorted(self.word, word), len(self.word) - 1)
+        return np.where(self.word[at] == word, self.value[at], self.other)
 
     def features(self, column: pa.Array) -> np.ndarray:
         """For each text: the mean evidence and that of its highest stretch, as square roots."""
@@ -165,15 +130,25 @@ class Models:
         return 1.0 / (1.0 + np.exp(-np.clip(x, -60, 60)))
 
 
-def fit_models(shared: np.ndarray, counted: DataFrame) -> Models:
-    """Kneser-Ney tables from the shared counts and ``class_counts``."""
+def fit_models(shared: DataFrame, counted: DataFrame) -> Models:
+    """Kneser-Ney tables from ``shared_counts`` and ``class_counts``."""
     left = F.greatest(F.col("n") - DISCOUNT, F.lit(0.0))
     totals = {r[0]: (max(1, r[1]), r[2]) for r in counted.groupBy("toxic").agg(F.sum("n"), F.sum(left)).collect()}
     whole, kept = zip(*(totals.get(c, (1, 0.0)) for c in (0, 1)), strict=True)
-    share = left / F.when(F.col("toxic") == 1, float(whole[1])).otherwise(float(whole[0]))
-    known = counted.where(F.col("n") > DISCOUNT).withColumn("share", share)
-    base = (shared + 0.5) / (shared.sum() + 0.5 * WORD_BUCKETS)
-    return Models(Slots.of(known, "word", "n", "share", WORD_BUCKETS), (1 - kept[0] / whole[0], 1 - kept[1] / whole[1]), base.astype(np.float32))
+    rest = [1 - kept[c] / whole[c] for c in (0, 1)]
+    share = [F.sum(F.when(F.col("toxic") == c, left).otherwise(0.0)) / float(whole[c]) for c in (0, 1)]
+    known = counted.where(F.col("n") > DISCOUNT).groupBy("word").agg(share[0].alias("ordinary"), share[1].alias("toxic"))
+    # A row for each known word, and one (of null) for all others.
+    both = shared.join(F.broadcast(known.withColumn("known", F.col("word"))), "word", "left")
+    got = both.groupBy("known").agg(F.sum("n").alias("n"), F.count("*").alias("words"), F.any_value("ordinary").alias("ordinary"), F.any_value("toxic").alias("toxic")).toArrow()
+    n, size = sum(got["n"].to_pylist()), sum(got["words"].to_pylist())
+    got = got.filter(got["known"].is_valid())
+    word = got["known"].to_numpy().astype(np.uint64)
+    base = (got["n"].to_numpy() + 0.5) / (n + 0.5 * size) if len(word) else np.zeros(0)
+    p = [got[name].to_numpy() + rest[c] * base for c, name in enumerate(("ordinary", "toxic"))]
+    beyond = lambda x: np.clip(np.log(x) - CHANCE, 0, MOST)
+    order = np.argsort(word)
+    return Models(word[order], beyond(p[1] / p[0])[order], float(beyond(rest[1] / rest[0])))
 
 
 def fit_curve(x: np.ndarray, y: np.ndarray) -> tuple[float, float, float]:
