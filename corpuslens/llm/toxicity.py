@@ -1,25 +1,37 @@
 """Toxicity by class-conditional Kneser-Ney word models.
 
-The models of toxic and of ordinary labelled documents hold continuation counts:
-how many different words a class has seen before a word, which copies of a text
-don't raise. What a discount takes from them backs off to counts that both
-classes share, of all documents, labelled or not, so a rare word says little
-either way. A word's evidence is its log-likelihood as toxic less that as
-ordinary, without the part that chance explains. A document's score compares the
-length-normalised sums, of the whole text and of its most toxic stretch; a
-logistic curve, fitted on labelled documents that the models haven't counted,
-turns both into a probability. (Conditioning on the word before as well was
-tried; what copies and near copies repeat then outweighs the rest.)
-
-Words are 64-bit hashes. Counts of all documents are a table that grows with the
-corpus; the finished models hold the words that the labelled documents taught them,
-so what is broadcast is bounded by those. All other words share one value, since
-the shared counts cancel out for them.
-
-Defined cases: null and empty texts have no evidence and get the curve's base
-value; labels that are null or of unknown documents are ignored, a document
-labelled both ways counts as toxic; without both classes every score is 0; an
-empty table gives no rows; other columns are ignored.
+Each class, toxic and ordinary, has an interpolated Kneser-Ney model learned from
+labelled documents. A word's probability after the word before it takes the pair's
+continuation count less a discount, and backs off to the word's own continuation
+count, from there to that of its stem (the first bytes of the word, so that forms
+never seen share what is known of their kin), and from there to counts of all
+documents, labelled or not, which both classes share::
+
+    P(w | v) = max(c(v w) - d, 0) / c(v) + left(v) * P(w)
+    P(w)     = max(c(w) - d, 0) / c      + left    * P(stem of w) * S(w) / S(stem of w)
+    P(s)     = max(c(s) - d, 0) / c'     + left'   * S(s)
+
+c(v w) is how many different words precede the pair, c(w) how many precede the
+word, c(s) how many precede words of the stem; copies of a text raise none of
+them. S are the shared probabilities. Each level sums to 1.
+
+A document's evidence is the log-likelihood as toxic less that as ordinary,
+length-normalised: of the whole text, of its most toxic expression (two words in
+a row) and of its few most toxic ones. A logistic curve, fitted on labelled
+documents that the models haven't counted, turns these into a probability. The
+constants were chosen by cross-validation among folds 1 to 4 of labels.
+
+Words are 64-bit hashes. Shared counts are a table that grows with the corpus;
+the models hold what the labelled documents taught them beyond the discounts, so
+what is broadcast is bounded by those. Of a word that no class knows, the shared
+count cancels out between the classes.
+
+Defined cases: null and empty texts have no evidence and get the curve's value
+for that; labels that are null or of unknown documents are ignored, a document
+labelled both ways counts as toxic; rows that share a doc_id are each scored, and
+each counted if it is labelled; ties in the choice of labelled documents go to the
+smaller doc_id; without both classes every score is 0; an empty table gives no
+rows; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -31,19 +43,20 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ALNUM, blocks, buffers, mix, words
+from .common import ALNUM, LOWER, blocks, buffers, cut, mix, words
 
 #: Most labelled documents of each class that the models count, and most that the curve is fitted on: those of the smallest hash of their id.
 MAX_COUNTED, MAX_CURVE = 10_000, 6_000
-#: Taken from every count; what it leaves nothing of backs off in full, so that chance rarely counts as evidence.
-DISCOUNT = 4.0
-#: Evidence (in nats) that chance explains, and the most that a word adds beyond.
-CHANCE, MOST = 1.5, 4.0
-#: Words of a stretch.
-STRETCH = 32
+#: Taken from every count of a level; what it leaves backs off.
+DISCOUNT = 4
+#: Bytes of a stem.
+STEM_BYTES = 7
+#: Words of an expression, and how many of the most toxic ones are averaged.
+EXPRESSION, TOP = 2, 4
 #: One labelled document of so many is kept for the curve.
 CURVE_PART = 5
 _START = np.uint64(0x5851F42D4C957F2D)
+_STEP = np.uint64(257)
 
 
 def fold_of(doc_id: Column) -> Column:
@@ -51,13 +64,33 @@ def fold_of(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 5
 
 
-def _bigrams(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hash of the word before, word hash, where each text's words begin)."""
-    hashed, _, _, first = words(*buffers(column), ALNUM, lower=True)
-    before = np.empty_like(hashed)
-    before[1:] = hashed[:-1]
-    before[first[:-1][first[:-1] < len(hashed)]] = _START
-    return before, hashed, first
+@dataclass
+class Tokens:
+    """Words of a column of texts, as hashes: each with its stem and the two words before it."""
+
+    word: np.ndarray
+    stem: np.ndarray
+    before: np.ndarray
+    earlier: np.ndarray
+    first: np.ndarray  # where each text's words begin
+
+
+def _shifted(word: np.ndarray, first: np.ndarray) -> np.ndarray:
+    before = np.empty_like(word)
+    before[1:] = word[:-1]
+    before[first[:-1][first[:-1] < len(word)]] = _START
+    return before
+
+
+def tokens(column: pa.Array) -> Tokens:
+    data, offsets = buffers(column)
+    word, start, end, first = words(data, offsets, ALNUM, lower=True)
+    stem, length = np.zeros(len(word), np.uint64), np.minimum(end - start, STEM_BYTES)
+    for j in range(STEM_BYTES):
+        some = np.flatnonzero(length > j)
+        stem[some] = stem[some] * _STEP + LOWER[data[start[some] + j]] + np.uint64(1)
+    before = _shifted(word, first)
+    return Tokens(word, mix(stem), before, _shifted(before, first), first)
 
 
 def _pair(before: np.ndarray, word: np.ndarray) -> np.ndarray:
@@ -65,138 +98,220 @@ def _pair(before: np.ndarray, word: np.ndarray) -> np.ndarray:
 
 
 def shared_counts(docs: DataFrame) -> DataFrame:
-    """``(word, n)``: counts of all words of all documents, summed by block first."""
+    """``(word, stem, n)``: counts of all words of all documents, summed by block first."""
 
     def run(batches):
         for b in blocks(batches):
-            hashed, _, _, _ = words(*buffers(b.column("text")), ALNUM, lower=True)
-            word, n = np.unique(hashed, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(word.astype(np.int64)), pa.array(n.astype(np.int64))], ["word", "n"])
+            t = tokens(b.column("text"))
+            word, at, n = np.unique(t.word, return_index=True, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in (word, t.stem[at], n)], ["word", "stem", "n"])
 
-    return docs.select("text").mapInArrow(run, "word bigint, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+    return docs.select("text").mapInArrow(run, "word bigint, stem bigint, n bigint").groupBy("word", "stem").agg(F.sum("n").alias("n"))
 
 
-def class_counts(docs: DataFrame) -> DataFrame:
-    """``(toxic, word, n)``: for each word of ``docs(text, toxic)`` how many different words stand before it."""
+def pair_counts(docs: DataFrame) -> DataFrame:
+    """``(toxic, before, word, stem, n)``: for each pair of words in ``docs(text, toxic)`` how many different words precede it."""
 
     def run(batches):
         for b in blocks(batches):
-            before, word, first = _bigrams(b.column("text"))
-            toxic = np.repeat(b.column("toxic").to_numpy(), np.diff(first)).astype(np.uint64)
-            pair = _pair(before, word)
-            _, at = np.unique(pair ^ mix(toxic + np.uint64(1)), return_index=True)
-            yield pa.RecordBatch.from_arrays([pa.array(toxic[at].astype(np.int32)), *(pa.array(x[at].astype(np.int64)) for x in (pair, word))], ["toxic", "pair", "word"])
+            t = tokens(b.column("text"))
+            toxic = np.repeat(b.column("toxic").to_numpy(), np.diff(t.first)).astype(np.uint64)
+            whole = _pair(t.earlier, _pair(t.before, t.word))
+            _, at = np.unique(whole ^ mix(toxic + np.uint64(1)), return_index=True)
+            yield pa.RecordBatch.from_arrays([pa.array(toxic[at].astype(np.int32)), *(pa.array(x[at].astype(np.int64)) for x in (whole, t.before, t.word, t.stem))], ["toxic", "whole", "before", "word", "stem"])
 
-    rows = docs.select("text", F.col("toxic").cast("int").alias("toxic")).mapInArrow(run, "toxic int, pair bigint, word bigint")
-    return rows.distinct().groupBy("toxic", "word").agg(F.count("*").alias("n"))
+    rows = docs.select("text", F.col("toxic").cast("int").alias("toxic")).mapInArrow(run, "toxic int, whole bigint, before bigint, word bigint, stem bigint")
+    return rows.distinct().groupBy("toxic", "before", "word", "stem").agg(F.count("*").alias("n"))
 
 
 @dataclass
-class Models:
-    """What both models say of each word that one of them knows."""
+class Table:
+    """A value of each class by key; ``other`` for keys that aren't listed."""
 
-    word: np.ndarray  # hashes, ascending
-    value: np.ndarray  # evidence of each
-    other: float  # evidence of any other word
-    curve: tuple[float, float, float] = (0.0, 0.0, 0.0)
+    key: np.ndarray  # ascending
+    value: np.ndarray  # a row for each class
+    other: tuple[float, float]
 
-    def evidence(self, word: np.ndarray) -> np.ndarray:
-        """Log-likelihood of each word as toxic, less that as ordinary, less what chance explains."""
-        if not len(self.word):
-            return np.full(len(word), self.other)
-        at = np.minimum(np.searchsorted(self.word, word), len(self.word) - 1)
-        return np.where(self.word[at] == word, self.value[at], self.other)
+    @staticmethod
+    def of(key: np.ndarray, value: np.ndarray, other: tuple[float, float]) -> Table:
+        order = np.argsort(key)
+        return Table(key[order], value[:, order], other)
+
+    def at(self, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(values of each class, whether the key is listed)."""
+        if not len(self.key):
+            return np.repeat(np.array(self.other)[:, None], len(key), axis=1), np.zeros(len(key), bool)
+        i = np.minimum(np.searchsorted(self.key, key), len(self.key) - 1)
+        known = self.key[i] == key
+        return np.where(known, self.value[:, i], np.array(self.other)[:, None]), known
+
+
+@dataclass
+class Models:
+    """Both classes' models, ordinary first, and the curve."""
+
+    pairs: Table  # discounted share of the word after the one before it
+    left: Table  # what the word before leaves to the word's own level
+    words: Table  # P(w) of words that a class knows or has in a known pair
+    stems: Table  # P(s) as above over S(s), of stems that a class knows
+    words_left: tuple[float, float]  # what the level of words leaves to that of stems
+    curve: tuple[float, ...] = (0.0,) * 4
+
+    def likelihoods(self, t: Tokens) -> np.ndarray:
+        """For both classes log P(w | v); of words that none knows less log S(w), which is the same for both."""
+        base, known = self.words.at(t.word)
+        new = np.flatnonzero(~known)
+        base[:, new] = np.array(self.words_left)[:, None] * self.stems.at(t.stem[new])[0]
+        return np.log(self.pairs.at(_pair(t.before, t.word))[0] + self.left.at(t.before)[0] * base)
 
     def features(self, column: pa.Array) -> np.ndarray:
-        """For each text: the mean evidence and that of its highest stretch, as square roots."""
-        word, _, _, first = words(*buffers(column), ALNUM, lower=True)
-        sums = np.concatenate(([0.0], np.cumsum(self.evidence(word), dtype=np.float64)))
-        n = np.diff(first)
-        mean = (sums[first[1:]] - sums[first[:-1]]) / np.maximum(n, 1)
-        size = np.minimum(n, STRETCH)
-        high = np.zeros(len(n))
+        """For each text the evidence per word: of all of it, of its highest expression, and of its highest few on average."""
+        t = tokens(column)
+        both = self.likelihoods(t)
+        sums = np.concatenate(([0.0], np.cumsum(both[1] - both[0])))
+        n = np.diff(t.first)
+        out = np.zeros((len(n), 3))
+        out[:, 0] = (sums[t.first[1:]] - sums[t.first[:-1]]) / np.maximum(n, 1)
+        size = np.minimum(n, EXPRESSION)
         owner = np.repeat(np.arange(len(n)), n)
         at = np.arange(len(owner))
-        begins = at + size[owner] <= first[1:][owner]
+        begins = at + size[owner] <= t.first[1:][owner]
         at, owner = at[begins], owner[begins]
-        if len(at):
-            value = (sums[at + size[owner]] - sums[at]) / STRETCH
-            some = np.flatnonzero(n)
-            high[some] = np.maximum.reduceat(value, np.searchsorted(owner, some))
-        return np.sqrt(np.maximum(np.stack([mean, high], axis=1), 0))
+        value = (sums[at + size[owner]] - sums[at]) / EXPRESSION
+        some = np.flatnonzero(n)
+        first = np.searchsorted(owner, some)
+        total, many = np.zeros(len(n)), np.zeros(len(n))
+        for k in range(TOP if len(some) else 0):  # the highest of each text, which then leaves
+            high = np.full(len(n), -np.inf)
+            high[some] = np.maximum.reduceat(value, first)
+            if not k:
+                out[some, 1] = high[some]
+            there = np.isfinite(high)
+            total[there] += high[there]
+            many += there
+            top = np.flatnonzero(there[owner] & (value == high[owner]))
+            _, once = np.unique(owner[top], return_index=True)
+            value[top[once]] = -np.inf
+        out[:, 2] = total / np.maximum(many, 1)
+        return out
 
     def scores(self, column: pa.Array) -> np.ndarray:
         x = self.features(column) @ np.array(self.curve[1:]) + self.curve[0]
         return 1.0 / (1.0 + np.exp(-np.clip(x, -60, 60)))
 
 
-def fit_models(shared: DataFrame, counted: DataFrame) -> Models:
-    """Kneser-Ney tables from ``shared_counts`` and ``class_counts``."""
-    left = F.greatest(F.col("n") - DISCOUNT, F.lit(0.0))
-    totals = {r[0]: (max(1, r[1]), r[2]) for r in counted.groupBy("toxic").agg(F.sum("n"), F.sum(left)).collect()}
-    whole, kept = zip(*(totals.get(c, (1, 0.0)) for c in (0, 1)), strict=True)
-    rest = [1 - kept[c] / whole[c] for c in (0, 1)]
-    share = [F.sum(F.when(F.col("toxic") == c, left).otherwise(0.0)) / float(whole[c]) for c in (0, 1)]
-    known = counted.where(F.col("n") > DISCOUNT).groupBy("word").agg(share[0].alias("ordinary"), share[1].alias("toxic"))
-    # A row for each known word, and one (of null) for all others.
-    both = shared.join(F.broadcast(known.withColumn("known", F.col("word"))), "word", "left")
-    got = both.groupBy("known").agg(F.sum("n").alias("n"), F.count("*").alias("words"), F.any_value("ordinary").alias("ordinary"), F.any_value("toxic").alias("toxic")).toArrow()
-    n, size = sum(got["n"].to_pylist()), sum(got["words"].to_pylist())
-    got = got.filter(got["known"].is_valid())
-    word = got["known"].to_numpy().astype(np.uint64)
-    base = (got["n"].to_numpy() + 0.5) / (n + 0.5 * size) if len(word) else np.zeros(0)
-    p = [got[name].to_numpy() + rest[c] * base for c, name in enumerate(("ordinary", "toxic"))]
-    beyond = lambda x: np.clip(np.log(x) - CHANCE, 0, MOST)
-    order = np.argsort(word)
-    return Models(word[order], beyond(p[1] / p[0])[order], float(beyond(rest[1] / rest[0])))
-
-
-def fit_curve(x: np.ndarray, y: np.ndarray) -> tuple[float, float, float]:
+def _by_class(rows: pa.Table, key: str) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct keys, count of each class) of rows (toxic, key, n)."""
+    keys, at = np.unique(rows[key].to_numpy().astype(np.uint64), return_inverse=True)
+    out = np.zeros((2, len(keys)))
+    out[rows["toxic"].to_numpy(), at] = rows["n"].to_numpy()
+    return keys, out
+
+
+def fit_models(shared: DataFrame, pairs: DataFrame) -> Models:
+    """Kneser-Ney tables from ``shared_counts`` and ``pair_counts``; what reaches the driver is bounded by the labelled documents."""
+    pairs = cut(pairs)
+    beyond = F.greatest(F.col("n") - DISCOUNT, F.lit(0))
+    per_word = cut(pairs.groupBy("toxic", "word", "stem").agg(F.count("*").alias("n")))
+    per_stem = cut(pairs.select("toxic", "stem", "before").distinct().groupBy("toxic", "stem").agg(F.count("*").alias("n")))
+    whole, kept = np.ones((2, 2)), np.zeros((2, 2))  # by level (words, stems) and class
+    for level, counts in enumerate((per_word, per_stem)):
+        for toxic, n, k in counts.groupBy("toxic").agg(F.sum("n"), F.sum(beyond)).collect():
+            whole[level, toxic], kept[level, toxic] = n, k
+    rest = 1 - kept / whole
+    # The level of pairs, and the words to look up among all documents.
+    context = pairs.groupBy("toxic", "before").agg(F.sum("n").alias("all"), F.sum(beyond).alias("n")).where("n > 0")
+    strong = pairs.where(F.col("n") > DISCOUNT)
+    got = strong.select("toxic", "before", "word", beyond.alias("n")).toArrow()
+    ctx = context.toArrow()
+    ctx_key, ctx_kept = _by_class(ctx, "before")
+    ctx_all = np.ones_like(ctx_kept)
+    ctx_all[ctx["toxic"].to_numpy(), np.searchsorted(ctx_key, ctx["before"].to_numpy().astype(np.uint64))] = ctx["all"].to_numpy()
+    before = got["before"].to_numpy().astype(np.uint64)
+    got = got.append_column("pair", pa.array(_pair(before, got["word"].to_numpy().astype(np.uint64)).astype(np.int64)))
+    got = got.set_column(got.schema.get_field_index("n"), "n", pa.array(got["n"].to_numpy() / ctx_all[got["toxic"].to_numpy(), np.searchsorted(ctx_key, before)] if len(before) else np.zeros(0)))
+    pair_key, share = _by_class(got, "pair")
+    # The levels of words and stems, with the shared counts of those that a class knows.
+    weight = lambda level: F.when(F.col("toxic") == 1, beyond / float(whole[level, 1])).otherwise(beyond / float(whole[level, 0]))
+    by_class = lambda level: [F.sum(F.when(F.col("toxic") == c, weight(level)).otherwise(0.0)).alias(name) for c, name in enumerate(("ordinary", "toxic"))]
+    in_pair = strong.select("word", "stem").distinct().withColumn("__paired", F.lit(True))
+    known_words = per_word.groupBy("word", "stem").agg(*by_class(0)).join(F.broadcast(in_pair), ["word", "stem"], "left").where("ordinary > 0 OR toxic > 0 OR __paired")
+    known_stems = per_stem.groupBy("stem").agg(*by_class(1)).where("ordinary > 0 OR toxic > 0")
+    needed = known_stems.select("stem", F.lit(True).alias("__own")).join(known_words.select("stem").distinct(), "stem", "full").select("stem", F.col("stem").alias("__stem"))
+    marked = shared.join(F.broadcast(known_words.select("word", "stem", F.col("word").alias("__word"))), ["word", "stem"], "left").join(F.broadcast(needed), "stem", "left")
+    counts = marked.groupBy("__word", "__stem").agg(F.sum("n").alias("n"), F.count("*").alias("words")).toArrow()
+    mass = counts["n"].to_numpy() + 0.5 * counts["words"].to_numpy()
+    mass = mass / max(mass.sum(), 1e-300)
+    valid = lambda name: counts[name].is_valid().to_numpy()
+    number = lambda name, on: counts[name].filter(pa.array(on)).to_numpy().astype(np.uint64)
+    has = valid("__stem")
+    stem_key, at = np.unique(number("__stem", has), return_inverse=True)
+    stem_mass = np.bincount(at, weights=mass[has], minlength=len(stem_key))
+    has = valid("__word")
+    word_key = number("__word", has)
+    order = np.argsort(word_key)
+    word_key, word_mass = word_key[order], mass[has][order]
+
+    def values(rows: pa.Table, key: str, keys: np.ndarray) -> np.ndarray:
+        out = np.zeros((2, len(keys)))
+        here = rows[key].to_numpy().astype(np.uint64)
+        at = np.minimum(np.searchsorted(keys, here), max(len(keys) - 1, 0))
+        on = keys[at] == here if len(keys) else np.zeros(len(here), bool)
+        for c, name in enumerate(("ordinary", "toxic")):
+            out[c, at[on]] = rows[name].to_numpy()[on]
+        return out
+
+    word_rows = known_words.select("word", "stem", "ordinary", "toxic").toArrow()
+    stem_p = values(known_stems.toArrow(), "stem", stem_key) + rest[1][:, None] * stem_mass
+    stem_of = np.zeros(len(word_key), np.uint64)
+    here = word_rows["word"].to_numpy().astype(np.uint64)
+    at = np.searchsorted(word_key, here)
+    on = word_key[np.minimum(at, max(len(word_key) - 1, 0))] == here if len(word_key) else np.zeros(len(here), bool)
+    stem_of[at[on]] = word_rows["stem"].to_numpy().astype(np.uint64)[on]
+    stem_at = np.searchsorted(stem_key, stem_of)
+    word_p = values(word_rows, "word", word_key)
+    if len(word_key):
+        word_p = word_p + rest[0][:, None] * stem_p[:, stem_at] * (word_mass / stem_mass[stem_at])
+    both = lambda x: (float(x[0]), float(x[1]))
+    return Models(Table.of(pair_key, share, (0.0, 0.0)), Table.of(ctx_key, 1 - ctx_kept / ctx_all, (1.0, 1.0)), Table(word_key, word_p, (0.0, 0.0)), Table(stem_key, stem_p / stem_mass if len(stem_key) else stem_p, both(rest[1])), both(rest[0]))
+
+
+def fit_curve(x: np.ndarray, y: np.ndarray) -> tuple[float, ...]:
     """Logistic regression by Newton's method with a slight penalty."""
     scale = np.maximum(np.abs(x).max(axis=0, initial=1e-9), 1e-9)
     a = np.concatenate([np.ones((len(x), 1)), x / scale], axis=1)
-    w = np.zeros(3)
+    w = np.zeros(a.shape[1])
+    held = 1e-2 * np.append(0.0, np.ones(len(w) - 1))
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(a @ w, -60, 60)))
-        grad = a.T @ (p - y) + 1e-2 * np.array([0, w[1], w[2]])
-        step = np.linalg.solve((a * (p * (1 - p))[:, None]).T @ a + 1e-2 * np.eye(3), grad)
+        step = np.linalg.solve((a * (p * (1 - p))[:, None]).T @ a + 1e-2 * np.eye(len(w)), a.T @ (p - y) + held * w)
         w -= np.clip(step, -5, 5)
         if np.abs(step).max() < 1e-8:
             break
-    return float(w[0]), float(w[1] / scale[0]), float(w[2] / scale[1])
+    return (float(w[0]), *(float(v) for v in w[1:] / scale))
 
 
 def train(docs: DataFrame, labels: DataFrame, max_counted: int = MAX_COUNTED, max_curve: int = MAX_CURVE) -> Models | None:
-    """Fits the models and the curve on labelled documents outside fold 0; None without both classes.
-
-    The models count as many ordinary documents as toxic ones; the curve's
-    documents are others, as they come.
-    """
+    """Fits the models and the curve on labelled documents outside fold 0; None without both classes."""
     marked = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")).where(fold_of(F.col("doc_id")) != 0)
     marked = marked.withColumn("__curve", F.pmod(F.xxhash64("doc_id", F.lit("curve")), F.lit(CURVE_PART)) == 0)
     order = (F.xxhash64("doc_id"), "doc_id")
-    toxic = marked.where("NOT __curve AND toxic = 1").orderBy(*order).limit(max_counted)
-    n = toxic.count()
-    some = toxic.union(marked.where("NOT __curve AND toxic = 0").orderBy(*order).limit(max(1, n))).union(marked.where("__curve").orderBy(*order).limit(max_curve))
+    part = lambda test, most: marked.where(test).orderBy(*order).limit(most)
+    some = part("NOT __curve AND toxic = 1", max_counted).union(part("NOT __curve AND toxic = 0", max_counted)).union(part("__curve", max_curve))
     rows = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").select("doc_id", "text", "toxic", "__curve")
-    counted = class_counts(rows.where(~F.col("__curve")))
-    counted = counted.persist()
-    try:
-        models = fit_models(shared_counts(docs), counted)
-    finally:
-        counted.unpersist()
+    models = fit_models(shared_counts(docs), pair_counts(rows.where(~F.col("__curve"))))
     held = docs.sparkSession.sparkContext.broadcast(models)
 
     def run(batches):
         for b in blocks(batches):
             x = held.value.features(b.column("text"))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("toxic"), pa.array(x[:, 0]), pa.array(x[:, 1])], ["doc_id", "toxic", "mean", "high"])
+            yield pa.RecordBatch.from_arrays([b.column("toxic"), *(pa.array(v) for v in x.T)], ["toxic", "x0", "x1", "x2"])
 
-    got = rows.where("__curve").select("doc_id", F.col("toxic").cast("int").alias("toxic"), "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, toxic int, mean double, high double").orderBy("doc_id", "mean").toArrow()
+    got = rows.where("__curve").select(F.col("toxic").cast("int").alias("toxic"), "text").mapInArrow(run, "toxic int, x0 double, x1 double, x2 double").orderBy("x0", "x1", "x2", "toxic").toArrow()
     y = got["toxic"].to_numpy()
     if not (0 < y.sum() < len(y)):
         return None
-    models.curve = fit_curve(np.stack([got["mean"].to_numpy(), got["high"].to_numpy()], axis=1), y.astype(float))
+    models.curve = fit_curve(np.stack([got[c].to_numpy() for c in ("x0", "x1", "x2")], axis=1), y.astype(float))
     return models
 
 
