@@ -9,10 +9,10 @@ documents, labelled or not, which both classes share::
 
     P(w | v) = max(c(v w) - d, 0) / c(v) + left(v) * P(w)
     P(w)     = max(c(w) - d, 0) / c      + left    * P(stem of w) * S(w) / S(stem of w)
-    P(s)     = max(c(s) - d, 0) / c'     + left'   * S(s)
+    P(s)     = max(c(s) - d, 0) / c      + left'   * S(s)
 
 c(v w) is how many different words precede the pair, c(w) how many precede the
-word, c(s) how many precede words of the stem; copies of a text raise none of
+word, c(s) the sum of that over the stem's words; copies of a text raise none of
 them. S are the shared probabilities. Each level sums to 1.
 
 A document's evidence is the log-likelihood as toxic less that as ordinary,
@@ -46,7 +46,7 @@ from pyspark.sql import functions as F
 from .common import ALNUM, LOWER, blocks, buffers, cut, mix, words
 
 #: Most labelled documents of each class that the models count, and most that the curve is fitted on: those of the smallest hash of their id.
-MAX_COUNTED, MAX_CURVE = 10_000, 6_000
+MAX_COUNTED, MAX_CURVE = 5_000, 5_000
 #: Taken from every count of a level; what it leaves backs off.
 DISCOUNT = 4
 #: Bytes of a stem.
@@ -132,11 +132,6 @@ class Table:
     value: np.ndarray  # a row for each class
     other: tuple[float, float]
 
-    @staticmethod
-    def of(key: np.ndarray, value: np.ndarray, other: tuple[float, float]) -> Table:
-        order = np.argsort(key)
-        return Table(key[order], value[:, order], other)
-
     def at(self, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(values of each class, whether the key is listed)."""
         if not len(self.key):
@@ -200,80 +195,69 @@ class Models:
         return 1.0 / (1.0 + np.exp(-np.clip(x, -60, 60)))
 
 
-def _by_class(rows: pa.Table, key: str) -> tuple[np.ndarray, np.ndarray]:
-    """(distinct keys, count of each class) of rows (toxic, key, n)."""
-    keys, at = np.unique(rows[key].to_numpy().astype(np.uint64), return_inverse=True)
+def _by_class(toxic: np.ndarray, key: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct keys, value of each class) of rows, one for each class and key."""
+    keys, at = np.unique(key, return_inverse=True)
     out = np.zeros((2, len(keys)))
-    out[rows["toxic"].to_numpy(), at] = rows["n"].to_numpy()
+    out[toxic, at] = value
     return keys, out
 
 
+def _known(counts: DataFrame, key: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A level's (keys of counts beyond the discount, discounted share by class, share that is left by class) of ``counts(toxic, key, n)``."""
+    name = F.when(F.col("n") > DISCOUNT, F.col(key))
+    got = counts.groupBy("toxic", name.alias("key")).agg(F.sum("n").alias("n")).toArrow()
+    toxic, n, strong = got["toxic"].to_numpy(), got["n"].to_numpy().astype(float), got["key"].is_valid().to_numpy()
+    whole = np.maximum(np.bincount(toxic, weights=n, minlength=2), 1)
+    keys, share = _by_class(toxic[strong], got["key"].filter(pa.array(strong)).to_numpy().astype(np.uint64), (n[strong] - DISCOUNT) / whole[toxic[strong]])
+    return keys, share, 1 - share.sum(axis=1)
+
+
+def _shared_mass(shared: DataFrame, word: np.ndarray, stem: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """S of the given words and stems, each distinct and ascending."""
+    spark = shared.sparkSession
+    frame = lambda name, x: F.broadcast(spark.createDataFrame(pa.table({name: pa.array(x.astype(np.int64)), f"__{name}": pa.array(np.arange(len(x)))})))
+    marked = shared.join(frame("word", word), "word", "left").join(frame("stem", stem), "stem", "left")
+    got = marked.groupBy("__word", "__stem").agg(F.sum("n").alias("n"), F.count("*").alias("words")).toArrow()
+    mass = got["n"].to_numpy() + 0.5 * got["words"].to_numpy()
+    mass = mass / max(mass.sum(), 1e-300)
+    out = []
+    for name, x in (("__word", word), ("__stem", stem)):
+        on = got[name].is_valid().to_numpy()
+        out.append(np.bincount(got[name].filter(pa.array(on)).to_numpy(), weights=mass[on], minlength=len(x)))
+    return out[0], out[1]
+
+
 def fit_models(shared: DataFrame, pairs: DataFrame) -> Models:
     """Kneser-Ney tables from ``shared_counts`` and ``pair_counts``; what reaches the driver is bounded by the labelled documents."""
     pairs = cut(pairs)
+    per_word = pairs.groupBy("toxic", "word", "stem").agg(F.count("*").alias("n"))
+    word_key, word_share, word_left = _known(per_word, "word")
+    stem_key, stem_share, stem_left = _known(per_word.groupBy("toxic", "stem").agg(F.sum("n").alias("n")), "stem")
+    number = lambda rows, name: rows[name].to_numpy().astype(np.uint64)
+    strong = pairs.where(F.col("n") > DISCOUNT).toArrow()
     beyond = F.greatest(F.col("n") - DISCOUNT, F.lit(0))
-    per_word = cut(pairs.groupBy("toxic", "word", "stem").agg(F.count("*").alias("n")))
-    per_stem = cut(pairs.select("toxic", "stem", "before").distinct().groupBy("toxic", "stem").agg(F.count("*").alias("n")))
-    whole, kept = np.ones((2, 2)), np.zeros((2, 2))  # by level (words, stems) and class
-    for level, counts in enumerate((per_word, per_stem)):
-        for toxic, n, k in counts.groupBy("toxic").agg(F.sum("n"), F.sum(beyond)).collect():
-            whole[level, toxic], kept[level, toxic] = n, k
-    rest = 1 - kept / whole
-    # The level of pairs, and the words to look up among all documents.
-    context = pairs.groupBy("toxic", "before").agg(F.sum("n").alias("all"), F.sum(beyond).alias("n")).where("n > 0")
-    strong = pairs.where(F.col("n") > DISCOUNT)
-    got = strong.select("toxic", "before", "word", beyond.alias("n")).toArrow()
-    ctx = context.toArrow()
-    ctx_key, ctx_kept = _by_class(ctx, "before")
-    ctx_all = np.ones_like(ctx_kept)
-    ctx_all[ctx["toxic"].to_numpy(), np.searchsorted(ctx_key, ctx["before"].to_numpy().astype(np.uint64))] = ctx["all"].to_numpy()
-    before = got["before"].to_numpy().astype(np.uint64)
-    got = got.append_column("pair", pa.array(_pair(before, got["word"].to_numpy().astype(np.uint64)).astype(np.int64)))
-    got = got.set_column(got.schema.get_field_index("n"), "n", pa.array(got["n"].to_numpy() / ctx_all[got["toxic"].to_numpy(), np.searchsorted(ctx_key, before)] if len(before) else np.zeros(0)))
-    pair_key, share = _by_class(got, "pair")
-    # The levels of words and stems, with the shared counts of those that a class knows.
-    weight = lambda level: F.when(F.col("toxic") == 1, beyond / float(whole[level, 1])).otherwise(beyond / float(whole[level, 0]))
-    by_class = lambda level: [F.sum(F.when(F.col("toxic") == c, weight(level)).otherwise(0.0)).alias(name) for c, name in enumerate(("ordinary", "toxic"))]
-    in_pair = strong.select("word", "stem").distinct().withColumn("__paired", F.lit(True))
-    known_words = per_word.groupBy("word", "stem").agg(*by_class(0)).join(F.broadcast(in_pair), ["word", "stem"], "left").where("ordinary > 0 OR toxic > 0 OR __paired")
-    known_stems = per_stem.groupBy("stem").agg(*by_class(1)).where("ordinary > 0 OR toxic > 0")
-    needed = known_stems.select("stem", F.lit(True).alias("__own")).join(known_words.select("stem").distinct(), "stem", "full").select("stem", F.col("stem").alias("__stem"))
-    marked = shared.join(F.broadcast(known_words.select("word", "stem", F.col("word").alias("__word"))), ["word", "stem"], "left").join(F.broadcast(needed), "stem", "left")
-    counts = marked.groupBy("__word", "__stem").agg(F.sum("n").alias("n"), F.count("*").alias("words")).toArrow()
-    mass = counts["n"].to_numpy() + 0.5 * counts["words"].to_numpy()
-    mass = mass / max(mass.sum(), 1e-300)
-    valid = lambda name: counts[name].is_valid().to_numpy()
-    number = lambda name, on: counts[name].filter(pa.array(on)).to_numpy().astype(np.uint64)
-    has = valid("__stem")
-    stem_key, at = np.unique(number("__stem", has), return_inverse=True)
-    stem_mass = np.bincount(at, weights=mass[has], minlength=len(stem_key))
-    has = valid("__word")
-    word_key = number("__word", has)
-    order = np.argsort(word_key)
-    word_key, word_mass = word_key[order], mass[has][order]
-
-    def values(rows: pa.Table, key: str, keys: np.ndarray) -> np.ndarray:
-        out = np.zeros((2, len(keys)))
-        here = rows[key].to_numpy().astype(np.uint64)
-        at = np.minimum(np.searchsorted(keys, here), max(len(keys) - 1, 0))
-        on = keys[at] == here if len(keys) else np.zeros(len(here), bool)
-        for c, name in enumerate(("ordinary", "toxic")):
-            out[c, at[on]] = rows[name].to_numpy()[on]
-        return out
-
-    word_rows = known_words.select("word", "stem", "ordinary", "toxic").toArrow()
-    stem_p = values(known_stems.toArrow(), "stem", stem_key) + rest[1][:, None] * stem_mass
-    stem_of = np.zeros(len(word_key), np.uint64)
-    here = word_rows["word"].to_numpy().astype(np.uint64)
-    at = np.searchsorted(word_key, here)
-    on = word_key[np.minimum(at, max(len(word_key) - 1, 0))] == here if len(word_key) else np.zeros(len(here), bool)
-    stem_of[at[on]] = word_rows["stem"].to_numpy().astype(np.uint64)[on]
-    stem_at = np.searchsorted(stem_key, stem_of)
-    word_p = values(word_rows, "word", word_key)
-    if len(word_key):
-        word_p = word_p + rest[0][:, None] * stem_p[:, stem_at] * (word_mass / stem_mass[stem_at])
+    context = pairs.groupBy("toxic", "before").agg(F.sum("n").alias("n"), F.sum(beyond).alias("kept")).where("kept > 0").toArrow()
+    ctx_key, ctx_all = _by_class(context["toxic"].to_numpy(), number(context, "before"), context["n"].to_numpy())
+    _, ctx_kept = _by_class(context["toxic"].to_numpy(), number(context, "before"), context["kept"].to_numpy())
+    toxic, before, word = strong["toxic"].to_numpy(), number(strong, "before"), number(strong, "word")
+    share = (strong["n"].to_numpy() - DISCOUNT) / ctx_all[toxic, np.searchsorted(ctx_key, before)] if len(word) else np.zeros(0)
+    pair_key, pair_share = _by_class(toxic, _pair(before, word), share)
+    # Words that a class knows or has in a known pair get their whole probability, so their shared counts are looked up.
+    words_known = np.union1d(word_key, word)
+    owners = pairs.sparkSession.createDataFrame(pa.table({"word": pa.array(words_known.astype(np.int64))}))
+    stems_of = per_word.join(F.broadcast(owners), "word").select("word", "stem").distinct().toArrow()
+    stem_of = np.zeros(len(words_known), np.uint64)
+    stem_of[np.searchsorted(words_known, number(stems_of, "word"))] = number(stems_of, "stem")
+    stems_known = np.union1d(stem_key, stem_of)
+    word_mass, stem_mass = _shared_mass(shared, words_known, stems_known)
+    stem_p = stem_left[:, None] * stem_mass
+    stem_p[:, np.searchsorted(stems_known, stem_key)] += stem_share
+    at = np.searchsorted(stems_known, stem_of)
+    word_p = word_left[:, None] * stem_p[:, at] * (word_mass / stem_mass[at])
+    word_p[:, np.searchsorted(words_known, word_key)] += word_share
     both = lambda x: (float(x[0]), float(x[1]))
-    return Models(Table.of(pair_key, share, (0.0, 0.0)), Table.of(ctx_key, 1 - ctx_kept / ctx_all, (1.0, 1.0)), Table(word_key, word_p, (0.0, 0.0)), Table(stem_key, stem_p / stem_mass if len(stem_key) else stem_p, both(rest[1])), both(rest[0]))
+    return Models(Table(pair_key, pair_share, (0.0, 0.0)), Table(ctx_key, 1 - ctx_kept / np.maximum(ctx_all, 1), (1.0, 1.0)), Table(words_known, word_p, (0.0, 0.0)), Table(stems_known, stem_p / stem_mass, both(stem_left)), both(word_left))
 
 
 def fit_curve(x: np.ndarray, y: np.ndarray) -> tuple[float, ...]:

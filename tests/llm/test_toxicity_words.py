@@ -60,7 +60,7 @@ def brute_models(texts, toxic, everything):
         triples = {(u, v, w) for t, y in zip(texts, toxic, strict=True) if y == c for u, v, w in zip(["^", "^", *split(t)], ["^", *split(t)], split(t), strict=False)}
         pair = collections.Counter((v, w) for _, v, w in triples)
         word = collections.Counter(w for _, w in pair)
-        stem = collections.Counter(s for _, s in {(v, w[: toxicity.STEM_BYTES]) for v, w in pair})
+        stem = collections.Counter(w[: toxicity.STEM_BYTES] for _, w in pair)
         after = collections.Counter()
         for (v, _), n in pair.items():
             after[v] += n
@@ -107,11 +107,11 @@ def test_features_equal_a_plain_reading():
     one = table(np.zeros(0, np.uint64), np.zeros((2, 0)), (1.0, 1.0))
     rnd = random.Random(3)
     names = [f"w{i}" for i in range(20)]
-    key = hashes(*names)
+    key = np.sort(hashes(*names))
     p = np.array([[rnd.random() + 0.01 for _ in names] for _ in range(2)])
-    models = toxicity.Models(none, one, table.of(key, p, (0.0, 0.0)), one, (1.0, 1.0))
+    models = toxicity.Models(none, one, table(key, p, (0.0, 0.0)), one, (1.0, 1.0))
     texts = [None, "", "w1", "w1 w2", "w3 w3 w3 w3 w3 w3", *(" ".join(rnd.choices(names, k=rnd.randrange(1, 40))) for _ in range(40))]
-    value = dict(zip(names, np.log(p[1] / p[0]), strict=True))
+    value = {name: np.log(p[1] / p[0])[np.searchsorted(key, hashes(name)[0])] for name in names}
     for text, x in zip(texts, models.features(pa.array(texts)), strict=True):
         e = [value[w] for w in (text or "").split()]
         k = min(len(e), toxicity.EXPRESSION)
