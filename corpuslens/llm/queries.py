@@ -69,8 +69,9 @@ def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
-    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
+    found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), slop=decontaminate.SLOP)
+    digest = lambda items: F.sha2(F.array_join(items, ","), 256)
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"), digest("items").alias("items_sha256"), "contaminated", F.size("near_items").cast("bigint").alias("n_near"), digest("near_items").alias("near_sha256"))
 
 
 def op10_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -149,9 +150,21 @@ dw AS (
   FROM (SELECT doc_id, ws, l, unnest(range(1, len(ws) - l + 2)) AS i FROM d, lens WHERE len(ws) >= l)),
 m AS (SELECT doc_id, item_id, i, dw.l FROM dw JOIN bw ON dw.l = bw.l AND dw.g = bw.g),
 h AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + l)) AS p FROM m) GROUP BY doc_id),
-x AS (SELECT doc_id, count(*) AS n, string_agg(i, ',' ORDER BY i) AS s FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS i FROM m) GROUP BY doc_id)
-SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(h.n, 0) AS n_hit, coalesce(x.n, 0) AS n_items, sha256(coalesce(x.s, '')) AS items_sha256, coalesce(h.n, 0) > 0 AS contaminated
-FROM d LEFT JOIN h USING (doc_id) LEFT JOIN x USING (doc_id)
+x AS (SELECT doc_id, count(*) AS n, string_agg(i, ',' ORDER BY i) AS s FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS i FROM m) GROUP BY doc_id),
+wt AS (SELECT row_number() OVER () AS w, item_id, list_distinct(string_split(g, ' ')) AS ts FROM bw),
+wu AS (SELECT w, len(ts) AS n, unnest(ts) AS t FROM wt),
+dp AS (SELECT doc_id, unnest(ws) AS t, unnest(range(len(ws))) AS p FROM d),
+de AS (SELECT DISTINCT doc_id, t FROM dp WHERE t IN (SELECT t FROM wu)),
+full_pairs AS (SELECT doc_id, w FROM de JOIN wu USING (t) GROUP BY doc_id, w, n HAVING count(*) = n),
+occ AS (SELECT doc_id, w, t, p FROM full_pairs JOIN wu USING (w) JOIN dp USING (doc_id, t)),
+-- A stretch that begins at an occurrence holds a term if an occurrence of it lies in it.
+near AS (
+  SELECT DISTINCT a.doc_id, a.w FROM occ a JOIN occ b ON a.doc_id = b.doc_id AND a.w = b.w AND b.p >= a.p AND b.p < a.p + 15
+  JOIN (SELECT DISTINCT w, n FROM wu) k ON k.w = a.w GROUP BY a.doc_id, a.w, a.p, a.t, k.n HAVING count(DISTINCT b.t) = k.n),
+y AS (SELECT doc_id, count(*) AS n, string_agg(i, ',' ORDER BY i) AS s FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS i FROM near JOIN wt USING (w)) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(h.n, 0) AS n_hit, coalesce(x.n, 0) AS n_items, sha256(coalesce(x.s, '')) AS items_sha256, coalesce(h.n, 0) > 0 AS contaminated,
+  coalesce(y.n, 0) AS n_near, sha256(coalesce(y.s, '')) AS near_sha256
+FROM d LEFT JOIN h USING (doc_id) LEFT JOIN x USING (doc_id) LEFT JOIN y USING (doc_id)
 """
 
 

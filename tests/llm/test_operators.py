@@ -205,7 +205,7 @@ def brute_contamination(docs, items, n=10):
     return out
 
 
-@pytest.mark.parametrize("portion", [1 << 20, 40])
+@pytest.mark.parametrize("portion", [1 << 21, 40])
 def test_contamination(spark, monkeypatch, portion):
     monkeypatch.setattr(decontaminate, "PORTION", portion)
     rnd = random.Random(10)
@@ -221,11 +221,61 @@ def test_contamination(spark, monkeypatch, portion):
 
 
 def test_proximity(spark):
-    d = spark.createDataFrame([(1, "red x green y blue"), (2, "red " + "x " * 40 + "green blue"), (3, "blue green red")], "doc_id bigint, text string")
+    d = spark.createDataFrame([(1, "red x green y blue z z z z z z z z"), (2, "red " + "x " * 40 + "green blue"), (3, "blue green red"), (4, "red blue"), (5, "red " + "x " * 13 + "green blue"), (6, "red " + "x " * 12 + "green blue")], "doc_id bigint, text string")
     b = spark.createDataFrame([(9, "red green blue")], "item_id bigint, text string")
-    found = decontaminate.search(decontaminate.build_index(d), b, slop=5)
-    assert {r.doc_id: len(r.near) > 0 for r in found.collect()} == {1: True, 2: False, 3: True}
+    found = decontaminate.search(decontaminate.build_index(d), b, slop=15)
+    assert {r.doc_id: r.near for r in found.collect() if r.near} == {1: ["9"], 3: ["9"], 6: ["9"]}
     assert decontaminate.search(decontaminate.build_index(d.limit(0)), b).count() == 0
+    assert decontaminate.search(decontaminate.build_index(d), b.limit(0), slop=15).where("size(near) + size(hits) > 0").count() == 0
+
+
+def brute_near(docs, items, window, slop):
+    split = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+    out = {}
+    for i, t in docs:
+        w = split(t)
+        out[i] = ",".join(sorted(str(item) for item, x in items if any(set(split(x)[a : a + window]) <= set(w[e : e + slop]) for a in range(max(1, len(split(x)) - window + 1)) for e in range(len(w))) and split(x)))
+    return out
+
+
+@pytest.mark.parametrize("piece, portion", [(1 << 18, 1 << 21), (3, 5)])
+def test_proximity_equals_brute_force(spark, monkeypatch, piece, portion):
+    monkeypatch.setattr(decontaminate, "PIECE", piece)
+    monkeypatch.setattr(decontaminate, "PORTION", portion)
+    rnd = random.Random(14)
+    vocabulary = [f"w{i}" for i in range(14)]
+    items = [(i, " ".join(rnd.choices(vocabulary, k=rnd.choice([1, 4, 5, 6, 9])))) for i in range(15)] + [(70, None)]
+    docs = [(i, " ".join(rnd.choices(vocabulary, k=rnd.randrange(60)))) for i in range(80)] + [(90, None)] * 2
+    d = spark.createDataFrame(docs, "doc_id bigint, text string").repartition(3)
+    b = spark.createDataFrame(items, "item_id bigint, text string")
+    got = decontaminate.contamination(d, b, window=5, slop=8).collect()
+    want = brute_near(docs, items, 5, 8)
+    assert len(got) == len(docs) and {r.doc_id: ",".join(r.near_items) for r in got} == want
+    exact = {r.doc_id: ",".join(r["items"]) for r in got}
+    assert exact == {i: ",".join(x for x in want[i].split(",") if x and any(f" {' '.join(y)} " in f" {t} " for n, z in items if str(n) == x for y in [z.split()[k : k + 5] for k in range(max(1, len(z.split()) - 4))])) for i, t in docs}
+
+
+def test_contamination_of_repeated_and_very_long_documents(spark):
+    passage = " ".join(f"item{i}" for i in range(12))
+    long = "filler " * 400_000 + passage
+    d = spark.createDataFrame([(1, passage, "a"), (1, passage, "b"), (1, "nothing", "c"), (2, long, "d"), (None, passage, "e"), (None, "fine", "f"), (3, "fine", None)], "doc_id bigint, text string, block string")
+    b = spark.createDataFrame([(5, passage, "x"), (5, passage, "y")], "item_id bigint, text string, doc_id string")
+    got = sorted((r.doc_id or 0, r.n_words, r.n_hit, tuple(r["items"])) for r in decontaminate.contamination(d, b).collect())
+    assert got == [(0, 1, 0, ()), (0, 12, 12, ("5",)), (1, 1, 0, ()), (1, 12, 12, ("5",)), (1, 12, 12, ("5",)), (2, 400_012, 12, ("5",)), (3, 1, 0, ())]
+    assert sorted(r.block for r in decontaminate.drop_contaminated(d, b).select(Q.F.coalesce("block", Q.F.lit("none")).alias("block")).collect()) == ["f", "none"]
+
+
+def test_a_large_benchmark_stays_small_when_prepared():
+    import tracemalloc
+
+    import numpy as np
+
+    pieces = [(str(i), np.random.default_rng(i).integers(0, 1 << 40, 1 << 18, np.uint64).tobytes()) for i in range(8)]
+    tracemalloc.start()
+    q = decontaminate.prepare(pieces, 10)
+    held = sum(x.nbytes for x in (q.terms, q.sequence, *(y for s in q.starts.values() for y in s)))
+    assert held < 80 << 20 and tracemalloc.get_traced_memory()[1] < 400 << 20
+    tracemalloc.stop()
 
 
 def brute_capacity(sizes, shards):
