@@ -158,11 +158,20 @@ def blocks(batches: Iterator[pa.RecordBatch], column: str = "text", most: int =
             at = to
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Uses the folder of spark.checkpoint.dir; only where that is unset (tests), a temporary one."""
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir, which all executors share; only where that is unset (tests), a temporary one."""
     sc = spark.sparkContext
+    folder = sc.getConf().get("spark.checkpoint.dir")
+    if folder:
+        return folder.rstrip("/")
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoints-"))
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints-"))
+    return sc.getCheckpointDir()
+
+
+def ensure_checkpoint_dir(spark: SparkSession) -> None:
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
 
 
 def cut(df: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import chat_format, decontaminate, line_dedup, mixing, ngram_join, quality_rules, secret_scan, sharding, token_counts, toxicity
-from .common import table
+from .common import shared_folder, table
 
 TOKEN_LIMIT = 512
 
@@ -47,7 +47,7 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = secret_scan.scan_secrets(table(spark, sf_dir, "documents"))
+    found = secret_scan.scan_secrets(table(spark, sf_dir, "documents"), f"{shared_folder(spark)}/secret-ledger")
     kinds = [r.kind for r in secret_scan.BASE_RULES]
     counts = [F.size(secret_scan.of_kinds("spans", k)).cast("bigint").alias(f"n_{k}") for k in kinds]
     return found.select("doc_id", *counts, F.sha2(secret_scan.joined(secret_scan.of_kinds("spans", *kinds)), 256).alias("base_sha256"), secret_scan.joined("spans").alias("spans"))

@@ -1,23 +1,28 @@
 """Secret scans over a ledger of blobs.
 
-A text's SHA-256 is its blob; every path (document) that ever held the text
-points to it. The ledger lists which blobs were scanned under which version of
-the rules, and what was found. A scan takes only pairs of blob and version that
-the ledger lacks, one text for each blob, adds them, and joins the findings back
-to all paths.
-
-Defined cases: a null text is the empty blob; copies share one scan; ties of
-spans are ordered by kind; an empty table gives no rows; other columns are
-ignored.
+A text's SHA-256 is its blob; every path (document) that ever held the text, in
+any version, points to it. The ledger lists which blobs were scanned under which
+version of the rules, and what was found. A scan takes only pairs of blob and
+rule version that the ledger lacks, one text for each blob, adds them, and joins
+the findings back to all paths. Changed rules are another version, so all blobs
+are scanned under them once.
+
+Defined cases: a null text is the empty blob; copies share one scan; rows that
+share a doc_id each point to their own blob; ties of spans are ordered by kind;
+an empty table gives no rows and adds nothing; other columns are ignored,
+whatever their names.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
+import uuid
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import blocks, cut
@@ -49,13 +54,12 @@ MORE_RULES = (
 )
 RULES = BASE_RULES + MORE_RULES
 LEDGER = "blob string, version string, spans array<struct<kind: string, start: int, end: int>>"
-EMPTY_BLOB = "e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855"
+#: No more unseen blobs than this are broadcast (64 bytes each).
+FEW_BLOBS = 100_000
 
 
 def version_of(rules: tuple[Rule, ...]) -> str:
     """Names a set of rules by its content."""
-    import hashlib
-
     return hashlib.sha256(repr(rules).encode()).hexdigest()[:16]
 
 
@@ -79,13 +83,25 @@ def blobs_of(docs: DataFrame) -> DataFrame:
     return docs.select(docs["doc_id"].alias("doc_id"), F.sha2(text.cast("binary"), 256).alias("blob"), text.alias("text"))
 
 
-def scan_unseen(blobs: DataFrame, ledger: DataFrame | None, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """New ledger rows: for each blob that ``ledger`` lacks under this version of the rules."""
+def read_ledger(spark: SparkSession, ledger_path: str) -> DataFrame:
+    """All segments of the ledger at ``ledger_path``; no rows if there is none yet."""
+    try:
+        return spark.read.schema(LEDGER).option("recursiveFileLookup", "true").parquet(ledger_path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], LEDGER)
+
+
+def unseen_blobs(blobs: DataFrame, ledger: DataFrame, version: str) -> DataFrame:
+    """``(blob)``: the addresses that ``ledger`` lacks under ``version``."""
+    seen = ledger.where(F.col("version") == version).select("blob")
+    return blobs.select("blob").distinct().join(seen, "blob", "left_anti")
+
+
+def scan_blobs(texts: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """Ledger rows of ``texts(blob, text)``."""
     version = version_of(rules)
-    unseen = blobs.select("blob", "text").where(F.col("blob") != EMPTY_BLOB)
-    if ledger is not None:
-        unseen = unseen.join(ledger.where(F.col("version") == version).select("blob"), "blob", "left_anti")
-    unseen = unseen.groupBy("blob").agg(F.first("text").alias("text"))  # copies are merged before they are moved
 
     def run(batches):
         scanner = Scanner(rules)
@@ -94,29 +110,37 @@ def scan_unseen(blobs: DataFrame, ledger: DataFrame | None, rules: tuple[Rule, .
             spans = [[{"kind": k, "start": s, "end": e} for k, s, e in scanner.spans(t)] for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("blob"), pa.array([version] * b.num_rows, pa.string()), pa.array(spans, kind)], ["blob", "version", "spans"])
 
-    return unseen.mapInArrow(run, LEDGER)
+    return texts.select("blob", "text").mapInArrow(run, LEDGER)
+
 
+def extend_ledger(blobs: DataFrame, ledger_path: str, rules: tuple[Rule, ...] = RULES) -> int:
+    """Scans the blobs that the ledger lacks under these rules and adds them as a segment; returns how many.
 
-def scan_secrets(docs: DataFrame, ledger_path: str | None = None, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    Each call writes a segment of its own, so writers don't disturb each other:
+    a row says all about its blob, two that say the same do no harm.
+    """
+    spark = blobs.sparkSession
+    unseen = cut(unseen_blobs(blobs, read_ledger(spark, ledger_path), version_of(rules)))
+    n = unseen.count()
+    if n:
+        texts = blobs.select("blob", "text")
+        if n <= FEW_BLOBS:  # only texts to scan are moved
+            texts = texts.join(F.broadcast(unseen), "blob", "left_semi").groupBy("blob").agg(F.first("text").alias("text"))
+        else:  # copies are merged before they are moved
+            texts = texts.groupBy("blob").agg(F.first("text").alias("text")).join(unseen, "blob", "left_semi")
+        scan_blobs(texts, rules).write.parquet(f"{ledger_path}/segment-{uuid.uuid4().hex}")
+    return n
+
+
+def scan_secrets(docs: DataFrame, ledger_path: str, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """Per row of ``docs(doc_id, text)``: doc_id, blob and ``spans`` (kind, start, end; code points).
 
-    With ``ledger_path``, what that table holds isn't scanned again, and new
-    rows are added to it; without, each blob is scanned once in this call.
+    What the ledger at ``ledger_path`` holds isn't scanned again; new rows are added to it.
     """
-    spark = docs.sparkSession
     blobs = blobs_of(docs)
-    if ledger_path is None:
-        findings = scan_unseen(blobs, None, rules)
-    else:
-        try:
-            ledger = spark.read.schema(LEDGER).parquet(ledger_path)
-        except Exception as e:
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            ledger = spark.createDataFrame([], LEDGER)
-        cut(scan_unseen(blobs, ledger, rules)).write.mode("append").parquet(ledger_path)
-        findings = spark.read.schema(LEDGER).parquet(ledger_path).where(F.col("version") == version_of(rules)).dropDuplicates(["blob"])
-    findings = findings.where(F.size("spans") > 0).select("blob", "spans")
+    extend_ledger(blobs, ledger_path, rules)
+    ledger = read_ledger(docs.sparkSession, ledger_path)
+    findings = ledger.where((F.col("version") == version_of(rules)) & (F.size("spans") > 0)).select("blob", "spans").dropDuplicates(["blob"])
     none = F.array().cast("array<struct<kind: string, start: int, end: int>>")
     return blobs.select("doc_id", "blob").join(findings, "blob", "left").select("doc_id", "blob", F.coalesce("spans", none).alias("spans"))
 

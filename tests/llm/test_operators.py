@@ -149,19 +149,37 @@ def test_secrets(spark, tmp_path):
     parts = ["password", "Token", "secret=", ":", " = ", '"', "'", "AKIA", "AB12CD34EF56GH78", "0123456789abcdef01234567", "deadbeef" * 4, "é", "\n", "x", "api_key", "APIKEY=abcdefgh", "KEY"]
     texts = TEXTS + ["".join(rnd.choices(parts, k=rnd.randrange(1, 12))) for _ in range(300)] + ["-----BEGIN RSA PRIVATE KEY-----"] * 2
     docs = table(spark, texts)
-    found = secret_scan.scan_secrets(docs)
+    ledger = str(tmp_path / "ledger")
+    found = secret_scan.scan_secrets(docs, ledger)
     got = {r.doc_id: r for r in found.select("doc_id", Q.F.sha2(secret_scan.joined(secret_scan.of_kinds("spans", "assign", "access", "hex")), 256).alias("d"), secret_scan.joined("spans").alias("s")).collect()}
     assert {i: r.d for i, r in got.items()} == {i: brute_secrets(t) for i, t in enumerate(texts)}
     assert "private_key:0:31" in got[len(texts) - 1].s
-    ledger = str(tmp_path / "ledger")
-    first = sorted(map(str, secret_scan.scan_secrets(docs, ledger).collect()))
-    assert first == sorted(map(str, found.collect()))
-    n = spark.read.parquet(ledger).count()
-    assert n == len({t for t in texts if t})
+    n = secret_scan.read_ledger(spark, ledger).count()
+    assert n == len({t or "" for t in texts})
     more = table(spark, [*texts, "token=abcdefgh", "same"])
     assert secret_scan.scan_secrets(more, ledger).count() == len(texts) + 2
-    assert spark.read.parquet(ledger).count() == n + 1
-    assert secret_scan.scan_secrets(docs.limit(0)).count() == 0
+    assert secret_scan.read_ledger(spark, ledger).count() == n + 1
+    assert secret_scan.scan_secrets(docs.limit(0), ledger).count() == 0
+
+
+def test_ledger_scans_only_unseen_pairs(spark, tmp_path, monkeypatch):
+    ledger = str(tmp_path / "ledger")
+    versions = spark.createDataFrame([(1, "password=abcdefg", "x"), (1, "password=removed1", "y"), (2, "password=abcdefg", "z"), (None, None, None), (3, "", "q")], "doc_id bigint, text string, blob string")
+    blobs = secret_scan.blobs_of(versions)
+    first = sorted(map(str, secret_scan.scan_secrets(versions, ledger).collect()))
+    assert len(first) == 5 and sum("assign" in r for r in first) == 3
+    assert secret_scan.extend_ledger(blobs, ledger) == 0
+    assert sorted(map(str, secret_scan.scan_secrets(versions, ledger).collect())) == first
+    assert secret_scan.read_ledger(spark, ledger).count() == 3
+    assert secret_scan.extend_ledger(blobs, ledger, secret_scan.BASE_RULES) == 3  # another version of the rules
+    monkeypatch.setattr(secret_scan, "FEW_BLOBS", 0)
+    long = "x " * 600_000 + "token=abcdefg"
+    more = versions.unionByName(spark.createDataFrame([(9, long, "n"), (9, long, "n")], versions.schema))
+    assert secret_scan.extend_ledger(secret_scan.blobs_of(more), ledger) == 1
+    # A segment that another writer made of the same blobs changes nothing.
+    secret_scan.read_ledger(spark, ledger).write.parquet(f"{ledger}/segment-twice")
+    again = secret_scan.scan_secrets(more, ledger)
+    assert again.where("doc_id IS NULL OR doc_id < 9").count() == 5 and again.where("doc_id = 9 AND spans[0].start = 1200000").count() == 2
 
 
 def test_chat_layouts_round_trip(spark):
