@@ -50,7 +50,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 _powers: dict[str, np.ndarray] = {}
 
 
-def _power(kind: str, n: int) -> np.ndarray:
+def power(kind: str, n: int) -> np.ndarray:
     """Powers 0..n-1 of the root ("up") or of its inverse modulo 2**64 ("down")."""
     if len(_powers.get(kind, ())) < n:
         base = _ROOT if kind == "up" else pow(_ROOT, -1, 2**64)
@@ -123,8 +123,8 @@ def words(data: np.ndarray, offsets: np.ndarray, table: np.ndarray = NOT_SPACE,
         if hashes and len(start):
             sums = np.empty(len(part) + 1, np.uint64)
             sums[0] = 0
-            np.cumsum(_BYTE_VALUE[part] * _power("up", len(part)), out=sums[1:])
-            all_hash.append(mix((sums[stop] - sums[start]) * _power("down", len(part) + 1)[start]))
+            np.cumsum(_BYTE_VALUE[part] * power("up", len(part)), out=sums[1:])
+            all_hash.append(mix((sums[stop] - sums[start]) * power("down", len(part) + 1)[start]))
         all_start.append(start + at)
         all_end.append(stop + at)
         at = end

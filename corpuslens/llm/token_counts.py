@@ -1,20 +1,23 @@
 """Token counts without a shuffle of pre-tokens.
 
-Tier 1 is a broadcast table from pre-token to its number of tokens. Its keys
-are the tokenizer's own vocabulary entries that are pre-tokens, which are the
-frequent ones; its size is bounded by the vocabulary's, whatever the corpus.
-Tier 2 is a cache in each Python worker: white-space units seen before, with
-their totals. A unit seen for the first time is cut into pre-tokens; those that
-tier 1 lacks are encoded by the tokenizer, and the unit's total is kept.
+Texts are cut into pre-tokens as the tokenizer does, but for whole blocks at once:
+each code point's class comes from a table, pre-tokens are runs of a class, and
+each gets a 64-bit hash. Tier 1 is a broadcast hash table from frequent pre-tokens
+to their number of tokens, a few bytes an entry; it is learned in a map-side pass
+over a bounded sample (partial lists of the most frequent ones of some partitions,
+merged). Tier 2 is a cache in each Python worker: pre-tokens that tier 1 lacks are
+encoded by the tokenizer when a worker first meets them, and kept by hash.
 
-Results never depend on what the caches hold.
+Results don't depend on what the sample or the caches hold.
 
 Defined cases: null and empty texts have 0 bytes and 0 tokens; rows that repeat
-are counted each; an empty table gives an empty result; other columns are ignored.
+are counted each; a very long text is handled in slices; an empty table gives an
+empty result; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,22 +25,36 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import blocks, buffers
+from .common import blocks, buffers, mix, power
 
 #: Fixed value: how byte-level BPE vocabularies split text before merging.
 PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Units that a worker keeps; beyond, it starts afresh.
-CACHE_UNITS = 600_000
-#: Units of more characters are encoded each time, so that a cache's bytes are bounded too.
-CACHE_CHARS = 64
+#: The pattern's endings after an apostrophe.
+ENDINGS = ("s", "t", "re", "ve", "m", "ll", "d")
+#: Entries of tier 1, and of the list that a sampled partition hands in.
+FREQUENT, LISTED = 1 << 17, 1 << 15
+#: The sample: so many partitions, and so many bytes of text of each.
+SAMPLE_PARTITIONS, SAMPLE_BYTES = 8, 2 << 20
+#: Pre-tokens that a worker keeps; beyond, it starts afresh.
+CACHE = 1_000_000
 #: Characters of a text handled at a time.
 SLICE = 1 << 20
-_IRREGULAR = 1 << 50
 
+_OTHER, _LETTER, _NUMBER, _SPACE = range(4)
+_tables: list[np.ndarray] = []
 
-def _pre_token_pattern() -> regex.Pattern:
-    # White space as in Unicode's property; the pattern's \s would add U+001C to U+001F.
-    return regex.compile(PRE_TOKEN.replace(r"[^\s", r"[^\p{White_Space}").replace(r"\s+(?!\S)", r"\p{White_Space}+(?!\P{White_Space})").replace(r"|\s+", r"|\p{White_Space}+"))
+
+def _code_points() -> tuple[np.ndarray, np.ndarray]:
+    """Class and random value of every code point."""
+    if not _tables:
+        everything = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
+        kinds = np.full(0x110000, _OTHER, np.uint8)
+        for kind, pattern in ((_LETTER, r"\p{L}+"), (_NUMBER, r"\p{N}+"), (_SPACE, r"\p{White_Space}+")):
+            for m in regex.finditer(pattern, everything):
+                a, z = ord(everything[m.start()]), ord(everything[m.end() - 1])
+                kinds[a : z + 1] = kind
+        _tables.extend((kinds, mix(np.arange(0x110000, dtype=np.uint64) + np.uint64(0x9E3779B97F4A7C15))))
+    return _tables[0], _tables[1]
 
 
 def load_tokenizer(path: str):
@@ -49,120 +66,187 @@ def load_tokenizer(path: str):
     return tokenizer
 
 
-def frequent_table(path: str) -> dict[str, int]:
-    """Token counts of the vocabulary's entries that are one pre-token; at most one entry per id."""
-    tokenizer, pattern = load_tokenizer(path), _pre_token_pattern()
-    special = {t.content for t in tokenizer.get_added_tokens_decoder().values()}
-    texts = [tokenizer.decode([i], skip_special_tokens=False) for i in range(tokenizer.get_vocab_size())]
-    texts = [t for t in dict.fromkeys(texts) if t and t not in special and len(t) <= CACHE_CHARS and "�" not in t and pattern.fullmatch(t) and pattern.match(t).end() == len(t)]
-    return {t: len(e) for t, e in zip(texts, tokenizer.encode_batch(texts, add_special_tokens=False), strict=True)}
-
-
-class Counter:
-    """Counts of one worker for one tokenizer file."""
-
-    def __init__(self, path: str, frequent: dict[str, int]):
-        self.tokenizer, self.pattern, self.frequent = load_tokenizer(path), _pre_token_pattern(), frequent
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.bare: dict[str, int] = {}
-        self.spaced: dict[str, int] = {}
-
-    def pre_tokens(self, text: str) -> int:
-        """Tokens of a text without special strings."""
-        total, misses = 0, []
-        known = self.frequent.get
-        for m in self.pattern.finditer(text):
-            n = known(m[0])
-            if n is None:
-                misses.append(m[0])
-                if len(misses) >= 65_536:
-                    total += sum(map(len, self.tokenizer.encode_batch(misses, add_special_tokens=False)))
-                    misses = []
-            else:
-                total += n
-        return total + (sum(map(len, self.tokenizer.encode_batch(misses, add_special_tokens=False))) if misses else 0)
-
-    def learn(self, units: set[str], cache: dict[str, int], lead: str) -> None:
-        """Adds units, each read after ``lead``, to a cache; those with white space at an end are marked."""
-        fresh, pieces = [], []
-        for u in units:
-            if not u or u[0].isspace() or u[-1].isspace() or len(u) > CACHE_CHARS:
-                if len(u) <= CACHE_CHARS:
-                    cache[u] = _IRREGULAR
-                continue
-            missing, n = [], 0
-            for m in self.pattern.findall(lead + u):
-                k = self.frequent.get(m)
-                if k is None:
-                    missing.append(m)
-                else:
-                    n += k
-            cache[u] = n
-            fresh += [u] * len(missing)
-            pieces += missing
-        for u, e in zip(fresh, self.tokenizer.encode_batch(pieces, add_special_tokens=False) if pieces else [], strict=True):
-            cache[u] += len(e)
-
-    def units(self, parts: list[list[str]]) -> list[int | None]:
-        """Tokens of slices split at spaces; None where a space has white space beside it."""
-        if len(self.bare) + len(self.spaced) > CACHE_UNITS:
-            self.bare, self.spaced = {}, {}
-        self.learn({p[0] for p in parts} - self.bare.keys(), self.bare, "")
-        self.learn(set().union(*(p[1:] for p in parts)) - self.spaced.keys(), self.spaced, " ")
-        out: list[int | None] = []
-        for p in parts:
-            n = self.long(p[0], self.bare, "") + sum(self.spaced[u] if u in self.spaced else self.long(u, self.spaced, " ") for u in p[1:])
-            out.append(n if n < _IRREGULAR else None)
-        return out
-
-    def long(self, unit: str, cache: dict[str, int], lead: str) -> int:
-        if unit in cache:
-            return cache[unit]
-        return _IRREGULAR if unit[0].isspace() or unit[-1].isspace() else self.pre_tokens(lead + unit)
-
-    def slices(self, text: str) -> Iterator[str]:
-        """Cuts a long text before a space that stands between two characters that aren't white space."""
-        at = 0
-        while len(text) - at > SLICE:
-            end = text.find(" ", at + SLICE)
-            while 0 < end < len(text) - 1 and (text[end - 1].isspace() or text[end + 1].isspace()):
-                end = text.find(" ", end + 1)
-            if not 0 < end < len(text) - 1:
-                break
-            yield text[at:end]
-            at = end
-        yield text[at:] if at else text
-
-    def count(self, texts: list[str]) -> list[int]:
-        """Tokens of each text."""
-        totals, jobs = [0] * len(texts), []
+def slices(text: str, most: int) -> Iterator[str]:
+    """Cuts a long text before a space that stands between two characters that aren't white space."""
+    at = 0
+    while len(text) - at > most:
+        end = text.find(" ", at + most)
+        while 0 < end < len(text) - 1 and (text[end - 1].isspace() or text[end + 1].isspace()):
+            end = text.find(" ", end + 1)
+        if not 0 < end < len(text) - 1:
+            break
+        yield text[at:end]
+        at = end
+    yield text[at:] if at else text
+
+
+def pre_tokens(parts: list[str]) -> tuple[str, np.ndarray, np.ndarray, np.ndarray]:
+    """(all parts joined, where each pre-token starts in that, its hash, where each part's begin)."""
+    kinds, values = _code_points()
+    text = "".join(parts)
+    code = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+    n = len(code)
+    lengths = np.fromiter(map(len, parts), np.int64, len(parts))
+    bounds = np.concatenate(([0], np.cumsum(lengths)))
+    if not n:
+        return text, np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(len(parts) + 1, np.int64)
+    kind = kinds[code]
+    starts = np.ones(n + 1, bool)  # where runs of a class start
+    starts[1:n] = kind[1:] != kind[:-1]
+    starts[bounds] = True
+    first = np.flatnonzero(starts[:-1])  # of each run
+    last = np.append(first[1:], n) - 1
+    edge = np.zeros(n + 1, bool)
+    edge[bounds] = True
+    # White space before something in the same text: its last character stands apart, a space joins what follows.
+    white = (kind[first] == _SPACE) & ~edge[last + 1]
+    starts[last[white]] = True
+    blank = last[white & (code[last] == 32)]
+    starts[blank + 1] = False
+    # An apostrophe alone before a known ending takes it along.
+    mark = first[(first == last) & (code[first] == 39) & starts[first] & ~edge[first + 1]]
+    if len(mark):
+        ahead = [np.where(mark + j < n, code[np.minimum(mark + j, n - 1)], 0) * ~np.any([edge[np.minimum(mark + i, n)] for i in range(1, j + 1)], axis=0) for j in (1, 2)]
+        for ending in ENDINGS:
+            fits = np.all([ahead[j] == ord(c) for j, c in enumerate(ending)], axis=0)
+            starts[mark[fits] + 1] = False
+            starts[mark[fits] + 1 + len(ending)] = True
+    begin = np.flatnonzero(starts[:-1])
+    end = np.append(begin[1:], n)
+    sums = np.zeros(n + 1, np.uint64)
+    np.cumsum(values[code] * power("up", n), out=sums[1:])
+    hashed = mix((sums[end] - sums[begin]) * power("down", n + 1)[begin] + (end - begin).astype(np.uint64))
+    return text, begin, hashed, np.searchsorted(begin, bounds)
+
+
+class Cutter:
+    """Texts as parts between special strings, in slices."""
+
+    def __init__(self, tokenizer):
+        self.special = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
+
+    def parts(self, texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """(parts, the text of each, special strings in each text)."""
+        found, parts, owner = np.zeros(len(texts), np.int64), [], []
         for i, text in enumerate(texts):
             segments = [text]
             for s in self.special:
                 if s in text:
-                    totals[i] += sum(x.count(s) for x in segments)
+                    found[i] += sum(x.count(s) for x in segments)
                     segments = [y for x in segments for y in x.split(s)]
-            jobs += [(i, part) for segment in segments if segment for part in self.slices(segment)]
-        for at in range(0, len(jobs), 512):
-            some = jobs[at : at + 512]
-            lead = [part[0] == " " and len(part) > 1 and not part[1].isspace() for _, part in some]
-            for (i, part), n, spaced in zip(some, self.units([([""] if spaced else []) + part[spaced:].split(" ") for (_, part), spaced in zip(some, lead, strict=True)]), lead, strict=True):
-                totals[i] += self.pre_tokens(part) if n is None else n
+            for part in (p for x in segments if x for p in slices(x, SLICE)):
+                parts.append(part)
+                owner.append(i)
+        return parts, np.array(owner, np.int64), found
+
+
+def groups(parts: list[str], owner: np.ndarray) -> Iterator[tuple[list[str], np.ndarray]]:
+    """Parts that together have about a slice's characters."""
+    at, size = 0, 0
+    for i, part in enumerate(parts):
+        if size and size + len(part) > SLICE:
+            yield parts[at:i], owner[at:i]
+            at, size = i, 0
+        size += len(part)
+    if at < len(parts):
+        yield parts[at:], owner[at:]
+
+
+class Table:
+    """Tier 1: hashes of pre-tokens, ascending, and their tokens."""
+
+    def __init__(self, frequent: dict[str, int]):
+        hashed = pre_tokens(list(frequent))[2] if frequent else np.zeros(0, np.uint64)
+        order = np.argsort(hashed)
+        self.hash, self.tokens = hashed[order], np.array(list(frequent.values()), np.uint16)[order]
+
+    def find(self, hashed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(tokens, whether listed)."""
+        if not len(self.hash):
+            return np.zeros(len(hashed), np.int64), np.zeros(len(hashed), bool)
+        at = np.minimum(np.searchsorted(self.hash, hashed), len(self.hash) - 1)
+        known = self.hash[at] == hashed
+        return np.where(known, self.tokens[at], 0).astype(np.int64), known
+
+
+class Worker:
+    """The tokenizer and tier 2 of one worker."""
+
+    def __init__(self, path: str):
+        self.tokenizer = load_tokenizer(path)
+        self.cutter = Cutter(self.tokenizer)
+        self.cache: dict[int, int] = {}
+
+    def rare(self, text: str, begin: np.ndarray, end: np.ndarray, hashed: np.ndarray) -> np.ndarray:
+        """Tokens of pre-tokens by way of the cache."""
+        some, at, back = np.unique(hashed, return_index=True, return_inverse=True)
+        keys = some.tolist()
+        if len(self.cache) + len(keys) > CACHE:
+            self.cache = {}
+        new = [i for i, k in enumerate(keys) if k not in self.cache]
+        if new:
+            pieces = [text[a:z] for a, z in zip(begin[at[new]].tolist(), end[at[new]].tolist(), strict=True)]
+            for i, e in zip(new, self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False), strict=True):
+                self.cache[keys[i]] = len(e)
+        return np.array([self.cache[k] for k in keys], np.int64)[back]
+
+    def count(self, texts: list[str], table: Table) -> np.ndarray:
+        """Tokens of each text."""
+        parts, owner, totals = self.cutter.parts(texts)
+        for some, of in groups(parts, owner):
+            text, begin, hashed, first = pre_tokens(some)
+            tokens, known = table.find(hashed)
+            miss = np.flatnonzero(~known)
+            if len(miss):
+                tokens[miss] = self.rare(text, begin[miss], np.append(begin[1:], len(text))[miss], hashed[miss])
+            sums = np.concatenate(([0], np.cumsum(tokens)))
+            np.add.at(totals, of, sums[first[1:]] - sums[first[:-1]])
         return totals
 
 
-_counters: dict[str, Counter] = {}
+def frequent_pre_tokens(docs: DataFrame, path: str, text_column: str = "text") -> dict[str, int]:
+    """The most frequent pre-tokens of a bounded sample of the texts, with their number of tokens."""
+    listed, sample = LISTED, SAMPLE_BYTES
+
+    def run(batches):
+        seen, left = Counter(), sample
+        cutter = Cutter(load_tokenizer(path))
+        for b in blocks(batches, "__text", 1 << 20):
+            if left <= 0:  # the rest of the partition isn't needed
+                continue
+            left -= int(buffers(b.column("__text"))[1][-1])
+            parts, owner, _ = cutter.parts(["" if t is None else t for t in b.column("__text").to_pylist()])
+            for some, _ in groups(parts, owner):
+                text, begin, hashed, _ = pre_tokens(some)
+                end = np.append(begin[1:], len(text))
+                _, at, n = np.unique(hashed, return_index=True, return_counts=True)
+                for a, z, k in zip(begin[at].tolist(), end[at].tolist(), n.tolist(), strict=True):
+                    seen[text[a:z]] += k
+        top = [(t, n) for t, n in seen.most_common(listed) if len(t) <= 64]
+        yield pa.RecordBatch.from_arrays([pa.array([t for t, _ in top], pa.string()), pa.array([n for _, n in top], pa.int64())], ["pre_token", "n"])
+
+    lists = docs.select(docs[text_column].alias("__text")).mapInArrow(run, "pre_token string, n bigint").rdd
+    parts = lists.getNumPartitions()
+    chosen = sorted({k * parts // SAMPLE_PARTITIONS for k in range(SAMPLE_PARTITIONS)}) if parts else []
+    total = Counter()
+    for token, n in docs.sparkSession.sparkContext.runJob(lists, lambda rows: [(r[0], r[1]) for r in rows], chosen) if chosen else []:
+        total[token] += n
+    top = [t for t, _ in total.most_common(FREQUENT)]
+    return dict(zip(top, map(len, load_tokenizer(path).encode_batch_fast(top, add_special_tokens=False)), strict=True))
+
+
+_workers: dict[str, Worker] = {}
 
 
 def count_tokens(docs: DataFrame, path: str, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """One row per row of ``docs``: its id, ``n_bytes`` (UTF-8) and ``n_tokens`` as the tokenizer at ``path`` gives them."""
-    frequent = docs.sparkSession.sparkContext.broadcast(frequent_table(path))
+    table = docs.sparkSession.sparkContext.broadcast(Table(frequent_pre_tokens(docs, path, text_column)))
 
     def run(batches):
-        counter = _counters.get(path) or _counters.setdefault(path, Counter(path, frequent.value))
+        worker = _workers.get(path) or _workers.setdefault(path, Worker(path))
         for b in blocks(batches, "__text"):
             texts = b.column("__text")
-            n = counter.count(["" if t is None else t for t in texts.to_pylist()])
+            n = worker.count(["" if t is None else t for t in texts.to_pylist()], table.value)
             yield pa.RecordBatch.from_arrays([b.column("__id"), pa.array(np.diff(buffers(texts)[1]), pa.int64()), pa.array(n, pa.int64())], ["__id", "n_bytes", "n_tokens"])
 
     kind = docs.schema[id_column].dataType.simpleString()

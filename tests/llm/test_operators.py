@@ -29,11 +29,50 @@ def test_token_counts(spark):
 
 def test_token_counts_do_not_depend_on_caches(monkeypatch):
     path = Q.tokenizer_path()
-    monkeypatch.setattr(token_counts, "CACHE_UNITS", 3)
+    monkeypatch.setattr(token_counts, "CACHE", 3)
     monkeypatch.setattr(token_counts, "SLICE", 20)
     texts = ["some words in a longer text, and <|endoftext|> more " * 5, " lead  two\n x", "y" * 300]
-    counter = token_counts.Counter(path, {})
-    assert counter.count(texts) == token_counts.Counter(path, token_counts.frequent_table(path)).count(texts) == [len(e) for e in counter.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    worker = token_counts.Worker(path)
+    want = [len(e) for e in worker.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    for frequent in ({}, {" words": 1, " longer": 1, "y" * 10: 1}):
+        assert worker.count(texts, token_counts.Table(frequent)).tolist() == want
+
+
+def test_pre_tokens_equal_the_pattern():
+    import regex
+
+    pattern = regex.compile(token_counts.PRE_TOKEN.replace(r"[^\s", r"[^\p{White_Space}").replace(r"\s+(?!\S)", r"\p{White_Space}+(?!\P{White_Space})").replace(r"|\s+", r"|\p{White_Space}+"))
+    rnd = random.Random(7)
+    alphabet = ["'", "s", "t", "re", "ve", "m", "ll", "d", " ", "  ", "\n", "\t", "\x85", "\x1c", "\u3000", "a", "É", "日", "1", "٣", "½", ".", "-", "😀", "\u0301", "''", " '", "l", "v", "r"]
+    for k in range(3000):
+        parts = ["".join(rnd.choices(alphabet, k=rnd.randrange(12))) for _ in range(rnd.randrange(1, 4))]
+        text, begin, hashed, first = token_counts.pre_tokens(parts)
+        got = [text[a:z] for a, z in zip(begin, [*begin[1:], len(text)], strict=True)] if text else []
+        assert [got[a:z] for a, z in zip(first[:-1], first[1:], strict=True)] == [pattern.findall(p) for p in parts], parts
+        assert len(set(got)) == len(set(hashed.tolist()))
+
+
+def test_frequent_pre_tokens_cover_the_corpus(spark):
+    rnd = random.Random(2)
+    vocabulary = ["".join(rnd.choices("abcdefghijkl", k=rnd.randrange(2, 12))) for _ in range(3000)]
+    weights = [1 / (i + 1) for i in range(3000)]
+    texts = [" ".join(rnd.choices(vocabulary, weights, k=200)) for _ in range(600)]
+    docs = table(spark, texts).repartition(20)
+    path = Q.tokenizer_path()
+    frequent = token_counts.frequent_pre_tokens(docs, path)
+    assert max(frequent.values()) > 1 and all(len(e) == n for e, n in zip(token_counts.load_tokenizer(path).encode_batch(list(frequent), add_special_tokens=False), frequent.values(), strict=True))
+    hashed = token_counts.pre_tokens(texts)[2]
+    assert token_counts.Table(frequent).find(hashed)[1].mean() >= 0.9
+    assert token_counts.count_tokens(docs.limit(0), path).count() == 0
+
+
+def test_token_counts_of_a_very_long_text(spark):
+    path = Q.tokenizer_path()
+    texts = ["word's 12  x\n" * 200_000, "z" * 70_000]
+    got = {r.doc_id: r.n_tokens for r in token_counts.count_tokens(table(spark, texts).withColumn("n_bytes", Q.F.lit("x")), path).collect()}
+    tokenizer = token_counts.load_tokenizer(path)
+    assert got[1] == len(tokenizer.encode(texts[1], add_special_tokens=False))
+    assert got[0] == len(tokenizer.encode(texts[0], add_special_tokens=False))
 
 
 def brute_stats(t):
