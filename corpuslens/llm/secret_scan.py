@@ -54,7 +54,7 @@ MORE_RULES = (
 )
 RULES = BASE_RULES + MORE_RULES
 LEDGER = "blob string, version string, spans array<struct<kind: string, start: int, end: int>>"
-#: No more unseen blobs than this are broadcast (64 bytes each).
+#: No more unseen blobs (64 bytes each), or findings (about as much), than this are broadcast.
 FEW_BLOBS = 100_000
 
 
@@ -140,7 +140,10 @@ def scan_secrets(docs: DataFrame, ledger_path: str, rules: tuple[Rule, ...] = RU
     blobs = blobs_of(docs)
     extend_ledger(blobs, ledger_path, rules)
     ledger = read_ledger(docs.sparkSession, ledger_path)
-    findings = ledger.where((F.col("version") == version_of(rules)) & (F.size("spans") > 0)).select("blob", "spans").dropDuplicates(["blob"])
+    findings = cut(ledger.where((F.col("version") == version_of(rules)) & (F.size("spans") > 0)).select("blob", "spans").dropDuplicates(["blob"]))
+    n, spans = findings.agg(F.count("*"), F.coalesce(F.sum(F.size("spans")), F.lit(0))).first()
+    if max(n, spans) <= FEW_BLOBS:  # else the join is split at run time where copies crowd
+        findings = F.broadcast(findings)
     none = F.array().cast("array<struct<kind: string, start: int, end: int>>")
     return blobs.select("doc_id", "blob").join(findings, "blob", "left").select("doc_id", "blob", F.coalesce("spans", none).alias("spans"))
 
