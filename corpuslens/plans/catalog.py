@@ -59,13 +59,13 @@ def sync_check(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def compare_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events of the Markdown documents against those of a copy in which bullets became paragraphs and images went."""
-    events = markdown.md_events(X.derived(spark, sf_dir, X.WHOLE_MARKDOWN))
+    events = markdown.md_events(X.derived(spark, sf_dir, X.MARKDOWN))
     other = events.where("kind <> 'image'").withColumn("kind", F.when(F.col("kind") == "bullet", "para").otherwise(F.col("kind")))
     return markdown.compare_events(events, other)
 
 
 def inline_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return markdown.inline_runs(markdown.md_events(X.derived(spark, sf_dir, X.WHOLE_MARKDOWN)).where("kind = 'para'"))
+    return markdown.inline_runs(markdown.md_events(X.derived(spark, sf_dir, X.MARKDOWN)).where("kind = 'para'"))
 
 
 def _sources(spark: SparkSession) -> DataFrame:
@@ -95,7 +95,7 @@ def queries() -> dict:
     out = {"audit_report": None, "scan_documents": scan_documents, "doc_lines": doc_lines, "regex_hits": regex_hits}
     out |= {k: (lambda spark, sf_dir, f=f: f(_raw(spark, sf_dir))) for k, f in on_raw.items()}
     out |= {k: (lambda spark, sf_dir, f=f: f(X.audit_docs(spark, sf_dir))) for k, f in on_audit.items()}
-    for expression, checks in ((X.WHOLE_CONSISTENCY, on_consistency), (X.WHOLE_MARKDOWN, on_markdown), (X.FACTS, on_facts)):
+    for expression, checks in ((X.CONSISTENCY, on_consistency), (X.MARKDOWN, on_markdown), (X.FACTS, on_facts)):
         out |= {k: _of(expression, f) for k, f in checks.items()}
     out |= {k: _across(getattr(cross, k)) for k in ("cross_versions", "cross_numbers", "cross_terms", "cross_modules")}
     return out | {f.__name__: f for f in (sync_signals, sync_check, compare_events, inline_runs, source_files, source_line_counts, source_summary)}

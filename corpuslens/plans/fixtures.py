@@ -2,9 +2,6 @@
 
 The tables hold plain prose, so lines of Markdown are added to it, by expressions
 that Spark and other SQL engines read alike.
-
-The queries run on whole texts (``audit_docs``, ``WHOLE_CONSISTENCY``, ``WHOLE_MARKDOWN``);
-the SQL in ``oracles`` still takes AUDIT, CONSISTENCY and MARKDOWN, which cut texts.
 """
 
 from __future__ import annotations
@@ -39,8 +36,7 @@ _AUDIT_LINES = [
     _when("doc_id % 7 = 0", "The API and Api with `api` on Docker or docker and GitHub Github (JSON only)."),
     _when("doc_id % 11 = 0", "A “quoted” text."),
 ]
-AUDIT = " || ".join([f"CASE WHEN doc_id % 5 = 0 THEN {_ZH} || chr(10) || substring(text, 1, 12) ELSE text END", *_AUDIT_LINES])
-_WHOLE_AUDIT, _ZH_AUDIT = (" || ".join([x, *_AUDIT_LINES]) for x in ("text", _ZH))
+AUDIT, CHINESE = (" || ".join([x, *_AUDIT_LINES]) for x in ("text", _ZH))
 _CONSISTENCY_LINES = [
     _when("doc_id % 3 = 0", "往返时延(RTT)是 30 ms。", "取RTT的一半作为结果！再看往返时间。"),
     _when("doc_id % 6 = 0", "单程为往返时延的一半。"),
@@ -50,8 +46,7 @@ _CONSISTENCY_LINES = [
     _when("doc_id % 7 = 0", "相对序号从零开始。", "a", "b", "c", "d", "e", "f", "g", "h", "i", "原始序号是随机值。"),
     _when("doc_id % 14 = 0", "绝对序号与相对序号要区分。"),
 ]
-CONSISTENCY = " || ".join(["substring(text, 1, 300)", *_CONSISTENCY_LINES])
-WHOLE_CONSISTENCY = " || ".join(["text", *_CONSISTENCY_LINES])
+CONSISTENCY = " || ".join(["text", *_CONSISTENCY_LINES])
 FACTS = " || ".join(
     [
         "text",
@@ -69,8 +64,7 @@ _MARKDOWN_LINES = [
     _when("doc_id % 5 = 0", "- one", "* two", "1. first", "2) second", "> said <b>", ">> more & more"),
     _when("doc_id % 7 = 0", "#### Deep", "para with `code` and **bold** text"),
 ]
-MARKDOWN = " || ".join([_TITLE, "substring(text, 1, 200)", *_MARKDOWN_LINES])
-WHOLE_MARKDOWN = " || ".join([_TITLE, "text", *_MARKDOWN_LINES])
+MARKDOWN = " || ".join([_TITLE, "text", *_MARKDOWN_LINES])
 DIFF = "'--- a/doc' || chr(10) || '+++ b/doc' || chr(10) || '-old 10 MB and v2.1.0' || chr(10) || '+new 30 个 and v3.' || CAST(doc_set_id % 7 AS string) || '.0' || chr(10) || ' same 40% and 9.9.9'"
 #: Documents of one set; a companion set is an argument of the checks.
 SET_OF = "CAST(floor(doc_id / 3) AS bigint)"
@@ -85,8 +79,8 @@ def derived(spark: SparkSession, sf_dir: str, expression: str) -> DataFrame:
 def audit_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(doc_id, text)``: the whole text of every document with lines added, and Chinese documents as further rows of negative ids."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    chinese = docs.where("doc_id % 5 = 0").select((-1 - F.col("doc_id")).alias("doc_id"), F.expr(_ZH_AUDIT).alias("text"))
-    return docs.select("doc_id", F.expr(_WHOLE_AUDIT).alias("text")).unionAll(chinese)
+    chinese = docs.where("doc_id % 5 = 0").select((-1 - F.col("doc_id")).alias("doc_id"), F.expr(CHINESE).alias("text"))
+    return docs.select("doc_id", F.expr(AUDIT).alias("text")).unionAll(chinese)
 
 
 def sets(spark: SparkSession, sf_dir: str) -> DataFrame:

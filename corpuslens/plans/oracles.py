@@ -42,7 +42,8 @@ FROM (SELECT doc_id, line_no, raw, stripped, starts_with(stripped, '```') AS is_
     FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS raw, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS line_no FROM {docs})))"""
 
 
-_AUDIT, _CONS, _FACTS, _MD = (_docs(x) for x in (X.AUDIT, X.CONSISTENCY, X.FACTS, X.MARKDOWN))
+_AUDIT = f"(SELECT doc_id, {X.AUDIT} AS text FROM documents UNION ALL SELECT -1 - doc_id, {X.CHINESE} FROM documents WHERE doc_id % 5 = 0)"
+_CONS, _FACTS, _MD = (_docs(x) for x in (X.CONSISTENCY, X.FACTS, X.MARKDOWN))
 _NO_CODE = r"regexp_replace(regexp_replace(text, '(^|\n)[ \t]*```[^\n]*\n(?:[^\n]*\n)*?[ \t]*```[^\n]*', '\1', 'g'), '`[^`\n]+`', '', 'g')"
 _LANG = "CASE WHEN len(regexp_extract_all(text, '[一-鿿]')) >= len(regexp_extract_all(text, '[A-Za-z]')) THEN 'zh' ELSE 'en' END"
 
