@@ -260,7 +260,8 @@ def _plan(slim: DataFrame, weights: tuple[float, ...], most: float) -> DataFrame
     open_, is_large = F.col("chance") > 0, F.col("size") * F.lit(LARGE) > F.col("source_size")
     size = F.col("size").cast("double")
     rest = units.where(open_ & ~is_large).groupBy("source_no").agg(F.count("*").alias("n"), F.sum(size).alias("s1"), F.sum(size * size).alias("s2"), F.max(size).alias("top"))
-    settled = cut(_settle(units.where(open_ & is_large).join(rest, "source_no", "left").fillna(0, ["n", "s1", "s2", "top"])))
+    # Cut before it is dealt by source_no: a join on the same key would let the repartition go, and a split of its hot key would part a source.
+    settled = cut(_settle(cut(units.where(open_ & is_large).join(rest, "source_no", "left").fillna(0, ["n", "s1", "s2", "top"]))))
     levels, fold = [settled.where("uid IS NOT NULL").select("uid", F.col("more").alias("__more"))], max(2, BLOCK // LEAVE)
     shift = settled.where("uid IS NULL").select(F.col("source_no").alias("__source_no"), "a", "b")
     shift = F.broadcast(shift) if at_most(shift, SMALL) else shift
