@@ -35,10 +35,10 @@ ENDINGS = ("s", "t", "re", "ve", "m", "ll", "d")
 FREQUENT, LISTED = 1 << 17, 1 << 15
 #: The sample: so many partitions, and so many bytes of text of each.
 SAMPLE_PARTITIONS, SAMPLE_BYTES = 8, 2 << 20
-#: Pre-tokens that a worker keeps; beyond, it starts afresh.
-CACHE = 1_000_000
-#: Characters of a text handled at a time.
-SLICE = 1 << 20
+#: Places of a worker's cache (a power of two; 12 bytes each); a pre-token takes the place of the one before it there.
+CACHE = 1 << 20
+#: Pre-tokens encoded, and characters of a text handled, at a time.
+ENCODED, SLICE = 4096, 1 << 18
 
 _OTHER, _LETTER, _NUMBER, _SPACE = range(4)
 _tables: list[np.ndarray] = []
@@ -175,20 +175,20 @@ class Worker:
     def __init__(self, path: str):
         self.tokenizer = load_tokenizer(path)
         self.cutter = Cutter(self.tokenizer)
-        self.cache: dict[int, int] = {}
+        self.cached, self.tokens = np.zeros(CACHE, np.uint64), np.zeros(CACHE, np.int32)
 
     def rare(self, text: str, begin: np.ndarray, end: np.ndarray, hashed: np.ndarray) -> np.ndarray:
         """Tokens of pre-tokens by way of the cache."""
         some, at, back = np.unique(hashed, return_index=True, return_inverse=True)
-        keys = some.tolist()
-        if len(self.cache) + len(keys) > CACHE:
-            self.cache = {}
-        new = [i for i, k in enumerate(keys) if k not in self.cache]
-        if new:
-            pieces = [text[a:z] for a, z in zip(begin[at[new]].tolist(), end[at[new]].tolist(), strict=True)]
-            for i, e in zip(new, self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False), strict=True):
-                self.cache[keys[i]] = len(e)
-        return np.array([self.cache[k] for k in keys], np.int64)[back]
+        place = (some & np.uint64(len(self.cached) - 1)).astype(np.int64)
+        out = np.where(self.cached[place] == some, self.tokens[place], -1)
+        new = np.flatnonzero(out < 0)
+        for k in range(0, len(new), ENCODED):
+            few = new[k : k + ENCODED]
+            pieces = [text[a:z] for a, z in zip(begin[at[few]].tolist(), end[at[few]].tolist(), strict=True)]
+            out[few] = [len(e) for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
+        self.cached[place[new]], self.tokens[place[new]] = some[new], out[new]
+        return out[back].astype(np.int64)
 
     def count(self, texts: list[str], table: Table) -> np.ndarray:
         """Tokens of each text."""

@@ -29,7 +29,7 @@ def test_token_counts(spark):
 
 def test_token_counts_do_not_depend_on_caches(monkeypatch):
     path = Q.tokenizer_path()
-    monkeypatch.setattr(token_counts, "CACHE", 3)
+    monkeypatch.setattr(token_counts, "CACHE", 4)
     monkeypatch.setattr(token_counts, "SLICE", 20)
     texts = ["some words in a longer text, and <|endoftext|> more " * 5, " lead  two\n x", "y" * 300]
     worker = token_counts.Worker(path)
