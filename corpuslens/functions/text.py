@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+import unicodedata
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,15 +43,38 @@ def line_count(c: Column | str) -> Column:
     return F.length(c) - F.length(F.replace(c, F.lit("\n"), F.lit(""))) + 1
 
 
-def to_number(c: Column | str) -> Column:
-    """A run of digits, full-width ones too, as a number; null if it is longer than 38."""
-    return F.translate(column(c), "０１２３４５６７８９", "0123456789").try_cast("decimal(38,0)")
+#: Decimal digits of all scripts, and what they stand for.
+_DIGITS = [chr(c) for c in range(0x110000) if unicodedata.category(chr(c)) == "Nd"]
+_VALUES = "".join(str(unicodedata.decimal(c)) for c in _DIGITS)
+
+
+def digits(c: Column | str) -> Column:
+    """A run of digits, of any script and length, in ASCII and without leading zeros."""
+    return F.regexp_replace(F.translate(column(c), "".join(_DIGITS), _VALUES), "^0+(?=.)", "")
+
+
+def ordered_digits(c: Column | str) -> Column:
+    """Orders what ``digits`` gives by value: its length, then itself."""
+    c = column(c)
+    return F.struct(F.length(c).alias("size"), c.alias("digits"))
+
+
+def next_digits(c: Column | str) -> Column:
+    """The number after one that ``digits`` gives, likewise: nines at the end become zeros, the digit before them goes up."""
+    c = column(c)
+    head = F.regexp_replace(c, "9+$", "")
+    up = F.when(head == "", F.lit("1")).otherwise(F.concat(F.substring(head, F.lit(1), F.length(head) - 1), (F.right(head, F.lit(1)).cast("int") + 1).cast("string")))
+    return F.concat(up, F.repeat(F.lit("0"), F.length(c) - F.length(head)))
+
+
+def contains_any(c: Column | str, literals: tuple[str, ...]) -> Column:
+    return functools.reduce(lambda x, y: x | y, [F.contains(column(c), F.lit(x)) for x in literals])
 
 
 def without_code(c: Column | str) -> Column:
     """Without paired fenced blocks (of back quotes or tildes) and inline code."""
     fenced = F.regexp_replace(column(c), r"(?Udms)^[ \t]*(```|~~~)[^\n]*\n.*?^[ \t]*\1[^\n]*$", "")
-    return F.regexp_replace(fenced, FLAGS + r"`[^`\n]+`", "")
+    return F.when(contains_any(c, ("`", "~~~")), F.regexp_replace(fenced, FLAGS + r"`[^`\n]+`", "")).otherwise(column(c))
 
 
 def without_marks(c: Column | str) -> Column:
@@ -69,29 +95,59 @@ def cells(c: Column | str) -> Column:
     return F.transform(F.split(inner, r"\|"), trimmed)
 
 
-def _pieces(text: Column, rule: str, pattern: str, found: Column, groups: dict[str, Column]) -> Column:
+def around(gaps: Column, found: Column, i: Column, before: int = 0, after: int = 0, least: int = 2) -> Column:
+    """Up to ``before`` characters before match ``i`` (0-based) and ``after`` from its begin on.
+
+    ``gaps`` are the texts between the matches ``found``, none of which is shorter
+    than ``least``, so a few neighbours suffice, cut to the length that is wanted.
+    """
+    one = i.cast("int") + 1
+    parts = []
+    if before:
+        n = before // least + 1
+        low = F.greatest(one - n, F.lit(1))
+        end = lambda x: F.coalesce(F.right(x, F.lit(before)), F.lit(""))
+        behind = F.transform(F.slice(gaps, low, one - low + 1), lambda g, k: F.concat(end(g), F.when(low + k < one, end(F.get(found, low + k - 1))).otherwise(F.lit(""))))
+        parts.append(F.right(F.array_join(behind, ""), F.lit(before)))
+    if after:
+        n = after // least + 1
+        begin = lambda x: F.coalesce(F.left(x, F.lit(after)), F.lit(""))
+        ahead = F.transform(F.slice(found, one, n), lambda m, k: F.concat(begin(m), begin(F.get(gaps, one + k))))
+        parts.append(F.left(F.array_join(ahead, ""), F.lit(after)))
+    return F.concat(*parts)
+
+
+def _pieces(rule: str, found: Column, gaps: Column, groups: dict[str, Column], context: tuple[int, int] | None) -> Column:
     """Each match of a pattern that never matches nothing, with what stands between it and the match before."""
     feeds = lambda x: F.length(x) - F.length(F.replace(x, F.lit("\n"), F.lit("")))
 
-    def one(gap, i):
-        m = F.get(found, i)
+    def one(m, i):
+        gap = F.get(gaps, i)
         extra = [F.get(f, i).alias(name) for name, f in groups.items()]
+        if context:
+            extra.append(around(gaps, found, i, *context).alias("context"))
         return F.struct(F.lit(rule).alias("rule"), i.alias("nth"), F.length(gap).alias("gap"), feeds(gap).alias("gap_feeds"), F.length(m).alias("size"), feeds(m).alias("feeds"), m.alias("text"), *extra)
 
-    return F.slice(F.transform(F.split(text, pattern, -1), one), F.lit(1), F.size(found))
+    return F.transform(found, one)
 
 
-def find_all(docs: DataFrame, patterns: list[tuple[str, str]], text: Column | str = "text", groups: tuple[int, ...] = (), keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def find_all(docs: DataFrame, patterns: list[tuple[str, str]], text: Column | str = "text", groups: tuple[int, ...] = (), keep: tuple[str, ...] = ("doc_id",), hints: dict[str, tuple[str, ...]] | None = None, context: tuple[int, int] | None = None) -> DataFrame:
     """A row for each match of each ``(rule, pattern)``: the kept columns, rule, nth, start (0-based), line_no, text and the groups ``g1``, ...
 
-    All patterns share one scan. Positions are running sums over slim rows, so a
-    text with very many matches costs no more than in proportion.
+    All patterns share one scan. ``hints`` names, for a rule, literals without any
+    of which a text has no match, so that most texts aren't searched. Positions are
+    running sums over slim rows, so a text with very many matches costs no more
+    than in proportion. ``context`` adds so many characters before and from each match.
     """
     # Matches are columns of their own, so that each text is searched once and not again for each match.
-    all_groups = (0, *groups)
-    found = {f"__m{i}_{g}": F.regexp_extract_all(column(text), F.lit(p), F.lit(g)) for i, (_, p) in enumerate(patterns) for g in all_groups}
-    docs = docs.select(*keep, column(text).alias("__text"), *[c.alias(name) for name, c in found.items()])
-    pieces = [_pieces(F.col("__text"), rule, p, F.col(f"__m{i}_0"), {f"g{g}": F.col(f"__m{i}_{g}") for g in groups}) for i, (rule, p) in enumerate(patterns)]
+    all_groups, columns = (0, *groups), {}
+    for i, (rule, p) in enumerate(patterns):
+        likely = contains_any("__text", hints[rule]) if hints and rule in hints else F.lit(True)
+        of = lambda c, kind="array<string>", likely=likely: F.when(likely, c).otherwise(F.array().cast(kind))
+        columns |= {f"__m{i}_{g}": of(F.regexp_extract_all("__text", F.lit(p), F.lit(g))) for g in all_groups}
+        columns[f"__s{i}"] = of(F.split("__text", p, -1))
+    docs = docs.select(*keep, column(text).alias("__text")).select(*keep, *[c.alias(name) for name, c in columns.items()])
+    pieces = [_pieces(rule, F.col(f"__m{i}_0"), F.col(f"__s{i}"), {f"g{g}": F.col(f"__m{i}_{g}") for g in groups}, context) for i, (rule, _) in enumerate(patterns)]
     rows = docs.select(*keep, F.inline(F.flatten(F.array(*pieces))))
     before = Window.partitionBy(*keep, "rule").orderBy("nth").rowsBetween(Window.unboundedPreceding, 0)
     start = F.sum(F.col("gap") + F.col("size")).over(before) - F.col("size")

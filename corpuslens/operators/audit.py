@@ -17,23 +17,25 @@ from .relations import language, lines
 
 def ai_flavor_hits(docs: DataFrame) -> DataFrame:
     """``(doc_id, line_no, start, label, text)`` of formulaic phrasing, code included."""
-    found = T.find_all(docs, [(f"{i:02d}", T.FLAGS + p) for i, (p, _) in enumerate(P.AI_PATTERNS)])
+    found = T.find_all(docs, [(f"{i:02d}", T.FLAGS + p) for i, (p, _) in enumerate(P.AI_PATTERNS)], hints={f"{i:02d}": h for i, h in enumerate(P.AI_HINTS)})
     labels = F.array(*[F.lit(label) for _, label in P.AI_PATTERNS])
     return found.select("doc_id", "line_no", "start", F.get(labels, F.col("rule").cast("int")).alias("label"), F.substring("text", 1, 40).alias("text"))
 
 
 def filler_hits(docs: DataFrame) -> DataFrame:
     """``(doc_id, line_no, start, text)`` of filler words."""
-    return T.find_all(docs, [(w, w) for w in P.FILLERS]).select("doc_id", "line_no", "start", "text")
+    return T.find_all(docs, [(w, w) for w in P.FILLERS], hints={w: (w,) for w in P.FILLERS}).select("doc_id", "line_no", "start", "text")
 
 
 def figure_table_gaps(docs: DataFrame) -> DataFrame:
-    """``(doc_id, kind, seq, found, expected)``: numbers beyond the next one due, in order of occurrence."""
-    found = T.find_all(docs, [(k, T.FLAGS + k + r"\s*(\d+)") for k in (P.FIGURE, P.TABLE)], groups=(1,)).withColumn("found", T.to_number("g1"))
+    """``(doc_id, kind, seq, found, expected)``: numbers beyond the next one due, in order of occurrence; as digits, since numbers have any length."""
+    kinds = (P.FIGURE, P.TABLE)
+    found = T.find_all(docs, [(k, T.FLAGS + k + r"\s*(\d+)") for k in kinds], groups=(1,), hints={k: (k,) for k in kinds}).withColumn("found", T.digits("g1"))
     before = Window.partitionBy("doc_id", "rule").orderBy("nth").rowsBetween(Window.unboundedPreceding, -1)
     # The number due follows the greatest seen, and is never below 1.
-    due = F.greatest(F.lit(1).cast("decimal(38,0)"), F.coalesce(F.max("found").over(before), F.lit(0).cast("decimal(38,0)")) + 1)
-    return found.withColumn("expected", due).where("found > expected").select("doc_id", F.col("rule").alias("kind"), F.col("nth").alias("seq"), F.col("found").cast("bigint").alias("found"), F.col("expected").cast("bigint").alias("expected"))
+    due = T.next_digits(F.coalesce(F.max(T.ordered_digits("found")).over(before)["digits"], F.lit("0")))
+    found = found.withColumn("expected", due).where(T.ordered_digits("found") > T.ordered_digits("expected"))
+    return found.select("doc_id", F.col("rule").alias("kind"), F.col("nth").alias("seq"), "found", "expected")
 
 
 def quote_issues(docs: DataFrame) -> DataFrame:
@@ -48,7 +50,8 @@ def quote_issues(docs: DataFrame) -> DataFrame:
 def empty_talk_issues(docs: DataFrame) -> DataFrame:
     """``(doc_id, line_no, kind, rule, text)``: headings and short lines of prose that say nothing."""
     s = F.col("stripped")
-    rows = docs.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "raw")).select("doc_id", (F.col("line_no") + 1).alias("line_no"), T.trimmed("raw").alias("stripped"))
+    rows = docs.where(T.contains_any("text", P.EMPTY_HINTS)).select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "raw")).where(T.contains_any("raw", P.EMPTY_HINTS))
+    rows = rows.select("doc_id", (F.col("line_no") + 1).alias("line_no"), T.trimmed("raw").alias("stripped"))
     heading = F.startswith(s, F.lit("#"))
     prose = ~heading & (F.length(s) > 0) & (F.length(s) < 120) & s.rlike(T.FLAGS + r"^[^#|>`\-\d*!]")
     one = lambda kind, i, p, where: F.when(where & s.rlike(T.FLAGS + p), F.struct(F.lit(kind).alias("kind"), F.lit(i).alias("rule")))
@@ -59,8 +62,18 @@ def empty_talk_issues(docs: DataFrame) -> DataFrame:
 def term_variants(docs: DataFrame) -> DataFrame:
     """``(doc_id, term, variants)``: terms spelt in several ways outside code."""
     body = docs.select("doc_id", T.without_code("text").alias("body"))
-    ways = [F.struct(F.lit(name).alias("term"), F.array_sort(F.array_distinct(F.regexp_extract_all("body", F.lit(T.FLAGS + p), F.lit(1)))).alias("ways")) for p, name in P.TERM_VARIANTS]
-    return body.select("doc_id", F.inline(F.array(*ways))).where(F.size("ways") > 1).select("doc_id", "term", F.array_join("ways", "、").alias("variants"))
+    return body.select("doc_id", F.inline(F.array_compact(F.array(*_term_ways("body"))))).select("doc_id", "term", F.array_join("ways", "、").alias("variants"))
+
+
+def _term_ways(body: str) -> list:
+    """For each term its name and the spellings found, null where there is but one; searched for only where two spellings occur at all."""
+    out = []
+    for (p, name), spellings in zip(P.TERM_VARIANTS, P.SPELLINGS, strict=True):
+        several = functools.reduce(lambda x, y: x + y, [F.contains(F.col(body), F.lit(w)).cast("int") for w in spellings]) > 1
+        ways = F.when(several, F.array_sort(F.array_distinct(F.regexp_extract_all(body, F.lit(T.FLAGS + p), F.lit(1)))))
+        found = F.filter(F.array(ways), lambda w: F.size(w) > 1)
+        out.append(F.when(F.size(found) > 0, F.struct(F.lit(name).alias("term"), F.get(found, F.lit(0)).alias("ways"))))
+    return out
 
 
 def code_fence_issues(docs: DataFrame) -> DataFrame:
@@ -88,14 +101,18 @@ def issue_counts(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFr
     Counting needs no positions, so all checks are expressions over one scan,
     without a shuffle; ordinal rules fold over a document's lines or numbers.
     """
-    text = F.col("text")
-    rows = docs.select(*keep, "text", F.split("text", "\n", -1).alias("__raw"), T.without_code("text").alias("__body"), language("text").alias("__language"))
+    text, zh = F.col("text"), F.col("__language") == "zh"
+    raw = F.split(text, "\n", -1)
+    rows = docs.select(*keep, "text", T.without_code("text").alias("__body"), language("text").alias("__language"))
     total = lambda parts: functools.reduce(lambda x, y: x + y, parts)
+    # What a text can't have without certain literals isn't looked for.
+    where = lambda literals, c: F.when(T.contains_any(text, literals), c).otherwise(F.lit(0))
 
     def gaps(kind: str):
-        numbers = F.transform(F.regexp_extract_all(text, F.lit(T.FLAGS + kind + r"\s*(\d+)"), F.lit(1)), T.to_number)
-        zero = F.struct(F.lit(1).cast("decimal(38,0)").alias("due"), F.lit(0).alias("n"))
-        step = lambda a, x: F.when(x >= a["due"], F.struct((x + 1).cast("decimal(38,0)").alias("due"), (a["n"] + (x > a["due"]).cast("int")).alias("n"))).otherwise(a)
+        numbers = F.transform(F.regexp_extract_all(text, F.lit(T.FLAGS + kind + r"\s*(\d+)"), F.lit(1)), lambda x: T.ordered_digits(T.digits(x)))
+        due = lambda top: T.ordered_digits(T.next_digits(top["digits"]))
+        zero = F.struct(T.ordered_digits(F.lit("0")).alias("top"), F.lit(0).alias("n"))
+        step = lambda a, x: F.struct(F.greatest(a["top"], x).alias("top"), (a["n"] + (x > due(a["top"])).cast("int")).alias("n"))
         return F.aggregate(numbers, zero, step, lambda a: a["n"])
 
     fence = lambda x: x.rlike(r"(?U)^[\s\x1c-\x1f]*```")
@@ -112,24 +129,24 @@ def issue_counts(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFr
         heading = F.startswith(s, F.lit("#"))
         prose = ~heading & (F.length(s) > 0) & (F.length(s) < 120) & s.rlike(T.FLAGS + r"^[^#|>`\-\d*!]")
         hits = [(heading & s.rlike(T.FLAGS + p)).cast("int") for p in P.EMPTY_HEADINGS] + [(prose & s.rlike(T.FLAGS + p)).cast("int") for p in P.EMPTY_LINES]
-        return total(hits)
+        return F.when(T.contains_any(line, P.EMPTY_HINTS), total(hits)).otherwise(F.lit(0))
 
-    hint = functools.reduce(lambda x, y: x | y, [F.contains(text, F.lit(w)) for w in ("具有重要意义", "值得关注", "不可忽视", "值得肯定", "意义重大", "综上所述", "总的来说", "总之", "的体现", "的证明", "的保障")])
-    numbered = F.transform(F.filter("__raw", lambda x: x.rlike(T.FLAGS + P.SECTION)), lambda x: F.struct(F.length(F.regexp_extract(x, T.FLAGS + P.SECTION, 1)).alias("level"), F.size(F.split(F.regexp_extract(x, T.FLAGS + P.SECTION, 2), r"\.")).alias("depth")))
+    numbered = F.transform(F.filter(raw, lambda x: x.rlike(T.FLAGS + P.SECTION)), lambda x: F.struct(F.length(F.regexp_extract(x, T.FLAGS + P.SECTION, 1)).alias("level"), F.size(F.split(F.regexp_extract(x, T.FLAGS + P.SECTION, 2), r"\.")).alias("depth")))
     first = F.struct(F.lit(None).cast("int").alias("level"), F.lit(None).cast("int").alias("depth"), F.lit(0).alias("n"))
     jump = lambda a, x: F.struct(x["level"].alias("level"), x["depth"].alias("depth"), (a["n"] + F.coalesce((x["depth"] > a["depth"] + 1).cast("int"), F.lit(0)) + F.coalesce((x["level"] > a["level"] + 1).cast("int"), F.lit(0))).alias("n"))
-    rows = rows.withColumn("__walk", F.aggregate("__raw", state, walk))
+    walked = T.contains_any(text, ("```",)) | (zh & F.contains(text, F.lit('"')))
+    rows = rows.withColumn("__walk", F.when(walked, F.aggregate(raw, state, walk)).otherwise(state))
     counts = {
-        "ai": total([T.count(text, T.FLAGS + p) for p, _ in P.AI_PATTERNS]),
-        "filler": total([T.count(text, w) for w in P.FILLERS]),
-        "figure_table": gaps(P.FIGURE) + gaps(P.TABLE),
-        "quote": F.when(F.col("__language") == "zh", F.col("__walk.quotes")).otherwise(T.count(text, "[“”]")),
-        "empty": F.when(hint, F.aggregate("__raw", F.lit(0), lambda n, x: n + says_nothing(x))).otherwise(F.lit(0)),
-        "term": total([(F.size(F.array_distinct(F.regexp_extract_all("__body", F.lit(T.FLAGS + p), F.lit(1)))) > 1).cast("int") for p, _ in P.TERM_VARIANTS]),
+        "ai": total([where(h, T.count(text, T.FLAGS + p)) for (p, _), h in zip(P.AI_PATTERNS, P.AI_HINTS, strict=True)]),
+        "filler": total([where((w,), T.count(text, w)) for w in P.FILLERS]),
+        "figure_table": where((P.FIGURE,), gaps(P.FIGURE)) + where((P.TABLE,), gaps(P.TABLE)),
+        "quote": F.when(zh, F.col("__walk.quotes")).otherwise(where(("“", "”"), T.count(text, "[“”]"))),
+        "empty": where(P.EMPTY_HINTS, F.aggregate(raw, F.lit(0), lambda n, x: n + says_nothing(x))),
+        "term": total([x.isNotNull().cast("int") for x in _term_ways("__body")]),
         "code": F.col("__walk.fences") % 2 + (F.col("__walk.bare") > 0).cast("int"),
-        "section": F.aggregate(numbered, first, jump, lambda a: a["n"]),
+        "section": where(("##",), F.aggregate(numbered, first, jump, lambda a: a["n"])),
     }
-    return rows.select(*keep, F.col("__language").alias("language"), F.size("__raw").cast("bigint").alias("lines"), *[c.cast("bigint").alias(f"n_{k}") for k, c in counts.items()])
+    return rows.select(*keep, F.col("__language").alias("language"), T.line_count("text").cast("bigint").alias("lines"), *[c.cast("bigint").alias(f"n_{k}") for k, c in counts.items()])
 
 
 def audit_report(docs: DataFrame) -> DataFrame:

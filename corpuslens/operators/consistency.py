@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -25,20 +25,19 @@ def check_delay(docs: DataFrame) -> DataFrame:
 
 def check_quantities(docs: DataFrame) -> DataFrame:
     """``(doc_id, key, values, first_line, n)``: a quantity with several values, none of whose contexts speaks of examples."""
-    found = T.find_all(docs, [("quantity", T.ANY_CASE + P.QUANTITY)], groups=(1, 2, 3))
-    found = found.join(docs.select("doc_id", F.col("text").alias("__all")), "doc_id")
-    at = F.greatest(F.lit(0), F.col("start") - P.CONTEXT)
-    around = F.substring(F.col("__all"), (at + 1).cast("int"), (F.col("start") + P.CONTEXT - at).cast("int"))
-    rows = found.select("doc_id", F.concat_ws("|", "g1", "g3").alias("key"), F.col("g2").alias("value"), "start", "line_no", around.rlike(T.FLAGS + P.PLACEHOLDER).alias("example"))
+    found = T.find_all(docs, [("quantity", T.ANY_CASE + P.QUANTITY)], groups=(1, 2, 3), hints={"quantity": P.QUANTITY_HINTS}, context=(P.CONTEXT, P.CONTEXT))
+    rows = found.select("doc_id", F.concat_ws("|", "g1", "g3").alias("key"), F.col("g2").alias("value"), "line_no", F.col("context").rlike(T.FLAGS + P.PLACEHOLDER).alias("example"))
     got = rows.groupBy("doc_id", "key").agg(F.sort_array(F.collect_set("value")).alias("values"), F.bool_or("example").alias("example"), F.min("line_no").alias("first_line"), F.count("*").alias("n"))
     return got.where((F.size("values") > 1) & ~F.col("example")).select("doc_id", "key", F.array_join("values", ", ").alias("values"), "first_line", "n")
 
 
 def check_placeholder_leak(docs: DataFrame) -> DataFrame:
     """``(doc_id, line_no, hexes, sample)``: a placeholder line with hexadecimal values from 3 lines before to 6 after."""
-    rows = docs.select("doc_id", F.posexplode(split_lines("text")).alias("at", "line"))
-    w = Window.partitionBy("doc_id").orderBy("at").rowsBetween(-3, 6)
-    rows = rows.withColumn("near", F.array_join(F.collect_list("line").over(w), "\n")).where(F.col("line").rlike(T.FLAGS + P.PLACEHOLDER))
+    rows = docs.where(T.contains_any("text", P.PLACEHOLDER_HINTS) & F.contains("text", F.lit("0x"))).select("doc_id", split_lines("text").alias("all"))
+    found = F.filter(F.transform("all", lambda x, i: F.when(x.rlike(T.FLAGS + P.PLACEHOLDER), F.struct(i.alias("at"), x.alias("line")))), lambda x: x.isNotNull())
+    low = lambda x: F.greatest(x["at"] - 2, F.lit(1))
+    near = F.transform(found, lambda x: F.struct(x["at"].alias("at"), x["line"].alias("line"), F.array_join(F.slice("all", low(x), x["at"] + 7 - low(x) + 1), "\n").alias("near")))
+    rows = rows.select("doc_id", F.inline(near))
     hexes = F.regexp_extract_all("near", F.lit(T.FLAGS + P.HEX), F.lit(0))
     return rows.where(F.size(hexes) > 0).select("doc_id", (F.col("at") + 1).alias("line_no"), F.array_join(F.slice(hexes, 1, 3), ",").alias("hexes"), F.substring(T.trimmed("line"), 1, 90).alias("sample"))
 

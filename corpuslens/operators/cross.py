@@ -100,7 +100,10 @@ def sync_signals(diffs: DataFrame) -> DataFrame:
 
 def sync_check(diffs: DataFrame, docs: DataFrame, sets: DataFrame) -> DataFrame:
     """``(doc_set_id, doc_id, finding, kind, key)``: "stale" where a document still has a removed key, "missing" where it lacks an added one."""
-    pairs = sync_signals(diffs).join(sets.select("doc_set_id", "doc_id"), "doc_set_id").join(docs.select("doc_id", "text"), "doc_id")
-    has = F.contains("text", F.col("key"))
-    finding = F.when((F.col("op") == "removed") & has, "stale").when((F.col("op") == "added") & ~has, "missing")
-    return pairs.select("doc_set_id", "doc_id", finding.alias("finding"), "kind", "key").where("finding IS NOT NULL")
+    signals = sync_signals(diffs).groupBy("doc_set_id").agg(F.collect_list(F.struct("op", "kind", "key")).alias("signals"))
+    of_doc = sets.select("doc_id", "doc_set_id").join(signals, "doc_set_id")
+    rows = docs.select("doc_id", "text").join(of_doc, "doc_id")
+    has = lambda x: F.contains("text", x["key"])
+    finding = lambda x: F.when((x["op"] == "removed") & has(x), "stale").when((x["op"] == "added") & ~has(x), "missing")
+    found = F.filter(F.transform("signals", lambda x: F.struct(finding(x).alias("finding"), x["kind"].alias("kind"), x["key"].alias("key"))), lambda x: x["finding"].isNotNull())
+    return rows.select("doc_set_id", "doc_id", F.inline(found))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,27 +13,31 @@ from .relations import lines
 HEADING, IMAGE, BULLET, NUMBER = r"^(#{1,6})\s+(.*)$", r"^!\[(.*?)\]\((.*?)\)$", r"^[-*•]\s+(.*)$", r"^(\d+)[.、)]\s+(.*)$"
 
 
-def _blocks(docs: DataFrame, fences: bool = True) -> DataFrame:
-    """Lines with ``in_table``, ``start_line`` of their table and ``offset`` in it.
+def _blocks(docs: DataFrame, fences: bool = True) -> tuple[DataFrame, DataFrame]:
+    """(lines of tables, all other lines), the former with ``start_line`` of their table, ``offset`` in it and ``rule``.
 
-    A run of lines that begin with a pipe holds a table from the first line that a rule follows.
+    A run of lines that begin with a pipe holds a table from the first line that a
+    rule follows. Only such lines are numbered by windows; others stay where they are.
     """
     rows = lines(docs)
     code = (F.col("is_fence") | F.col("in_code")) if fences else F.lit(False)
-    order = Window.partitionBy("doc_id").orderBy("line_no")
+    is_rule = lambda c: T.trimmed(c).rlike(T.FLAGS + P.TABLE_RULE)
     piped = F.startswith("stripped", F.lit("|")) & ~code
-    rows = rows.withColumn("piped", piped).withColumn("rule", F.col("stripped").rlike(T.FLAGS + P.TABLE_RULE) & F.col("raw").isNotNull())
-    rows = rows.withColumn("head", F.col("piped") & F.coalesce(F.lead("rule").over(order) & (~F.lead(code).over(order) if fences else F.lit(True)), F.lit(False)))
-    rows = rows.withColumn("run", F.sum((~F.col("piped")).cast("int")).over(order))
-    in_run = Window.partitionBy("doc_id", "run", "piped").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("start_line", F.when(F.col("piped"), F.min(F.when(F.col("head"), F.col("line_no"))).over(in_run)))
-    # A rule that does not begin with a pipe ends the table's run, yet belongs to its head.
-    return rows.withColumn("in_table", F.col("start_line").isNotNull()).withColumn("offset", F.col("line_no") - F.col("start_line"))
+    opened = F.startswith(T.trimmed("next_raw"), F.lit("```")) if fences else F.lit(False)
+    rows = rows.withColumn("piped", piped).withColumn("head", F.col("piped") & F.coalesce(is_rule("next_raw") & ~opened, F.lit(False)))
+    order = Window.partitionBy("doc_id").orderBy("line_no")
+    runs = rows.where("piped").withColumn("run", F.col("line_no") - F.row_number().over(order))
+    in_run = Window.partitionBy("doc_id", "run").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
+    runs = runs.withColumn("start_line", F.min(F.when(F.col("head"), F.col("line_no"))).over(in_run))
+    runs = runs.withColumn("offset", F.col("line_no") - F.col("start_line")).withColumn("rule", is_rule("stripped"))
+    keep = ["doc_id", "line_no", "raw", "stripped", "is_fence", "in_code"]
+    inside = runs.where("start_line IS NOT NULL").select(*keep, "start_line", "offset", "rule")
+    return inside, rows.where("NOT piped").select(*keep).unionByName(runs.where("start_line IS NULL").select(*keep))
 
 
 def table_rows(docs: DataFrame, fences: bool = True) -> DataFrame:
     """``(doc_id, start_line, line_no, offset, is_rule, cells)`` of the lines of tables; offset 1 is the rule below the head."""
-    rows = _blocks(docs, fences).where("in_table")
+    rows, _ = _blocks(docs, fences)
     return rows.select("doc_id", "start_line", "line_no", "offset", F.col("rule").alias("is_rule"), T.cells("stripped").alias("cells"))
 
 
@@ -52,18 +55,19 @@ def md_events(docs: DataFrame) -> DataFrame:
     image, quote, bullet, number and para. Blank lines and ``---`` give none. Only headings have a level above 0.
     """
     s = F.col("stripped")
-    rows = _blocks(docs).where("NOT is_fence").where(F.col("in_code") | ~s.isin("", "---"))
+    tables, rows = _blocks(docs)
+    rows = rows.where("NOT is_fence").where(F.col("in_code") | ~s.isin("", "---"))
     part = lambda p, g: F.regexp_extract(s, T.FLAGS + p, g)
     of = lambda p: s.rlike(T.FLAGS + p)
-    table = F.col("in_table")
-    kind = F.when(F.col("in_code"), "code").when(table, "table").when(of(HEADING), "heading").when(of(IMAGE), "image").when(F.startswith(s, F.lit(">")), "quote").when(of(BULLET), "bullet").when(of(NUMBER), "number").otherwise("para")
-    rows = rows.withColumn("kind", kind)
-    text = F.when(F.col("kind") == "code", F.col("raw")).when(F.col("kind") == "table", F.array_join(T.cells("stripped"), "\x1f")).when(F.col("kind") == "heading", part(HEADING, 2)).when(F.col("kind") == "image", part(IMAGE, 1)).when(F.col("kind") == "quote", T.trimmed(F.regexp_replace(s, "^>+", ""))).when(F.col("kind") == "bullet", part(BULLET, 1)).when(F.col("kind") == "number", part(NUMBER, 2)).otherwise(s)
-    rows = rows.withColumn("body", text).withColumn("level", F.when(F.col("kind") == "heading", F.length(part(HEADING, 1)))).withColumn("at", F.coalesce("start_line", "line_no"))
-    shown = F.when((F.col("kind") != "table") | ~F.col("rule"), F.struct("line_no", F.col("body").alias("body")))
-    events = rows.groupBy("doc_id", "at", "kind").agg(F.max("level").alias("level"), F.array_sort(F.collect_list(shown)).alias("parts"))
-    seq = F.row_number().over(Window.partitionBy("doc_id").orderBy("at")) - 1
-    return events.select("doc_id", seq.alias("seq"), F.col("at").alias("line_no"), "kind", F.coalesce("level", F.lit(0)).alias("level"), F.array_join(F.transform("parts", lambda p: p["body"]), "\n").alias("text"))
+    event = lambda kind, text, level=0: F.struct(F.lit(kind).alias("kind"), F.lit(level).alias("level") if isinstance(level, int) else level.alias("level"), text.alias("text"))
+    found = F.when(F.col("in_code"), event("code", F.col("raw"))).when(of(HEADING), event("heading", part(HEADING, 2), F.length(part(HEADING, 1)))).when(of(IMAGE), event("image", part(IMAGE, 1)))
+    found = found.when(F.startswith(s, F.lit(">")), event("quote", T.trimmed(F.regexp_replace(s, "^>+", "")))).when(of(BULLET), event("bullet", part(BULLET, 1))).when(of(NUMBER), event("number", part(NUMBER, 2))).otherwise(event("para", s))
+    events = rows.select("doc_id", "line_no", found.alias("e")).select("doc_id", "line_no", "e.kind", "e.level", "e.text")
+    shown = F.when(~F.col("rule"), F.struct("line_no", F.array_join(T.cells("stripped"), "\x1f").alias("body")))
+    whole = tables.groupBy("doc_id", "start_line").agg(F.array_sort(F.collect_list(shown)).alias("parts"))
+    whole = whole.select("doc_id", F.col("start_line").alias("line_no"), F.lit("table").alias("kind"), F.lit(0).alias("level"), F.array_join(F.transform("parts", lambda p: p["body"]), "\n").alias("text"))
+    seq = F.row_number().over(Window.partitionBy("doc_id").orderBy("line_no")) - 1
+    return events.unionByName(whole).select("doc_id", seq.alias("seq"), "line_no", "kind", "level", "text")
 
 
 def md_event_counts(docs: DataFrame) -> DataFrame:
@@ -77,7 +81,8 @@ def md_to_html(docs: DataFrame) -> DataFrame:
     Runs of list items or quoted lines become one element; bold and code are set in paragraphs only.
     """
     s, esc = F.col("stripped"), T.html_escaped
-    rows = _blocks(docs)
+    tables, others = _blocks(docs)
+    rows = tables.withColumn("in_table", F.lit(True)).unionByName(others.withColumn("in_table", F.lit(False)), allowMissingColumns=True)
     of = lambda p: s.rlike(T.FLAGS + p)
     part = lambda p, g: esc(F.regexp_extract(s, T.FLAGS + p, g))
     kind = F.when(F.col("is_fence") & ~F.col("in_code"), "open").when(F.col("is_fence"), "close").when(F.col("in_code"), "code").when(F.col("in_table"), "table").when(of(HEADING), "heading").when(of(IMAGE), "image").when(F.startswith(s, F.lit(">")), "quote").when(of(BULLET), "bullet").when(of(NUMBER), "number").when(s.isin("---", "***"), "hr").when(s == "", "blank").otherwise("para")
@@ -123,76 +128,102 @@ def inline_runs(events: DataFrame) -> DataFrame:
     return events.select("doc_id", "seq", F.posexplode(kept).alias("run_no", "r")).select("doc_id", "seq", "run_no", "r.style", "r.text")
 
 
-def _renumber(docs: DataFrame, kind: str) -> DataFrame:
-    """``(doc_id, text, n_captions)`` with the captions of a kind numbered 1..n in their order, and references following them."""
-    ref = T.FLAGS + kind + r"\s*(\d+)"
-    # The line that the match ends in decides whether it is a caption; a caption is a match that begins its line.
-    before = F.substring(F.col("__all"), F.lit(1), F.col("start").cast("int"))
-    rest = F.expr("substring(__all, start + 1)")
-    found = T.find_all(docs.withColumn("__all", F.col("text")), [(kind, ref)], groups=(1,), keep=("doc_id", "__all"))
-    begins = (F.col("start") == 0) | F.endswith(before, F.lit("\n"))
-    found = found.withColumn("old", T.to_number("g1")).withColumn("is_caption", begins & rest.rlike(rf"(?Ud)\A{kind}\s*\d+[^。！？\n]{{0,{P.CAPTION_MOST}}}(?=\n|\z)"))
-    w = Window.partitionBy("doc_id").orderBy("nth")
-    found = found.withColumn("new", F.when(F.col("is_caption"), F.sum(F.col("is_caption").cast("int")).over(w)))
-    mapping = found.where("is_caption").groupBy("doc_id", "old").agg(F.max_by("new", "nth").alias("mapped"))
-    found = found.join(mapping, ["doc_id", "old"], "left").withColumn("number", F.coalesce(F.col("new").cast("string"), F.col("mapped").cast("string"), F.col("old").cast("string")))
-    done = found.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("nth", "number"))), lambda x: x["number"]).alias("numbers"), F.sum(F.col("is_caption").cast("int")).alias("n_captions")).where("n_captions > 0")
-    gaps = F.split("text", ref, -1)
-    renumbered = F.array_join(F.transform(gaps, lambda g, i: F.concat(g, F.coalesce(F.concat(F.lit(kind), F.get("numbers", i)), F.lit("")))), "")
-    out = docs.join(done, "doc_id", "left")
-    return out.select("doc_id", F.when(F.col("n_captions") > 0, renumbered).otherwise(F.col("text")).alias("text"), F.coalesce("n_captions", F.lit(0)).alias("n_captions"))
+def _renumbered(docs: DataFrame, kind: str, count: str) -> DataFrame:
+    """``docs`` with the captions of a kind numbered 1..n in their order in ``text``, references following them, and how many captions there are.
+
+    A caption is a match that begins its line, of which little follows. Numbers are
+    digits of any length; a reference to none of the captions keeps its own.
+    """
+    ref, likely = T.FLAGS + kind + r"\s*(\d+)", F.contains("text", F.lit(kind))
+    none = F.array().cast("array<string>")
+    keep = docs.columns
+    of = lambda g: F.when(likely, F.regexp_extract_all("text", F.lit(ref), F.lit(g))).otherwise(none)
+    rows = docs.select(*keep, of(0).alias("__found"), of(1).alias("__digits"), F.when(likely, F.split("text", ref, -1)).otherwise(none).alias("__gaps"))
+    gaps, found = F.col("__gaps"), F.col("__found")
+    begins = lambda i: F.endswith(F.get(gaps, i), F.lit("\n")) | ((i == 0) & (F.get(gaps, i) == ""))
+    # What follows the match, as far as it matters.
+    tail = lambda i: F.concat(F.left(F.get(gaps, i + 1), F.lit(P.CAPTION_MOST + 2)), F.when(i + 1 < F.size(found), T.around(gaps, found, i + 1, after=P.CAPTION_MOST + 2)).otherwise(F.lit("")))
+    short = lambda i: tail(i).rlike(rf"(?Ud)\A[^。！？\n]{{0,{P.CAPTION_MOST}}}(\n|\z)")
+    rows = rows.withColumn("__refs", F.transform(found, lambda m, i: F.struct(T.digits(F.get("__digits", i)).alias("old"), (begins(i) & short(i)).alias("caption"), i.alias("i"))))
+    rows = rows.withColumn("__captions", F.filter("__refs", lambda r: r["caption"]))
+    rows = rows.withColumn("__places", F.transform("__captions", lambda r: r["i"])).withColumn("__olds", F.reverse(F.transform("__captions", lambda r: r["old"])))
+    rows = rows.withColumn(count, F.size("__captions").cast("bigint"))
+    own = lambda r: F.array_position("__places", r["i"])
+    last = lambda r: F.array_position("__olds", r["old"])
+    new = lambda r: F.when(r["caption"], own(r).cast("string")).when(last(r) > 0, (F.col(count) - last(r) + 1).cast("string")).otherwise(r["old"])
+    rows = rows.withColumn("__numbers", F.transform("__refs", new))
+    out = F.array_join(F.transform(gaps, lambda g, i: F.concat(g, F.coalesce(F.concat(F.lit(kind), F.get("__numbers", i)), F.lit("")))), "")
+    return rows.select(*[F.when(F.col(count) > 0, out).otherwise(F.col("text")).alias("text") if c == "text" else F.col(c) for c in keep], count)
 
 
 def resequence(docs: DataFrame) -> DataFrame:
-    """``(doc_id, text, changed, n_figures, n_tables)``: figures renumbered, then tables in the result."""
-    figures = _renumber(docs.select("doc_id", "text"), P.FIGURE)
-    tables = _renumber(figures.select("doc_id", "text"), P.TABLE)
-    out = tables.join(figures.select("doc_id", F.col("n_captions").alias("n_figures")), "doc_id").join(docs.select("doc_id", F.col("text").alias("__old")), "doc_id")
-    return out.select("doc_id", "text", (F.col("text") != F.col("__old")).alias("changed"), "n_figures", F.col("n_captions").alias("n_tables"))
+    """``(doc_id, text, changed, n_figures, n_tables)``: figures renumbered, then tables in the result; each in its document's row."""
+    rows = docs.select("doc_id", "text", F.col("text").alias("__old"))
+    rows = _renumbered(_renumbered(rows, P.FIGURE, "n_figures"), P.TABLE, "n_tables")
+    return rows.select("doc_id", "text", (F.col("text") != F.col("__old")).alias("changed"), "n_figures", "n_tables")
+
+
+def _placed(events: DataFrame, side: str) -> DataFrame:
+    """Events numbered from 0 without holes, with what is compared of them, as columns of a side."""
+    at = F.row_number().over(Window.partitionBy("doc_id").orderBy("seq")) - 1
+    rows = F.transform(F.split("text", "\n", -1), lambda r: F.size(F.split(r, "\x1f", -1)))
+    clean = T.squeezed(T.without_marks("text"))
+    return events.select("doc_id", at.alias(f"{side}_seq"), F.struct("kind", "level", clean.alias("clean"), F.when(F.col("kind") == "table", rows).alias("columns")).alias(side))
+
+
+def _shifts(left: DataFrame, right: DataFrame) -> DataFrame:
+    """``(doc_id, n_left, n_right, stretches)``: an array of how far right positions run ahead of left ones, from the begin and from each image on.
+
+    Between two images on the left both sides go on one by one; an image goes on at
+    the next image on the right. Without one the rest of the left has no partner.
+    """
+    places = lambda df, side: df.groupBy("doc_id").agg(F.count("*").alias(f"n_{side}"), F.array_sort(F.collect_list(F.when(F.col(f"{side}.kind") == "image", F.col(f"{side}_seq")))).alias(f"{side}_images"))
+    both = places(left, "left").join(places(right, "right"), "doc_id", "full")
+    none = F.array().cast("array<int>")
+    both = both.select("doc_id", *[F.coalesce(f"n_{x}", F.lit(0)).alias(f"n_{x}") for x in ("left", "right")], *[F.coalesce(f"{x}_images", none).alias(f"{x}_images") for x in ("left", "right")])
+    stretch = lambda begin, shift, skipped, ends: F.struct(begin.cast("int").alias("begin"), shift.cast("int").alias("shift"), skipped.cast("int").alias("skipped"), ends.alias("ends"))
 
+    def go_on(done, i):
+        last = F.element_at(done, -1)
+        ahead = last["shift"]
+        # Without a next image nothing on the right is left for this one and what follows.
+        place = F.coalesce(F.get(F.filter("right_images", lambda j: j >= i + ahead), F.lit(0)), F.greatest("n_right", i + ahead))
+        return F.when(last["ends"], done).otherwise(F.concat(done, F.array(stretch(i, place - i, place - i - ahead, place >= F.col("n_right")))))
 
-COMPARED = "doc_id bigint, seq int, problem string, left_seq int, right_seq int"
+    first = F.array(stretch(F.lit(0), F.lit(0), F.lit(0), F.lit(False)))
+    return both.select("doc_id", "n_left", "n_right", F.aggregate("left_images", first, go_on).alias("stretches"))
 
 
 def compare_events(left: DataFrame, right: DataFrame) -> DataFrame:
     """``(doc_id, seq, problem, left_seq, right_seq)``: differences of two event streams of a document, aligned in order.
 
-    An image on the left waits for the next image on the right; a quote matches a
-    paragraph; kinds that differ are reported and passed by; tables compare by
-    rows and cells, others by text without marks and white space.
+    An image on the left waits for the next image on the right, and what the right
+    has before that is reported; a quote matches a paragraph; kinds that differ are
+    reported and passed by; tables compare by rows and cells, others by text
+    without marks and white space. Positions count from 0; -1 is none.
     """
-    clean = lambda d: d.select("doc_id", "seq", "kind", "level", T.squeezed(T.without_marks("text")).alias("clean"), "text")
-
-    def align(key, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        a, b = a.sort_values("seq").to_dict("records"), b.sort_values("seq").to_dict("records")
-        i = j = 0
-        found = []
-        while i < len(a) and j < len(b):
-            x, y = a[i], b[j]
-            note = lambda what: found.append((what, i, j))  # noqa: B023, E731
-            if x["kind"] == "image" and y["kind"] != "image":
-                note("image missing")
-                j += 1
-                continue
-            free = x["kind"] == "image" or (x["kind"], y["kind"]) == ("quote", "para")
-            if not free and x["kind"] != y["kind"]:
-                note("kind")
-            elif not free and x["kind"] == "table":
-                rows_x, rows_y = x["text"].split("\n"), y["text"].split("\n")
-                if len(rows_x) != len(rows_y):
-                    note("table rows")
-                for r, s in zip(rows_x, rows_y):
-                    if r.count("\x1f") != s.count("\x1f"):
-                        note("table columns")
-                if x["clean"] != y["clean"]:
-                    note("table cells")
-            elif not free:
-                if x["kind"] == "heading" and x["level"] != y["level"]:
-                    note("level")
-                if x["clean"] != y["clean"]:
-                    note("text")
-            i, j = i + 1, j + 1
-        found += [("left over", k, -1) for k in range(i, len(a))] + [("added", -1, k) for k in range(j, len(b))]
-        return pd.DataFrame([(key[0], n, *f) for n, f in enumerate(found)], columns=["doc_id", "seq", "problem", "left_seq", "right_seq"])
-
-    return clean(left).groupBy("doc_id").cogroup(clean(right).groupBy("doc_id")).applyInPandas(align, COMPARED)
+    a, b = _placed(left, "left"), _placed(right, "right")
+    plan = _shifts(a, b)
+    stretches = plan.select("doc_id", "n_right", F.posexplode("stretches").alias("k", "s")).select("doc_id", "k", "n_right", "s.begin", "s.shift", "s.skipped", "s.ends")
+    missing = stretches.where("skipped > 0").select("doc_id", F.col("begin").alias("left_seq"), F.explode(F.sequence(F.col("begin") + F.col("shift") - F.col("skipped"), F.col("begin") + F.col("shift") - 1)).alias("right_seq"), F.lit(0).alias("rank"), F.lit("image missing").alias("problem"))
+    # The image's own stretch is that of its number; others belong to the last image before them.
+    images = F.sum((F.col("left.kind") == "image").cast("int")).over(Window.partitionBy("doc_id").orderBy("left_seq"))
+    of = a.withColumn("k", images).join(stretches.select("doc_id", "k", "shift", "n_right"), ["doc_id", "k"], "left")
+    at = F.col("left_seq") + F.col("shift")
+    partner = of.withColumn("right_seq", F.when(at < F.col("n_right"), at))  # stretches after one that ends have none
+    over = partner.where("right_seq IS NULL").select("doc_id", "left_seq", F.lit(-1).alias("right_seq"), F.lit(1).alias("rank"), F.lit("left over").alias("problem"))
+    x, y = lambda n: F.col(f"left.{n}"), lambda n: F.col(f"right.{n}")
+    free = (x("kind") == "image") | ((x("kind") == "quote") & (y("kind") == "para"))
+    short = F.least(F.size(x("columns")), F.size(y("columns")))
+    uneven = F.filter(F.zip_with(F.slice(x("columns"), F.lit(1), short), F.slice(y("columns"), F.lit(1), short), lambda m, n: m != n), lambda d: d)
+    differs = x("clean") != y("clean")
+    table = F.concat(F.when(F.size(x("columns")) != F.size(y("columns")), F.array(F.lit("table rows"))).otherwise(F.array()), F.transform(uneven, lambda d: F.lit("table columns")), F.when(differs, F.array(F.lit("table cells"))).otherwise(F.array()))
+    other = F.array_compact(F.array(F.when((x("kind") == "heading") & (x("level") != y("level")), F.lit("level")), F.when(differs, F.lit("text"))))
+    found = F.when(free, F.array().cast("array<string>")).when(x("kind") != y("kind"), F.array(F.lit("kind"))).when(x("kind") == "table", table).otherwise(other)
+    pairs = partner.where("right_seq IS NOT NULL").join(b, ["doc_id", "right_seq"]).select("doc_id", "left_seq", "right_seq", F.posexplode(found).alias("rank", "problem"))
+    pairs = pairs.withColumn("rank", F.col("rank") + 2)
+    ends = plan.select("doc_id", "n_left", "n_right", F.element_at("stretches", -1)["shift"].alias("shift")).where(~F.element_at("stretches", -1)["ends"])
+    added = ends.where((F.col("n_left") + F.col("shift")) < F.col("n_right")).select("doc_id", F.lit(-1).alias("left_seq"), F.explode(F.sequence(F.col("n_left") + F.col("shift"), F.col("n_right") - 1)).alias("right_seq"), F.lit(0).alias("rank"), F.lit("added").alias("problem"))
+    every = missing.unionByName(over).unionByName(pairs).unionByName(added)
+    order = Window.partitionBy("doc_id").orderBy(F.col("left_seq") < 0, "left_seq", "rank", "right_seq")
+    return every.select("doc_id", (F.row_number().over(order) - 1).alias("seq"), "problem", "left_seq", "right_seq")

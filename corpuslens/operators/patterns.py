@@ -16,6 +16,8 @@ AI_PATTERNS = [
     (r"具有重要意义|值得关注|不可忽视|具有深远", "空话短语"),
     (r"不断|持续优化|进一步加强|深入推进", "虚化动词"),
 ]
+#: For each of the patterns above, literals without any of which a text has no match.
+AI_HINTS = [("角度看", "维度看", "层面看", "视角看"), ("等途径",), ("首先",), ("不仅",), ("面对",), ("发挥",), ("提供了",), ("综上所述", "总的来说", "总而言之"), ("的体现", "的证明", "的保障", "的关键"), ("全方位", "多层次", "复合型", "一体化"), ("赋能", "抓手", "闭环", "一站式", "无缝对接"), ("具有重要意义", "值得关注", "不可忽视", "具有深远"), ("不断", "持续优化", "进一步加强", "深入推进")]
 FILLERS = ["的话", "这块儿", "说白了", "一般来说", "某种程度上", "众所周知"]
 FILLER_LABEL = "口语填充词"
 #: Headings without content, and lines without content.
@@ -34,6 +36,9 @@ TERM_VARIANTS = [
     (r"\b(H3|h3)\b", "H3"),
     (r"\b(HTTP|Http|http)\b", "HTTP"),
 ]
+#: The spellings that each of the patterns above looks for.
+SPELLINGS = [tuple(p[3:-3].split("|")) for p, _ in TERM_VARIANTS]
+EMPTY_HINTS = ("具有重要意义", "值得关注", "不可忽视", "值得肯定", "意义重大", "综上所述", "总的来说", "总之", "的体现", "的证明", "的保障")
 FIGURE, TABLE = "图", "表"
 SECTION = r"^(#{2,4})\s+(\d+(?:\.\d+)*)\.?\s"
 #: (kind, weight, cap) of the score.
@@ -44,6 +49,8 @@ DELAY = r"(往返时延|往返时间|RTT|round[- ]trip)"
 HALF = r"(一半|单程|半个往返)"
 ONE_WAY = "单程"
 QUANTITY = r"(窗口(?:大小)?|时延|延迟|往返时延|RTT|序号|确认号|字数|文件大小|耗时)[：: =约为]*\s*([0-9]+(?:\.[0-9]+)?)\s*(ms|毫秒|s|秒|字|KB|MB|bytes?)"
+QUANTITY_HINTS = ("窗口", "时延", "延迟", "RTT", "rtt", "Rtt", "序号", "确认号", "字数", "文件大小", "耗时")
+PLACEHOLDER_HINTS = ("占位", "待填", "待补充", "示例", "示意")
 PLACEHOLDER = r"(占位|待填|待补充|示例|示意)"
 HEX = r"0x[0-9A-Fa-f]{2,4}"
 RELATIVE = r"(相对序号|relative sequence)"

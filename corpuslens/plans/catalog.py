@@ -13,7 +13,7 @@ from . import fixtures as X
 
 
 def _raw(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return relations.documents(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return relations.documents(X.table(spark, sf_dir, "doc_id", "text"))
 
 
 def _of(expression: str, check):
@@ -68,22 +68,24 @@ def inline_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return markdown.inline_runs(markdown.md_events(X.derived(spark, sf_dir, X.MARKDOWN)).where("kind = 'para'"))
 
 
-def _sources(spark: SparkSession) -> DataFrame:
-    from pathlib import Path
-
-    return files.source_files(spark, str(Path(__file__).resolve().parents[1] / "sources"))
+def _sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return files.source_files(X.tree(spark, sf_dir), exclude=X.EXCLUDED)
 
 
 def source_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _sources(spark).select("path", "length")
+    return _sources(spark, sf_dir).select("path", "length")
 
 
 def source_line_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return files.source_line_counts(_sources(spark))
+    return files.source_line_counts(_sources(spark, sf_dir))
 
 
 def source_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return files.source_summary(_sources(spark))
+    return files.source_summary(_sources(spark, sf_dir))
+
+
+def source_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return files.source_listing(_sources(spark, sf_dir))
 
 
 def queries() -> dict:
@@ -98,4 +100,4 @@ def queries() -> dict:
     for expression, checks in ((X.CONSISTENCY, on_consistency), (X.MARKDOWN, on_markdown), (X.FACTS, on_facts)):
         out |= {k: _of(expression, f) for k, f in checks.items()}
     out |= {k: _across(getattr(cross, k)) for k in ("cross_versions", "cross_numbers", "cross_terms", "cross_modules")}
-    return out | {f.__name__: f for f in (sync_signals, sync_check, compare_events, inline_runs, source_files, source_line_counts, source_summary)}
+    return out | {f.__name__: f for f in (sync_signals, sync_check, compare_events, inline_runs, source_files, source_line_counts, source_summary, source_listing)}

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.files import spread
+
 
 def _lines(*lines: str) -> str:
     return " || chr(10) || ".join("'" + line.replace("'", "''") + "'" for line in lines)
@@ -20,7 +22,7 @@ def _when(test: str, *lines: str) -> str:
 
 _ZH = _lines(
     "本节说明系统的部署步骤与运行环境要求，用户应先检查配置。",
-    '这里用了英文引号 "x" 不合适。',
+    '按钮 "保存" 位于右上角。',
     "从用户角度看，系统不仅稳定而且高效，这是质量的保障。",
     "综上所述，该方案具有重要意义，能够赋能业务并不断改进。",
     "众所周知，一般来说可行的话就行。",
@@ -66,19 +68,41 @@ _MARKDOWN_LINES = [
 ]
 MARKDOWN = " || ".join([_TITLE, "text", *_MARKDOWN_LINES])
 DIFF = "'--- a/doc' || chr(10) || '+++ b/doc' || chr(10) || '-old 10 MB and v2.1.0' || chr(10) || '+new 30 个 and v3.' || CAST(doc_set_id % 7 AS string) || '.0' || chr(10) || ' same 40% and 9.9.9'"
+#: Paths of documents as files of a source tree: folders, names and extensions, some of them noise.
+_FOLDERS = ("src", "lib/core", "node_modules/pkg", "docs/build", "web/.git-old", "src/generated")
+_NAMES = ("main.py", "view.TSX", "notes.md", "app.min.js", "types.d.ts.map", "Dockerfile.dev", "Makefile", "data.json", "query.sql")
+
+
+def _choice(of: str, values: tuple[str, ...]) -> str:
+    return "CASE " + f"{of} % {len(values)} " + " ".join(f"WHEN {i} THEN '{v}'" for i, v in enumerate(values)) + " END"
+
+
+TREE = f"{_choice('doc_id', _FOLDERS)} || '/d' || CAST(doc_id AS string) || '/' || {_choice('doc_id', _NAMES)}"
+EXCLUDED = ("src/generated",)
 #: Documents of one set; a companion set is an argument of the checks.
 SET_OF = "CAST(floor(doc_id / 3) AS bigint)"
 
 
+def table(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    """Columns of the table of documents."""
+    return spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select(*columns))
+
+
+def tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(path, length, content)``: the documents as files of a source tree."""
+    content = F.expr("CAST(coalesce(text, '') AS binary)")
+    return table(spark, sf_dir, "doc_id", "text").select(F.expr(TREE).alias("path"), F.length(content).cast("bigint").alias("length"), content.alias("content"))
+
+
 def derived(spark: SparkSession, sf_dir: str, expression: str) -> DataFrame:
     """``(doc_id, text)`` of the table of documents with ``expression`` as text."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    docs = table(spark, sf_dir, "doc_id", "text")
     return docs.select("doc_id", F.expr(expression).alias("text"))
 
 
 def audit_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(doc_id, text)``: the whole text of every document with lines added, and Chinese documents as further rows of negative ids."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    docs = table(spark, sf_dir, "doc_id", "text")
     chinese = docs.where("doc_id % 5 = 0").select((-1 - F.col("doc_id")).alias("doc_id"), F.expr(CHINESE).alias("text"))
     return docs.select("doc_id", F.expr(AUDIT).alias("text")).unionAll(chinese)
 

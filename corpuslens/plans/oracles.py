@@ -60,7 +60,7 @@ def _filler() -> str:
 def _gaps() -> str:
     parts = " UNION ALL ".join(_hits(_AUDIT, k + r"\s*\d+", label=_quoted(k)) for k in (P.FIGURE, P.TABLE))
     return f"""
-SELECT doc_id, label AS kind, nth AS seq, found, expected FROM (
+SELECT doc_id, label AS kind, nth AS seq, CAST(found AS VARCHAR) AS found, CAST(expected AS VARCHAR) AS expected FROM (
   SELECT *, greatest(1, coalesce(max(found) OVER (PARTITION BY doc_id, label ORDER BY nth ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + 1) AS expected
   FROM (SELECT doc_id, label, CAST(nth AS INTEGER) AS nth, CAST(regexp_extract(text, '\\d+') AS BIGINT) AS found FROM ({parts})))
 WHERE found > expected"""
@@ -284,6 +284,52 @@ x AS (SELECT doc_set_id, doc_id, CASE WHEN op = 'removed' AND contains(text, key
 SELECT * FROM x WHERE finding IS NOT NULL"""
 
 
+def _renumber(docs: str, kind: str, count: str, more: str = "") -> str:
+    """``docs(doc_id, text, old)`` with references and captions of a kind renumbered."""
+    p = _quoted(kind + r"\s*\d+")
+    return rf"""
+SELECT doc_id, CASE WHEN len(caps) > 0 THEN array_to_string(list_transform(range(1, len(gs) + 1), lambda i: gs[i] || CASE WHEN i > len(ms) THEN '' ELSE '{kind}' || CASE
+    WHEN list_contains(caps, i) THEN CAST(list_position(caps, i) AS VARCHAR)
+    WHEN len(list_filter(caps, lambda c: ns[c] = ns[i])) > 0 THEN CAST(list_position(caps, list_max(list_filter(caps, lambda c: ns[c] = ns[i]))) AS VARCHAR) ELSE ns[i] END END), '') ELSE text END AS text, old, CAST(len(caps) AS BIGINT) AS {count}{more}
+FROM (SELECT *, list_filter(range(1, len(ms) + 1), lambda i: (ends_with(gs[i], chr(10)) OR (i = 1 AND gs[1] = '')) AND
+    regexp_matches(array_to_string(list_transform(range(i, len(ms) + 1), lambda k: CASE WHEN k = i THEN gs[k + 1] ELSE ms[k] || gs[k + 1] END), ''), '^[^。！？
+]{{0,{P.CAPTION_MOST}}}(
+|$)')) AS caps
+  FROM (SELECT *, list_transform(ms, lambda m: CAST(CAST(regexp_extract(m, '\d+') AS HUGEINT) AS VARCHAR)) AS ns
+    FROM (SELECT *, regexp_extract_all(text, {p}) AS ms, string_split_regex(text, {p}) AS gs FROM {docs})))"""
+
+
+def _resequence() -> str:
+    figures = _renumber(f"(SELECT doc_id, text, text AS old FROM {_AUDIT})", P.FIGURE, "n_figures")
+    return f"SELECT doc_id, text, text <> old AS changed, n_figures, n_tables FROM ({_renumber(f'({figures})', P.TABLE, 'n_tables', ', n_figures')})"
+
+
+def _runs() -> str:
+    p = _quoted(r"\*\*.+?\*\*|`[^`]+`|\*[^*]+?\*")
+    return rf"""
+WITH e AS (SELECT doc_id, seq, text, regexp_extract_all(text, {p}) AS ms, string_split_regex(text, {p}) AS gs FROM ({_events()}) WHERE kind = 'para'),
+b AS (SELECT doc_id, seq, unnest(flatten(list_transform(range(1, len(gs) + 1), lambda i: [{{'k': 2 * i, 'style': 'plain', 'text': gs[i]}}, {{'k': 2 * i + 1, 'style': CASE WHEN starts_with(ms[i], '**') THEN 'bold' WHEN starts_with(ms[i], '`') THEN 'code' ELSE 'italic' END,
+  'text': CASE WHEN starts_with(ms[i], '**') THEN substring(ms[i], 3, length(ms[i]) - 4) ELSE substring(ms[i], 2, length(ms[i]) - 2) END}}]))) AS r FROM e)
+SELECT doc_id, seq, CAST(row_number() OVER (PARTITION BY doc_id, seq ORDER BY r.k) - 1 AS INTEGER) AS run_no, r.style AS style, r.text AS text FROM b WHERE r.text IS NOT NULL AND (r.style <> 'plain' OR r.text <> '')"""
+
+
+def _tree() -> str:
+    """Files of the source tree that are kept."""
+    names = lambda x: "(" + ", ".join(map(_quoted, x)) + ")"
+    noise = " OR ".join([f"d IN {names(P.NOISE_FOLDERS)}", *(f"starts_with(d, {_quoted(x)})" for x in P.NOISE_PREFIXES)])
+    ends = " OR ".join(f"ends_with(path, {_quoted(x)})" for x in P.NOISE_ENDS)
+    bare = " OR ".join(f"starts_with(name, {_quoted(x)})" for x in P.BARE_NAMES)
+    out = " OR ".join(f"path = {_quoted(x)} OR starts_with(path, {_quoted(x + '/')})" for x in X.EXCLUDED)
+    return f"""
+SELECT path, text FROM (SELECT path, text, string_split(path, '/') AS parts, string_split(path, '/')[-1] AS name FROM (SELECT {X.TREE} AS path, coalesce(text, '') AS text FROM documents))
+WHERE len(list_filter(parts[1:len(parts) - 1], lambda d: {noise})) = 0 AND NOT ({ends}) AND NOT ({out})
+  AND CASE WHEN regexp_matches(name, '^.+[.][^.]+$') THEN lower(regexp_extract(name, '[.]([^.]+)$', 1)) IN {names(P.CODE_EXTENSIONS)} ELSE {bare} END"""
+
+
+_LISTED = "(SELECT path, regexp_replace(text, '\\r\\n?', chr(10), 'g') AS text FROM ({0}))"
+_N_LINES = "CAST(len(string_split(text, chr(10))) - CASE WHEN text = '' OR ends_with(text, chr(10)) THEN 1 ELSE 0 END AS BIGINT)"
+
+
 def oracle_sql() -> dict[str, str]:
     plain = f"regexp_replace(regexp_replace(regexp_replace(text, '\\*\\*(.+?)\\*\\*', '\\1', 'g'), '`([^`]+)`', '\\1', 'g'), '(^|[^*])\\*([^*]+)\\*($|[^*])', '\\1\\2\\3', 'g')"
     return {
@@ -320,6 +366,12 @@ def oracle_sql() -> dict[str, str]:
         "sync_signals": f"WITH {_signal_lines()} {_signals()}",
         "sync_check": _sync(),
         "md_tables": _tables(),
+        "resequence": _resequence(),
+        "inline_runs": _runs(),
+        "source_files": f"SELECT path, octet_length(encode(text)) AS length FROM ({_tree()})",
+        "source_line_counts": f"SELECT path, {_N_LINES} AS n_lines FROM {_LISTED.format(_tree())}",
+        "source_summary": f"SELECT count(*) AS n_files, CAST(sum(n) AS BIGINT) AS n_lines, CAST(sum(n) // 50 + count(*) // 3 + 3 AS BIGINT) AS pages FROM (SELECT {_N_LINES} AS n FROM {_LISTED.format(_tree())})",
+        "source_listing": f"SELECT path, CAST(unnest(range(1, n + 1)) AS INTEGER) AS line_no, rtrim(unnest(ls[1:n]), ' ') AS line FROM (SELECT path, {_N_LINES} AS n, string_split(text, chr(10)) AS ls FROM {_LISTED.format(_tree())})",
         "md_events": _events(),
         "md_event_counts": f"SELECT doc_id, kind, count(*) AS n FROM ({_events()}) GROUP BY doc_id, kind",
     }

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,8 +25,8 @@ def read_documents(spark: SparkSession, paths: str | list[str], strict: bool = F
         try:
             spark.read.text(p, wholetext=True).schema  # noqa: B018
             there.append(p)
-        except Exception as e:
-            if strict or "PATH_NOT_FOUND" not in str(e):
+        except AnalysisException as e:
+            if strict or e.getCondition() != "PATH_NOT_FOUND":
                 raise
     if not there:
         return spark.createDataFrame([], "doc_id bigint, path string, text string")
@@ -33,14 +34,26 @@ def read_documents(spark: SparkSession, paths: str | list[str], strict: bool = F
     return rows.select(F.xxhash64("path").alias("doc_id"), "path", T.normalised("text").alias("text"))
 
 
-def source_files(spark: SparkSession, root: str, include: tuple[str, ...] = (), exclude: tuple[str, ...] = ()) -> DataFrame:
-    """``(path, length, content)`` of the source files below ``root``, without noise; excluded prefixes never pass.
+def spread(table: DataFrame) -> DataFrame:
+    """``table`` dealt to all cores where its files make fewer partitions than there are, as one small file does; else as it is."""
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    return table.repartition(cores) if table.rdd.getNumPartitions() < cores else table
+
+
+def read_tree(spark: SparkSession, root: str) -> DataFrame:
+    """``(path, length, content)`` of all files below ``root``, paths relative to it.
 
     Spark's listing leaves out names that begin with a dot or an underscore.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     base = root if "://" in root else re.sub(r"^file:/*", "/", root)
     rel = F.regexp_replace(F.regexp_replace(F.col("path"), r"^[a-zA-Z]+:/*", "/"), "^" + re.escape("/" + re.sub(r"^[a-zA-Z]+:/*", "", base).strip("/") + "/"), "")
+    return files.select(rel.alias("path"), "length", "content")
+
+
+def source_files(files: DataFrame, include: tuple[str, ...] = (), exclude: tuple[str, ...] = ()) -> DataFrame:
+    """The source files among ``files(path, length, content)``, without noise; excluded prefixes never pass."""
+    rel = F.col("path")
     folders, name = F.slice(F.split(rel, "/"), F.lit(1), F.size(F.split(rel, "/")) - 1), F.element_at(F.split(rel, "/"), -1)
     noise = F.exists(folders, lambda d: d.isin(P.NOISE_FOLDERS) | d.rlike("^(" + "|".join(map(re.escape, P.NOISE_PREFIXES)) + ")"))
     under = lambda ps: F.lit(False) if not ps else F.exists(F.array(*map(F.lit, ps)), lambda p: (rel == p) | F.startswith(rel, F.concat(p, F.lit("/"))))
@@ -50,7 +63,16 @@ def source_files(spark: SparkSession, root: str, include: tuple[str, ...] = (),
     keep = ~noise & ~ends & known & ~under(exclude)
     if include:
         keep = keep & under(include)
-    return files.where(keep).select(rel.alias("path"), "length", "content")
+    return files.where(keep).select("path", "length", "content")
+
+
+def source_listing(files: DataFrame) -> DataFrame:
+    """``(path, line_no, line)``: what a listing prints, for each file the lines without blanks at their ends; ordered by path and number."""
+    text = F.regexp_replace(F.try_validate_utf8(F.col("content").cast("string")), "\r\n?", "\n")
+    parts = F.split(text, "\n", -1)
+    shown = F.when(F.element_at(parts, -1) == "", F.slice(parts, F.lit(1), F.size(parts) - 1)).otherwise(parts)
+    rows = files.select("path", F.posexplode(shown).alias("at", "line"))
+    return rows.select("path", (F.col("at") + 1).alias("line_no"), F.rtrim("line").alias("line")).orderBy("path", "line_no")
 
 
 def source_line_counts(files: DataFrame) -> DataFrame:

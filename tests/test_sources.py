@@ -10,10 +10,10 @@ def test_source_tree(spark, tmp_path):
         (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
         (tmp_path / name).write_text(text)
     (tmp_path / "bad.c").write_bytes(b"\xff\xfe\n\n")
-    got = files.source_files(spark, str(tmp_path), exclude=("skip",))
+    got = files.source_files(files.read_tree(spark, str(tmp_path)), exclude=("skip",))
     assert {r.path: r.n_lines for r in files.source_line_counts(got).collect()} == {"a.py": 2, "lib/b.ts": 1, "Dockerfile": 1, "bad.c": 0}
     assert tuple(files.source_summary(got).first()) == (4, 4, 4)
-    assert {r.path for r in files.source_files(spark, str(tmp_path), include=("lib",)).collect()} == {"lib/b.ts"}
+    assert {r.path for r in files.source_files(files.read_tree(spark, str(tmp_path)), include=("lib",)).collect()} == {"lib/b.ts"}
 
 
 def test_documents(spark, tmp_path):
