@@ -17,7 +17,8 @@ at their ends. Those of fewer than ``min_chars`` characters take no part in the
 near step; those of fewer than ``exact_chars`` are always kept.
 
 Defined cases: a null text has no lines; a doc_id that repeats names one
-document, whose rows keep the same line numbers; a null doc_id comes last;
+document, of which a line number that any row keeps stays in all rows; a null
+doc_id comes last, all of them as one;
 an empty table gives no rows; other columns are kept by ``dedup_lines``.
 """
 
@@ -26,9 +27,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import at_most, cut
 
 MIN_CHARS = 12
+#: A line of more occurrences gives keys at its first one only, unless so many lines are that frequent; then the bar rises.
+OFTEN, MOST_OFTEN = 64, 500_000
 #: Rows of a table that is small whatever the corpus: buckets of candidate documents.
 BUCKETS = 1 << 18
 _LINES = 2_147_483_648  # more than a text can have
@@ -61,9 +64,23 @@ def _lines(docs: DataFrame, min_chars: int) -> DataFrame:
     return lines.select(F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"), _position(F.col("doc_id"), F.col("line_no")).alias("pos"), "line")
 
 
+def _frequent(distinct: DataFrame) -> DataFrame:
+    """``(h1, __first)`` of the lines that occur often; a table of bounded size."""
+    bar = OFTEN
+    while not at_most(often := distinct.where(F.col("n") > bar), MOST_OFTEN):
+        bar *= 8
+    return often.groupBy("h1").agg(F.min("first").alias("__first"))
+
+
 def near_lines(docs: DataFrame, distinct: DataFrame, min_chars: int) -> DataFrame:
-    """``(first, near)``: for distinct lines with an earlier line at edit distance 1, the earliest position of either."""
-    keyed = _stretches(_lines(docs, min_chars).select("h1", "line")).select("key", "h1")
+    """``(first, near)``: for distinct lines with an earlier line at edit distance 1, the earliest position of either.
+
+    A key's window holds hashes of lines that agree but for one stretch, each a few
+    times at most. Lines that share a single character's deletion at one place are
+    no more than there are characters.
+    """
+    rows = _lines(docs, min_chars).join(F.broadcast(_frequent(distinct)), "h1", "left").where("__first IS NULL OR pos = __first")
+    keyed = _stretches(rows.select("h1", "line")).select("key", "h1")
     # A key is shared if two lines have it: then some row of each stands beside another line's.
     in_key = Window.partitionBy("key").orderBy("h1")
     beside = keyed.withColumn("a", F.lag("h1").over(in_key)).withColumn("z", F.lead("h1").over(in_key))
@@ -91,26 +108,31 @@ def near_lines(docs: DataFrame, distinct: DataFrame, min_chars: int) -> DataFram
     return best.join(line_of("first", "line"), "first").join(line_of("near", "other"), "near").where(F.levenshtein("line", "other", 1) >= 0).select("first", "near")
 
 
-def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, exact_chars: int | None = None) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, exact_chars: int | None = None, bound: int = 1) -> DataFrame:
     """The rows and columns of ``docs`` with the lines kept as ``text``, and ``n_lines``, ``n_exact`` and ``n_near``.
 
     n_lines counts the lines before, n_exact those removed as equal to an earlier
     line, n_near those removed for an earlier line at edit distance 1. Without
     ``exact_chars`` the exact step leaves out the lines that the near step leaves out.
+    ``bound`` is the edit distance within which lines are near: 0 (exact copies
+    only) or 1. Beyond, a line's neighbourhood grows with a power of its length.
     """
+    if bound not in (0, 1):
+        raise ValueError("bound must be 0 or 1")
     exact_chars = min_chars if exact_chars is None else exact_chars
     slim = docs.select(docs["doc_id"].cast("bigint").alias("doc_id"), docs["text"].alias("text"))
-    distinct = cut(_lines(slim, exact_chars).groupBy("h1", "h2").agg(F.min("pos").alias("first")))
-    near = near_lines(slim, distinct, min_chars)
+    distinct = cut(_lines(slim, exact_chars).groupBy("h1", "h2").agg(F.min("pos").alias("first"), F.count("*").alias("n")))
+    near = near_lines(slim, distinct, min_chars) if bound else distinct.select("first", F.col("first").alias("near")).limit(0)
     firsts = distinct.select("first").join(near, "first", "left")
     kept = firsts.select(F.floor(F.col("first") / F.lit(_LINES)).cast("decimal(19,0)").cast("bigint").alias("__doc"), (F.col("first") % F.lit(_LINES)).cast("int").alias("__line"), F.col("near").isNull().alias("__kept"))
-    kept = kept.groupBy("__doc").agg(F.collect_list(F.when(F.col("__kept"), F.col("__line"))).alias("__kept_lines"), F.collect_list(F.when(~F.col("__kept"), F.col("__line"))).alias("__near_lines"))
+    kept = kept.groupBy("__doc").agg(F.collect_set(F.when(F.col("__kept"), F.col("__line"))).alias("__k"), F.collect_set(F.when(~F.col("__kept"), F.col("__line"))).alias("__n"))
+    state = lambda c, why: F.transform(c, lambda x: F.struct(x.alias("line"), F.lit(why).alias("why")))
+    kept = kept.select("__doc", F.array_sort(F.concat(state("__k", 0), state(F.array_except("__n", "__k"), 2))).alias("__listed"))
+    # A reason for every line up to the last one listed; those between are copies.
+    ahead = lambda x, k: x["line"] - F.when(k == 0, F.lit(-1)).otherwise(F.get("__listed", k - 1)["line"]) - 1
+    kept = kept.select("__doc", F.flatten(F.transform("__listed", lambda x, k: F.concat(F.array_repeat(F.lit(1), ahead(x, k)), F.array(x["why"])))).alias("__why"))
     rows = docs.join(kept, F.coalesce(docs["doc_id"].cast("bigint"), F.lit(2**63 - 1)) == F.col("__doc"), "left")
-    none = F.array().cast("array<int>")
-    # Maps answer whether a line number is listed in constant time.
-    listed = lambda c: F.map_from_arrays(F.coalesce(c, none), F.transform(F.coalesce(c, none), lambda x: F.lit(True)))
-    rows = rows.withColumn("__state", F.struct(listed("__kept_lines").alias("kept"), listed("__near_lines").alias("near")))
-    lines = F.transform(F.split(docs["text"], "\n"), lambda x, i: F.struct(x.alias("line"), F.when((F.length(_trimmed(x)) < exact_chars) | F.map_contains_key("__state.kept", i), F.lit(0)).when(F.map_contains_key("__state.near", i), F.lit(2)).otherwise(F.lit(1)).alias("why")))
+    lines = F.transform(F.split(docs["text"], "\n"), lambda x, i: F.struct(x.alias("line"), F.when(F.length(_trimmed(x)) < exact_chars, F.lit(0)).otherwise(F.coalesce(F.get("__why", i), F.lit(1))).alias("why")))
     rows = rows.withColumn("__lines", lines)
     many = lambda k: F.coalesce(F.size(F.filter("__lines", lambda x: x["why"] == k)), F.lit(0)).cast("bigint")
     text = F.array_join(F.transform(F.filter("__lines", lambda x: x["why"] == 0), lambda x: x["line"]), "\n")

@@ -83,9 +83,9 @@ OP2_SQL = r"""
 WITH l AS (
   SELECT doc_id, unnest(string_split(text, chr(10))) AS raw, unnest(range(len(string_split(text, chr(10))))) AS no FROM documents WHERE text IS NOT NULL),
 t AS (SELECT doc_id, no, raw, trim(raw, ' ' || chr(9) || chr(13)) AS t FROM l),
-f AS (SELECT t, min((doc_id, no)) AS first, length(t) AS n FROM t WHERE length(t) >= 12 GROUP BY t),
+f AS (SELECT t, min((doc_id, no)) AS first, length(t) AS n FROM t WHERE length(t) >= 1 GROUP BY t),
 c AS (
-  SELECT a.t AS t, b.t AS o, a.n AS n, b.n AS m FROM f a JOIN f b ON abs(a.n - b.n) <= 1 AND b.first < a.first
+  SELECT a.t AS t, b.t AS o, a.n AS n, b.n AS m FROM f a JOIN f b ON abs(a.n - b.n) <= 1 AND a.n >= 12 AND b.n >= 12 AND b.first < a.first
   AND (left(a.t, least(a.n, b.n) // 2) = left(b.t, least(a.n, b.n) // 2) OR right(a.t, least(a.n, b.n) // 2) = right(b.t, least(a.n, b.n) // 2))),
 near AS (
   SELECT DISTINCT t FROM c WHERE CASE
@@ -93,7 +93,7 @@ near AS (
     WHEN n > m THEN len(list_filter(range(1, n + 1), lambda i: left(t, i - 1) || substring(t, i + 1) = o)) > 0
     ELSE len(list_filter(range(1, m + 1), lambda i: left(o, i - 1) || substring(o, i + 1) = t)) > 0 END),
 w AS (
-  SELECT t.*, CASE WHEN length(t.t) < 12 THEN 0 WHEN (t.doc_id, t.no) <> f.first THEN 1 WHEN near.t IS NOT NULL THEN 2 ELSE 0 END AS why
+  SELECT t.*, CASE WHEN length(t.t) = 0 THEN 0 WHEN (t.doc_id, t.no) <> f.first THEN 1 WHEN near.t IS NOT NULL THEN 2 ELSE 0 END AS why
   FROM t LEFT JOIN f USING (t) LEFT JOIN near USING (t))
 SELECT d.doc_id, count(w.no) AS n_lines, count(*) FILTER (why = 1) AS n_exact, count(*) FILTER (why = 2) AS n_near,
   CASE WHEN any_value(d.text) IS NULL THEN NULL ELSE sha256(coalesce(string_agg(raw, chr(10) ORDER BY no) FILTER (why = 0), '')) END AS text_sha256

@@ -60,3 +60,27 @@ def test_very_many_near_lines_and_a_long_one(spark):
 def test_empty(spark):
     docs = spark.createDataFrame([], "doc_id bigint, text string")
     assert line_dedup.dedup_lines(docs).count() == 0
+
+
+def test_a_line_on_every_document(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup, "OFTEN", 5)
+    shared, close = "Licensed under the terms of the owner.", "Licensed under the terms of the owner!"
+    rows = [(i, f"{shared}\nown line of document {i * 7919}\n{shared}") for i in range(300)] + [(500, close), (501, close[:-1])]
+    got = {r.doc_id: (r.text, r.n_lines, r.n_exact, r.n_near) for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == brute(rows, line_dedup.MIN_CHARS)
+    monkeypatch.setattr(line_dedup, "MOST_OFTEN", 0)
+    assert got == {r.doc_id: (r.text, r.n_lines, r.n_exact, r.n_near) for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+
+
+def test_repeated_and_null_ids(spark):
+    a, b, c = "the first line of all", "a second line, longer", "the first line of alk"
+    rows = [(1, f"{a}\n{b}", "x"), (1, f"{a}\n{c}", "y"), (None, f"{b}\nonly here, at the end", "z"), (None, None, "w")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, first string")
+    out = line_dedup.dedup_lines(docs)
+    assert out.columns == ["doc_id", "first", "text", "n_lines", "n_exact", "n_near"]
+    got = {r["first"]: (r.text, r.n_lines, r.n_exact, r.n_near) for r in out.collect()}
+    # Rows of one doc_id keep the same line numbers; a null doc_id comes last.
+    assert got["z"] == ("only here, at the end", 2, 1, 0) and got["w"] == (None, 0, 0, 0)
+    assert got["x"][0].startswith(a) and got["x"][1] == got["y"][1] == 2
+    exact = {r["first"]: r.n_near for r in line_dedup.dedup_lines(docs, bound=0).collect()}
+    assert set(exact.values()) == {0}
