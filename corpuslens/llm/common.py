@@ -7,6 +7,7 @@ bounded segment at a time, so no Python object is made per word.
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -180,6 +181,16 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """Writes ``df`` to a table in the shared folder and reads it again, so that its true size is known.
+
+    A checkpoint keeps the estimate of its plan, which joins multiply round by round.
+    """
+    path = f"{shared_folder(df.sparkSession)}/tables/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def at_most(df: DataFrame, rows: int) -> bool:
     """Whether ``df`` has no more than ``rows`` rows; reads no more than needed to tell."""
     return df.limit(rows + 1).count() <= rows

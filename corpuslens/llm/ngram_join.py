@@ -6,8 +6,8 @@ size band, and joined on equal parts. A key of few classes gives their pairs,
 which a dense sketch sifts by its lower bound. A key of many is left out
 wherever the sketches can do without it; classes that can't are put into a
 cluster with the others of that key. Clusters of the remaining pairs are
-verified block against block, each set sent once for each block, and linked
-classes are joined into components.
+verified block against block, where sizes allow links, each set sent once for
+each such block, and linked classes are joined into components.
 
 Defined cases: null or empty texts have empty sets and link with nothing; a
 text of fewer words than an n-gram has one n-gram, all its words; rows of one
@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import parity_sketch as sketch
-from .common import NOT_SPACE, blocks, buffers, cut, mix, shingles, words
+from .common import NOT_SPACE, at_most, blocks, buffers, cut, mix, shingles, words
 from .components import components
 
 #: A key of more classes is left out or clustered; of fewer, it gives pairs.
@@ -32,6 +32,10 @@ FREQUENT = 32
 BLOCK_MEMBERS, BLOCK_TOKENS = 256, 1 << 20
 #: Rows of a table that is small whatever the corpus: buckets of candidate ids.
 BUCKETS = 1 << 18
+#: One document of so many is looked at first for keys of very many classes; at most so many such keys are dealt out.
+SAMPLED, MOST_HOT = 16, 100_000
+#: Tasks that the classes of such a key are dealt to.
+SALTS = 64
 
 
 def token_sets(column: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -92,21 +96,37 @@ def _without_copies(docs: DataFrame, copies: DataFrame) -> DataFrame:
     return rows.join(some, "__bucket", "left_anti").union(moved).select("doc_id", "text")
 
 
-def _grouped(keys: DataFrame) -> DataFrame:
-    """Streams rows sorted by key: (false, a, b, 0) for pairs of a key of few classes, (true, key, id, spare) for each class of others."""
+def _hot_keys(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """``(key)``: keys that are frequent among a part of the documents already, so among all; a table of bounded size."""
+    part = docs.where(F.pmod(F.xxhash64("doc_id", F.lit("hot")), F.lit(SAMPLED)) == 0)
+    seen = cut(_keys(part, k, num, den).groupBy("key").agg(F.count_distinct("id").alias("n")).where(F.col("n") > FREQUENT))
+    bar = FREQUENT
+    while not at_most(hot := seen.where(F.col("n") > bar).select("key"), MOST_HOT):
+        bar *= 8
+    return hot
+
+
+def _grouped(keys: DataFrame, hot: DataFrame) -> DataFrame:
+    """Streams rows sorted by key: (false, a, b, 0) for pairs of a key of few classes, (true, key, id, spare) for each class of others.
+
+    Of a key known to be ``hot`` each class stands for itself, so its classes are dealt to many tasks.
+    """
+    marked = keys.join(F.broadcast(hot.withColumn("hot", F.lit(True))), "key", "left").select("key", "id", "spare", F.coalesce("hot", F.lit(False)).alias("hot"))
+    marked = marked.withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64("id"), F.lit(SALTS))).otherwise(F.lit(0)))
 
     def run(batches):
-        left = [np.zeros(0, np.int64)] * 3
+        left = [np.zeros(0, np.int64)] * 3 + [np.zeros(0, bool)]
         frequent = None  # the key whose first classes are out already
 
         def out(kind, a, b, c):
             return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind)), pa.array(a), pa.array(b), pa.array(c)], ["frequent", "a", "b", "spare"])
 
-        def settle(key, ident, spare, last):
+        def settle(key, ident, spare, known, last):
             nonlocal frequent, left
             start = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.zeros(0, np.int64)
             run_of = np.repeat(np.arange(len(start)), np.diff(np.append(start, len(key))))
             many = np.diff(np.append(start, len(key))) > FREQUENT
+            many |= known[start]
             if len(start) and frequent is not None and key[0] == frequent:
                 many[0] = True
             keep = 0
@@ -116,7 +136,7 @@ def _grouped(keys: DataFrame) -> DataFrame:
                 else:
                     keep = len(key) - start[-1]
             end = len(key) - keep
-            left = [x[end:] for x in (key, ident, spare)]
+            left = [x[end:] for x in (key, ident, spare, known)]
             hot = np.flatnonzero(many[run_of[:end]]) if end else np.zeros(0, np.int64)
             if len(hot):
                 yield out(True, key[hot], ident[hot], spare[hot])
@@ -130,10 +150,10 @@ def _grouped(keys: DataFrame) -> DataFrame:
                 yield out(False, np.minimum(a, b)[i], np.maximum(a, b)[i], np.zeros(int(i.sum()), np.int64))
 
         for b in batches:
-            yield from settle(*(np.concatenate([x, b.column(c).to_numpy()]) for x, c in zip(left, ("key", "id", "spare"), strict=True)), False)
+            yield from settle(*(np.concatenate([x, b.column(c).to_numpy(zero_copy_only=False)]) for x, c in zip(left, ("key", "id", "spare", "hot"), strict=True)), False)
         yield from settle(*left, True)
 
-    return keys.repartition("key").sortWithinPartitions("key", "id").mapInArrow(run, "frequent boolean, a bigint, b bigint, spare bigint")
+    return marked.repartition("key", "salt").sortWithinPartitions("key", "id").drop("salt").mapInArrow(run, "frequent boolean, a bigint, b bigint, spare bigint")
 
 
 def _sifted(pairs: DataFrame, classes: DataFrame, num: int, den: int) -> DataFrame:
@@ -152,7 +172,7 @@ def _sifted(pairs: DataFrame, classes: DataFrame, num: int, den: int) -> DataFra
     return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "n_b", "dense_a", "dense_b").mapInArrow(run, "a bigint, b bigint")
 
 
-def _verify(ids: np.ndarray, sides: np.ndarray, weights: np.ndarray, sets: list[np.ndarray], num: int, den: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _verify(ids: np.ndarray, sides: np.ndarray, weights: np.ndarray, sets: list[np.ndarray], num: int, den: int, across: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Exact links among sets: (ids with a link, a smaller id each is joined to, the weight of its partners)."""
     n = np.array([len(s) for s in sets])
     first = np.concatenate(([0], np.cumsum(n)))
@@ -174,7 +194,7 @@ def _verify(ids: np.ndarray, sides: np.ndarray, weights: np.ndarray, sets: list[
         mark[token[first[i] : first[i + 1]]] = 0
         other = n[i + 1 :]
         linked = den * common >= num * (n[i] + other - common)
-        if sides.any():  # two blocks meet: each was verified in itself elsewhere
+        if across:  # two blocks meet: each was verified in itself elsewhere
             linked &= sides[i + 1 :] != sides[i]
         for j in np.flatnonzero(linked) + i + 1:
             partners[i] += weights[j]
@@ -188,30 +208,47 @@ def _verify(ids: np.ndarray, sides: np.ndarray, weights: np.ndarray, sets: list[
 
 
 def _links(members: DataFrame, num: int, den: int) -> DataFrame:
-    """Verifies clusters. members: (cluster, id, weight, n, tokens). Returns (a, b, partners)."""
-    sizes = members.groupBy("cluster").agg(F.greatest(F.ceil(F.count("*") / F.lit(BLOCK_MEMBERS)), F.ceil(F.sum("n") / F.lit(BLOCK_TOKENS))).alias("blocks"))
-    placed = members.join(sizes, "cluster").withColumn("block", F.pmod(F.xxhash64("id", "n"), F.col("blocks")).cast("int"))
-    sent = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks").cast("int") - 1)))
-    sent = sent.select("cluster", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), (F.col("block") > F.col("other")).cast("int").alias("side"), "id", "weight", "tokens")
+    """Verifies clusters. members: (cluster, id, weight, n, tokens). Returns (a, b, partners).
+
+    A cluster is cut into bands of set sizes, so wide that similar sets are in one
+    band or in two that are next to each other, and bands into blocks. Blocks of
+    such bands meet; others can't have links.
+    """
+    band = F.floor(F.log(F.col("n").cast("double")) / F.lit(np.log(den / num * 1.001) if num < den else 1.0)).cast("int")
+    members = members.withColumn("band", band)
+    sizes = cut(members.groupBy("cluster", "band").agg(F.greatest(F.ceil(F.count("*") / F.lit(BLOCK_MEMBERS)), F.ceil(F.sum("n") / F.lit(BLOCK_TOKENS))).cast("int").alias("blocks")))
+    of_next = lambda d, name: sizes.select("cluster", (F.col("band") - d).alias("band"), F.col("blocks").alias(name))
+    known = sizes.join(of_next(1, "above"), ["cluster", "band"], "left").join(of_next(-1, "below"), ["cluster", "band"], "left")
+    placed = members.join(known, ["cluster", "band"]).withColumn("block", F.pmod(F.xxhash64("id", "n"), F.col("blocks")).cast("int"))
+    number = lambda n: F.when(F.col(n) > 0, F.sequence(F.lit(0), F.col(n) - 1)).otherwise(F.array().cast("array<int>"))
+    meeting = lambda low_band, low, high, side: F.struct(low_band.alias("low_band"), low.alias("low"), high.alias("high"), side.alias("side"))
+    own, zero, one = F.col("block"), F.lit(0), F.lit(1)
+    # Blocks of the band above are numbered from 1 << 24 on, so that they differ from those of the band itself.
+    up = 1 << 24
+    within = F.transform(number("blocks"), lambda o: meeting(F.col("band"), F.least(own, o), F.greatest(own, o), (own > o).cast("int")))
+    above = F.transform(number("above"), lambda o: meeting(F.col("band"), own, o + up, zero))
+    below = F.transform(number("below"), lambda o: meeting(F.col("band") - 1, o, own + up, one))
+    sent = placed.select("cluster", "id", "weight", "tokens", F.inline(F.concat(within, above, below)))
 
     def run(batches):
         group, now = [], None
         for t in batches:
-            for row in zip(*(t.column(c).to_pylist() for c in ("cluster", "low", "high", "side", "id", "weight", "tokens")), strict=True):
-                if row[:3] != now:
+            for row in zip(*(t.column(c).to_pylist() for c in ("cluster", "low_band", "low", "high", "side", "id", "weight", "tokens")), strict=True):
+                if row[:4] != now:
                     if len(group) > 1:
-                        yield done(group)
-                    group, now = [], row[:3]
-                group.append(row[3:])
+                        yield done(group, now)
+                    group, now = [], row[:4]
+                group.append(row[4:])
         if len(group) > 1:
-            yield done(group)
+            yield done(group, now)
 
-    def done(group):
+    def done(group, key):
         side, ident, weight = (np.array([r[i] for r in group], np.int64) for i in range(3))
-        found = _verify(ident, side, weight, [np.frombuffer(r[3], np.uint64) for r in group], num, den)
+        found = _verify(ident, side, weight, [np.frombuffer(r[3], np.uint64) for r in group], num, den, key[2] != key[3])
         return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in found], ["a", "b", "partners"])
 
-    return sent.repartition("cluster", "low", "high").sortWithinPartitions("cluster", "low", "high", "id").mapInArrow(run, "a bigint, b bigint, partners bigint")
+    keys = ["cluster", "low_band", "low", "high"]
+    return sent.repartition(*keys).sortWithinPartitions(*keys, "id").mapInArrow(run, "a bigint, b bigint, partners bigint")
 
 
 def similar_documents(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
@@ -230,8 +267,8 @@ def similar_documents(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100
     classes = cut(standing.select("id", "f1", "f2", "weight", "n", "dense").dropDuplicates(["f1", "f2"]))
     copies = cut(named.select(F.col("doc_id").alias("copy")).distinct().join(classes.select(F.col("id").alias("copy")), "copy", "left_anti"))
     # Keys are made from the texts again rather than stored: they are as large as the texts.
-    keys = _keys(_without_copies(docs, copies), k, num, den)
-    grouped = cut(_grouped(keys))
+    single = _without_copies(docs, copies)
+    grouped = cut(_grouped(_keys(single, k, num, den), _hot_keys(single, k, num, den)))
     slim = classes.select("id", "n", "dense")
     pairs = _sifted(grouped.where("NOT frequent").select("a", "b").distinct(), slim, num, den)
     # Frequent keys: classes that can't do without theirs.
@@ -266,18 +303,6 @@ def _sets(rows: DataFrame, k: int) -> DataFrame:
     return rows.select("cluster", "doc_id", "text").mapInArrow(run, "cluster bigint, id bigint, f1 bigint, f2 bigint, n bigint, tokens binary")
 
 
-def _sets(rows: DataFrame, k: int) -> DataFrame:
-    def run(batches):
-        for b in blocks(batches):
-            grams, first = token_sets(b.column("text"), k)
-            sums = [np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix(grams + np.uint64(s)), dtype=np.uint64))) for s in (3, 5)]
-            names = [mix(x[first[1:]] - x[first[:-1]]).astype(np.int64) for x in sums]
-            tokens = pa.array([grams[a:z].tobytes() for a, z in zip(first[:-1], first[1:], strict=True)], pa.binary())
-            yield pa.RecordBatch.from_arrays([b.column("cluster"), b.column("doc_id"), *_names(grams, first), pa.array(np.diff(first), pa.int64()), tokens], ["cluster", "id", "f1", "f2", "n", "tokens"])
-
-    return rows.select("cluster", "doc_id", "text").mapInArrow(run, "cluster bigint, id bigint, f1 bigint, f2 bigint, n bigint, tokens binary")
-
-
 def drop_similar(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """The rows of ``docs``, all columns, but of each component only its first document.
 

@@ -68,6 +68,19 @@ def test_frequent_keys_and_several_blocks(spark, monkeypatch):
     check(spark, corpus(3), 4, 85, 100)
 
 
+def test_hot_keys_and_hubs_are_dealt_out(spark, monkeypatch):
+    from corpuslens.llm import components as stars
+
+    monkeypatch.setattr(ngram_join, "SAMPLED", 2)
+    monkeypatch.setattr(stars, "HUB", 3)
+    rnd = random.Random(15)
+    passage = [f"p{i}" for i in range(60)]
+    rows = [(i, " ".join(w if rnd.random() > 0.01 else f"x{i}" for w in passage)) for i in range(1, 260)]
+    check(spark, rows, 4, 85, 100)
+    edges = spark.createDataFrame([(7, i) for i in range(8, 90)] + [(500, 600)], "a bigint, b bigint")
+    assert {r.id: r.component for r in components(edges).collect()} == {i: 7 for i in range(7, 90)} | {500: 500, 600: 500}
+
+
 def test_long_text_among_short_ones(spark):
     rnd = random.Random(5)
     long = " ".join(f"v{rnd.randrange(9000)}" for _ in range(60_000))
