@@ -1,16 +1,22 @@
 """Conversations of any known layout as one training text with a loss mask.
 
-A record is a JSON object. The paths of its fields, lists as ``[]``, make its
-fingerprint, which selects a mapping: where the turns are and what a turn's
-role and text are. New layouts are added as mappings, not as code. Canonical
+A record is a JSON object. The paths of its fields, lists as ``[]``, are its
+schema; a fingerprint is the hash of paths. A mapping names the paths that it
+needs, and its fingerprint is theirs; a record has the layout if the paths it
+shares with the mapping have that fingerprint, so ids, names and other fields
+beside them don't count. Of several mappings that fit, the one that needs the most
+paths is taken, the earlier one at a tie. New layouts are added as mappings, not
+as code; what a schema selects is looked up once for each schema. Canonical
 turns are written with control strings around them; control strings within roles
 and texts, those of other common templates too, get a backslash after their
 first character, which reading takes away again.
 
 Defined cases: null texts and roles are empty; a conversation without turns has
 no row; turns of equal number are ordered by role, then text; records of an
-unknown layout give a row with ``layout`` null and no turns; an empty table gives
-no rows; other columns are ignored.
+unknown layout give a row with ``layout`` null and no turns (``layout_counts``
+counts them); a list of no turns is a layout without turns; a text that is a list of parts is
+their texts, one after another; an empty table gives no rows; a null conv_id is an
+id like another; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -61,11 +67,11 @@ MAPPINGS = (
 
 
 def field_paths(value, at: str = "") -> set[str]:
-    """The nested field paths of a parsed record; ids beside the turns don't count."""
+    """The nested field paths of a parsed record, those of objects and lists included."""
     if isinstance(value, dict):
-        return set().union(*(field_paths(v, f"{at}.{k}" if at else k) for k, v in value.items()))
+        return set().union({at} - {""}, *(field_paths(v, f"{at}.{k}" if at else k) for k, v in value.items()))
     if isinstance(value, list):
-        return set().union({f"{at}[]"} if not value else set(), *(field_paths(v, f"{at}[]") for v in value))
+        return set().union({at, f"{at}[]"}, *(field_paths(v, f"{at}[]") for v in value))
     return {at}
 
 
@@ -73,16 +79,34 @@ def fingerprint(paths) -> str:
     return hashlib.sha256("\n".join(sorted(paths)).encode()).hexdigest()[:16]
 
 
-def registry(mappings: tuple[Mapping, ...] = MAPPINGS) -> dict[str, Mapping]:
-    return {fingerprint(m.paths): m for m in mappings}
+class Registry:
+    """Mappings by the fingerprint of the paths they need, the most paths first."""
+
+    def __init__(self, mappings: tuple[Mapping, ...] = MAPPINGS):
+        self.known = [(fingerprint(m.paths), frozenset(m.paths), m) for m in sorted(mappings, key=lambda m: -len(m.paths))]
+        self.seen: dict[str, Mapping | None] = {}
+
+    def select(self, record: dict) -> Mapping | None:
+        paths = field_paths(record)
+        schema = fingerprint(paths)
+        if schema not in self.seen:
+            if len(self.seen) > 10_000:
+                self.seen = {}
+            empty = [m for _, _, m in self.known if m.turns and record.get(m.turns) == []]
+            self.seen[schema] = next((m for mark, need, m in self.known if fingerprint(need & paths) == mark), empty[0] if empty else None)
+        return self.seen[schema]
 
 
 def canonical(record, mapping: Mapping) -> list[dict[str, str]]:
     """The turns of a record that has the mapping's layout."""
-    text = lambda x: "" if x is None else x if isinstance(x, str) else json.dumps(x, ensure_ascii=False)
+    def text(x) -> str:
+        if isinstance(x, list) and all(isinstance(p, str) or (isinstance(p, dict) and isinstance(p.get("text"), str)) for p in x):
+            return "".join(p if isinstance(p, str) else p["text"] for p in x)
+        return "" if x is None else x if isinstance(x, str) else json.dumps(x, ensure_ascii=False)
+
     if mapping.turns is None:
         return [{"role": role, "text": "\n\n".join(t for t in (text(record.get(n)) for n in names) if t)} for role, names in mapping.fields]
-    turns = record[mapping.turns]
+    turns = [t for t in record[mapping.turns] if isinstance(t, dict)]
     if mapping.order:
         turns = sorted(turns, key=lambda t: (t.get(mapping.order) is not None, t.get(mapping.order) or 0, text(t.get(mapping.role)), text(t.get(mapping.text))))
     names = dict(mapping.roles)
@@ -94,7 +118,7 @@ def to_turns(records: DataFrame, mappings: tuple[Mapping, ...] = MAPPINGS, id_co
     rows = records.select(records[id_column].alias("__id"), records[record_column].alias("__record"))
 
     def run(batches):
-        known = registry(mappings)
+        known = Registry(mappings)
         for b in batches:
             layouts, turns = [], []
             for raw in b.column("__record").to_pylist():
@@ -102,7 +126,7 @@ def to_turns(records: DataFrame, mappings: tuple[Mapping, ...] = MAPPINGS, id_co
                     record = json.loads(raw) if raw else None
                 except ValueError:
                     record = None
-                m = known.get(fingerprint(field_paths(record))) if isinstance(record, dict) else None
+                m = known.select(record) if isinstance(record, dict) else None
                 layouts.append(m.name if m else None)
                 turns.append(canonical(record, m) if m else [])
             kind = pa.list_(pa.struct([("role", pa.string()), ("text", pa.string())]))
@@ -112,6 +136,11 @@ def to_turns(records: DataFrame, mappings: tuple[Mapping, ...] = MAPPINGS, id_co
     return rows.mapInArrow(run, f"__id {kind}, layout string, turns {TURNS}").withColumnRenamed("__id", id_column)
 
 
+def layout_counts(turns: DataFrame) -> DataFrame:
+    """``(layout, n)`` of ``to_turns``' rows; a null layout counts the records of which none is known."""
+    return turns.groupBy("layout").agg(F.count("*").alias("n"))
+
+
 def escape(text: Column) -> Column:
     return F.regexp_replace(text, rf"([<\[])(\\*)(?={_REST})", r"$1\\$2")
 

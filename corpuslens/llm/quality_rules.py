@@ -8,7 +8,9 @@ rules into one conditional Spark expression.
 
 Defined cases: a null or empty text has zero words; it fails the base check.
 Labels that are null, of unknown documents or repeated are harmless (a
-document with both labels counts as good); without bad or good examples the
+document with both labels counts as good; of rows that share a doc_id those of the
+smallest statistics are learned from); ties of gain go to the statistic and
+threshold tried first; an empty table gives no rows; without bad or good examples the
 list is empty and only the base check rejects. Extra columns are ignored by
 the statistics and kept by ``filter_documents``.
 """
@@ -267,7 +269,8 @@ def learn_from_labels(docs: DataFrame, labels: DataFrame, max_labelled: int = MA
     marked = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("quality").alias("__good"))
     marked = marked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
     rows = docs.select("doc_id", "text").join(F.broadcast(marked), "doc_id")
-    got = document_stats(rows, ["doc_id", "__good"]).dropDuplicates(["doc_id"]).orderBy("doc_id").toPandas()
+    # Of rows that share a doc_id the one of the smallest statistics is learned from, whatever their order.
+    got = document_stats(rows, ["doc_id", "__good"]).groupBy("doc_id", "__good").agg(F.min(F.struct(*STATS)).alias("s")).select("doc_id", "__good", "s.*").orderBy("doc_id").toPandas()
     stats = {k: got[k].to_numpy() for k in STATS}
     bad = got["__good"].to_numpy() == 0
     failed = (stats["n_words"] < 20) | (100 * stats["n_repeat_words"] > 30 * stats["n_words"])

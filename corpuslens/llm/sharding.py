@@ -25,7 +25,7 @@ RANGE_BITS = 17
 #: Bytes that each row adds to its text's.
 ROW_BYTES = 8
 #: A range of more rows is counted in parts; there are no more than about 200,000 parts.
-ROWS_A_PART, MOST_PARTS = 50_000, 100_000
+ROWS_A_PART, MOST_PARTS = 512, 100_000
 
 
 def _greedy(sums: np.ndarray, at: int, end: int, cap: int, most: int) -> bool:

@@ -105,6 +105,41 @@ def test_quality_rules_learn_and_keep_clean_documents(spark):
     assert quality_rules.judge(docs.limit(0), labels).count() == 0
 
 
+def test_a_list_of_two_rules_of_two_conditions():
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    n = 6000
+    stats = {k: rng.integers(0, 100, n) for k in quality_rules.STATS}
+    stats["n_words"] = np.full(n, 100)
+    stats["n_lines"] = stats["n_letters"] = stats["word_chars"] = np.full(n, 100)
+    x = quality_rules.feature_arrays(stats)
+    # Neither condition alone tells anything; the second rule only concerns what the first leaves.
+    first = (x["symbols_per_word"] > 0.6) & (x["digit_share"] > 0.6)
+    second = (x["upper_share"] <= 0.3) & (x["marks_per_word"] > 0.7)
+    bad = first | second
+    rules = quality_rules.learn_rules(stats, bad, rng.integers(0, 3, n))
+    assert len(rules) >= 2 and all(len(r) >= 2 for r in rules[:2])
+    named = [{c.feature for c in r} for r in rules[:2]]
+    assert {"symbols_per_word", "digit_share"} in named and {"upper_share", "marks_per_word"} in named
+    found = np.any([quality_rules._covers(r, x) for r in rules], axis=0)
+    assert (found == bad).mean() > 0.97
+    # What pruning rows don't confirm is cut: noise gives no rule.
+    assert quality_rules.learn_rules(stats, rng.random(n) < 0.1, rng.integers(0, 3, n)) == []
+
+
+def test_rules_do_not_depend_on_the_order_of_repeated_rows(spark):
+    rnd = random.Random(31)
+    rows = [(i % 300, " ".join(rnd.choice(["ab", "cd#", "efg"]) for _ in range(40)) + " #" * (i % 3 * 20), "x") for i in range(600)] + [(None, None, "y"), (7, "", "z")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, n_words string")
+    labels = spark.createDataFrame([(i, int(i % 3 != 2), "q") for i in range(300)] * 2 + [(None, 0, "q"), (5, None, "q")], "doc_id bigint, quality int, text string")
+    one, two = (quality_rules.learn_from_labels(d, labels) for d in (docs, docs.orderBy("text").repartition(5)))
+    assert one == two
+    kept = quality_rules.filter_documents(docs, labels)
+    assert kept.columns == docs.columns and 0 < kept.count() < len(rows)
+    assert quality_rules.judge(docs.limit(0), labels).count() == 0 and quality_rules.judge(docs, labels.limit(0)).where("kept").count() > 0
+
+
 def test_mix_meets_targets(spark):
     rnd = random.Random(6)
     rows = [(i, None if i % 50 == 0 else " ".join("w" for _ in range(rnd.randrange(1, 200))), rnd.choice(["hot"] * 6 + ["b", "é", "z", None])) for i in range(1500)] + [(7, "w w", "b"), (7, "w w", "b"), (None, "q", "b")]
@@ -300,6 +335,31 @@ def test_chat_layouts_round_trip(spark):
         assert len(r.loss) == sum(role == "assistant" for role, _ in want[r.conv_id])
 
 
+def test_chat_layouts_tolerate_other_fields(spark):
+    import json
+
+    turns = [{"role": "user", "content": "q", "name": "ann"}, {"role": "assistant", "content": [{"type": "text", "text": "r"}, "!"]}]
+    records = [
+        (1, {"id": 7, "messages": turns, "source": {"url": "x"}}, "messages", [("user", "q"), ("assistant", "r!")]),
+        (1, {"messages": []}, "messages", []),
+        (None, {"prompt": "p", "completion": "c", "meta": [1, {"a": 2}]}, "prompt", [("user", "p"), ("assistant", "c")]),
+        (4, {"prompt": "p", "response": "r", "system": "s", "id": 1}, "system_prompt", [("system", "s"), ("user", "p"), ("assistant", "r")]),
+        (5, {"conversations": [{"from": "gpt", "value": None, "weight": 0}]}, "shared", [("assistant", "")]),
+        (6, {"messages": "not a list", "note": 1}, None, []),
+        (7, [1, 2], None, []),
+        (8, {"rows": [{"turn": 1, "role": "b", "text": "same"}, {"turn": 1, "role": "a", "text": "same"}, {"turn": None, "role": "z", "text": "x" * 2_000_000}]}, "rows", [("z", "x" * 2_000_000), ("a", "same"), ("b", "same")]),
+    ]
+    d = spark.createDataFrame([(i, json.dumps(r), "x") for i, r, *_ in records], "conv_id bigint, record string, layout string")
+    out = chat_format.to_turns(d)
+    got = sorted(((r.conv_id or 0, r.layout or "", [(t.role, t.text) for t in r.turns]) for r in out.collect()), key=str)
+    assert got == sorted(((i or 0, layout or "", turns) for i, _, layout, turns in records), key=str)
+    assert {r.layout: r.n for r in chat_format.layout_counts(out).collect()}[None] == 2
+    assert chat_format.format_records(d.limit(0)).count() == 0
+    rows = spark.createDataFrame([(None, 1, "user", "a", "z"), (None, 0, None, None, "z"), (3, None, "user", "b", "z")], "conv_id bigint, turn bigint, role string, text string, rows string")
+    back = {r.conv_id: [(t.role, t.text) for t in r.turns] for r in chat_format.to_turns(chat_format.records_from_rows(rows)).collect()}
+    assert back == {None: [("", ""), ("user", "a")], 3: [("user", "b")]}
+
+
 def brute_contamination(docs, items, n=10):
     cut = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
     windows = collections.defaultdict(set)
