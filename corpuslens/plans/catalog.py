@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import audit, consistency, cross, markdown, relations
 from ..operators import patterns as P
-from ..sources import files
+from ..sources import docx, docx_format, docx_writer, files
 from . import fixtures as X
 
 
@@ -68,6 +68,28 @@ def inline_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return markdown.inline_runs(markdown.md_events(X.derived(spark, sf_dir, X.MARKDOWN)).where("kind = 'para'"))
 
 
+def _office(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The Markdown documents as office files."""
+    return docx_writer.write_docx(markdown.md_events(X.derived(spark, sf_dir, X.MARKDOWN)))
+
+
+def docx_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return docx.docx_events(_office(spark, sf_dir))
+
+
+def docx_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Markdown events against those read back from office files."""
+    return markdown.compare_events(markdown.md_events(X.derived(spark, sf_dir, X.MARKDOWN)), docx_events(spark, sf_dir))
+
+
+def docx_format_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return docx_format.format_issues(docx_format.docx_facts(_office(spark, sf_dir)), docx_format.rules_of("academic"))
+
+
+def docx_format_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return docx_format.format_notes(docx_format.docx_facts(_office(spark, sf_dir)))
+
+
 def _sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.source_files(X.tree(spark, sf_dir), exclude=X.EXCLUDED)
 
@@ -100,4 +122,4 @@ def queries() -> dict:
     for expression, checks in ((X.CONSISTENCY, on_consistency), (X.MARKDOWN, on_markdown), (X.FACTS, on_facts)):
         out |= {k: _of(expression, f) for k, f in checks.items()}
     out |= {k: _across(getattr(cross, k)) for k in ("cross_versions", "cross_numbers", "cross_terms", "cross_modules")}
-    return out | {f.__name__: f for f in (sync_signals, sync_check, compare_events, inline_runs, source_files, source_line_counts, source_summary, source_listing)}
+    return out | {f.__name__: f for f in (sync_signals, sync_check, compare_events, inline_runs, source_files, source_line_counts, source_summary, source_listing, docx_events, docx_verify, docx_format_issues, docx_format_notes)}

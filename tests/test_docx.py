@@ -1,7 +1,7 @@
 import zipfile
 
 from corpuslens.operators import markdown, relations
-from corpuslens.sources import docx
+from corpuslens.sources import docx, docx_format, docx_writer
 
 NS = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
 
@@ -36,3 +36,31 @@ def test_events_and_page_size(spark, tmp_path):
     text = "# Title\n- item\n```\nx = 1\n```\n| a | b |\n|---|---|\n| 1 | 2 |\n**bold** text"
     left = markdown.md_events(relations.documents(spark.createDataFrame([(ids["a.docx"], text)], "doc_id bigint, text string")))
     assert markdown.compare_events(left, events.where(events.doc_id == ids["a.docx"])).count() == 0
+
+
+def test_written_files_read_back_the_same(spark):
+    text = "# Title\n\npara **b** `c` & <x>\n- item\n1. one\n> quoted\n![pic](p.png)\n| a | b |\n|---|---|\n| 1 | |\n```\nx = 1\n\n```\n#### deep\x0b"
+    left = markdown.md_events(relations.documents(spark.createDataFrame([(1, text), (2, ""), (3, None)], "doc_id bigint, text string")))
+    right = docx.docx_events(docx_writer.write_docx(left))
+    assert markdown.compare_events(left, right).count() == 0 and left.count() == right.count()
+
+
+def _styled(text, font, size, more="", bold=False):
+    return f'<w:p><w:pPr>{more}</w:pPr><w:r><w:rPr><w:rFonts w:ascii="Arial" w:eastAsia="{font}"/>{"<w:b/>" if bold else ""}<w:sz w:val="{int(size * 2)}"/></w:rPr><w:t>{text}</w:t></w:r></w:p>'
+
+
+def test_format_rules(spark, tmp_path):
+    head, image = '<w:pStyle w:val="H1"/>', '<w:p><w:r><w:drawing><wp:inline xmlns:wp="http://schemas.openxmlformats.org/drawingml/2006/wordprocessingDrawing"><wp:extent cx="{}" cy="1"/></wp:inline></w:drawing></w:r></w:p>'
+    body = _styled("一 章", "楷体", 14, head) + _styled("正文一", "宋体", 12, '<w:ind w:firstLine="480"/><w:spacing w:line="360"/>') + _styled("正文二", "隶书", 13) + _styled("封面", "宋体", 22) + _styled("图 1 总览", "宋体", 9) + _styled("居中", "x", 9, '<w:jc w:val="center"/>')
+    body += "<w:tbl><w:tr/></w:tbl><w:tbl><w:tblPr><w:tblBorders/></w:tblPr></w:tbl>" + image.format(9_000_000) + image.format(36_000) + p("x = 1", font="Consolas")
+    write(tmp_path / "bad.docx", body, (12240, 15840))
+    content = (tmp_path / "bad.docx").read_bytes()
+    files = spark.createDataFrame([(1, content), (2, b"no zip"), (3, None)], "doc_id bigint, content binary")
+    facts = docx_format.docx_facts(files)
+    got = {(r.rule, r.subject, r.n, r.of, r.detail) for r in docx_format.format_issues(facts, docx_format.rules_of("academic")).collect()}
+    assert got == {("page size", "page", 1, 1, "21.6x27.9"), ("heading font", "heading 1", 1, 1, "楷体"), ("heading not bold", "heading 1", 1, 1, ""), ("body font", "body", 2, 2, "隶书"), ("body size", "body", 2, 2, "13.0"), ("body indent", "body", 1, 2, ""), ("table border", "table", 1, 2, "1")}
+    loose = docx_format.rules_of("technical", '{"page": {"tolerance_cm": 5}, "body": {"fonts": ["宋体", "隶书"], "size_pt": [12, 13]}, "heading": {"fonts": ["楷体"], "bold_required": false}, "table": {"border_required": false}, "require_header": true}')
+    assert [r.rule for r in docx_format.format_issues(facts, loose).collect()] == ["header missing"]
+    notes = {(r.what, r.value): r.n for r in docx_format.format_notes(facts).collect()}
+    assert notes[("group", "body")] == 2 and notes[("group", "cover")] == 2 and notes[("group", "caption")] == notes[("group", "code")] == notes[("group", "heading")] == 1
+    assert notes[("indent", "24")] == 1 and notes[("spacing", "1.5")] == 1 and notes[("table", "")] == 2 and notes[("image", "")] == 2
