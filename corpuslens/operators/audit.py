@@ -160,3 +160,23 @@ def audit_report(docs: DataFrame) -> DataFrame:
 def audit_score(docs: DataFrame) -> DataFrame:
     """``(doc_id, score)``: 100 less the capped penalties."""
     return audit_report(docs).select("doc_id", "score")
+
+
+def audit_sections(docs: DataFrame, shown: int = 8) -> DataFrame:
+    """``(doc_id, section, n, items)``: what a printed report holds of each kind of finding: how many there are, and the first ones, a line each."""
+    line = lambda df, section, no, text: df.select("doc_id", F.lit(section).alias("section"), no.cast("bigint").alias("no"), text.alias("item"))
+    at = lambda *text: F.concat(F.lit("L"), F.col("line_no").cast("string"), F.lit(" "), *text)
+    parts = [
+        line(ai_flavor_hits(docs), "ai", F.col("start"), at(F.lit("["), F.col("label"), F.lit("] "), F.col("text"))),
+        line(filler_hits(docs), "filler", F.col("start"), at(F.col("text"))),
+        line(figure_table_gaps(docs), "figure_table", F.col("seq"), F.concat("kind", "found", F.lit(" / "), "kind", "expected")),
+        line(quote_issues(docs), "quote", F.col("line_no"), at(F.col("text"))),
+        line(empty_talk_issues(docs), "empty", F.col("line_no"), at(F.col("text"))),
+        line(term_variants(docs), "term", F.lit(0), F.concat("term", F.lit(": "), "variants")),
+        line(section_jumps(docs), "section", F.col("line_no"), at(F.col("number"), F.lit(" "), F.col("kind"))),
+    ]
+    rows = functools.reduce(lambda x, y: x.unionByName(y), parts)
+    order = Window.partitionBy("doc_id", "section")
+    rows = rows.withColumn("k", F.row_number().over(order.orderBy("no", "item"))).withColumn("n", F.count("*").over(order)).where(F.col("k") <= shown)
+    got = rows.groupBy("doc_id", "section", "n").agg(F.array_sort(F.collect_list(F.struct("k", "item"))).alias("items"))
+    return got.select("doc_id", "section", "n", F.array_join(F.transform("items", lambda x: x["item"]), "\n").alias("items"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -24,11 +24,12 @@ def check_delay(docs: DataFrame) -> DataFrame:
 
 
 def check_quantities(docs: DataFrame) -> DataFrame:
-    """``(doc_id, key, values, first_line, n)``: a quantity with several values, none of whose contexts speaks of examples."""
+    """``(doc_id, key, values, first_line, n, samples)``: a quantity with several values, none of whose contexts speaks of examples; samples are the first three contexts."""
     found = T.find_all(docs, [("quantity", T.ANY_CASE + P.QUANTITY)], groups=(1, 2, 3), hints={"quantity": P.QUANTITY_HINTS}, context=(P.CONTEXT, P.CONTEXT))
-    rows = found.select("doc_id", F.concat_ws("|", "g1", "g3").alias("key"), F.col("g2").alias("value"), "line_no", F.col("context").rlike(T.FLAGS + P.PLACEHOLDER).alias("example"))
-    got = rows.groupBy("doc_id", "key").agg(F.sort_array(F.collect_set("value")).alias("values"), F.bool_or("example").alias("example"), F.min("line_no").alias("first_line"), F.count("*").alias("n"))
-    return got.where((F.size("values") > 1) & ~F.col("example")).select("doc_id", "key", F.array_join("values", ", ").alias("values"), "first_line", "n")
+    rows = found.select("doc_id", F.concat_ws("|", "g1", "g3").alias("key"), F.col("g2").alias("value"), "line_no", F.struct("start", F.substring(F.replace("context", F.lit("\n"), F.lit(" ")), 1, 100).alias("text")).alias("sample"), F.col("context").rlike(T.FLAGS + P.PLACEHOLDER).alias("example"))
+    got = rows.groupBy("doc_id", "key").agg(F.sort_array(F.collect_set("value")).alias("values"), F.bool_or("example").alias("example"), F.min("line_no").alias("first_line"), F.count("*").alias("n"), F.array_sort(F.collect_list("sample")).alias("samples"))
+    samples = F.array_join(F.transform(F.slice("samples", 1, 3), lambda x: x["text"]), " | ")
+    return got.where((F.size("values") > 1) & ~F.col("example")).select("doc_id", "key", F.array_join("values", ", ").alias("values"), "first_line", "n", samples.alias("samples"))
 
 
 def check_placeholder_leak(docs: DataFrame) -> DataFrame:
@@ -68,6 +69,13 @@ def consistency_hits(docs: DataFrame) -> DataFrame:
     return out
 
 
+def consistency_report(docs: DataFrame) -> DataFrame:
+    """``(doc_id, place, level, rule, line_no, sample)``: the hits of each document, the most severe first."""
+    rank = F.element_at(F.create_map(*[F.lit(x) for pair in LEVELS.items() for x in pair]), F.col("level"))
+    order = Window.partitionBy("doc_id").orderBy(rank, "rule", "line_no", "sample")
+    return consistency_hits(docs).select("doc_id", F.row_number().over(order).alias("place"), "level", "rule", "line_no", "sample")
+
+
 def gate(hits: DataFrame, docs: DataFrame) -> DataFrame:
     """``(doc_id, passes)``: no hit of the high level."""
     high = hits.where("level = 'high'").select("doc_id").distinct().withColumn("high", F.lit(True))

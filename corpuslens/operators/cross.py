@@ -5,7 +5,7 @@ A set of companions is a column, ``doc_set_id``; documents within it are told ap
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -78,6 +78,12 @@ def cross_terms(docs: DataFrame, sets: DataFrame, least: int = 3) -> DataFrame:
     return got.select("doc_set_id", "doc_id", "key", "cnt", _ids("missing").alias("missing"))
 
 
+def cross_term_ranks(docs: DataFrame, sets: DataFrame, least: int = 3) -> DataFrame:
+    """``cross_terms`` with ``place``: a document's terms by descending count."""
+    order = Window.partitionBy("doc_set_id", "doc_id").orderBy(F.desc("cnt"), "key")
+    return cross_terms(docs, sets, least).withColumn("place", F.row_number().over(order))
+
+
 def cross_modules(docs: DataFrame, sets: DataFrame) -> DataFrame:
     """``(doc_set_id, doc_id, missing, extra)``: modules against those of the set's first document that has a table."""
     own = _with_set(doc_modules(docs), sets).groupBy("doc_set_id", "doc_id").agg(F.array_sort(F.collect_set("module")).alias("modules"))

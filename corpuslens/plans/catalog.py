@@ -112,8 +112,8 @@ def source_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     on_raw = {"doc_versions": cross.doc_versions, "doc_terms": cross.doc_terms}
-    on_audit = {"detect_language": detect_language, "strip_code": strip_code, "ai_flavor_hits": audit.ai_flavor_hits, "filler_hits": audit.filler_hits, "figure_table_gaps": audit.figure_table_gaps, "quote_issues": audit.quote_issues, "empty_talk_issues": audit.empty_talk_issues, "term_variants": audit.term_variants, "code_fence_issues": audit.code_fence_issues, "section_jumps": audit.section_jumps, "audit_score": audit.audit_score, "audit_report": audit.audit_report, "resequence": markdown.resequence}
-    on_consistency = {"doc_sentences": relations.sentences, "check_delay": consistency.check_delay, "check_quantities": consistency.check_quantities, "check_placeholder_leak": consistency.check_placeholder_leak, "check_sequence_basis": consistency.check_sequence_basis, "consistency_hits": consistency.consistency_hits}
+    on_audit = {"detect_language": detect_language, "strip_code": strip_code, "ai_flavor_hits": audit.ai_flavor_hits, "filler_hits": audit.filler_hits, "figure_table_gaps": audit.figure_table_gaps, "quote_issues": audit.quote_issues, "empty_talk_issues": audit.empty_talk_issues, "term_variants": audit.term_variants, "code_fence_issues": audit.code_fence_issues, "section_jumps": audit.section_jumps, "audit_score": audit.audit_score, "audit_report": audit.audit_report, "audit_sections": audit.audit_sections, "resequence": markdown.resequence}
+    on_consistency = {"doc_sentences": relations.sentences, "check_delay": consistency.check_delay, "check_quantities": consistency.check_quantities, "check_placeholder_leak": consistency.check_placeholder_leak, "check_sequence_basis": consistency.check_sequence_basis, "consistency_hits": consistency.consistency_hits, "consistency_report": consistency.consistency_report}
     on_markdown = {"strip_inline": strip_inline, "md_tables": markdown.md_tables, "md_events": markdown.md_events, "md_event_counts": markdown.md_event_counts, "md_to_html": markdown.md_to_html}
     on_facts = {"doc_numbers": cross.doc_numbers, "doc_modules": cross.doc_modules}
     out = {"audit_report": None, "scan_documents": scan_documents, "doc_lines": doc_lines, "regex_hits": regex_hits}
@@ -121,5 +121,5 @@ def queries() -> dict:
     out |= {k: (lambda spark, sf_dir, f=f: f(X.audit_docs(spark, sf_dir))) for k, f in on_audit.items()}
     for expression, checks in ((X.CONSISTENCY, on_consistency), (X.MARKDOWN, on_markdown), (X.FACTS, on_facts)):
         out |= {k: _of(expression, f) for k, f in checks.items()}
-    out |= {k: _across(getattr(cross, k)) for k in ("cross_versions", "cross_numbers", "cross_terms", "cross_modules")}
+    out |= {k: _across(getattr(cross, k)) for k in ("cross_versions", "cross_numbers", "cross_terms", "cross_term_ranks", "cross_modules")}
     return out | {f.__name__: f for f in (sync_signals, sync_check, compare_events, inline_runs, source_files, source_line_counts, source_summary, source_listing, docx_events, docx_verify, docx_format_issues, docx_format_notes)}

@@ -119,6 +119,15 @@ WITH {n}, {code}, j AS (
 SELECT *, greatest(100 - {lost}, 0) AS score, greatest(100 - {lost}, 0) >= {P.GOOD_SCORE} AS good FROM j"""
 
 
+def _audit_sections() -> str:
+    at = "'L' || CAST(line_no AS VARCHAR) || ' ' || "
+    parts = [("ai", "start", at + "'[' || label || '] ' || text", _ai()), ("filler", "start", at + "text", _filler()), ("figure_table", "seq", "kind || found || ' / ' || kind || expected", _gaps()), ("quote", "line_no", at + "text", _quotes()), ("empty", "line_no", at + "text", _empty()), ("term", "0", "term || ': ' || variants", _terms()), ("section", "line_no", at + "number || ' ' || kind", _sections())]
+    rows = " UNION ALL ".join(f"SELECT doc_id, '{name}' AS section, {no} AS no, {item} AS item FROM ({sql})" for name, no, item, sql in parts)
+    return f"""
+SELECT doc_id, section, any_value(n) AS n, string_agg(item, chr(10) ORDER BY k) AS items FROM (
+  SELECT *, row_number() OVER (PARTITION BY doc_id, section ORDER BY no, item) AS k, count(*) OVER (PARTITION BY doc_id, section) AS n FROM ({rows})) WHERE k <= 8 GROUP BY doc_id, section"""
+
+
 def _sentences() -> str:
     ends = P.SENTENCE_ENDS
     return f"""
@@ -145,9 +154,10 @@ def _quantities() -> str:
     return f"""
 WITH h AS (
   SELECT h.doc_id, regexp_extract(h.text, {p}, 1) || '|' || regexp_extract(h.text, {p}, 3) AS key, regexp_extract(h.text, {p}, 2) AS value, line_no,
-    regexp_matches(substring(d.text, greatest(0, start - {P.CONTEXT}) + 1, start + {P.CONTEXT} - greatest(0, start - {P.CONTEXT})), {_quoted(P.PLACEHOLDER)}) AS example
+    start, substring(d.text, greatest(0, start - {P.CONTEXT}) + 1, start + {P.CONTEXT} - greatest(0, start - {P.CONTEXT})) AS around, regexp_matches(around, {_quoted(P.PLACEHOLDER)}) AS example
   FROM ({found}) h JOIN {_CONS} d ON d.doc_id = h.doc_id)
-SELECT doc_id, key, string_agg(DISTINCT value, ', ' ORDER BY value) AS values, min(line_no) AS first_line, count(*) AS n FROM h
+SELECT doc_id, key, string_agg(DISTINCT value, ', ' ORDER BY value) AS values, min(line_no) AS first_line, count(*) AS n,
+  array_to_string(list(substring(replace(around, chr(10), ' '), 1, 100) ORDER BY start)[1:3], ' | ') AS samples FROM h
 GROUP BY doc_id, key HAVING count(DISTINCT value) > 1 AND NOT bool_or(example)"""
 
 
@@ -365,6 +375,9 @@ def oracle_sql() -> dict[str, str]:
         "cross_modules": _cross_modules(),
         "sync_signals": f"WITH {_signal_lines()} {_signals()}",
         "sync_check": _sync(),
+        "consistency_report": f"SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY list_position(['high', 'medium', 'low'], level), rule, line_no, sample) AS INTEGER) AS place, level, rule, line_no, sample FROM ({_consistency()})",
+        "cross_term_ranks": f"SELECT *, CAST(row_number() OVER (PARTITION BY doc_set_id, doc_id ORDER BY cnt DESC, key) AS INTEGER) AS place FROM ({_cross_terms()})",
+        "audit_sections": _audit_sections(),
         "md_tables": _tables(),
         "resequence": _resequence(),
         "inline_runs": _runs(),
