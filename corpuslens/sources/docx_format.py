@@ -136,7 +136,11 @@ def paragraph_group() -> Column:
 
 
 def format_issues(facts: DataFrame, rules: dict) -> DataFrame:
-    """``(doc_id, rule, subject, n, of, detail)``: where a document departs from the rules; n of so many paragraphs, tables or images, detail lists what departs."""
+    """``(doc_id, rule, subject, n, of, detail)``: where a document departs from the rules; n of so many paragraphs, tables or images, detail lists what departs.
+
+    The facts are kept for the rules that follow each other, so files are read once; what is lost of them is read again.
+    """
+    facts = facts.persist()
     page, body, heading = rules["page"], rules["body"], rules["heading"]
     paragraphs = facts.where("what = 'paragraph'").withColumn("group", paragraph_group())
     strange = lambda allowed: F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.filter("fonts", lambda f: f.isNotNull() & ~f.isin(allowed))))))
