@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, line_dedup, mixing, ngram_join, quality_rules, secret_scan, sharding, token_counts, toxicity
+from . import centroids, chat_format, collocations, decontaminate, license_scan, line_dedup, mixing, ngram_join, quality_rules, secret_scan, sharding, token_counts, toxicity
 from .common import shared_folder, table
+from .oracles import OP11_SQL, OP12_SQL, OP13_SQL
 
 TOKEN_LIMIT = 512
 
@@ -79,6 +80,22 @@ def op10_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op11_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = license_scan.scan_licenses(table(spark, sf_dir, "documents"))
+    named = lambda *c: F.array_join(F.array_sort(F.array_distinct(F.concat(*[F.transform(x, lambda y: y["label"]) for x in c]))), ",")
+    first = F.transform("places", lambda p: p["first"])
+    score = F.greatest(F.coalesce(F.array_max(F.transform("detections", lambda d: d["score"])), F.lit(0.0)), F.when(F.size("places") > 0, F.lit(license_scan.PHRASE_SCORE)).otherwise(F.lit(0.0)))
+    return found.select("doc_id", "n_words", F.size("places").cast("bigint").alias("n_base"), F.array_min(first).alias("first_word"), F.array_max(first).alias("last_word"), named("places").alias("base_labels"), named("places", "detections").alias("labels"), score.alias("score"))
+
+
+def op12_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(table(spark, sf_dir, "embeddings")).drop("centroid")
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 OP2_SQL = r"""
 WITH l AS (
   SELECT doc_id, unnest(string_split(text, chr(10))) AS raw, unnest(range(len(string_split(text, chr(10))))) AS no FROM documents WHERE text IS NOT NULL),
@@ -169,9 +186,9 @@ FROM d LEFT JOIN h USING (doc_id) LEFT JOIN x USING (doc_id) LEFT JOIN y USING (
 
 
 def queries() -> dict:
-    found = (op1_token_counts, op2_line_dedup, op3_quality_rules, op4_ngram_jaccard, op5_mix_sources, op6_toxicity, op7_secret_scan, op8_chat_format, op9_decontaminate, op10_shards)
+    found = (op1_token_counts, op2_line_dedup, op3_quality_rules, op4_ngram_jaccard, op5_mix_sources, op6_toxicity, op7_secret_scan, op8_chat_format, op9_decontaminate, op10_shards, op11_license_scan, op12_centroid_clusters, op13_collocations)
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_line_dedup": OP2_SQL, "op4_ngram_jaccard": OP4_SQL, "op8_chat_format": OP8_SQL, "op9_decontaminate": OP9_SQL}
+    return {"op2_line_dedup": OP2_SQL, "op4_ngram_jaccard": OP4_SQL, "op8_chat_format": OP8_SQL, "op9_decontaminate": OP9_SQL, "op11_license_scan": OP11_SQL, "op12_centroid_clusters": OP12_SQL, "op13_collocations": OP13_SQL}
