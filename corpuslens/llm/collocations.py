@@ -41,7 +41,7 @@ PIECE_ENDS = lookup(b".,;:!?\n\x0b\x0c\r")
 IN_WORD = lookup(b" \t.,;:!?\n\x0b\x0c\r", inside=False)
 LEAST_COUNT, DEPTH, SHOWN = 30, 4, 2000
 #: Words of a shard, and bytes of text read at a time.
-SHARD, BLOCK = 1 << 20, 6 << 20
+SHARD, BLOCK = 1 << 18, 2 << 20
 #: Bits of a bitmap of frequent words or pairs; 16 MB whatever the corpus.
 BITS = 1 << 27
 #: No more counts (about 50 bytes each) than this are broadcast.
@@ -141,7 +141,7 @@ class _Shard:
         unique, first, self.ids = np.unique(key, return_index=True, return_inverse=True)
         self.words = coded.dictionary.take(pa.array(unique % len(coded.dictionary)))
         self.langs = names.take(pa.array(unique // len(coded.dictionary)))
-        self.hashes, self.lang_hash = hashed[a:b][first], of_lang[lang[first]]
+        self.hashes, self.lang_hash = hashed[a:b][first] if len(hashed) else hashed, of_lang[lang[first]]
         self.pieces = pieces[a:b]
 
     def frequent(self, bits: np.ndarray) -> np.ndarray:
@@ -160,11 +160,11 @@ class _Shard:
         return pa.RecordBatch.from_arrays([lang, phrase.cast(pa.string()), pa.array(count, pa.int64())], ["lang", "phrase", "cnt"])
 
 
-def shards(batches: Iterator[pa.RecordBatch], back: int) -> Iterator[_Shard]:
+def shards(batches: Iterator[pa.RecordBatch], back: int, hashes: bool = True) -> Iterator[_Shard]:
     for block in blocks(batches, most=BLOCK):
         data, offsets = buffers(block.column("text"))
         low = LOWER[data]
-        found = words(low, offsets, IN_WORD)
+        found = words(low, offsets, IN_WORD, hashes=hashes)
         starts, first = found[1], found[3]
         text_of = np.repeat(np.arange(block.num_rows), np.diff(first))
         pieces = np.searchsorted(np.flatnonzero(PIECE_ENDS[low]), starts) + text_of
@@ -178,7 +178,7 @@ def _count(docs: DataFrame, lengths: tuple[int, ...], frequent_words=None, frequ
     depth = max(lengths)
 
     def run(batches):
-        for shard in shards(batches, depth - 1):
+        for shard in shards(batches, depth - 1, hashes=depth > 1):
             runs = shard.pieces
             if depth == 1:
                 own = shard.langs.take(pa.array(shard.ids)).value_counts()
