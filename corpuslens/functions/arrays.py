@@ -1,10 +1,10 @@
-"""Array functions that stay within a row."""
+"""Array functions that stay within a row, and columns that are worked out once."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -25,3 +25,12 @@ def running(items: str, zero: Column, step: Callable[[Column, Column], Column],
     one = lambda a, x: both(step(a["state"], x), F.concat(a["done"], F.array(pair(a["state"], x))))
     whole = lambda a, b: F.aggregate(b, both(a["state"], none), one, lambda z: both(z["state"], F.concat(a["done"], z["done"])))
     return F.aggregate(blocks, both(zero, none), whole, lambda a: a["done"])
+
+
+def settled(df: DataFrame, keep: list[str], **columns: Column) -> DataFrame:
+    """The columns ``keep`` of ``df`` and the new ``columns``, which are worked out once whatever is asked of them.
+
+    A filter on a column is else moved below the expressions that make it and repeats
+    them, which for a chain of expressions grows with a power of its length.
+    """
+    return df.select(*keep, F.inline(F.array(F.struct(*[c.alias(name) for name, c in columns.items()]))))

@@ -5,9 +5,11 @@ from __future__ import annotations
 import functools
 import unicodedata
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .arrays import running
+
 #: Before every pattern: Unicode classes and boundaries; only a line feed ends a line.
 FLAGS = "(?Ud)"
 ANY_CASE = "(?Udi)"
@@ -38,8 +40,8 @@ def count(c: Column | str, pattern: str) -> Column:
 
 
 def line_count(c: Column | str) -> Column:
-    """Parts that line feeds make; 1 for an empty text."""
-    c = column(c)
+    """Parts that line feeds make; 1 for an empty text, as a null one is taken."""
+    c = F.coalesce(column(c), F.lit(""))
     return F.length(c) - F.length(F.replace(c, F.lit("\n"), F.lit(""))) + 1
 
 
@@ -132,24 +134,28 @@ def _pieces(rule: str, found: Column, gaps: Column, groups: dict[str, Column], c
 
 
 def find_all(docs: DataFrame, patterns: list[tuple[str, str]], text: Column | str = "text", groups: tuple[int, ...] = (), keep: tuple[str, ...] = ("doc_id",), hints: dict[str, tuple[str, ...]] | None = None, context: tuple[int, int] | None = None) -> DataFrame:
-    """A row for each match of each ``(rule, pattern)``: the kept columns, rule, nth, start (0-based), line_no, text and the groups ``g1``, ...
+    """A row for each match of each ``(rule, pattern)``: the kept columns, rule, nth, text, the groups ``g1``, ..., start (0-based) and line_no.
 
     All patterns share one scan. ``hints`` names, for a rule, literals without any
     of which a text has no match, so that most texts aren't searched. Positions are
-    running sums over slim rows, so a text with very many matches costs no more
-    than in proportion. ``context`` adds so many characters before and from each match.
+    running sums within the text's row, linear in its matches, so rows that share an
+    id don't mix and nothing is exchanged. ``context`` adds so many characters before
+    and from each match. A null text has no match.
     """
     # Matches are columns of their own, so that each text is searched once and not again for each match.
     all_groups, columns = (0, *groups), {}
     for i, (rule, p) in enumerate(patterns):
-        likely = contains_any("__text", hints[rule]) if hints and rule in hints else F.lit(True)
+        likely = contains_any("__text", hints[rule]) if hints and rule in hints else F.col("__text").isNotNull()
         of = lambda c, kind="array<string>", likely=likely: F.when(likely, c).otherwise(F.array().cast(kind))
         columns |= {f"__m{i}_{g}": of(F.regexp_extract_all("__text", F.lit(p), F.lit(g))) for g in all_groups}
         columns[f"__s{i}"] = of(F.split("__text", p, -1))
     docs = docs.select(*keep, column(text).alias("__text")).select(*keep, *[c.alias(name) for name, c in columns.items()])
     pieces = [_pieces(rule, F.col(f"__m{i}_0"), F.col(f"__s{i}"), {f"g{g}": F.col(f"__m{i}_{g}") for g in groups}, context) for i, (rule, _) in enumerate(patterns)]
-    rows = docs.select(*keep, F.inline(F.flatten(F.array(*pieces))))
-    before = Window.partitionBy(*keep, "rule").orderBy("nth").rowsBetween(Window.unboundedPreceding, 0)
-    start = F.sum(F.col("gap") + F.col("size")).over(before) - F.col("size")
-    line = F.sum(F.col("gap_feeds") + F.col("feeds")).over(before) - F.col("feeds") + 1
-    return rows.withColumn("start", start).withColumn("line_no", line.cast("int")).drop("gap", "gap_feeds", "size", "feeds")
+    rows = docs.select(*keep, F.flatten(F.array(*pieces)).alias("__pieces"))
+    zero = F.struct(F.lit(0).alias("chars"), F.lit(0).alias("feeds"))
+    ahead = lambda state, x, name, *parts: F.when(x["nth"] == 0, F.lit(0)).otherwise(state[name]) + sum((x[p] for p in parts[1:]), x[parts[0]])
+    placed = running("__pieces", zero, lambda s, x: F.struct(ahead(s, x, "chars", "gap", "size").alias("chars"), ahead(s, x, "feeds", "gap_feeds", "feeds").alias("feeds")))
+    found = rows.withColumn("__placed", F.explode(placed)).select(*keep, "__placed.before", "__placed.item.*")
+    before = F.struct(*[F.col(f"before.{c}").alias(c) for c in ("chars", "feeds")])
+    here = {c: F.col(c) for c in ("nth", "gap", "gap_feeds")}
+    return found.withColumn("start", ahead(before, here, "chars", "gap").cast("bigint")).withColumn("line_no", (ahead(before, here, "feeds", "gap_feeds") + 1).cast("int")).drop("before", "gap", "gap_feeds", "size", "feeds")

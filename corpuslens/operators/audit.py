@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from . import patterns as P
-from .relations import language, lines
+from .relations import language, lines, numbered
 
 
 def ai_flavor_hits(docs: DataFrame) -> DataFrame:
@@ -30,8 +30,8 @@ def filler_hits(docs: DataFrame) -> DataFrame:
 def figure_table_gaps(docs: DataFrame) -> DataFrame:
     """``(doc_id, kind, seq, found, expected)``: numbers beyond the next one due, in order of occurrence; as digits, since numbers have any length."""
     kinds = (P.FIGURE, P.TABLE)
-    found = T.find_all(docs, [(k, T.FLAGS + k + r"\s*(\d+)") for k in kinds], groups=(1,), hints={k: (k,) for k in kinds}).withColumn("found", T.digits("g1"))
-    before = Window.partitionBy("doc_id", "rule").orderBy("nth").rowsBetween(Window.unboundedPreceding, -1)
+    found = T.find_all(numbered(docs), [(k, T.FLAGS + k + r"\s*(\d+)") for k in kinds], groups=(1,), keep=("doc_id", "__row"), hints={k: (k,) for k in kinds}).withColumn("found", T.digits("g1"))
+    before = Window.partitionBy("__row", "rule").orderBy("nth").rowsBetween(Window.unboundedPreceding, -1)
     # The number due follows the greatest seen, and is never below 1.
     due = T.next_digits(F.coalesce(F.max(T.ordered_digits("found")).over(before)["digits"], F.lit("0")))
     found = found.withColumn("expected", due).where(T.ordered_digits("found") > T.ordered_digits("expected"))
@@ -78,18 +78,18 @@ def _term_ways(body: str) -> list:
 
 def code_fence_issues(docs: DataFrame) -> DataFrame:
     """``(doc_id, fences, unclosed, unlabelled, lines)``: an odd number of fences, and opening fences without a language (first five line numbers)."""
-    found = lines(docs).where("is_fence")
+    found = lines(numbered(docs), ("doc_id", "__row")).where("is_fence")
     bare = F.when((F.col("fences") % 2 == 0) & (T.trimmed(F.expr("substring(stripped, 4)")) == ""), F.col("line_no"))
-    got = found.groupBy("doc_id").agg(F.count("*").alias("fences"), F.sort_array(F.collect_list(bare)).alias("bare"))
+    got = found.groupBy("doc_id", "__row").agg(F.count("*").alias("fences"), F.sort_array(F.collect_list(bare)).alias("bare"))
     got = got.select("doc_id", "fences", (F.col("fences") % 2 == 1).alias("unclosed"), F.size("bare").alias("unlabelled"), F.array_join(F.transform(F.slice("bare", 1, 5), lambda x: x.cast("string")), "、").alias("lines"))
     return got.where("unclosed OR unlabelled > 0")
 
 
 def section_jumps(docs: DataFrame) -> DataFrame:
     """``(doc_id, line_no, number, kind)``: "depth" where a number is more than one part longer than the one before, "level" where the heading is."""
-    rows = docs.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "raw")).withColumn("line_no", F.col("line_no") + 1).where(F.col("raw").rlike(T.FLAGS + P.SECTION))
+    rows = numbered(docs).select("doc_id", "__row", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "raw")).withColumn("line_no", F.col("line_no") + 1).where(F.col("raw").rlike(T.FLAGS + P.SECTION))
     rows = rows.withColumn("level", F.length(F.regexp_extract("raw", T.FLAGS + P.SECTION, 1))).withColumn("number", F.regexp_extract("raw", T.FLAGS + P.SECTION, 2)).withColumn("depth", F.size(F.split("number", r"\.")))
-    w = Window.partitionBy("doc_id").orderBy("line_no")
+    w = Window.partitionBy("__row").orderBy("line_no")
     rows = rows.withColumn("last_level", F.lag("level").over(w)).withColumn("last_depth", F.lag("depth").over(w))
     kinds = F.array_compact(F.array(F.when(F.col("depth") > F.col("last_depth") + 1, F.lit("depth")), F.when(F.col("level") > F.col("last_level") + 1, F.lit("level"))))
     return rows.select("doc_id", "line_no", "number", F.explode(kinds).alias("kind"))
@@ -103,6 +103,7 @@ def issue_counts(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFr
     """
     text, zh = F.col("text"), F.col("__language") == "zh"
     raw = F.split(text, "\n", -1)
+    docs = docs.withColumn("text", F.coalesce("text", F.lit("")))
     rows = docs.select(*keep, "text", T.without_code("text").alias("__body"), language("text").alias("__language"))
     total = lambda parts: functools.reduce(lambda x, y: x + y, parts)
     # What a text can't have without certain literals isn't looked for.

@@ -2,32 +2,58 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.arrays import running, settled
 from . import patterns as P
-from .relations import sentences, split_lines
+from .relations import numbered, split_lines
 
 LEVELS = {"high": 0, "medium": 1, "low": 2}
 
 
+def _said(pattern: str, hints: tuple[str, ...], flags: str = T.FLAGS) -> Column:
+    """Sentences of ``__all``, the lines of a text, that a pattern matches, in order: line_no, sent_no and sentence. Lines without any hint have none."""
+    parts = lambda line, i: F.transform(F.split(line, f"(?<=[{P.SENTENCE_ENDS}])", -1), lambda x, k: F.struct((i + 1).alias("line_no"), k.alias("sent_no"), T.trimmed(x).alias("sentence")))
+    matching = lambda line, i: F.when(T.contains_any(F.lower(line), hints), F.filter(parts(line, i), lambda x: (x["sentence"] != "") & x["sentence"].rlike(flags + pattern)))
+    return F.flatten(F.filter(F.transform("__all", matching), lambda x: x.isNotNull()))
+
+
+def _with_first_near(rows: DataFrame, items: str, others: str, reach: int) -> DataFrame:
+    """``(doc_id, __near)`` of ``rows``: each of ``items`` (as item) with the first of ``others`` that is no more than ``reach`` lines before or after it (as near, or null).
+
+    Both are arrays of sentences. Passing them once from the last to the first, the
+    last one passed is the first at or after ``reach`` lines before an item.
+    """
+    none = F.lit(None).cast("struct<line_no: int, sent_no: int, sentence: string>")
+    place = lambda x, back, no, own: F.struct((x["line_no"] - back).alias("line"), no.alias("no"), own.alias("own"), x.alias("x"))
+    both = F.concat(F.transform(items, lambda x: place(x, reach, F.lit(-1), F.lit(True))), F.transform(others, lambda x: place(x, 0, x["sent_no"], F.lit(False))))
+    rows = rows.withColumn("__both", F.reverse(F.array_sort(both)))
+    passed = running("__both", F.struct(none.alias("last")), lambda s, p: F.struct(F.when(p["own"], s["last"]).otherwise(p["x"]).alias("last")))
+    rows = rows.withColumn("__passed", passed)
+    near = lambda p: F.when(p["before"]["last"]["line_no"] - p["item"]["x"]["line_no"] <= reach, p["before"]["last"])
+    return settled(rows, ["doc_id"], __near=F.reverse(F.transform(F.filter("__passed", lambda p: p["item"]["own"]), lambda p: F.struct(p["item"]["x"].alias("item"), near(p).alias("near")))))
+
+
 def check_delay(docs: DataFrame) -> DataFrame:
-    """``(doc_id, line_no, other_line, sample, other)``: each sentence on a round trip with the first within 40 lines that halves it."""
-    s = sentences(docs)
-    delay = s.where(F.col("sentence").rlike(T.ANY_CASE + P.DELAY))
-    half = s.where(F.col("sentence").rlike(T.FLAGS + P.HALF)).where(~F.contains("sentence", F.lit(P.ONE_WAY)))
-    half = half.select("doc_id", F.col("line_no").alias("other_line"), F.col("sent_no").alias("other_no"), F.col("sentence").alias("other"))
-    near = delay.join(half, "doc_id").where(F.abs(F.col("line_no") - F.col("other_line")) <= P.DELAY_REACH)
-    first = near.groupBy("doc_id", "line_no", "sent_no", "sentence").agg(F.min(F.struct("other_line", "other_no", "other")).alias("o"))
-    return first.select("doc_id", "line_no", F.col("o.other_line").alias("other_line"), F.substring("sentence", 1, 80).alias("sample"), F.substring("o.other", 1, 80).alias("other"))
+    """``(doc_id, line_no, other_line, sample, other)``: each sentence on a round trip with the first within 40 lines that halves it.
+
+    Within a document's row, linear in its sentences but for their sorting; texts without the words in question aren't split.
+    """
+    rows = docs.where(T.contains_any(F.lower("text"), P.DELAY_HINTS) & T.contains_any("text", P.HALF_HINTS)).select("doc_id", split_lines("text").alias("__all"))
+    halves = F.filter(_said(P.HALF, P.HALF_HINTS), lambda x: ~F.contains(x["sentence"], F.lit(P.ONE_WAY)))
+    rows = settled(rows, ["doc_id"], __delays=_said(P.DELAY, P.DELAY_HINTS, T.ANY_CASE), __halves=halves)
+    rows = _with_first_near(rows.where((F.size("__delays") > 0) & (F.size("__halves") > 0)), "__delays", "__halves", P.DELAY_REACH)
+    rows = rows.select("doc_id", F.inline(F.filter("__near", lambda x: x["near"].isNotNull())))
+    return rows.select("doc_id", "item.line_no", F.col("near.line_no").alias("other_line"), F.substring("item.sentence", 1, 80).alias("sample"), F.substring("near.sentence", 1, 80).alias("other"))
 
 
 def check_quantities(docs: DataFrame) -> DataFrame:
     """``(doc_id, key, values, first_line, n, samples)``: a quantity with several values, none of whose contexts speaks of examples; samples are the first three contexts."""
-    found = T.find_all(docs, [("quantity", T.ANY_CASE + P.QUANTITY)], groups=(1, 2, 3), hints={"quantity": P.QUANTITY_HINTS}, context=(P.CONTEXT, P.CONTEXT))
-    rows = found.select("doc_id", F.concat_ws("|", "g1", "g3").alias("key"), F.col("g2").alias("value"), "line_no", F.struct("start", F.substring(F.replace("context", F.lit("\n"), F.lit(" ")), 1, 100).alias("text")).alias("sample"), F.col("context").rlike(T.FLAGS + P.PLACEHOLDER).alias("example"))
-    got = rows.groupBy("doc_id", "key").agg(F.sort_array(F.collect_set("value")).alias("values"), F.bool_or("example").alias("example"), F.min("line_no").alias("first_line"), F.count("*").alias("n"), F.array_sort(F.collect_list("sample")).alias("samples"))
+    found = T.find_all(numbered(docs), [("quantity", T.ANY_CASE + P.QUANTITY)], groups=(1, 2, 3), keep=("doc_id", "__row"), hints={"quantity": P.QUANTITY_HINTS}, context=(P.CONTEXT, P.CONTEXT))
+    rows = found.select("doc_id", "__row", F.concat_ws("|", "g1", "g3").alias("key"), F.col("g2").alias("value"), "line_no", F.struct("start", F.substring(F.replace("context", F.lit("\n"), F.lit(" ")), 1, 100).alias("text")).alias("sample"), F.col("context").rlike(T.FLAGS + P.PLACEHOLDER).alias("example"))
+    got = rows.groupBy("doc_id", "__row", "key").agg(F.sort_array(F.collect_set("value")).alias("values"), F.bool_or("example").alias("example"), F.min("line_no").alias("first_line"), F.count("*").alias("n"), F.array_sort(F.collect_list("sample")).alias("samples"))
     samples = F.array_join(F.transform(F.slice("samples", 1, 3), lambda x: x["text"]), " | ")
     return got.where((F.size("values") > 1) & ~F.col("example")).select("doc_id", "key", F.array_join("values", ", ").alias("values"), "first_line", "n", samples.alias("samples"))
 
@@ -45,14 +71,14 @@ def check_placeholder_leak(docs: DataFrame) -> DataFrame:
 
 def check_sequence_basis(docs: DataFrame) -> DataFrame:
     """``(doc_id, line_no, sample)``: the first sentence on relative numbers without one on absolute numbers within 8 lines, if the document's first such sentence sets neither apart."""
-    s = sentences(docs)
-    order = F.struct("line_no", "sent_no", "sentence")
-    relative = s.where(F.col("sentence").rlike(T.ANY_CASE + P.RELATIVE))
-    absolute = s.where(F.col("sentence").rlike(T.ANY_CASE + P.ABSOLUTE))
-    first = absolute.groupBy("doc_id").agg(F.min(order).alias("f")).where(~F.contains("f.sentence", F.lit("区分")) & ~F.contains("f.sentence", F.lit("相对"))).select("doc_id")
-    near = absolute.select(F.col("doc_id").alias("d"), F.col("line_no").alias("l"))
-    alone = relative.join(near, (F.col("doc_id") == F.col("d")) & (F.abs(F.col("line_no") - F.col("l")) <= P.BASIS_REACH), "left_anti").join(first, "doc_id", "left_semi")
-    return alone.groupBy("doc_id").agg(F.min(order).alias("o")).select("doc_id", F.col("o.line_no").alias("line_no"), F.substring("o.sentence", 1, 80).alias("sample"))
+    text = F.lower("text")
+    rows = docs.where(T.contains_any(text, P.RELATIVE_HINTS) & T.contains_any(text, P.ABSOLUTE_HINTS)).select("doc_id", split_lines("text").alias("__all"))
+    rows = settled(rows, ["doc_id"], __relative=_said(P.RELATIVE, P.RELATIVE_HINTS, T.ANY_CASE), __absolute=_said(P.ABSOLUTE, P.ABSOLUTE_HINTS, T.ANY_CASE))
+    first = F.get("__absolute", F.lit(0))["sentence"]
+    rows = rows.where((F.size("__relative") > 0) & ~F.contains(first, F.lit("区分")) & ~F.contains(first, F.lit("相对")))
+    rows = _with_first_near(rows, "__relative", "__absolute", P.BASIS_REACH)
+    alone = F.get(F.filter("__near", lambda x: x["near"].isNull()), F.lit(0))["item"]
+    return rows.select("doc_id", alone.alias("o")).where("o IS NOT NULL").select("doc_id", "o.line_no", F.substring("o.sentence", 1, 80).alias("sample"))
 
 
 def consistency_hits(docs: DataFrame) -> DataFrame:

@@ -36,9 +36,8 @@ def doc_terms(docs: DataFrame, least: int = 2) -> DataFrame:
 
 def doc_modules(docs: DataFrame) -> DataFrame:
     """``(doc_id, module)``: first cells of the body of the document's first table."""
-    rows = table_rows(docs, fences=False)
-    first = rows.groupBy("doc_id").agg(F.min("start_line").alias("start_line"))
-    return rows.join(first, ["doc_id", "start_line"]).where("offset >= 2").select("doc_id", F.element_at("cells", 1).alias("module")).distinct()
+    rows = table_rows(docs, fences=False).where("start_line = first_start AND offset >= 2")
+    return rows.select("doc_id", F.element_at("cells", 1).alias("module")).distinct()
 
 
 def _with_set(facts: DataFrame, sets: DataFrame) -> DataFrame:
@@ -97,16 +96,25 @@ def sync_signals(diffs: DataFrame) -> DataFrame:
     rows = diffs.select("doc_set_id", F.explode(F.split("diff_text", "\n", -1)).alias("line"))
     first = F.substring("line", 1, 1)
     changed = (first == "+") & ~F.startswith("line", F.lit("+++")) | (first == "-") & ~F.startswith("line", F.lit("---"))
-    rows = rows.where(changed).select("doc_set_id", F.when(first == "+", "added").otherwise("removed").alias("op"), F.expr("substring(line, 2)").alias("line"))
+    return signals_of(rows.where(changed).select("doc_set_id", F.when(first == "+", "added").otherwise("removed").alias("op"), F.expr("substring(line, 2)").alias("line")))
+
+
+def signals_of(changes: DataFrame) -> DataFrame:
+    """``(doc_set_id, op, kind, key)``: versions and numbers on changed lines ``(doc_set_id, op, line)``."""
     versions = F.transform(F.regexp_extract_all("line", F.lit(T.FLAGS + P.VERSION), F.lit(0)), lambda v: F.struct(F.lit("version").alias("kind"), v.alias("key")))
     parts = F.arrays_zip(*[F.regexp_extract_all("line", F.lit(T.FLAGS + P.NUMBER), F.lit(g)).alias(f"g{g}") for g in (1, 2)])
     numbers = F.transform(parts, lambda p: F.struct(F.lit("number").alias("kind"), F.concat_ws(" ", p["g1"], p["g2"]).alias("key")))
-    return rows.select("doc_set_id", "op", F.inline(F.concat(versions, numbers))).distinct()
+    return changes.select("doc_set_id", "op", F.inline(F.concat(versions, numbers))).distinct()
 
 
 def sync_check(diffs: DataFrame, docs: DataFrame, sets: DataFrame) -> DataFrame:
     """``(doc_set_id, doc_id, finding, kind, key)``: "stale" where a document still has a removed key, "missing" where it lacks an added one."""
-    signals = sync_signals(diffs).groupBy("doc_set_id").agg(F.collect_list(F.struct("op", "kind", "key")).alias("signals"))
+    return check_signals(sync_signals(diffs), docs, sets)
+
+
+def check_signals(signals: DataFrame, docs: DataFrame, sets: DataFrame) -> DataFrame:
+    """``sync_check`` for signals ``(doc_set_id, op, kind, key)``."""
+    signals = signals.groupBy("doc_set_id").agg(F.collect_list(F.struct("op", "kind", "key")).alias("signals"))
     of_doc = sets.select("doc_id", "doc_set_id").join(signals, "doc_set_id")
     rows = docs.select("doc_id", "text").join(of_doc, "doc_id")
     has = lambda x: F.contains("text", x["key"])

@@ -2,72 +2,123 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.arrays import running, settled
 from . import patterns as P
-from .relations import lines
 
 #: Kinds of blocks by the stripped line, tried in this order.
 HEADING, IMAGE, BULLET, NUMBER = r"^(#{1,6})\s+(.*)$", r"^!\[(.*?)\]\((.*?)\)$", r"^[-*•]\s+(.*)$", r"^(\d+)[.、)]\s+(.*)$"
 
 
-def _blocks(docs: DataFrame, fences: bool = True) -> tuple[DataFrame, DataFrame]:
-    """(lines of tables, all other lines), the former with ``start_line`` of their table, ``offset`` in it and ``rule``.
+def marked(docs: DataFrame, fences: bool = True) -> DataFrame:
+    """``docs`` with ``__lines``: an array of line_no, raw, stripped, is_fence, in_code, start_line (of the table that the line is in, else null) and rule.
 
     A run of lines that begin with a pipe holds a table from the first line that a
-    rule follows. Only such lines are numbered by windows; others stay where they are.
+    rule follows. Lines are passed once, within the row of their document, so rows
+    that share an id don't mix and no line is exchanged. A null text is an empty one.
+    Without ``fences`` code blocks are lines like others.
     """
-    rows = lines(docs)
-    code = (F.col("is_fence") | F.col("in_code")) if fences else F.lit(False)
-    is_rule = lambda c: T.trimmed(c).rlike(T.FLAGS + P.TABLE_RULE)
-    piped = F.startswith("stripped", F.lit("|")) & ~code
-    opened = F.startswith(T.trimmed("next_raw"), F.lit("```")) if fences else F.lit(False)
-    rows = rows.withColumn("piped", piped).withColumn("head", F.col("piped") & F.coalesce(is_rule("next_raw") & ~opened, F.lit(False)))
-    order = Window.partitionBy("doc_id").orderBy("line_no")
-    runs = rows.where("piped").withColumn("run", F.col("line_no") - F.row_number().over(order))
-    in_run = Window.partitionBy("doc_id", "run").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    runs = runs.withColumn("start_line", F.min(F.when(F.col("head"), F.col("line_no"))).over(in_run))
-    runs = runs.withColumn("offset", F.col("line_no") - F.col("start_line")).withColumn("rule", is_rule("stripped"))
-    keep = ["doc_id", "line_no", "raw", "stripped", "is_fence", "in_code"]
-    inside = runs.where("start_line IS NOT NULL").select(*keep, "start_line", "offset", "rule")
-    return inside, rows.where("NOT piped").select(*keep).unionByName(runs.where("start_line IS NULL").select(*keep))
+    rule = lambda c: T.trimmed(c).rlike(T.FLAGS + P.TABLE_RULE)
+    opens = lambda c: F.startswith(T.trimmed(c), F.lit("```")) if fences else F.lit(False)
+    rows = docs.withColumn("__raw", F.split(F.coalesce("text", F.lit("")), "\n", -1))
+    rows = rows.withColumn("__next", F.concat(F.slice("__raw", F.lit(2), F.size("__raw") - 1), F.array(F.lit(None).cast("string"))))
+
+    def one(x, following):
+        pipe = x.rlike(r"(?U)^[\s\x1c-\x1f]*\|")
+        return F.struct(x.alias("raw"), opens(x).alias("is_fence"), pipe.alias("pipe"), F.coalesce(F.when(pipe, rule(following) & ~opens(following)), F.lit(False)).alias("ruled"))
+
+    rows = rows.withColumn("__items", F.zip_with("__raw", "__next", one))
+    zero = F.struct(F.lit(1).alias("line_no"), F.lit(False).alias("in_code"), F.lit(0).alias("start"))
+    start = lambda s, x: F.when(x["pipe"] & ~x["is_fence"] & ~s["in_code"], F.when(s["start"] > 0, s["start"]).when(x["ruled"], s["line_no"]).otherwise(F.lit(0))).otherwise(F.lit(0))
+    step = lambda s, x: F.struct((s["line_no"] + 1).alias("line_no"), (s["in_code"] != x["is_fence"]).alias("in_code"), start(s, x).alias("start"))
+    rows = rows.withColumn("__passed", running("__items", zero, step))
+
+    def line(p):
+        begin = start(p["before"], p["item"])
+        return F.struct(p["before"]["line_no"].alias("line_no"), p["item"]["raw"].alias("raw"), T.trimmed(p["item"]["raw"]).alias("stripped"), p["item"]["is_fence"].alias("is_fence"), p["before"]["in_code"].alias("in_code"), F.when(begin > 0, begin).alias("start_line"), F.when(begin > 0, rule(p["item"]["raw"])).otherwise(F.lit(False)).alias("rule"))
+
+    return rows.withColumn("__lines", F.transform("__passed", line)).drop("__raw", "__next", "__items", "__passed")
+
+
+def _cells_of(lines: Column, tagged=lambda x, cells: F.array_join(cells, "\x1f")) -> Column:
+    return F.transform(F.filter(lines, lambda x: ~x["rule"]), lambda x: tagged(x, T.cells(x["stripped"])))
 
 
 def table_rows(docs: DataFrame, fences: bool = True) -> DataFrame:
-    """``(doc_id, start_line, line_no, offset, is_rule, cells)`` of the lines of tables; offset 1 is the rule below the head."""
-    rows, _ = _blocks(docs, fences)
-    return rows.select("doc_id", "start_line", "line_no", "offset", F.col("rule").alias("is_rule"), T.cells("stripped").alias("cells"))
+    """``(doc_id, start_line, line_no, offset, is_rule, cells, first_start)`` of the lines of tables; offset 1 is the rule below the head, first_start the line of the document's first table."""
+    rows = marked(docs, fences).select("doc_id", F.filter("__lines", lambda x: x["start_line"].isNotNull()).alias("__tables"))
+    rows = rows.select("doc_id", F.get("__tables", F.lit(0))["start_line"].alias("first_start"), F.inline("__tables"))
+    return rows.select("doc_id", "start_line", "line_no", (F.col("line_no") - F.col("start_line")).alias("offset"), F.col("rule").alias("is_rule"), T.cells("stripped").alias("cells"), "first_start")
 
 
 def md_tables(docs: DataFrame) -> DataFrame:
     """``(doc_id, start_line, row_no, cells)``: rows of tables without their rules; cells joined by U+001F."""
-    rows = table_rows(docs).where("NOT is_rule")
-    w = Window.partitionBy("doc_id", "start_line").orderBy("line_no")
-    return rows.select("doc_id", "start_line", F.row_number().over(w).alias("row_no"), F.array_join("cells", "\x1f").alias("cells"))
+    rows = marked(docs).select("doc_id", F.filter("__lines", lambda x: x["start_line"].isNotNull() & ~x["rule"]).alias("__rows"))
+    zero = F.struct(F.lit(0).alias("start"), F.lit(0).alias("no"))
+    number = lambda s, x: F.when(s["start"] == x["start_line"], s["no"] + 1).otherwise(F.lit(1))
+    placed = running("__rows", zero, lambda s, x: F.struct(x["start_line"].alias("start"), number(s, x).alias("no")))
+    shown = F.transform(placed, lambda p: F.struct(p["item"]["start_line"].alias("start_line"), number(p["before"], p["item"]).alias("row_no"), F.array_join(T.cells(p["item"]["stripped"]), "\x1f").alias("cells")))
+    return rows.withColumn("__shown", shown).select("doc_id", F.inline("__shown"))
+
+
+def _kind(x: Column) -> Column:
+    """The kind of a line that isn't blank, by its text."""
+    s = x["stripped"]
+    of = lambda p: s.rlike(T.FLAGS + p)
+    return F.when(x["in_code"], "code").when(x["start_line"].isNotNull(), "table").when(of(HEADING), "heading").when(of(IMAGE), "image").when(F.startswith(s, F.lit(">")), "quote").when(of(BULLET), "bullet").when(of(NUMBER), "number")
+
+
+def _significant(docs: DataFrame) -> DataFrame:
+    """``marked`` rows with ``__marks``: lines that are no blank or ``---`` outside of code, of tables the first; fences too."""
+    rows = marked(docs)
+    shown = lambda x: (x["in_code"] | x["is_fence"] | ~x["stripped"].isin("", "---")) & (x["start_line"].isNull() | (x["start_line"] == x["line_no"]))
+    kinds = lambda x: F.struct(x["line_no"].alias("line_no"), x["raw"].alias("raw"), x["stripped"].alias("stripped"), F.when(x["is_fence"], "fence").otherwise(F.coalesce(_kind(x), F.lit("para"))).alias("kind"))
+    return rows.withColumn("__marks", F.transform(F.filter("__lines", shown), kinds))
 
 
-def md_events(docs: DataFrame) -> DataFrame:
-    """``(doc_id, seq, line_no, kind, level, text)``: the structure of a document, in order.
+def _captions(mark: Column, k: Column) -> Column:
+    """Whether a line is the caption of a table or image that nothing but blank lines parts from it."""
+    before = F.get("__marks", k - 1)["kind"]
+    return (mark["kind"] == "para") & F.coalesce(before.isin("table", "image"), F.lit(False)) & mark["stripped"].rlike(T.FLAGS + P.CAPTION)
+
+
+def md_captions(docs: DataFrame) -> DataFrame:
+    """``(doc_id, line_no, kind, number, text, of)``: captions, which stand right after a table or an image (``of``).
+
+    What is waited for is carried over blank lines and ``---``, and ends with any other line.
+    """
+    found = F.filter(F.transform("__marks", lambda m, k: F.when(_captions(m, k), F.struct(m["line_no"].alias("line_no"), m["stripped"].alias("text"), F.get("__marks", k - 1)["kind"].alias("of")))), lambda x: x.isNotNull())
+    rows = _significant(docs).select("doc_id", F.inline(found))
+    part = lambda g: F.regexp_extract("text", T.FLAGS + P.CAPTION, g)
+    return rows.select("doc_id", "line_no", part(1).alias("kind"), T.digits(part(2)).alias("number"), "text", "of")
+
+
+def md_events(docs: DataFrame, captions: bool = False, keep: tuple[str, ...] = ("doc_id",), sources: bool = False) -> DataFrame:
+    """``(doc_id, seq, line_no, kind, level, text)``, with ``sources`` also ``source``, an image's path: the structure of a document, in order.
 
     Kinds: code (a line of a block), table (its rows joined by line feeds), heading,
-    image, quote, bullet, number and para. Blank lines and ``---`` give none. Only headings have a level above 0.
+    image, quote, bullet, number and para; with ``captions`` also caption. Blank lines
+    and ``---`` give none. Only headings have a level above 0. All within a document's row.
     """
-    s = F.col("stripped")
-    tables, rows = _blocks(docs)
-    rows = rows.where("NOT is_fence").where(F.col("in_code") | ~s.isin("", "---"))
-    part = lambda p, g: F.regexp_extract(s, T.FLAGS + p, g)
-    of = lambda p: s.rlike(T.FLAGS + p)
-    event = lambda kind, text, level=0: F.struct(F.lit(kind).alias("kind"), F.lit(level).alias("level") if isinstance(level, int) else level.alias("level"), text.alias("text"))
-    found = F.when(F.col("in_code"), event("code", F.col("raw"))).when(of(HEADING), event("heading", part(HEADING, 2), F.length(part(HEADING, 1)))).when(of(IMAGE), event("image", part(IMAGE, 1)))
-    found = found.when(F.startswith(s, F.lit(">")), event("quote", T.trimmed(F.regexp_replace(s, "^>+", "")))).when(of(BULLET), event("bullet", part(BULLET, 1))).when(of(NUMBER), event("number", part(NUMBER, 2))).otherwise(event("para", s))
-    events = rows.select("doc_id", "line_no", found.alias("e")).select("doc_id", "line_no", "e.kind", "e.level", "e.text")
-    shown = F.when(~F.col("rule"), F.struct("line_no", F.array_join(T.cells("stripped"), "\x1f").alias("body")))
-    whole = tables.groupBy("doc_id", "start_line").agg(F.array_sort(F.collect_list(shown)).alias("parts"))
-    whole = whole.select("doc_id", F.col("start_line").alias("line_no"), F.lit("table").alias("kind"), F.lit(0).alias("level"), F.array_join(F.transform("parts", lambda p: p["body"]), "\n").alias("text"))
-    seq = F.row_number().over(Window.partitionBy("doc_id").orderBy("line_no")) - 1
-    return events.unionByName(whole).select("doc_id", seq.alias("seq"), "line_no", "kind", "level", "text")
+    rows = _significant(docs)
+    if captions:
+        rows = rows.withColumn("__marks", F.transform("__marks", lambda m, k: F.struct(*[m[c].alias(c) for c in ("line_no", "raw", "stripped")], F.when(_captions(m, k), "caption").otherwise(m["kind"]).alias("kind"))))
+    following = lambda k: F.coalesce(F.get("__marks", k + 1)["line_no"], F.size("__lines") + 1)
+    table = lambda m, k: F.array_join(_cells_of(F.filter(F.slice("__lines", m["line_no"], following(k) - m["line_no"]), lambda x: x["start_line"] == m["line_no"])), "\n")
+
+    def text(m, k):
+        s = m["stripped"]
+        part = lambda p, g: F.regexp_extract(s, T.FLAGS + p, g)
+        is_ = lambda kind: m["kind"] == kind
+        return F.when(is_("code"), m["raw"]).when(is_("table"), table(m, k)).when(is_("heading"), part(HEADING, 2)).when(is_("image"), part(IMAGE, 1)).when(is_("quote"), T.trimmed(F.regexp_replace(s, "^>+", ""))).when(is_("bullet"), part(BULLET, 1)).when(is_("number"), part(NUMBER, 2)).otherwise(s)
+
+    level = lambda m: F.when(m["kind"] == "heading", F.length(F.regexp_extract(m["stripped"], T.FLAGS + HEADING, 1))).otherwise(F.lit(0))
+    events = F.filter(F.transform("__marks", lambda m, k: F.when(m["kind"] != "fence", F.struct(m["line_no"].alias("line_no"), m["kind"].alias("kind"), level(m).alias("level"), text(m, k).alias("text"), F.when(m["kind"] == "image", F.regexp_extract(m["stripped"], T.FLAGS + IMAGE, 2)).alias("source")))), lambda e: e.isNotNull())
+    out = rows.select(*keep, F.posexplode(events).alias("seq", "e"))
+    return out.select(*keep, "seq", "e.line_no", "e.kind", "e.level", "e.text", *(["e.source"] if sources else []))
 
 
 def md_event_counts(docs: DataFrame) -> DataFrame:
@@ -75,44 +126,60 @@ def md_event_counts(docs: DataFrame) -> DataFrame:
     return md_events(docs).groupBy("doc_id", "kind").agg(F.count("*").alias("n"))
 
 
-def md_to_html(docs: DataFrame) -> DataFrame:
+def image_paths(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``__images``: the paths of a document's images, in order."""
+    return marked(docs).withColumn("__images", F.transform(F.filter("__lines", lambda x: ~x["is_fence"] & (_kind(x) == "image")), lambda x: F.regexp_extract(x["stripped"], T.FLAGS + IMAGE, 2))).drop("__lines")
+
+
+def md_to_html(docs: DataFrame, sources: str | None = None) -> DataFrame:
     """``(doc_id, html)``: headings, paragraphs, tables, code with its body, lists, quotes, images and rules.
 
-    Runs of list items or quoted lines become one element; bold and code are set in paragraphs only.
+    Runs of list items or quoted lines become one element; bold and code are set in
+    paragraphs only. ``sources`` names a column with what stands for each image of the
+    document, in order; null for one that is missing, of which a note says so. All
+    within a document's row.
     """
-    s, esc = F.col("stripped"), T.html_escaped
-    tables, others = _blocks(docs)
-    rows = tables.withColumn("in_table", F.lit(True)).unionByName(others.withColumn("in_table", F.lit(False)), allowMissingColumns=True)
-    of = lambda p: s.rlike(T.FLAGS + p)
-    part = lambda p, g: esc(F.regexp_extract(s, T.FLAGS + p, g))
-    kind = F.when(F.col("is_fence") & ~F.col("in_code"), "open").when(F.col("is_fence"), "close").when(F.col("in_code"), "code").when(F.col("in_table"), "table").when(of(HEADING), "heading").when(of(IMAGE), "image").when(F.startswith(s, F.lit(">")), "quote").when(of(BULLET), "bullet").when(of(NUMBER), "number").when(s.isin("---", "***"), "hr").when(s == "", "blank").otherwise("para")
-    rows = rows.withColumn("kind", kind)
-    order = Window.partitionBy("doc_id").orderBy("line_no")
-    merged = F.col("kind").isin("quote", "bullet", "number", "code") & (F.lag("kind").over(order) == F.col("kind"))
-    merged = merged | (F.col("in_table") & (F.lag("start_line").over(order) == F.col("start_line")))
-    rows = rows.withColumn("block", F.sum((~F.coalesce(merged, F.lit(False))).cast("int")).over(order))
-    level = F.length(F.regexp_extract(s, T.FLAGS + HEADING, 1)).cast("string")
-    paragraph = F.regexp_replace(F.regexp_replace(esc(s), T.FLAGS + r"\*\*(.+?)\*\*", "<strong>$1</strong>"), T.FLAGS + "`([^`]+)`", "<code>$1</code>")
-    tag = F.when(F.col("offset") == 0, "th").otherwise("td")
-    row = F.concat(F.lit("<tr>"), F.array_join(F.transform(T.cells(s), lambda c: F.concat(F.lit("<"), tag, F.lit(">"), esc(c), F.lit("</"), tag, F.lit(">"))), ""), F.lit("</tr>"))
-    one = (
-        F.when(F.col("kind") == "open", F.concat(F.lit('<pre><code class="language-'), esc(T.trimmed(F.expr("substring(stripped, 4)"))), F.lit('">')))
-        .when(F.col("kind") == "close", F.lit("</code></pre>"))
-        .when(F.col("kind") == "code", esc("raw"))
-        .when((F.col("kind") == "table") & ~F.col("rule"), F.when(F.col("offset") == 0, F.concat(F.lit("<thead>"), row, F.lit("</thead>\n<tbody>"))).otherwise(row))
-        .when(F.col("kind") == "heading", F.concat(F.lit("<h"), level, F.lit(">"), part(HEADING, 2), F.lit("</h"), level, F.lit(">")))
-        .when(F.col("kind") == "image", F.concat(F.lit('<img src="'), part(IMAGE, 2), F.lit('" alt="'), part(IMAGE, 1), F.lit('">')))
-        .when(F.col("kind") == "quote", esc(T.trimmed(F.regexp_replace(s, "^>+", ""))))
-        .when(F.col("kind") == "bullet", F.concat(F.lit("<li>"), part(BULLET, 1), F.lit("</li>")))
-        .when(F.col("kind") == "number", F.concat(F.lit("<li>"), part(NUMBER, 2), F.lit("</li>")))
-        .when(F.col("kind") == "hr", F.lit("<hr>"))
-        .when(F.col("kind") == "para", F.concat(F.lit("<p>"), paragraph, F.lit("</p>")))
-    )
-    blocks = rows.withColumn("one", one).groupBy("doc_id", "block").agg(F.first("kind").alias("kind"), F.array_sort(F.collect_list(F.when(F.col("one").isNotNull(), F.struct("line_no", "one")))).alias("parts"))
-    body = lambda sep: F.array_join(F.transform("parts", lambda p: p["one"]), sep)
-    html = F.when(F.col("kind") == "quote", F.concat(F.lit("<blockquote>"), body("<br>"), F.lit("</blockquote>"))).when(F.col("kind") == "bullet", F.concat(F.lit("<ul>"), body(""), F.lit("</ul>"))).when(F.col("kind") == "number", F.concat(F.lit("<ol>"), body(""), F.lit("</ol>"))).when(F.col("kind") == "table", F.concat(F.lit("<table>\n"), body("\n"), F.lit("\n</tbody>\n</table>"))).otherwise(body("\n"))
-    done = blocks.where("kind <> 'blank'").withColumn("html", html).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("block", "html"))).alias("b"))
-    return docs.select("doc_id").join(done, "doc_id", "left").select("doc_id", F.coalesce(F.array_join(F.transform("b", lambda x: x["html"]), "\n"), F.lit("")).alias("html"))
+    esc = T.html_escaped
+    rows = marked(docs)
+    kind = lambda x: F.when(x["is_fence"], F.when(x["in_code"], "close").otherwise("open")).otherwise(F.coalesce(_kind(x), F.when(x["stripped"].isin("---", "***"), "hr").when(x["stripped"] == "", "blank").otherwise("para")))
+    rows = rows.withColumn("__kinds", F.transform("__lines", lambda x: F.struct(x["line_no"].alias("line_no"), kind(x).alias("kind"), x["start_line"].alias("start_line"))))
+    before = lambda x: F.get("__kinds", x["line_no"] - 2)
+    merged = lambda x: F.coalesce((x["kind"].isin("quote", "bullet", "number", "code") & (before(x)["kind"] == x["kind"])) | (x["start_line"] == before(x)["start_line"]), F.lit(False))
+    rows = rows.withColumn("__heads", F.filter("__kinds", lambda x: ~merged(x)))
+    rows = rows.withColumn("__counted", running("__heads", F.lit(0), lambda n, x: n + (x["kind"] == "image").cast("int")))
+    following = lambda k: F.coalesce(F.get("__heads", k + 1)["line_no"], F.size("__lines") + 1)
+    tag = lambda name, inner: F.concat(F.lit(f"<{name}>"), inner, F.lit(f"</{name}>"))
+
+    def block(p, k):
+        head = p["item"]
+        body = F.slice("__lines", head["line_no"], following(k) - head["line_no"])
+        s = F.get("__lines", head["line_no"] - 1)["stripped"]
+        part = lambda c, p, g: esc(F.regexp_extract(c, T.FLAGS + p, g))
+        items = lambda p, g: F.array_join(F.transform(body, lambda x: tag("li", part(x["stripped"], p, g))), "")
+        level = F.length(F.regexp_extract(s, T.FLAGS + HEADING, 1)).cast("string")
+        row = lambda x, cells: F.when(x["line_no"] == x["start_line"], F.concat(F.lit("<thead>"), tag("tr", F.array_join(F.transform(cells, lambda c: tag("th", esc(c))), "")), F.lit("</thead>\n<tbody>"))).otherwise(tag("tr", F.array_join(F.transform(cells, lambda c: tag("td", esc(c))), "")))
+        paragraph = F.regexp_replace(F.regexp_replace(esc(s), T.FLAGS + r"\*\*(.+?)\*\*", "<strong>$1</strong>"), T.FLAGS + "`([^`]+)`", "<code>$1</code>")
+        image = F.concat(F.lit('<img src="'), part(s, IMAGE, 2), F.lit('" alt="'), part(s, IMAGE, 1), F.lit('">'))
+        if sources:
+            source = F.when(F.size(sources) > p["before"], F.get(sources, p["before"]))  # named twice, so that it stays a column
+            missing = F.concat(F.lit('<p style="color:red">[缺失图片: '), part(s, IMAGE, 2), F.lit("]</p>"))
+            image = F.coalesce(F.concat(F.lit('<img src="'), source, F.lit('" alt="'), part(s, IMAGE, 1), F.lit('" style="max-width:100%">')), missing)
+        is_ = lambda name: head["kind"] == name
+        return (
+            F.when(is_("open"), F.concat(F.lit('<pre><code class="language-'), esc(T.trimmed(F.substring(s, F.lit(4), F.length(s)))), F.lit('">')))
+            .when(is_("close"), F.lit("</code></pre>"))
+            .when(is_("code"), F.array_join(F.transform(body, lambda x: esc(x["raw"])), "\n"))
+            .when(is_("table"), F.concat(F.lit("<table>\n"), F.array_join(_cells_of(body, row), "\n"), F.lit("\n</tbody>\n</table>")))
+            .when(is_("heading"), F.concat(F.lit("<h"), level, F.lit(">"), part(s, HEADING, 2), F.lit("</h"), level, F.lit(">")))
+            .when(is_("image"), image)
+            .when(is_("quote"), tag("blockquote", F.array_join(F.transform(body, lambda x: esc(T.trimmed(F.regexp_replace(x["stripped"], "^>+", "")))), "<br>")))
+            .when(is_("bullet"), tag("ul", items(BULLET, 1)))
+            .when(is_("number"), tag("ol", items(NUMBER, 2)))
+            .when(is_("hr"), F.lit("<hr>"))
+            .when(is_("para"), tag("p", paragraph))
+        )
+
+    return settled(rows, ["doc_id"], html=F.array_join(F.array_compact(F.transform("__counted", block)), "\n"))
 
 
 def inline_runs(events: DataFrame) -> DataFrame:
@@ -132,7 +199,8 @@ def _renumbered(docs: DataFrame, kind: str, count: str) -> DataFrame:
     """``docs`` with the captions of a kind numbered 1..n in their order in ``text``, references following them, and how many captions there are.
 
     A caption is a match that begins its line, of which little follows. Numbers are
-    digits of any length; a reference to none of the captions keeps its own.
+    digits of any length; a reference to none of the captions keeps its own. Work
+    grows with the references and the sorting of them, all within the row.
     """
     ref, likely = T.FLAGS + kind + r"\s*(\d+)", F.contains("text", F.lit(kind))
     none = F.array().cast("array<string>")
@@ -144,21 +212,26 @@ def _renumbered(docs: DataFrame, kind: str, count: str) -> DataFrame:
     # What follows the match, as far as it matters.
     tail = lambda i: F.concat(F.left(F.get(gaps, i + 1), F.lit(P.CAPTION_MOST + 2)), F.when(i + 1 < F.size(found), T.around(gaps, found, i + 1, after=P.CAPTION_MOST + 2)).otherwise(F.lit("")))
     short = lambda i: tail(i).rlike(rf"(?Ud)\A[^。！？\n]{{0,{P.CAPTION_MOST}}}(\n|\z)")
-    rows = rows.withColumn("__refs", F.transform(found, lambda m, i: F.struct(T.digits(F.get("__digits", i)).alias("old"), (begins(i) & short(i)).alias("caption"), i.alias("i"))))
-    rows = rows.withColumn("__captions", F.filter("__refs", lambda r: r["caption"]))
-    rows = rows.withColumn("__places", F.transform("__captions", lambda r: r["i"])).withColumn("__olds", F.reverse(F.transform("__captions", lambda r: r["old"])))
-    rows = rows.withColumn(count, F.size("__captions").cast("bigint"))
-    own = lambda r: F.array_position("__places", r["i"])
-    last = lambda r: F.array_position("__olds", r["old"])
-    new = lambda r: F.when(r["caption"], own(r).cast("string")).when(last(r) > 0, (F.col(count) - last(r) + 1).cast("string")).otherwise(r["old"])
-    rows = rows.withColumn("__numbers", F.transform("__refs", new))
-    out = F.array_join(F.transform(gaps, lambda g, i: F.concat(g, F.coalesce(F.concat(F.lit(kind), F.get("__numbers", i)), F.lit("")))), "")
-    return rows.select(*[F.when(F.col(count) > 0, out).otherwise(F.col("text")).alias("text") if c == "text" else F.col(c) for c in keep], count)
+    rows = rows.withColumn("__refs", F.transform("__digits", lambda d, i: F.struct(i.alias("i"), T.digits(d).alias("old"), (begins(i) & short(i)).alias("caption"))))
+    # A caption's own number is how many there are up to it.
+    rows = rows.withColumn("__owned", running("__refs", F.lit(0), lambda n, r: n + r["caption"].cast("int")))
+    # Of one old number the last caption comes first, then the references that follow it.
+    rank = lambda o: F.when(o["item"]["caption"], -o["before"] - 1).otherwise(F.lit(1))
+    rows = rows.withColumn("__sorted", F.array_sort(F.transform("__owned", lambda o: F.struct(o["item"]["old"].alias("old"), rank(o).alias("rank"), o["item"]["i"].alias("i")))))
+    none_yet = F.struct(F.lit("").alias("old"), F.lit(1).alias("rank"))
+    last = lambda state, x: F.when(state["old"] == x["old"], state["rank"]).otherwise(x["rank"])
+    rows = rows.withColumn("__led", running("__sorted", none_yet, lambda s, x: F.struct(x["old"].alias("old"), last(s, x).alias("rank"))))
+    own = lambda p: F.when(p["item"]["rank"] < 0, -p["item"]["rank"]).when(last(p["before"], p["item"]) < 0, -last(p["before"], p["item"]))
+    rows = rows.withColumn("__new", F.array_sort(F.transform("__led", lambda p: F.struct(p["item"]["i"].alias("i"), F.coalesce(own(p).cast("string"), p["item"]["old"]).alias("new")))))
+    rows = rows.withColumn(count, F.size(F.filter("__refs", lambda r: r["caption"])).cast("bigint"))
+    out = F.array_join(F.zip_with(gaps, "__new", lambda g, r: F.concat(g, F.coalesce(F.concat(F.lit(kind), r["new"]), F.lit("")))), "")
+    return settled(rows, [c for c in keep if c != "text"], text=F.when(F.col(count) > 0, out).otherwise(F.col("text")), **{count: F.col(count)})
 
 
 def resequence(docs: DataFrame) -> DataFrame:
     """``(doc_id, text, changed, n_figures, n_tables)``: figures renumbered, then tables in the result; each in its document's row."""
-    rows = docs.select("doc_id", "text", F.col("text").alias("__old"))
+    text = F.coalesce("text", F.lit(""))
+    rows = docs.select("doc_id", text.alias("text"), text.alias("__old"))
     rows = _renumbered(_renumbered(rows, P.FIGURE, "n_figures"), P.TABLE, "n_tables")
     return rows.select("doc_id", "text", (F.col("text") != F.col("__old")).alias("changed"), "n_figures", "n_tables")
 
@@ -181,17 +254,21 @@ def _shifts(left: DataFrame, right: DataFrame) -> DataFrame:
     both = places(left, "left").join(places(right, "right"), "doc_id", "full")
     none = F.array().cast("array<int>")
     both = both.select("doc_id", *[F.coalesce(f"n_{x}", F.lit(0)).alias(f"n_{x}") for x in ("left", "right")], *[F.coalesce(f"{x}_images", none).alias(f"{x}_images") for x in ("left", "right")])
+    # Images on the right are passed once: the next one on the left takes the first that is far enough.
+    wanted = lambda state: F.get("left_images", state["k"]) + state["shift"]
+    meets = lambda state, r: F.coalesce(wanted(state) <= r, F.lit(False))
+    zero = F.struct(F.lit(0).alias("k"), F.lit(0).alias("shift"))
+    both = both.withColumn("__passed", running("right_images", zero, lambda s, r: F.when(meets(s, r), F.struct((s["k"] + 1).alias("k"), (r - F.get("left_images", s["k"])).alias("shift"))).otherwise(s)))
     stretch = lambda begin, shift, skipped, ends: F.struct(begin.cast("int").alias("begin"), shift.cast("int").alias("shift"), skipped.cast("int").alias("skipped"), ends.alias("ends"))
-
-    def go_on(done, i):
-        last = F.element_at(done, -1)
-        ahead = last["shift"]
-        # Without a next image nothing on the right is left for this one and what follows.
-        place = F.coalesce(F.get(F.filter("right_images", lambda j: j >= i + ahead), F.lit(0)), F.greatest("n_right", i + ahead))
-        return F.when(last["ends"], done).otherwise(F.concat(done, F.array(stretch(i, place - i, place - i - ahead, place >= F.col("n_right")))))
-
     first = F.array(stretch(F.lit(0), F.lit(0), F.lit(0), F.lit(False)))
-    return both.select("doc_id", "n_left", "n_right", F.aggregate("left_images", first, go_on).alias("stretches"))
+    met = F.transform(F.filter("__passed", lambda p: meets(p["before"], p["item"])), lambda p: stretch(F.get("left_images", p["before"]["k"]), p["item"] - F.get("left_images", p["before"]["k"]), p["item"] - wanted(p["before"]), F.lit(False)))
+    both = both.withColumn("__met", F.concat(first, met))
+    # Without a next image nothing on the right is left for this one and what follows.
+    ahead = F.element_at("__met", -1)["shift"]
+    begin = F.get("left_images", F.size("__met") - 1)
+    place = F.greatest(F.col("n_right").cast("int"), begin + ahead)
+    ended = F.when(F.size("__met") - 1 < F.size("left_images"), F.array(stretch(begin, place - begin, place - begin - ahead, F.lit(True)))).otherwise(F.array())
+    return both.select("doc_id", "n_left", "n_right", F.concat("__met", ended).alias("stretches"))
 
 
 def compare_events(left: DataFrame, right: DataFrame) -> DataFrame:
@@ -227,3 +304,11 @@ def compare_events(left: DataFrame, right: DataFrame) -> DataFrame:
     every = missing.unionByName(over).unionByName(pairs).unionByName(added)
     order = Window.partitionBy("doc_id").orderBy(F.col("left_seq") < 0, "left_seq", "rank", "right_seq")
     return every.select("doc_id", (F.row_number().over(order) - 1).alias("seq"), "problem", "left_seq", "right_seq")
+
+
+def verification_report(problems: DataFrame, shown: int = 20) -> DataFrame:
+    """``(doc_id, total, items)`` of ``compare_events`` rows: how many problems a document has, and the first ones, a line each."""
+    item = F.concat(F.col("problem"), F.lit(" "), F.col("left_seq").cast("string"), F.lit(" / "), F.col("right_seq").cast("string"))
+    first = F.collect_list(F.when(F.col("seq") < shown, F.struct("seq", item.alias("item"))))  # seq counts a document's problems from 0
+    got = problems.groupBy("doc_id").agg(F.count("*").alias("total"), F.array_sort(first).alias("items"))
+    return got.select("doc_id", "total", F.array_join(F.transform("items", lambda x: x["item"]), "\n").alias("items"))

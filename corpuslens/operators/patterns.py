@@ -55,6 +55,9 @@ PLACEHOLDER = r"(占位|待填|待补充|示例|示意)"
 HEX = r"0x[0-9A-Fa-f]{2,4}"
 RELATIVE = r"(相对序号|relative sequence)"
 ABSOLUTE = r"(原始序号|绝对序号|absolute sequence)"
+#: In lower case, literals without any of which a text has no match of the patterns above.
+DELAY_HINTS, HALF_HINTS = ("往返时延", "往返时间", "rtt", "round"), ("一半", "单程", "半个往返")
+RELATIVE_HINTS, ABSOLUTE_HINTS = ("相对序号", "relative"), ("原始序号", "绝对序号", "olute")
 DELAY_REACH, BASIS_REACH, CONTEXT = 40, 8, 60
 SENTENCE_ENDS = "。！？!?；;"
 
@@ -63,6 +66,8 @@ NUMBER = r"(\d[\d,\.]*)\s*(MB|GB|KB|MiB|ms|s\b|分钟|km²|km|米|个|条|格|
 TERM = r"\b[A-Z][A-Za-z0-9]{2,}(?:\s[A-Z][A-Za-z0-9]{2,})?\b"
 TABLE_RULE = r"^\|?[\s:|-]+\|?$"
 CAPTION_MOST = 28
+#: A caption after a table or an image.
+CAPTION = r"^(图|表)(\d+)"
 
 #: Source listings.
 CODE_EXTENSIONS = ["ts", "tsx", "js", "mjs", "jsx", "css", "py", "java", "go", "rs", "c", "h", "cpp", "cs", "vue", "html", "json", "sql", "sh", "yml", "yaml"]

@@ -14,13 +14,18 @@ def documents(source: DataFrame) -> DataFrame:
     return source.select("doc_id", T.normalised("text").alias("text"))
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``__row``, which tells rows apart that share an id."""
+    return docs.withColumn("__row", F.monotonically_increasing_id())
+
+
 def lines(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """A row for each line: line_no (from 1), raw, stripped, is_fence, fences (how many stand before), in_code (an odd number do) and next_raw, the line after one that begins with a pipe.
 
     A document's lines are cut into stretches that end with a fence, within its
-    row, so no line passes through an exchange.
+    row, so no line passes through an exchange. A null text is an empty one, of one line.
     """
-    rows = docs.select(*keep, F.split("text", "\n", -1).alias("__raw"))
+    rows = docs.select(*keep, F.split(F.coalesce("text", F.lit("")), "\n", -1).alias("__raw"))
     fence = lambda x: x.rlike(r"(?U)^[\s\x1c-\x1f]*```")
     at = F.when(F.exists("__raw", lambda x: F.contains(x, F.lit("```"))), F.filter(F.transform("__raw", lambda x, i: F.when(fence(x), i + 1)), lambda i: i.isNotNull())).otherwise(F.array().cast("array<int>"))
     rows = rows.withColumn("__ends", F.concat(at, F.array(F.size("__raw"))))
@@ -47,7 +52,7 @@ def sentences(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame
 
 
 def language(text: Column | str) -> Column:
-    """"zh" if there are no fewer Chinese characters than Latin letters, else "en"."""
-    text = T.column(text)
+    """"zh" if there are no fewer Chinese characters than Latin letters, so in an empty or null text, else "en"."""
+    text = F.coalesce(T.column(text), F.lit(""))
     counted = F.when(T.count(text, "[一-鿿]") >= T.count(text, "[A-Za-z]"), "zh").otherwise("en")
     return F.when(~text.rlike("[A-Za-z]"), "zh").when(~text.rlike("[一-鿿]"), "en").otherwise(counted)

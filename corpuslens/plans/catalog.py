@@ -6,14 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import audit, consistency, cross, markdown, relations
+from ..operators import audit, consistency, cross, diagrams, images, markdown, relations, templates, versions
 from ..operators import patterns as P
-from ..sources import docx, docx_format, docx_writer, files
+from ..sources import docx, docx_format, docx_writer, files, paging
 from . import fixtures as X
 
 
 def _raw(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return relations.documents(X.table(spark, sf_dir, "doc_id", "text"))
+    return X.table(spark, sf_dir, "doc_id", "text")
 
 
 def _of(expression: str, check):
@@ -78,8 +78,13 @@ def docx_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def docx_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Markdown events against those read back from office files."""
-    return markdown.compare_events(markdown.md_events(X.derived(spark, sf_dir, X.MARKDOWN)), docx_events(spark, sf_dir))
+    """Markdown events against those read back from office files that were edited meanwhile: levels, cells, texts, lost images."""
+    events = markdown.md_events(X.derived(spark, sf_dir, X.MARKDOWN))
+    return markdown.compare_events(events, docx.docx_events(docx_writer.write_docx(X.edited(events))))
+
+
+def verify_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return markdown.verification_report(docx_verify(spark, sf_dir))
 
 
 def docx_format_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -110,6 +115,55 @@ def source_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.source_listing(_sources(spark, sf_dir))
 
 
+def version_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return versions.version_diff(*X.versions(spark, sf_dir)).fillna(0, ["old_line", "new_line"])
+
+
+def version_sync(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return versions.version_sync(X.main_before(spark, sf_dir), X.derived(spark, sf_dir, X.FACTS), X.sets(spark, sf_dir))
+
+
+def flow_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return diagrams.flow_layout(*X.flows(spark, sf_dir))
+
+
+def sequence_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return diagrams.sequence_layout(X.diagrams(spark, sf_dir))
+
+
+def md_captions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return markdown.md_captions(X.derived(spark, sf_dir, X.CAPTIONS))
+
+
+def image_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return images.image_sizes(X.images(spark, sf_dir)).fillna(0, ["width", "height"])
+
+
+def html_with_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return images.html_with_images(X.illustrated(spark, sf_dir), X.images(spark, sf_dir))
+
+
+def docx_with_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is read back from office documents with images and captions."""
+    return docx.docx_events(docx_writer.md_to_docx(X.illustrated(spark, sf_dir), X.images(spark, sf_dir)))
+
+
+def source_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return paging.source_pages(_sources(spark, sf_dir))
+
+
+def template_retention(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return templates.template_retention(X.archived(spark, sf_dir)).withColumn("stored_on", F.col("stored_on").cast("string")).fillna(0, ["number", "place"]).fillna("", ["stored_on"])
+
+
+def template_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    asked, confirmed, built_in = X.requests(spark, sf_dir)
+    return templates.template_choice(asked, confirmed, X.archived(spark, sf_dir), built_in)
+
+
+NEW = (verify_report, version_diff, version_sync, flow_layout, sequence_layout, md_captions, image_sizes, html_with_images, docx_with_images, source_pages, template_retention, template_choice)
+
+
 def queries() -> dict:
     on_raw = {"doc_versions": cross.doc_versions, "doc_terms": cross.doc_terms}
     on_audit = {"detect_language": detect_language, "strip_code": strip_code, "ai_flavor_hits": audit.ai_flavor_hits, "filler_hits": audit.filler_hits, "figure_table_gaps": audit.figure_table_gaps, "quote_issues": audit.quote_issues, "empty_talk_issues": audit.empty_talk_issues, "term_variants": audit.term_variants, "code_fence_issues": audit.code_fence_issues, "section_jumps": audit.section_jumps, "audit_score": audit.audit_score, "audit_report": audit.audit_report, "audit_sections": audit.audit_sections, "resequence": markdown.resequence}
@@ -122,4 +176,4 @@ def queries() -> dict:
     for expression, checks in ((X.CONSISTENCY, on_consistency), (X.MARKDOWN, on_markdown), (X.FACTS, on_facts)):
         out |= {k: _of(expression, f) for k, f in checks.items()}
     out |= {k: _across(getattr(cross, k)) for k in ("cross_versions", "cross_numbers", "cross_terms", "cross_term_ranks", "cross_modules")}
-    return out | {f.__name__: f for f in (sync_signals, sync_check, compare_events, inline_runs, source_files, source_line_counts, source_summary, source_listing, docx_events, docx_verify, docx_format_issues, docx_format_notes)}
+    return out | {f.__name__: f for f in (sync_signals, sync_check, compare_events, inline_runs, source_files, source_line_counts, source_summary, source_listing, docx_events, docx_verify, docx_format_issues, docx_format_notes, *NEW)}

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import text as T
 from ..sources.files import spread
 
 
@@ -84,14 +85,16 @@ SET_OF = "CAST(floor(doc_id / 3) AS bigint)"
 
 
 def table(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
-    """Columns of the table of documents."""
-    return spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select(*columns))
+    """Columns of the table of documents, texts with line ends normalised and none null."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(*columns)
+    return spread(docs.withColumn("text", T.normalised("text")) if "text" in columns else docs)
 
 
 def tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(path, length, content)``: the documents as files of a source tree."""
     content = F.expr("CAST(coalesce(text, '') AS binary)")
-    return table(spark, sf_dir, "doc_id", "text").select(F.expr(TREE).alias("path"), F.length(content).cast("bigint").alias("length"), content.alias("content"))
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    return docs.select(F.expr(TREE).alias("path"), F.length(content).cast("bigint").alias("length"), content.alias("content"))
 
 
 def derived(spark: SparkSession, sf_dir: str, expression: str) -> DataFrame:
@@ -116,3 +119,105 @@ def sets(spark: SparkSession, sf_dir: str) -> DataFrame:
 def diffs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(doc_set_id, diff_text)``."""
     return sets(spark, sf_dir).select("doc_set_id").distinct().select("doc_set_id", F.expr(DIFF).alias("diff_text"))
+
+
+#: How events of office documents were edited: which are gone, and level and text of the others.
+EDIT_GONE = "kind = 'image' AND doc_id % 6 = 0"
+EDIT_LEVEL = "CASE WHEN kind = 'heading' AND (doc_id + seq) % 5 = 0 THEN level + 1 ELSE level END"
+EDIT_TEXT = "CASE WHEN kind = 'table' AND doc_id % 4 = 0 THEN replace(text, '1', '7') WHEN kind = 'table' AND doc_id % 10 = 6 THEN replace(text, chr(31) || 'y', '') WHEN kind = 'para' AND (doc_id + seq) % 23 = 0 THEN text || ' (edited)' ELSE text END"
+
+
+def edited(events: DataFrame) -> DataFrame:
+    return events.where(f"NOT ({EDIT_GONE})").withColumns({"level": F.expr(EDIT_LEVEL), "text": F.expr(EDIT_TEXT)})
+
+
+def versions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(old, new): the documents with their lines numbered, and the same with some lines removed, changed or inserted."""
+    numbered = F.transform(F.split("text", "\n", -1), lambda x, i: F.concat((i + 1).cast("string"), F.lit(" "), x))
+    docs = table(spark, sf_dir, "doc_id", "text").select("doc_id", numbered.alias("lines"))
+    turn = lambda i, n: (F.col("doc_id") + i) % n == 0
+    more = lambda i, *texts: F.concat(*[x if isinstance(x, str) is False else F.lit(x) for x in texts])
+    changed = lambda x, i: F.when(turn(i, 11), F.array().cast("array<string>")).when(turn(i, 13), F.array(more(i, x, " v2.", i.cast("string"), ".0 of 10 MB"))).when(turn(i, 17), F.array(x, more(i, "inserted ", i.cast("string"), " 3.1.4"))).otherwise(F.array(x))
+    text = lambda lines: F.array_join(lines, "\n").alias("text")
+    return docs.select("doc_id", text(F.col("lines"))), docs.select("doc_id", text(F.flatten(F.transform("lines", changed))))
+
+
+def main_before(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(doc_id, text)``: earlier versions of the first documents of sets."""
+    return derived(spark, sf_dir, f"replace(replace({FACTS}, 'v2.1.0', 'v2.0.9'), '20MB', '25 MB')").where("doc_id % 3 = 0")
+
+
+def flows(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges): the lines of each document as steps of a flow, with loops, skips and some edges to nowhere."""
+    lines = table(spark, sf_dir, "doc_id", "text").select(F.col("doc_id").alias("diagram_id"), F.split("text", "\n", -1).alias("lines"))
+    rows = lines.select("diagram_id", F.size("lines").alias("n"), F.posexplode("lines").alias("seq", "text"))
+    kind = F.when(F.col("seq") == 0, "start").when(F.col("seq") == F.col("n") - 1, "end").when(F.endswith("text", F.lit("?")), "decision").otherwise("process")
+    name = lambda i: F.concat(F.lit("n"), i.cast("string"))
+    nodes = rows.select("diagram_id", "seq", name(F.col("seq")).alias("id"), "text", kind.alias("type"))
+    i, n = F.col("seq"), F.col("n")
+    edge = lambda test, k, to, label: F.when(test, F.struct((4 * i + k).alias("seq"), name(i).alias("src"), to.alias("dst"), F.lit(label).alias("label")))
+    every = F.array(edge(i + 1 < n, 0, name(i + 1), None), edge(i % 7 == 3, 1, name(i - 3), "again"), edge((i % 11 == 5) & (i + 4 < n), 2, name(i + 4), "skip"), edge((i == 0) & (F.col("diagram_id") % 9 == 0), 3, F.lit("nowhere"), "lost"))
+    return nodes, rows.select("diagram_id", F.inline(F.array_compact(every)))
+
+
+#: Texts of JSON of several shapes; MESSAGES stands for a message a line of the document.
+DIAGRAMS = (
+    """'{"type": "sequence", "title": "a", "actors": ["甲", "乙", "丙"], "messages": [' || MESSAGES || ']}'""",
+    """'{"width": 1200, "type": "sequence", "actors": ["p", "q", "r"], "style": {"deep": [1, {"x": null}]}, "messages": [' || MESSAGES || ', {"from": -1, "to": 0, "label": "back", "note": ""}]}'""",
+    """'{"type": "sequence", "actors": ["a", "b"], "messages": [{"from": "b", "to": "a", "label": "by name", "note": "n"}, {"from": "a", "to": "z"}, {"from": 0, "to": 7, "label": "far"}]}'""",
+    """'{"type": "sequence", "actors": [], "messages": []}'""",
+    """'{"type": "pie", "of": ' || CAST(doc_id AS string) || '}'""",
+    "'no JSON ' || CAST(doc_id AS string)",
+)
+
+
+def diagrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(diagram_id, config)``."""
+    says = lambda x, i: F.format_string('{"from": %d, "to": %d, "label": "L%d", "note": "%s"}', i % 3, (i + 1 + i % 2) % 3, F.length(x), F.when(i % 4 == 0, "noted").otherwise(""))
+    docs = table(spark, sf_dir, "doc_id", "text").select("doc_id", F.array_join(F.transform(F.split("text", "\n", -1), says), ", ").alias("MESSAGES"))
+    shape = "CASE doc_id % 6 " + " ".join(f"WHEN {i} THEN {x}" for i, x in enumerate(DIAGRAMS)) + " END"
+    return docs.select(F.col("doc_id").alias("diagram_id"), F.expr(shape).alias("config"))
+
+
+#: Width and height of the image of a document.
+PIXELS = "CAST(1 + (doc_id * 37) % 1900 AS INT)", "CAST(1 + (doc_id * 91 + length(text)) % 2500 AS INT)"
+_IMAGE_KINDS = ("png", "GIF", "jpg", "png", "webp", "bin")
+
+
+def images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(path, content)``: an image a document, of several kinds, with its text behind the header."""
+    docs = table(spark, sf_dir, "doc_id", "text").select("doc_id", "text", F.expr(PIXELS[0]).alias("w"), F.expr(PIXELS[1]).alias("h"))
+    large = lambda c: F.lpad(F.hex(c), 8, "0")
+    little = lambda c: F.concat(F.lpad(F.hex(F.pmod(c, F.lit(256))), 2, "0"), F.lpad(F.hex(F.floor(c / 256)), 2, "0"))
+    w, h, kind = F.col("w"), F.col("h"), F.col("doc_id") % 6
+    comment = F.concat(F.lit("FFFE"), F.lpad(F.hex(F.col("doc_id") % 300 + 2), 4, "0"), F.repeat(F.lit("20"), (F.col("doc_id") % 300).cast("int")))
+    jpeg = F.concat(F.lit("FFD8FFE000104A46494600010100000100010000"), F.when(F.col("doc_id") % 4 == 0, F.concat(comment, comment)).otherwise(F.lit("")), F.lit("FFC4000401AAFFC0001108"), F.right(large(h), F.lit(4)), F.right(large(w), F.lit(4)), F.lit("03012200021101031101"))
+    head = F.when(kind.isin(0, 3), F.concat(F.lit("89504E470D0A1A0A0000000D49484452"), large(w), large(h), F.lit("0802000000"))).when(kind == 1, F.concat(F.lit("474946383961"), little(w), little(h), F.lit("F70000"))).when(kind.isin(2, 4), jpeg).otherwise(F.lit("FFD8FFE0"))
+    path = F.expr(f"'img/' || CAST(doc_id AS string) || '.' || {_choice('doc_id', _IMAGE_KINDS)}")
+    return docs.select(path.alias("path"), F.concat(F.unhex(head), F.col("text").cast("binary")).alias("content"))
+
+
+def illustrated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(doc_id, path, text)``: the Markdown documents with an image of their own and one that is missing."""
+    name = f"'../img/' || CAST(doc_id AS string) || '.' || {_choice('doc_id', _IMAGE_KINDS)}"
+    docs = derived(spark, sf_dir, f"{MARKDOWN} || chr(10) || '![own <1>](' || {name} || ')' || chr(10) || chr(10) || '图' || CAST(doc_id % 9 AS string) || ' caption' || chr(10) || '![x](none.png)' || chr(10) || 'no caption'")
+    return docs.select("doc_id", F.concat(F.lit("texts/d"), F.col("doc_id").cast("string"), F.lit(".md")).alias("path"), "text")
+
+
+CAPTIONS = " || ".join([MARKDOWN, _when("doc_id % 2 = 0", "![one](1.png)", "", "---", "图12 after blank lines", "图13 too late"), _when("doc_id % 3 = 0", "| a |", "|---|", "| 1 |", "表3 below the table"), _when("doc_id % 5 = 0", "![two](2.png)", "```", "```", "图7 a fence lies between", "表 8 no number")])
+#: Names of archived templates; some without a date of the calendar.
+TEMPLATE = "CASE WHEN doc_id % 13 = 0 THEN 'notes-' || CAST(doc_id AS string) || '.md' ELSE '20' || lpad(CAST(10 + doc_id % 16 AS string), 2, '0') || '-' || lpad(CAST(1 + doc_id % 14 AS string), 2, '0') || '-' || lpad(CAST(1 + doc_id % 31 AS string), 2, '0') || '-' || lpad(CAST(1 + doc_id % 7 AS string), 2, '0') || '-' || lang || CAST(doc_id AS string) || '.md' END"
+
+
+def archived(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(category, name)``: the documents as archived templates, their sources as categories."""
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "lang", "source"))
+    return docs.select(F.expr("source || '/' || CAST(doc_id % 40 AS string)").alias("category"), F.expr(TEMPLATE).alias("name"))
+
+
+def requests(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(requests, confirmed, built_in), made from the documents' sources and languages."""
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "lang", "source"))
+    asked = docs.select(F.col("doc_id").alias("request_id"), F.expr("source || '/' || CAST(doc_id % 60 AS string)").alias("category"), F.expr("lang || CAST(doc_id % 50 AS string)").alias("topic"))
+    confirmed = docs.where("doc_id % 50 < 5").select(F.expr("lang || CAST(doc_id % 50 AS string)").alias("topic"), F.expr("lang || CAST(doc_id AS string) || '.md'").alias("name"))
+    return asked, confirmed, docs.where("doc_id % 60 >= 50 AND doc_id % 2 = 0").select(F.expr("source || '/' || CAST(doc_id % 60 AS string)").alias("category"), F.expr("source || '.md'").alias("name"))

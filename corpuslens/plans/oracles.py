@@ -15,7 +15,7 @@ def _quoted(s: str) -> str:
 
 
 def _docs(expression: str) -> str:
-    return f"(SELECT doc_id, {expression} AS text FROM documents)"
+    return f"(SELECT doc_id, {expression} AS text FROM {_RAW})"
 
 
 _RAW = "(SELECT doc_id, regexp_replace(coalesce(text, ''), '\\r\\n?', chr(10), 'g') AS text FROM documents)"
@@ -42,7 +42,7 @@ FROM (SELECT doc_id, line_no, raw, stripped, starts_with(stripped, '```') AS is_
     FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS raw, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS line_no FROM {docs})))"""
 
 
-_AUDIT = f"(SELECT doc_id, {X.AUDIT} AS text FROM documents UNION ALL SELECT -1 - doc_id, {X.CHINESE} FROM documents WHERE doc_id % 5 = 0)"
+_AUDIT = f"(SELECT doc_id, {X.AUDIT} AS text FROM {_RAW} UNION ALL SELECT -1 - doc_id, {X.CHINESE} FROM {_RAW} WHERE doc_id % 5 = 0)"
 _CONS, _FACTS, _MD = (_docs(x) for x in (X.CONSISTENCY, X.FACTS, X.MARKDOWN))
 _NO_CODE = r"regexp_replace(regexp_replace(text, '(^|\n)[ \t]*```[^\n]*\n(?:[^\n]*\n)*?[ \t]*```[^\n]*', '\1', 'g'), '`[^`\n]+`', '', 'g')"
 _LANG = "CASE WHEN len(regexp_extract_all(text, '[一-鿿]')) >= len(regexp_extract_all(text, '[A-Za-z]')) THEN 'zh' ELSE 'en' END"
@@ -340,7 +340,180 @@ _LISTED = "(SELECT path, regexp_replace(text, '\\r\\n?', chr(10), 'g') AS text F
 _N_LINES = "CAST(len(string_split(text, chr(10))) - CASE WHEN text = '' OR ends_with(text, chr(10)) THEN 1 ELSE 0 END AS BIGINT)"
 
 
+_PLAIN = "regexp_replace(regexp_replace(regexp_replace(text, '\\*\\*(.+?)\\*\\*', '\\1', 'g'), '`([^`]+)`', '\\1', 'g'), '(^|[^*])\\*([^*]+)\\*($|[^*])', '\\1\\2\\3', 'g')"
+
+
+def _office(events: str) -> str:
+    """What is read back from office documents of events."""
+    text = f"CASE WHEN kind = 'code' THEN text WHEN kind = 'image' THEN '' ELSE {_PLAIN} END"
+    return f"""
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY seq) - 1 AS INTEGER) AS seq, CASE WHEN kind = 'quote' THEN 'para' ELSE kind END AS kind, CAST(CASE WHEN kind = 'heading' THEN least(level, 4) ELSE 0 END AS INTEGER) AS level, {text} AS text FROM ({events})"""
+
+
+def _compared(left: str, right: str) -> str:
+    """Both streams walked step by step: an image on the left waits for one on the right."""
+    clean = f"regexp_replace({_PLAIN}, '\\s+', '', 'g')"
+    side = lambda sql: f"SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY seq) - 1 AS seq, kind, level, {clean} AS clean, CASE WHEN kind = 'table' THEN list_transform(string_split(text, chr(10)), lambda r: len(string_split(r, chr(31)))) END AS columns FROM ({sql})"
+    return f"""
+WITH RECURSIVE a AS MATERIALIZED ({side(left)}), b AS MATERIALIZED ({side(right)}),
+w AS (
+  SELECT DISTINCT doc_id, 0::BIGINT AS i, 0::BIGINT AS j FROM (SELECT doc_id FROM a UNION ALL SELECT doc_id FROM b)
+  UNION ALL SELECT w.doc_id, CASE WHEN a.kind = 'image' AND b.kind <> 'image' THEN w.i ELSE w.i + 1 END, w.j + 1 FROM w JOIN a ON a.doc_id = w.doc_id AND a.seq = w.i JOIN b ON b.doc_id = w.doc_id AND b.seq = w.j),
+s AS (SELECT w.doc_id, i, j, a AS x, b AS y FROM w JOIN a ON a.doc_id = w.doc_id AND a.seq = w.i JOIN b ON b.doc_id = w.doc_id AND b.seq = w.j),
+e AS (SELECT doc_id, max(i) AS i, max(j) AS j FROM w GROUP BY doc_id),
+p AS (
+  SELECT doc_id, i AS left_seq, j AS right_seq, 0 AS rank, ['image missing'] AS found FROM s WHERE x.kind = 'image' AND y.kind <> 'image'
+  UNION ALL SELECT doc_id, i, j, 2, CASE WHEN x.kind = 'quote' AND y.kind = 'para' THEN [] WHEN x.kind <> y.kind THEN ['kind']
+    WHEN x.kind = 'table' THEN CASE WHEN len(x.columns) <> len(y.columns) THEN ['table rows'] ELSE [] END
+      || list_transform(list_filter(range(1, least(len(x.columns), len(y.columns)) + 1), lambda k: x.columns[k] <> y.columns[k]), lambda k: 'table columns') || CASE WHEN x.clean <> y.clean THEN ['table cells'] ELSE [] END
+    ELSE CASE WHEN x.kind = 'heading' AND x.level <> y.level THEN ['level'] ELSE [] END || CASE WHEN x.clean <> y.clean THEN ['text'] ELSE [] END END FROM s WHERE x.kind <> 'image'
+  UNION ALL SELECT a.doc_id, a.seq, -1, 1, ['left over'] FROM a JOIN e ON e.doc_id = a.doc_id AND a.seq >= e.i
+  UNION ALL SELECT b.doc_id, -1, b.seq, 0, ['added'] FROM b JOIN e ON e.doc_id = b.doc_id AND b.seq >= e.j),
+u AS (SELECT doc_id, left_seq, right_seq, rank, unnest(found) AS problem, unnest(range(len(found))) AS k FROM p)
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY left_seq < 0, left_seq, rank, k, right_seq) - 1 AS INTEGER) AS seq, problem, CAST(left_seq AS INTEGER) AS left_seq, CAST(right_seq AS INTEGER) AS right_seq FROM u"""
+
+
+def _version_diff() -> str:
+    """What was done to each line; the lines are distinct, so no other alignment is longer."""
+    return f"""
+WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS x, unnest(range(len(string_split(text, chr(10))))) AS i FROM {_RAW}),
+n AS (SELECT doc_id, i, (i + 1) || ' ' || x AS x, (doc_id + i) % 11 = 0 AS gone, (doc_id + i) % 13 = 0 AS other, (doc_id + i) % 17 = 0 AS more FROM l),
+p AS (SELECT *, unnest(CASE WHEN gone THEN [] WHEN other THEN ['changed'] WHEN more THEN ['same', 'inserted'] ELSE ['same'] END) AS state FROM n),
+w AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i, state DESC) AS new_line FROM p)
+SELECT doc_id, 'removed' AS op, CAST(i + 1 AS INTEGER) AS old_line, 0 AS new_line, x AS line FROM n WHERE gone OR other
+UNION ALL SELECT doc_id, 'added', 0, CAST(new_line AS INTEGER), CASE state WHEN 'changed' THEN x || ' v2.' || i || '.0 of 10 MB' ELSE 'inserted ' || i || ' 3.1.4' END FROM w WHERE state <> 'same'"""
+
+
+def _version_sync() -> str:
+    return f"""
+WITH x AS (SELECT {X.SET_OF} AS doc_set_id, unnest(string_split(text, chr(10))) AS line FROM {_FACTS} WHERE doc_id % 3 = 0),
+y AS (SELECT *, replace(replace(line, 'v2.1.0', 'v2.0.9'), '20MB', '25 MB') AS before FROM x),
+l AS (SELECT doc_set_id, 'added' AS op, line FROM y WHERE line <> before UNION ALL SELECT doc_set_id, 'removed', before FROM y WHERE line <> before),
+g AS ({_signals()}),
+f AS (SELECT doc_set_id, doc_id, CASE WHEN op = 'removed' AND contains(text, key) THEN 'stale' WHEN op = 'added' AND NOT contains(text, key) THEN 'missing' END AS finding, kind, key
+  FROM g JOIN {_SETS} s USING (doc_set_id) JOIN {_FACTS} d USING (doc_id) WHERE doc_id % 3 <> 0)
+SELECT * FROM f WHERE finding IS NOT NULL"""
+
+
+_PLACES = ("x", "y", "width", "height", "bend_x", "to_x", "to_y", "label_x", "label_y", "note_x", "note_y")
+
+
+def _placed(part: str, seq: str, shape: str, label: str, source: str, **places: str) -> str:
+    columns = ", ".join(f"CAST({places.get(p, 'NULL')} AS DOUBLE) AS {p}" for p in _PLACES)
+    return f"SELECT diagram_id, {part} AS part, CAST({seq} AS INTEGER) AS seq, {shape} AS shape, {label} AS label, {columns} FROM {source}"
+
+
+def _flows() -> str:
+    side = lambda a, b: f"CASE WHEN side THEN {a} ELSE {b} END"
+    labelled = lambda c: f"CASE WHEN label IS NOT NULL THEN {c} END"
+    return f"""
+WITH n AS (
+  SELECT doc_id AS diagram_id, len(string_split(text, chr(10))) AS n, unnest(string_split(text, chr(10))) AS text, unnest(range(len(string_split(text, chr(10))))) AS i FROM {_RAW}),
+k AS (SELECT *, CASE WHEN i = 0 THEN 'start' WHEN i = n - 1 THEN 'end' WHEN ends_with(text, '?') THEN 'decision' ELSE 'process' END AS kind FROM n),
+e AS (
+  SELECT diagram_id, 4 * i AS seq, i AS a, i + 1 AS z, NULL AS label FROM n WHERE i + 1 < n
+  UNION ALL SELECT diagram_id, 4 * i + 1, i, i - 3, 'again' FROM n WHERE i % 7 = 3
+  UNION ALL SELECT diagram_id, 4 * i + 2, i, i + 4, 'skip' FROM n WHERE i % 11 = 5 AND i + 4 < n),
+s AS (SELECT *, abs(a - z) > 1 AS side, 650 - 46 * (sum(CAST(abs(a - z) > 1 AS INTEGER)) OVER (PARTITION BY diagram_id ORDER BY seq) - 1) AS bend, 90 + 110 * a AS ya, 90 + 110 * z AS yz FROM e)
+{_placed("'node'", "i", "CASE WHEN kind IN ('start', 'end') THEN 'rounded' WHEN kind = 'decision' THEN 'diamond' ELSE 'box' END", "text", "k", x="380", y="90 + 110 * i", width="CASE WHEN kind = 'decision' THEN 300 ELSE 320 END", height="30 + 22 * (1 + (length(text) - length(replace(text, chr(92) || 'n', ''))) // 2)")}
+UNION ALL {_placed("'edge'", "seq", side("'side'", "'straight'"), "label", "s", x=side("540", "380"), y=side("ya", "ya + 32"), bend_x=side("bend", "NULL"), to_x=side("540", "380"), to_y=side("yz", "yz - 32"), label_x=labelled(side("bend - 12", "406")), label_y=labelled(side("ya", "(ya + yz) / 2")))}
+UNION ALL {_placed("'unknown'", "3", "'none'", "'nowhere'", "(SELECT doc_id AS diagram_id FROM documents WHERE doc_id % 9 = 0)")}"""
+
+
+def _sequences() -> str:
+    messages = "array_to_string(list_transform(range(len(ls)), lambda i: '{\"from\": ' || i % 3 || ', \"to\": ' || (i + 1 + i % 2) % 3 || ', \"label\": \"L' || length(ls[i + 1]) || '\", \"note\": \"' || CASE WHEN i % 4 = 0 THEN 'noted' ELSE '' END || '\"}'), ', ')"
+    shape = "CASE doc_id % 6 " + " ".join(f"WHEN {i} THEN {x.replace('MESSAGES', messages)}" for i, x in enumerate(X.DIAGRAMS)) + " END"
+    end = lambda key: f"CASE WHEN json_type(m, '$.{key}') = 'VARCHAR' THEN list_position(names, m->>'$.{key}') - 1 WHEN CAST(m->>'$.{key}' AS INTEGER) < 0 THEN CAST(m->>'$.{key}' AS INTEGER) + n ELSE CAST(m->>'$.{key}' AS INTEGER) END"
+    at = lambda i: f"40 + (w - 80) * ({i} + 0.5) / n"
+    label = "concat_ws(chr(10), m->>'$.label', CASE WHEN coalesce(m->>'$.note', '') <> '' THEN m->>'$.note' END)"
+    noted = lambda c: f"CASE WHEN coalesce(m->>'$.note', '') <> '' THEN {c} END"
+    lost = lambda c, key: f"CASE WHEN {c} IS NULL OR {c} < 0 OR {c} >= n THEN m->>'$.{key}' END"
+    return f"""
+WITH c AS (SELECT doc_id AS diagram_id, {shape} AS config FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM {_RAW})),
+j AS (SELECT diagram_id, CASE WHEN json_valid(config) THEN CAST(config AS JSON) END AS j FROM c),
+t AS (SELECT diagram_id, j, j->>'$.type' AS type, CAST(j->'$.actors' AS VARCHAR[]) AS names, coalesce(json_array_length(j, '$.actors'), 0) AS n, CAST(coalesce(json_array_length(j, '$.messages'), 0) AS INTEGER) AS said, CAST(coalesce(j->>'$.width', '1000') AS DOUBLE) AS w FROM j),
+g AS (SELECT * FROM t WHERE type = 'sequence' AND n > 0),
+a AS (SELECT diagram_id, n, w, unnest(names) AS name, unnest(range(CAST(n AS BIGINT))) AS i FROM g),
+m AS (SELECT diagram_id, n, w, names, unnest(CAST(j->'$.messages' AS JSON[])) AS m, unnest(range(said)) AS k FROM g),
+e AS (SELECT *, {end('from')} AS a, {end('to')} AS z FROM m),
+o AS (SELECT *, {lost('a', 'from')} AS la, {lost('z', 'to')} AS lz FROM e),
+b AS (SELECT *, {at('a')} AS xa, {at('z')} AS xz, 130 + 95 * k AS y FROM o WHERE la IS NULL AND lz IS NULL)
+{_placed("'frame'", "0", "'box'", "NULL", "g", x="0", y="0", width="w", height="170 + 95 * said")}
+UNION ALL {_placed("'actor'", "i", "'box'", "name", "a", x=at("i"), y="50", width="150", height="46")}
+UNION ALL {_placed("'message'", "k + 1", "CASE WHEN xz > xa THEN 'right' ELSE 'left' END", label, "b", x="xa", y="y", to_x="xz", to_y="y", label_x="(xa + xz) / 2", label_y="y - 16", note_x=noted("(xa + xz) / 2 + 40"), note_y=noted("y + 18"))}
+UNION ALL {_placed("'unknown'", "k + 1", "'none'", "concat_ws(',', la, lz)", "o WHERE la IS NOT NULL OR lz IS NOT NULL")}
+UNION ALL {_placed("CASE WHEN type IS NULL OR type = 'sequence' THEN 'invalid' ELSE 'unsupported' END", "0", "'none'", "type", "t WHERE type IS NULL OR (type = 'sequence' AND n = 0) OR type NOT IN ('sequence', 'flow')")}"""
+
+
+def _captions() -> str:
+    return rf"""
+WITH b AS (SELECT *, fences % 2 = 1 AS in_code FROM ({_blocks(_docs(X.CAPTIONS), True)})),
+k AS (SELECT *, is_fence OR in_code AS code, start_line IS NOT NULL AS tab, NOT is_fence AND NOT in_code AND start_line IS NULL AND regexp_matches(stripped, '^!\[(.*?)\]\((.*?)\)$') AS img
+  FROM b WHERE is_fence OR in_code OR stripped NOT IN ('', '---')),
+w AS (SELECT *, lag(CASE WHEN tab THEN 'table' WHEN img THEN 'image' END) OVER (PARTITION BY doc_id ORDER BY line_no) AS before FROM k)
+SELECT doc_id, CAST(line_no AS INTEGER) AS line_no, stripped[1] AS kind, CAST(CAST(regexp_extract(stripped, '^[图表](\d+)', 1) AS HUGEINT) AS VARCHAR) AS number, stripped AS text, before AS "of"
+FROM w WHERE before IS NOT NULL AND NOT code AND NOT tab AND regexp_matches(stripped, '^[图表]\d+')"""
+
+
+def _image_sizes() -> str:
+    kind = "CASE doc_id % 6 WHEN 1 THEN 'gif' WHEN 2 THEN 'jpeg' WHEN 4 THEN 'jpeg' WHEN 5 THEN 'jpeg' ELSE 'png' END"
+    return f"""
+WITH s AS (SELECT doc_id, 'img/' || doc_id || '.' || {X._choice('doc_id', X._IMAGE_KINDS)} AS path, {kind} AS kind, CASE WHEN doc_id % 6 < 5 THEN {X.PIXELS[0]} ELSE 0 END AS width, CASE WHEN doc_id % 6 < 5 THEN {X.PIXELS[1]} ELSE 0 END AS height FROM {_RAW}),
+r AS (SELECT *, CASE WHEN width > 0 THEN height / width END AS ratio FROM s)
+SELECT path, kind, width, height, CASE WHEN ratio > CAST(22 AS DOUBLE) / CAST(14.5 AS DOUBLE) THEN CAST(22 AS DOUBLE) / ratio WHEN ratio IS NOT NULL THEN 14.5 END AS width_cm,
+  CASE WHEN ratio > CAST(22 AS DOUBLE) / CAST(14.5 AS DOUBLE) THEN 22 ELSE CAST(14.5 AS DOUBLE) * ratio END AS height_cm,
+  CASE doc_id % 6 WHEN 1 THEN 'image/gif' WHEN 2 THEN 'image/jpeg' WHEN 4 THEN 'image/webp' ELSE 'image/png' END AS mime FROM r"""
+
+
+def _source_pages() -> str:
+    return f"""
+WITH f AS (SELECT path, {_N_LINES} AS n, string_split(text, chr(10)) AS ls FROM {_LISTED.format(_tree())}),
+p AS (SELECT *, 1 + CAST(ceil((count(*) OVER () + 2) / 50) AS BIGINT) + coalesce(sum(CAST(ceil((n + 1) / 50) AS BIGINT)) OVER (ORDER BY path ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + 1 AS first_page FROM f),
+l AS (
+  SELECT path, 0 AS line_no, first_page, '文件：' || path || '（' || n || ' 行）' AS line FROM p
+  UNION ALL SELECT path, unnest(range(1, n + 1)), first_page, rtrim(unnest(ls[1:n]), ' ') FROM p)
+SELECT path, CAST(line_no AS INTEGER) AS line_no, CAST(first_page + line_no // 50 AS BIGINT) AS page, CAST(line_no % 50 + 1 AS INTEGER) AS place, line FROM l"""
+
+
+def _retention() -> str:
+    return rf"""
+WITH a AS (SELECT source || '/' || doc_id % 40 AS category, {X.TEMPLATE} AS name FROM documents),
+d AS (SELECT *, TRY_CAST(nullif(regexp_extract(name, '^(\d{{4}}-\d{{2}}-\d{{2}})-(\d{{2,}})-(.+)\.md$', 1), '') AS DATE) AS stored_on, TRY_CAST(nullif(regexp_extract(name, '^(\d{{4}}-\d{{2}}-\d{{2}})-(\d{{2,}})-(.+)\.md$', 2), '') AS BIGINT) AS number FROM a),
+r AS (SELECT *, CASE WHEN stored_on IS NOT NULL THEN row_number() OVER (PARTITION BY category, stored_on IS NULL ORDER BY stored_on DESC, number DESC, name DESC) END AS k, count(stored_on) OVER (PARTITION BY category) AS n FROM d)
+SELECT category, name, coalesce(CAST(stored_on AS VARCHAR), '') AS stored_on, coalesce(number, 0) AS number, CAST(CASE WHEN k <= 10 THEN k ELSE 0 END AS INTEGER) AS place, coalesce(k <= 10, true) AS kept, n >= 3 AS consensus FROM r"""
+
+
+def _choice() -> str:
+    return f"""
+WITH q AS (SELECT doc_id AS request_id, source || '/' || doc_id % 60 AS category, lang || doc_id % 50 AS topic FROM documents),
+o AS (SELECT lang || doc_id % 50 AS topic, min(lang || doc_id || '.md') AS own FROM documents WHERE doc_id % 50 < 5 GROUP BY ALL),
+c AS (SELECT DISTINCT category FROM ({_retention()}) WHERE consensus),
+b AS (SELECT source || '/' || doc_id % 60 AS category, min(source || '.md') AS given FROM documents WHERE doc_id % 60 >= 50 AND doc_id % 2 = 0 GROUP BY ALL)
+SELECT request_id, q.category, q.topic, CASE WHEN own IS NOT NULL THEN 1 WHEN c.category IS NOT NULL THEN 2 WHEN given IS NOT NULL THEN 3 ELSE 0 END AS tier, coalesce(own, CASE WHEN c.category IS NOT NULL THEN 'consensus' END, given) AS template
+FROM q LEFT JOIN o USING (topic) LEFT JOIN c ON c.category = q.category LEFT JOIN b ON b.category = q.category"""
+
+
+def _verify_report(problems: str) -> str:
+    return f"""
+SELECT doc_id, count(*) AS total, string_agg(problem || ' ' || left_seq || ' / ' || right_seq, chr(10) ORDER BY seq) FILTER (seq < 20) AS items FROM ({problems}) GROUP BY doc_id"""
+
+
+def _notes() -> str:
+    body = "g = 'body'"
+    return rf"""
+WITH e AS (SELECT doc_id, kind, {_TRIM.format("text")} AS t FROM ({_office(_events())})),
+p AS (SELECT *, CASE WHEN kind IN ('image', 'table') OR t = '' THEN 'empty' WHEN kind = 'heading' THEN 'heading' WHEN length(t) <= 40 AND regexp_matches(t, '^(图|表)\s*\d+') THEN 'caption'
+  WHEN kind IN ('bullet', 'number') THEN 'list' WHEN kind = 'code' THEN 'code' WHEN starts_with(t, '>') THEN 'other' ELSE 'body' END AS g FROM e),
+r AS (
+  SELECT doc_id, 'group' AS what, g AS value FROM p WHERE kind <> 'table'
+  UNION ALL SELECT doc_id, unnest(['indent', 'spacing', 'font', 'size']), unnest(['', '', '宋体', '12.0']) FROM p WHERE kind <> 'table' AND {body}
+  UNION ALL SELECT doc_id, kind, '' FROM p WHERE kind IN ('table', 'image'))
+SELECT doc_id, what, value, count(*) AS n FROM r GROUP BY ALL
+UNION ALL SELECT DISTINCT doc_id, 'widest image', '10.00', 1 FROM p WHERE kind = 'image'"""
+
+
 def oracle_sql() -> dict[str, str]:
+    verified = _compared(_events(), _office(f"SELECT doc_id, seq, kind, {X.EDIT_LEVEL} AS level, {X.EDIT_TEXT} AS text FROM ({_events()}) WHERE NOT ({X.EDIT_GONE})"))
     plain = f"regexp_replace(regexp_replace(regexp_replace(text, '\\*\\*(.+?)\\*\\*', '\\1', 'g'), '`([^`]+)`', '\\1', 'g'), '(^|[^*])\\*([^*]+)\\*($|[^*])', '\\1\\2\\3', 'g')"
     return {
         "scan_documents": f"SELECT doc_id, length(text) AS n_chars, CAST(len(string_split(text, chr(10))) AS BIGINT) AS n_lines FROM {_RAW}",
@@ -386,5 +559,19 @@ def oracle_sql() -> dict[str, str]:
         "source_summary": f"SELECT count(*) AS n_files, CAST(sum(n) AS BIGINT) AS n_lines, CAST(sum(n) // 50 + count(*) // 3 + 3 AS BIGINT) AS pages FROM (SELECT {_N_LINES} AS n FROM {_LISTED.format(_tree())})",
         "source_listing": f"SELECT path, CAST(unnest(range(1, n + 1)) AS INTEGER) AS line_no, rtrim(unnest(ls[1:n]), ' ') AS line FROM (SELECT path, {_N_LINES} AS n, string_split(text, chr(10)) AS ls FROM {_LISTED.format(_tree())})",
         "md_events": _events(),
+        "docx_events": _office(_events()),
+        "docx_verify": verified,
+        "docx_format_notes": _notes(),
+        "verify_report": _verify_report(verified),
+        "compare_events": _compared(_events(), f"SELECT doc_id, seq, CASE WHEN kind = 'bullet' THEN 'para' ELSE kind END AS kind, level, text FROM ({_events()}) WHERE kind <> 'image'"),
+        "version_diff": _version_diff(),
+        "version_sync": _version_sync(),
+        "flow_layout": _flows(),
+        "sequence_layout": _sequences(),
+        "md_captions": _captions(),
+        "image_sizes": _image_sizes(),
+        "source_pages": _source_pages(),
+        "template_retention": _retention(),
+        "template_choice": _choice(),
         "md_event_counts": f"SELECT doc_id, kind, count(*) AS n FROM ({_events()}) GROUP BY doc_id, kind",
     }

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from .docx import TWIP_CM, W, _text
+from .storage import stored
 
 _R = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
 _DRAWN = "{http://schemas.openxmlformats.org/drawingml/2006/wordprocessingDrawing}"
@@ -138,9 +139,9 @@ def paragraph_group() -> Column:
 def format_issues(facts: DataFrame, rules: dict) -> DataFrame:
     """``(doc_id, rule, subject, n, of, detail)``: where a document departs from the rules; n of so many paragraphs, tables or images, detail lists what departs.
 
-    The facts are kept for the rules that follow each other, so files are read once; what is lost of them is read again.
+    The facts are written to the shared folder, so files are read once for all rules.
     """
-    facts = facts.persist()
+    facts = stored(facts)
     page, body, heading = rules["page"], rules["body"], rules["heading"]
     paragraphs = facts.where("what = 'paragraph'").withColumn("group", paragraph_group())
     strange = lambda allowed: F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.filter("fonts", lambda f: f.isNotNull() & ~f.isin(allowed))))))
@@ -177,7 +178,7 @@ def format_issues(facts: DataFrame, rules: dict) -> DataFrame:
 
 
 def format_notes(facts: DataFrame) -> DataFrame:
-    """``(doc_id, what, value, n)``: how many paragraphs of each group, and how fonts, sizes, indents and spacings of body text are spread ("" where not set)."""
+    """``(doc_id, what, value, n)``: how many paragraphs of each group, and how fonts, sizes, indents and spacings of body text are spread ("" where not set); "widest image" has its centimetres as value."""
     paragraphs = facts.where("what = 'paragraph'").withColumn("group", paragraph_group())
     text = lambda c: F.coalesce(c.cast("string"), F.lit(""))
     one = lambda what, value: F.array(F.struct(F.lit(what).alias("what"), text(value).alias("value")))
@@ -185,4 +186,6 @@ def format_notes(facts: DataFrame) -> DataFrame:
     body = F.concat(one("indent", F.col("indent")), one("spacing", F.col("spacing")), each("font", F.col("fonts")), each("size", F.filter("sizes", lambda s: s.isNotNull())))
     rows = paragraphs.select("doc_id", F.inline(F.concat(one("group", F.col("group")), F.when(F.col("group") == "body", body).otherwise(F.array().cast("array<struct<what: string, value: string>>")))))
     other = facts.where("what IN ('table', 'image')").select("doc_id", "what", F.lit("").alias("value"))
-    return rows.unionByName(other).groupBy("doc_id", "what", "value").agg(F.count("*").alias("n"))
+    counted = rows.unionByName(other).groupBy("doc_id", "what", "value").agg(F.count("*").alias("n"))
+    widest = facts.where("what = 'image'").groupBy("doc_id").agg(F.max("width_cm").alias("w")).select("doc_id", F.lit("widest image").alias("what"), F.format_string("%.2f", "w").alias("value"), F.lit(1).cast("bigint").alias("n"))
+    return counted.unionByName(widest)

@@ -12,12 +12,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..operators import images, markdown
 from .docx import CODE_FONT
 
 _WORDS = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
 _DRAWN = 'xmlns:wp="http://schemas.openxmlformats.org/drawingml/2006/wordprocessingDrawing"'
+_MAIN = 'xmlns:a="http://schemas.openxmlformats.org/drawingml/2006/main"'
+_PICTURE = 'xmlns:pic="http://schemas.openxmlformats.org/drawingml/2006/picture"'
+_RELATED = 'xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"'
 #: Headings go no deeper; fonts and size of text and headings.
-DEEPEST, TEXT_FONT, HEADING_FONT, SIZE_PT = 6, "宋体", "黑体", 12
+DEEPEST, TEXT_FONT, HEADING_FONT, SIZE_PT, CAPTION_PT = 4, "宋体", "黑体", 12, 10.5
+EMU_CM = 360_000
 _STYLES = {"bullet": ("ListBullet", "List Bullet"), "number": ("ListNumber", "List Number")}
 #: What XML can't hold.
 _UNFIT = re.compile("[^\t\n\r\x20-퟿-�\U00010000-\U0010ffff]")
@@ -28,19 +33,37 @@ def _run(text: str, font: str, size: float = SIZE_PT, bold: bool = False) -> str
     return f'<w:r><w:rPr>{props}</w:rPr><w:t xml:space="preserve">{escape(_UNFIT.sub("", text))}</w:t></w:r>'
 
 
-def _paragraph(inner: str, style: str = "") -> str:
-    return f"<w:p>{f'<w:pPr><w:pStyle w:val=\"{style}\"/></w:pPr>' if style else ''}{inner}</w:p>"
+def _paragraph(inner: str, style: str = "", centred: bool = False) -> str:
+    props = (f'<w:pStyle w:val="{style}"/>' if style else "") + ('<w:jc w:val="center"/>' if centred else "")
+    return f"<w:p>{f'<w:pPr>{props}</w:pPr>' if props else ''}{inner}</w:p>"
 
 
-def docx_bytes(events: list[tuple[str, int, str]], page: tuple[int, int] = (11906, 16838)) -> bytes:
-    """A file of (kind, level, text); page in twentieths of a point."""
-    body = []
-    for kind, level, text in events:
+def _picture(text: str, cx: int = 3_600_000, cy: int = 1_800_000, relation: str = "") -> str:
+    shown = f'<a:graphic {_MAIN}><a:graphicData uri="http://schemas.openxmlformats.org/drawingml/2006/picture"><pic:pic {_PICTURE}><pic:nvPicPr><pic:cNvPr id="0" name="image"/><pic:cNvPicPr/></pic:nvPicPr><pic:blipFill><a:blip r:embed="{relation}" {_RELATED}/><a:stretch><a:fillRect/></a:stretch></pic:blipFill><pic:spPr><a:xfrm><a:off x="0" y="0"/><a:ext cx="{cx}" cy="{cy}"/></a:xfrm><a:prstGeom prst="rect"><a:avLst/></a:prstGeom></pic:spPr></pic:pic></a:graphicData></a:graphic>' if relation else ""
+    return _paragraph(f'<w:r><w:drawing><wp:inline {_DRAWN}><wp:extent cx="{cx}" cy="{cy}"/><wp:docPr id="1" name="image" descr="{escape(_UNFIT.sub("", text), {chr(34): "&quot;"})}"/>{shown}</wp:inline></w:drawing></w:r>', centred=bool(relation))
+
+
+def docx_bytes(events: list[tuple[str, int, str]], page: tuple[int, int] = (11906, 16838), images: dict[int, tuple[bytes, str, float, float] | str] | None = None) -> bytes:
+    """A file of (kind, level, text); page in twentieths of a point.
+
+    ``images`` has, by place among the events, an image's bytes, extension, width and
+    height in centimetres, or the path of one that is missing, of which the text says so.
+    """
+    body, media = [], []
+    for at, (kind, level, text) in enumerate(events):
+        image = (images or {}).get(at)
         if kind == "table":
             rows = [[_paragraph(_run(cell, TEXT_FONT)) for cell in row.split("\x1f")] for row in text.split("\n")]
             body.append("<w:tbl><w:tblPr><w:tblBorders/></w:tblPr>" + "".join("<w:tr>" + "".join(f"<w:tc>{c}</w:tc>" for c in row) + "</w:tr>" for row in rows) + "</w:tbl>")
+        elif kind == "image" and isinstance(image, str):
+            body.append(_paragraph(_run(f"[缺失图片: {image}]", TEXT_FONT), centred=True))
+        elif kind == "image" and image:
+            media.append((f"image{len(media) + 1}.{image[1]}", image[0]))
+            body.append(_picture(text, round(image[2] * EMU_CM), round(image[3] * EMU_CM), f"i{len(media)}"))
         elif kind == "image":
-            body.append(f'<w:p><w:r><w:drawing><wp:inline {_DRAWN}><wp:extent cx="3600000" cy="1800000"/><wp:docPr id="1" name="image" descr="{escape(_UNFIT.sub("", text), {chr(34): "&quot;"})}"/></wp:inline></w:drawing></w:r></w:p>')
+            body.append(_picture(text))
+        elif kind == "caption":
+            body.append(_paragraph(_run(text, TEXT_FONT, CAPTION_PT, bold=True), centred=True))
         elif kind == "heading":
             body.append(_paragraph(_run(text, HEADING_FONT, bold=True), f"Heading{min(level, DEEPEST)}"))
         elif kind == "code":
@@ -50,22 +73,46 @@ def docx_bytes(events: list[tuple[str, int, str]], page: tuple[int, int] = (1190
     names = [*((f"Heading{i}", f"heading {i}") for i in range(1, DEEPEST + 1)), *_STYLES.values()]
     out = io.BytesIO()
     with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
-        z.writestr("[Content_Types].xml", '<Types xmlns="http://schemas.openxmlformats.org/package/2006/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Default Extension="xml" ContentType="application/xml"/><Override PartName="/word/document.xml" ContentType="application/vnd.openxmlformats-officedocument.wordprocessingml.document.main+xml"/><Override PartName="/word/styles.xml" ContentType="application/vnd.openxmlformats-officedocument.wordprocessingml.styles+xml"/></Types>')
+        z.writestr("[Content_Types].xml", '<Types xmlns="http://schemas.openxmlformats.org/package/2006/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Default Extension="xml" ContentType="application/xml"/>' + "".join(f'<Default Extension="{e}" ContentType="image/{e.replace("jpg", "jpeg")}"/>' for e in sorted({n.rpartition(".")[2] for n, _ in media})) + '<Override PartName="/word/document.xml" ContentType="application/vnd.openxmlformats-officedocument.wordprocessingml.document.main+xml"/><Override PartName="/word/styles.xml" ContentType="application/vnd.openxmlformats-officedocument.wordprocessingml.styles+xml"/></Types>')
         z.writestr("_rels/.rels", '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="r1" Type="http://schemas.openxmlformats.org/officeDocument/2006/relationships/officeDocument" Target="word/document.xml"/></Relationships>')
-        z.writestr("word/_rels/document.xml.rels", '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="r1" Type="http://schemas.openxmlformats.org/officeDocument/2006/relationships/styles" Target="styles.xml"/></Relationships>')
+        z.writestr("word/_rels/document.xml.rels", '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="r1" Type="http://schemas.openxmlformats.org/officeDocument/2006/relationships/styles" Target="styles.xml"/>' + "".join(f'<Relationship Id="i{i}" Type="http://schemas.openxmlformats.org/officeDocument/2006/relationships/image" Target="media/{n}"/>' for i, (n, _) in enumerate(media, 1)) + "</Relationships>")
+        for name, content in media:
+            z.writestr(f"word/media/{name}", content)
         z.writestr("word/styles.xml", f"<w:styles {_WORDS}>" + "".join(f'<w:style w:type="paragraph" w:styleId="{i}"><w:name w:val="{n}"/></w:style>' for i, n in names) + "</w:styles>")
         z.writestr("word/document.xml", f'<w:document {_WORDS}><w:body>{"".join(body)}<w:sectPr><w:pgSz w:w="{page[0]}" w:h="{page[1]}"/><w:pgMar w:left="1440" w:right="1440" w:top="1440" w:bottom="1440"/></w:sectPr></w:body></w:document>')
     return out.getvalue()
 
 
 def write_docx(events: DataFrame) -> DataFrame:
-    """``(doc_id, content)``: a file of each document's events; marks of bold, code and italics go."""
+    """``(doc_id, content)``: a file of each document's events; marks of bold, code and italics go.
+
+    Events may have ``source`` (the path of an image), ``image`` (its bytes, null where
+    it is missing), ``extension``, ``width_cm`` and ``height_cm``.
+    """
     plain = F.when(F.col("kind") == "code", F.col("text")).otherwise(T.without_marks("text"))
-    rows = events.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("seq", "kind", "level", plain.alias("text")))).alias("events"))
+    extra = [c for c in ("source", "image", "extension", "width_cm", "height_cm") if c in events.columns]
+    rows = events.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("seq", "kind", "level", plain.alias("text"), *extra))).alias("events"))
 
     def run(batches):
         for b in batches:
-            files = [docx_bytes([(e["kind"], e["level"], e["text"] or "") for e in events]) for events in b.column("events").to_pylist()]
+            files = []
+            for parts in b.column("events").to_pylist():
+                images = {i: (bytes(e["image"]), e["extension"], e["width_cm"], e["height_cm"]) if e["image"] is not None else e["source"] for i, e in enumerate(parts) if e["kind"] == "image"} if "image" in extra else None
+                files.append(docx_bytes([(e["kind"], e["level"], e["text"] or "") for e in parts], images=images))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(files, pa.binary())], ["doc_id", "content"])
 
     return rows.mapInArrow(run, "doc_id bigint, content binary")
+
+
+def md_to_docx(docs: DataFrame, files: DataFrame) -> DataFrame:
+    """``(doc_id, content)``: office documents of ``docs(doc_id, path, text)`` with their images among ``files(path, content)`` and captions set apart.
+
+    An image whose size can't be read is taken as one that fills the width and half the height of it.
+    """
+    folder = F.regexp_replace(F.coalesce("path", F.lit("")), r"/?[^/]*$", "")
+    events = markdown.md_events(docs, captions=True, keep=("doc_id", "path"), sources=True).withColumn("__at", images.resolved(folder, F.col("source")))
+    sizes = images.image_sizes(files).dropDuplicates(["path"])
+    width = F.coalesce("width_cm", F.lit(images.MOST_WIDTH_CM))
+    extension = F.regexp_replace("mime", "^image/", "")
+    known = files.dropDuplicates(["path"]).join(sizes, "path").select(F.col("path").alias("__at"), F.col("content").alias("image"), extension.alias("extension"), width.alias("width_cm"), F.coalesce("height_cm", width / 2).alias("height_cm"))
+    return write_docx(events.join(known, "__at", "left"))

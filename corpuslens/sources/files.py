@@ -66,20 +66,21 @@ def source_files(files: DataFrame, include: tuple[str, ...] = (), exclude: tuple
     return files.where(keep).select("path", "length", "content")
 
 
-def source_listing(files: DataFrame) -> DataFrame:
-    """``(path, line_no, line)``: what a listing prints, for each file the lines without blanks at their ends; ordered by path and number."""
+def source_listing(files: DataFrame, ordered: bool = True) -> DataFrame:
+    """``(path, line_no, line)``: what a listing prints, for each file the lines without blanks at their ends; ordered by path and number, unless not asked for."""
     text = F.regexp_replace(F.try_validate_utf8(F.col("content").cast("string")), "\r\n?", "\n")
     parts = F.split(text, "\n", -1)
     shown = F.when(F.element_at(parts, -1) == "", F.slice(parts, F.lit(1), F.size(parts) - 1)).otherwise(parts)
     rows = files.select("path", F.posexplode(shown).alias("at", "line"))
-    return rows.select("path", (F.col("at") + 1).alias("line_no"), F.rtrim("line").alias("line")).orderBy("path", "line_no")
+    rows = rows.select("path", (F.col("at") + 1).alias("line_no"), F.rtrim("line").alias("line"))
+    return rows.orderBy("path", "line_no") if ordered else rows
 
 
 def source_line_counts(files: DataFrame) -> DataFrame:
     """``(path, n_lines)``; 0 for what isn't UTF-8."""
     text = F.regexp_replace(F.try_validate_utf8(F.col("content").cast("string")), "\r\n?", "\n")
     n = T.line_count(text) - F.when(F.endswith(text, F.lit("\n")) | (text == ""), 1).otherwise(0)
-    return files.select("path", F.coalesce(n, F.lit(0)).cast("bigint").alias("n_lines"))
+    return files.select("path", F.when(text.isNull(), F.lit(0)).otherwise(n).cast("bigint").alias("n_lines"))
 
 
 def source_summary(files: DataFrame, lines_per_page: int = 50) -> DataFrame:
@@ -93,7 +94,27 @@ def write_report(report: DataFrame, path: str) -> None:
     report.write.mode("overwrite").json(path)
 
 
-def write_html(pages: DataFrame, path: str) -> None:
-    """Writes ``(doc_id, html)`` as a table of complete pages."""
-    page = F.concat(F.lit('<!DOCTYPE html>\n<html>\n<head><meta charset="UTF-8"><title>'), F.col("doc_id").cast("string"), F.lit("</title></head>\n<body>\n"), F.col("html"), F.lit("\n</body>\n</html>"))
-    pages.select("doc_id", page.alias("page")).write.mode("overwrite").parquet(path)
+STYLE = """
+body { max-width: 50em; margin: 0 auto; padding: 2em; line-height: 1.6; font-family: "Microsoft YaHei", "SimSun", sans-serif; }
+table { width: 100%; border-collapse: collapse; }
+td, th { border: 1px solid #aaa; padding: 0.3em 0.6em; }
+th { background: #eee; }
+pre { padding: 0.8em; overflow-x: auto; background: #f5f5f5; }
+code { font-family: Consolas, monospace; }
+blockquote { margin: 1em 0; padding: 0 1em; border-left: 0.3em solid #ccc; color: #555; }
+img { display: block; max-width: 100%; margin: 1em auto; }
+"""
+
+
+def pages(html: DataFrame, language: str = "zh-CN") -> DataFrame:
+    """``(name, content)``: complete pages of ``html(doc_id, html)``, with their style, named by their ids."""
+    name = F.coalesce(F.col("doc_id").cast("string"), F.lit("none"))
+    head = F.concat(F.lit(f'<!DOCTYPE html>\n<html lang="{language}">\n<head>\n<meta charset="UTF-8">\n<title>'), T.html_escaped(name), F.lit(f"</title>\n<style>{STYLE}</style>\n</head>\n<body>\n"))
+    return html.select(F.concat(name, F.lit(".html")).alias("name"), F.concat(head, F.col("html"), F.lit("\n</body>\n</html>\n")).alias("content"))
+
+
+def write_html(html: DataFrame, path: str, overwrite: bool = False) -> None:
+    """Writes ``(doc_id, html)`` as files, a complete page each."""
+    from .datasource import write_files
+
+    write_files(pages(html), path, overwrite)

@@ -13,9 +13,13 @@ from pyspark.sql.streaming import StreamingQuery
 
 
 def check_stream(docs: DataFrame, check: Callable[[DataFrame], DataFrame], path: str, checkpoint: str) -> StreamingQuery:
-    """Appends what ``check`` finds in each micro-batch of ``docs(doc_id, text)`` to the table at ``path``."""
+    """Writes what ``check`` finds in each micro-batch of ``docs(doc_id, text)`` to the table at ``path``.
+
+    A batch has its own part of the table (column ``batch``), which it replaces: one that
+    is run again after a failure leaves its rows once.
+    """
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        check(batch).write.mode("append").parquet(path)
+        check(batch).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
     return docs.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
