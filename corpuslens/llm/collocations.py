@@ -6,12 +6,15 @@ end at the same places, each with the size of that set, its longest and shortest
 phrase and the link to the state of the next shorter suffix. Every phrase with
 its count is read off the states, and counts are summed over all shards.
 
-No phrase is more frequent than a word or a pair of words in it, so three passes
-go over the texts: words first; then pairs of frequent words; then phrases of
-three and four words all of whose pairs are frequent. Rarer words and pairs end a
-run, as the end of a piece does. What is frequent is told to the shards as a
-bitmap of hashes of fixed size (``BITS``); two that share a bit only let more
-phrases through to the exact counts.
+No phrase is more frequent than a word or a pair of words in it, and none is more
+frequent than all phrases whose hash is the same, so four passes go over the texts.
+The first counts hashes of words; each of the others counts the phrases whose hashes
+are frequent, and hashes of phrases of one level more: words and hashes of pairs,
+pairs and hashes of phrases of three and four words, at last those phrases. Words
+and pairs of rare hashes end a run, as the end of a piece does. A hash is a few
+bytes in a shuffle where a phrase is many. Which hashes are frequent is told to the
+shards as a bitmap of fixed size (``BITS``); hashes that meet in a bucket or a bit
+only let more phrases through to the exact counts.
 
 A phrase is dropped if a longer candidate holds it and is nearly as frequent. A
 longer candidate's parts are at least as frequent as it is, so only candidates of
@@ -26,6 +29,7 @@ looking back three words; other columns are ignored, whatever their names.
 
 from __future__ import annotations
 
+import functools
 import zlib
 from collections.abc import Iterator
 
@@ -42,13 +46,14 @@ IN_WORD = lookup(b" \t.,;:!?\n\x0b\x0c\r", inside=False)
 LEAST_COUNT, DEPTH, SHOWN = 30, 4, 2000
 #: Words of a shard, and bytes of text read at a time.
 SHARD, BLOCK = 1 << 18, 2 << 20
-#: Bits of a bitmap of frequent words or pairs; 16 MB whatever the corpus.
-BITS = 1 << 27
+#: Hashes that are told apart when counted, and bits of a bitmap of frequent ones; 16 MB whatever the corpus.
+BUCKETS, BITS = 1 << 36, 1 << 27
 #: No more counts (about 50 bytes each) than this are broadcast.
 FEW_COUNTS = 200_000
-#: Parts that rows of one key are dealt to: candidates of one word, phrases of one language.
+#: Parts that phrases of one language are dealt to.
 SALTS = 32
-COUNTS = "lang string, phrase string, cnt bigint"
+#: A count of a phrase, or (both null) of a hash's bucket.
+COUNTS = "lang string, phrase string, bucket bigint, cnt bigint"
 _PAIR = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -114,13 +119,8 @@ def _languages(column: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray]:
     return coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), names, np.array([zlib.crc32(x.encode()) for x in names.to_pylist()], np.uint64)
 
 
-def _place(word: np.ndarray, language: np.ndarray, before: np.ndarray | None = None) -> np.ndarray:
-    """The bit of words, or of pairs with the word ``before``, in a bitmap."""
-    one = word if before is None else mix(before * _PAIR + np.uint64(1)) ^ word
-    return (mix(one + mix(language)) % np.uint64(BITS)).astype(np.int64)
-
-
-def _has(bits: np.ndarray, at: np.ndarray) -> np.ndarray:
+def _has(bits: np.ndarray, buckets: np.ndarray) -> np.ndarray:
+    at = buckets % BITS
     return (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
 
 
@@ -141,30 +141,45 @@ class _Shard:
         unique, first, self.ids = np.unique(key, return_index=True, return_inverse=True)
         self.words = coded.dictionary.take(pa.array(unique % len(coded.dictionary)))
         self.langs = names.take(pa.array(unique // len(coded.dictionary)))
-        self.hashes, self.lang_hash = hashed[a:b][first] if len(hashed) else hashed, of_lang[lang[first]]
+        self.hashes, self.lang_hash = hashed[a:b][first], of_lang[lang[first]]
         self.pieces = pieces[a:b]
 
-    def frequent(self, bits: np.ndarray) -> np.ndarray:
-        """Which words the bitmap holds."""
-        return _has(bits, _place(self.hashes, self.lang_hash))[self.ids]
-
-    def frequent_pairs(self, bits: np.ndarray) -> np.ndarray:
-        """Which words make a pair with the word before them that the bitmap holds; the first none."""
-        z, y = self.ids[1:], self.ids[:-1]
-        return np.concatenate(([False], _has(bits, _place(self.hashes[z], self.lang_hash[z], self.hashes[y]))))
+    def buckets(self, ends: np.ndarray, length: int) -> np.ndarray:
+        """Buckets of the phrases of ``length`` words that end at these places."""
+        out = self.hashes[self.ids[ends - (length - 1)]]
+        for k in range(length - 2, -1, -1):
+            out = mix(out * _PAIR + np.uint64(1)) ^ self.hashes[self.ids[ends - k]]
+        return (mix(out + mix(self.lang_hash[self.ids[ends]] + np.uint64(length))) % np.uint64(BUCKETS)).astype(np.int64)
+
+    def runs(self, frequent_words: np.ndarray | None, frequent_pairs: np.ndarray | None) -> np.ndarray:
+        """Numbers of the runs that words are in: pieces, cut at words and between pairs of rare hashes."""
+        cut = np.diff(self.pieces, prepend=self.pieces[:1] - 1) != 0
+        if frequent_words is not None:
+            every = np.arange(len(self.words), dtype=np.int64)
+            first = np.full(len(self.words), -1, np.int64)
+            first[self.ids[::-1]] = np.arange(len(self.ids))[::-1]
+            rare = ~_has(frequent_words, self.buckets(first[every], 1))[self.ids]
+            cut |= rare
+            cut[1:] |= rare[:-1]
+        if frequent_pairs is not None and len(cut) > 1:
+            cut[1:] |= ~_has(frequent_pairs, self.buckets(np.arange(1, len(cut)), 2))
+        return np.cumsum(cut)
 
     def rows(self, ends: np.ndarray, count: np.ndarray, length: int) -> pa.RecordBatch:
         parts = [self.words.take(pa.array(self.ids[ends - k])) for k in range(length - 1, -1, -1)]
         phrase = parts[0] if length == 1 else pc.binary_join_element_wise(*parts, pa.scalar(" ", pa.large_string()))
-        lang = self.langs.take(pa.array(self.ids[ends]))
-        return pa.RecordBatch.from_arrays([lang, phrase.cast(pa.string()), pa.array(count, pa.int64())], ["lang", "phrase", "cnt"])
+        return _batch(self.langs.take(pa.array(self.ids[ends])), phrase.cast(pa.string()), pa.nulls(len(ends), pa.int64()), count)
+
 
+def _batch(lang, phrase, bucket, count) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([lang, phrase, bucket, pa.array(count, pa.int64())], ["lang", "phrase", "bucket", "cnt"])
 
-def shards(batches: Iterator[pa.RecordBatch], back: int, hashes: bool = True) -> Iterator[_Shard]:
+
+def shards(batches: Iterator[pa.RecordBatch], back: int) -> Iterator[_Shard]:
     for block in blocks(batches, most=BLOCK):
         data, offsets = buffers(block.column("text"))
         low = LOWER[data]
-        found = words(low, offsets, IN_WORD, hashes=hashes)
+        found = words(low, offsets, IN_WORD)
         starts, first = found[1], found[3]
         text_of = np.repeat(np.arange(block.num_rows), np.diff(first))
         pieces = np.searchsorted(np.flatnonzero(PIECE_ENDS[low]), starts) + text_of
@@ -173,47 +188,44 @@ def shards(batches: Iterator[pa.RecordBatch], back: int, hashes: bool = True) ->
             yield _Shard(low, found, text_of, pieces, langs, a, min(len(starts), a + SHARD), back)
 
 
-def _count(docs: DataFrame, lengths: tuple[int, ...], frequent_words=None, frequent_pairs=None) -> DataFrame:
-    """Counts of all phrases of these lengths (broadcast bitmaps narrow them); for words also those of all words of a language, as the phrase of no word."""
-    depth = max(lengths)
+def _count(docs: DataFrame, exact: tuple[int, ...], hashed: tuple[int, ...], frequent: dict) -> DataFrame:
+    """Counts of phrases of the lengths ``exact`` and of buckets of phrases of the lengths ``hashed``.
+
+    ``frequent`` has broadcast bitmaps by length (3 is for phrases of three and four
+    words). The first pass, which has none, also counts all words of a language, as the
+    phrase of no word.
+    """
+    depth = max(exact + hashed)
 
     def run(batches):
-        for shard in shards(batches, depth - 1, hashes=depth > 1):
-            runs = shard.pieces
-            if depth == 1:
-                own = shard.langs.take(pa.array(shard.ids)).value_counts()
-                yield pa.RecordBatch.from_arrays([own.field("values"), pa.array([""] * len(own), pa.string()), own.field("counts")], ["lang", "phrase", "cnt"])
-            else:
-                kept = shard.frequent(frequent_words.value)
-                cut = np.diff(runs, prepend=runs[:1] - 1) != 0
-                cut |= ~kept
-                cut[1:] |= ~kept[:-1]
-                if frequent_pairs is not None:
-                    cut |= ~shard.frequent_pairs(frequent_pairs.value)
-                runs = np.cumsum(cut)
-            automaton = Automaton(shard.ids, runs, shard.begin, depth)
-            for length in lengths:
-                yield shard.rows(*automaton.phrases(length), length)
-
-    return docs.mapInArrow(run, COUNTS).groupBy("lang", "phrase").agg(F.sum("cnt").alias("cnt"))
-
-
-def _bitmap(counts: DataFrame, length: int):
-    """A broadcast bitmap of the phrases (words or pairs) of ``counts``; no more than BITS bits come to the driver."""
-
-    def places(batches):
-        for b in batches:
-            codes, _, of_lang = _languages(b.column("lang"))
-            hashed = words(*buffers(b.column("phrase")), IN_WORD)[0]
-            at = _place(hashed, of_lang[codes]) if length == 1 else _place(hashed[1::2], of_lang[codes], hashed[::2])
-            yield pa.RecordBatch.from_arrays([pa.array(at + 1, pa.int64())], ["at"])
-
-    at = counts.select("lang", "phrase").mapInArrow(places, "at bigint")
-    parts = at.groupBy(F.bitmap_bucket_number("at").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits"))
+        known = {k: v.value for k, v in frequent.items()}
+        for shard in shards(batches, depth - 1):
+            if not known:
+                own = shard.langs.take(pa.array(shard.ids[shard.begin :])).value_counts()
+                yield _batch(own.field("values"), pa.array([""] * len(own), pa.string()), pa.nulls(len(own), pa.int64()), own.field("counts").to_numpy())
+            automaton = Automaton(shard.ids, shard.runs(known.get(1), known.get(2)), shard.begin, depth)
+            for length in exact:
+                ends, count = automaton.phrases(length)
+                if length != 2:  # runs hold no other pairs
+                    some = _has(known[min(length, 3)], shard.buckets(ends, length))
+                    ends, count = ends[some], count[some]
+                yield shard.rows(ends, count, length)
+            for length in hashed:
+                ends, count = automaton.phrases(length)
+                nothing = pa.nulls(len(ends), pa.string())
+                yield _batch(nothing, nothing, pa.array(shard.buckets(ends, length)), count)
+
+    return docs.mapInArrow(run, COUNTS).groupBy("lang", "phrase", "bucket").agg(F.sum("cnt").alias("cnt"))
+
+
+def _bitmap(counts: DataFrame):
+    """A broadcast bitmap of the buckets of ``counts``; no more than BITS bits come to the driver."""
+    at = F.col("bucket") % BITS + 1
+    parts = counts.where("bucket IS NOT NULL").groupBy(F.bitmap_bucket_number(at).alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits"))
     bits = np.zeros(BITS // 8, np.uint8)
     for r in parts.toLocalIterator():
         part = np.frombuffer(r.bits, np.uint8)
-        bits[(r.bucket - 1) * 4096 :][: len(part)] = part
+        bits[(r.part - 1) * 4096 :][: len(part)] = part
     return counts.sparkSession.sparkContext.broadcast(bits)
 
 
@@ -224,30 +236,34 @@ def phrase_counts(docs: DataFrame, least: int = LEAST_COUNT) -> tuple[DataFrame,
     """
     docs = docs.select(F.coalesce(docs["lang"].cast("string"), F.lit("und")).alias("lang"), docs["text"].alias("text")).where("text IS NOT NULL")
     enough = F.col("cnt") >= least
-    single = stored(_count(docs, (1,)).where(enough | (F.col("phrase") == "")))
-    totals, single = single.where("phrase = ''").select("lang", F.col("cnt").alias("n")), single.where("phrase <> ''").where(enough)
-    frequent = _bitmap(single, 1)
-    pairs = stored(_count(docs, (2,), frequent).where(enough))
-    longer = stored(_count(docs, (3, 4), frequent, _bitmap(pairs, 2)).where(enough))
-    return totals, single.unionByName(pairs).unionByName(longer)
+    first = stored(_count(docs, (), (1,), {}).where(enough | (F.col("phrase") == "")))
+    frequent = {1: _bitmap(first)}
+    found = []
+    for exact, hashed, level in (((1,), (2,), 2), ((2,), (3, 4), 3), ((3, 4), (), None)):
+        counted = stored(_count(docs, exact, hashed, frequent).where(enough))
+        found.append(counted.where("phrase IS NOT NULL").select("lang", "phrase", "cnt"))
+        if level:
+            frequent = frequent | {level: _bitmap(counted)}
+    return first.where("phrase = ''").select("lang", F.col("cnt").alias("n")), functools.reduce(DataFrame.unionByName, found)
 
 
 def _words(phrase: Column | str) -> Column:
     return F.split(phrase, " ", -1)
 
 
-def _scored(candidates: DataFrame, counts: DataFrame) -> DataFrame:
+def _scored(candidates: DataFrame, counts: DataFrame, least: int) -> DataFrame:
     """``candidates(lang, phrase, a)`` with ``l``, ``r`` and ``score`` of the cut that scores lowest, the first of such."""
     w = F.col("w")
     sides = lambda k: F.array(F.struct(k.alias("k"), F.lit(0).alias("side"), F.array_join(F.slice(w, F.lit(1), k), " ").alias("part")), F.struct(k.alias("k"), F.lit(1).alias("side"), F.array_join(F.slice(w, k + 1, F.size(w) - k), " ").alias("part")))
     rows = candidates.withColumn("w", _words("phrase"))
     rows = rows.select("lang", "phrase", "a", F.inline(F.flatten(F.transform(F.sequence(F.lit(1), F.size(w) - 1), sides))))
     known = counts.select("lang", F.col("phrase").alias("part"), "cnt")
-    if at_most(counts, FEW_COUNTS):
-        rows = rows.join(F.broadcast(known), ["lang", "part"])
-    else:  # a frequent word is a part of very many candidates
-        known = known.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        rows = rows.withColumn("salt", F.pmod(F.xxhash64("phrase", "k"), F.lit(SALTS)).cast("int")).join(known, ["lang", "part", "salt"])
+    # Of a part that occurs so often there may be as many candidates as a thirtieth; the most frequent parts are broadcast.
+    bar = max(least, 1)
+    while not at_most(often := known.where(F.col("cnt") >= bar), FEW_COUNTS):
+        bar *= 2
+    rows = rows.join(F.broadcast(often.withColumnRenamed("cnt", "__often")), ["lang", "part"], "left")
+    rows = rows.join(known.where(F.col("cnt") < bar), ["lang", "part"], "left").withColumn("cnt", F.coalesce("__often", "cnt")) if bar > least else rows.withColumnRenamed("__often", "cnt")
     cuts = rows.groupBy("lang", "phrase", "a", "k").agg(F.max(F.when(F.col("side") == 0, F.col("cnt"))).alias("l"), F.max(F.when(F.col("side") == 1, F.col("cnt"))).alias("r"))
     wide = lambda c: f"CAST({c} AS DECIMAL(19, 0))"
     cuts = cuts.withColumn("score", F.expr(f"CAST({wide('2000000')} * {wide('a')} div ({wide('l')} + {wide('r')}) AS BIGINT)"))
@@ -271,7 +287,7 @@ def collocations(docs: DataFrame, least: int = LEAST_COUNT, subsumed_percent: in
     order = [F.desc("score"), F.desc("a"), F.asc("phrase")]
     # First within parts of a language, so that the last step sees no more than SALTS times what is shown.
     salt = F.pmod(F.xxhash64("phrase"), F.lit(SALTS))
-    first = _scored(left, counts).withColumn("salt", salt).withColumn("rank", F.row_number().over(Window.partitionBy("lang", "salt").orderBy(*order))).where(F.col("rank") <= shown)
+    first = _scored(left, counts, least).withColumn("salt", salt).withColumn("rank", F.row_number().over(Window.partitionBy("lang", "salt").orderBy(*order))).where(F.col("rank") <= shown)
     ranked = first.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order)).cast("bigint")).where(F.col("rank") <= shown)
     # Candidates of a language stand in as many rows as are shown, so the few totals join them without skew.
     return ranked.join(totals, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
