@@ -21,6 +21,7 @@ id like another; other columns are ignored, whatever their names.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import json
 from dataclasses import dataclass
@@ -184,3 +185,36 @@ def records_from_rows(rows: DataFrame) -> DataFrame:
     """Gathers ``rows(conv_id, turn, role, text)`` into records of the layout "rows"; the turns of one conversation end up in one value."""
     turn = F.struct(F.coalesce("turn", F.lit(0)).alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     return rows.groupBy("conv_id").agg(F.collect_list(turn).alias("rows")).select("conv_id", F.to_json(F.struct("rows")).alias("record"))
+
+
+def records_of_layouts(rows: DataFrame) -> DataFrame:
+    """``(conv_id, record)``: ``rows(conv_id, turn, role, text)`` gathered into records of all nine layouts, each conversation in one.
+
+    Which one goes by conv_id; a conversation that its layout can't hold as it is (other
+    roles or numbers of turns, names that a mapping would change, a text without the
+    blank line that parts it) becomes messages. Turns are in the order of the layout
+    "rows". The turns of one conversation end up in one value.
+    """
+    turn = F.struct(F.coalesce("turn", F.lit(0)).alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    got = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list(turn)).alias("turns"))
+    roles = F.transform("turns", lambda t: t["role"])
+    said = lambda i: F.get("turns", F.lit(i))["text"]
+    pair, three = roles == F.array(F.lit("user"), F.lit("assistant")), roles == F.array(F.lit("system"), F.lit("user"), F.lit("assistant"))
+    parts = F.split(said(0), "\n\n", 2)
+    record = lambda **fields: F.to_json(F.struct(*[c.alias(n) for n, c in fields.items()]))
+    listed = lambda role, text: F.transform("turns", lambda t: F.struct(t["role"].alias(role), t["text"].alias(text)))
+    layouts = (
+        (F.lit(True), record(rows=F.col("turns"))),
+        (F.lit(False), F.lit(None).cast("string")),
+        (~F.arrays_overlap(roles, F.array(*[F.lit(n) for n, _ in _NAMES])), record(conversations=listed("from", "value"), id=F.col("conv_id"))),
+        (pair, record(prompt=said(0), completion=said(1))),
+        (pair, record(prompt=said(0), response=said(1))),
+        (pair, record(instruction=said(0), output=said(1), meta=F.struct(F.lit("x").alias("source")))),
+        (pair & (F.size(parts) == 2) & (F.get(parts, F.lit(0)) != "") & (F.get(parts, F.lit(1)) != ""), record(instruction=F.get(parts, F.lit(0)), input=F.get(parts, F.lit(1)), output=said(1))),
+        (three, record(system=said(0), prompt=said(1), response=said(2))),
+        (pair, record(question=said(0), answer=said(1))),
+    )
+    messages = record(messages=listed("role", "content"))
+    turn_of = F.pmod(F.coalesce("conv_id", F.lit(1)), F.lit(len(layouts)))
+    chosen = functools.reduce(lambda c, x: c.when((turn_of == x[0]) & F.coalesce(x[1][0], F.lit(False)), x[1][1]), enumerate(layouts), F.when(F.lit(False), messages))
+    return got.select("conv_id", chosen.otherwise(messages).alias("record"))

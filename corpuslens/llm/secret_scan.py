@@ -5,7 +5,9 @@ any version, points to it. The ledger lists which blobs were scanned under which
 version of the rules, and what was found. A scan takes only pairs of blob and
 rule version that the ledger lacks, one text for each blob, adds them, and joins
 the findings back to all paths. Changed rules are another version, so all blobs
-are scanned under them once.
+are scanned under them once. The ledger is filed by version, then by segments (what
+one run added), then by the first characters of addresses; ``compact_ledger`` merges
+segments.
 
 Defined cases: a null text is the empty blob; copies share one scan; rows that
 share a doc_id each point to their own blob; ties of spans are ordered by kind;
@@ -53,7 +55,10 @@ MORE_RULES = (
     Rule("url_login", r"[a-z][a-z0-9+.-]{1,20}://[^\s/:@]{1,64}:[^\s/@]{3,64}@", hints=("://",)),
 )
 RULES = BASE_RULES + MORE_RULES
-LEDGER = "blob string, version string, spans array<struct<kind: string, start: int, end: int>>"
+_SPANS = "array<struct<kind: string, start: int, end: int>>"
+LEDGER = f"blob string, spans {_SPANS}, segment string, prefix string"
+#: Characters of its address by which a blob's row is filed.
+PREFIX = 1
 #: No more unseen blobs (64 bytes each), or findings (about as much), than this are broadcast.
 FEW_BLOBS = 100_000
 
@@ -83,44 +88,52 @@ def blobs_of(docs: DataFrame) -> DataFrame:
     return docs.select(docs["doc_id"].alias("doc_id"), F.sha2(text.cast("binary"), 256).alias("blob"), text.alias("text"))
 
 
-def read_ledger(spark: SparkSession, ledger_path: str) -> DataFrame:
-    """All segments of the ledger at ``ledger_path``; no rows if there is none yet."""
+def _prefix(blob):
+    return F.substring(blob, 1, PREFIX)
+
+
+def read_ledger(spark: SparkSession, ledger_path: str, version: str) -> DataFrame:
+    """What the ledger at ``ledger_path`` holds under a version; no rows if there is none yet. Other versions' rows aren't listed or read."""
     try:
-        return spark.read.schema(LEDGER).option("recursiveFileLookup", "true").parquet(ledger_path)
+        return spark.read.schema(LEDGER).parquet(f"{ledger_path}/version={version}")
     except AnalysisException as e:
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
         return spark.createDataFrame([], LEDGER)
 
 
-def unseen_blobs(blobs: DataFrame, ledger: DataFrame, version: str) -> DataFrame:
-    """``(blob)``: the addresses that ``ledger`` lacks under ``version``."""
-    seen = ledger.where(F.col("version") == version).select("blob")
-    return blobs.select("blob").distinct().join(seen, "blob", "left_anti")
+def unseen_blobs(blobs: DataFrame, ledger: DataFrame) -> DataFrame:
+    """``(blob)``: the addresses of ``blobs`` that ``ledger`` lacks."""
+    own = blobs.select("blob", _prefix("blob").alias("prefix")).distinct()
+    return own.join(ledger.select("blob", "prefix"), ["prefix", "blob"], "left_anti").select("blob")
 
 
 def scan_blobs(texts: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """Ledger rows of ``texts(blob, text)``."""
-    version = version_of(rules)
+    """``(blob, spans)`` of ``texts(blob, text)``."""
 
     def run(batches):
         scanner = Scanner(rules)
         kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
         for b in blocks(batches):
             spans = [[{"kind": k, "start": s, "end": e} for k, s, e in scanner.spans(t)] for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("blob"), pa.array([version] * b.num_rows, pa.string()), pa.array(spans, kind)], ["blob", "version", "spans"])
+            yield pa.RecordBatch.from_arrays([b.column("blob"), pa.array(spans, kind)], ["blob", "spans"])
 
-    return texts.select("blob", "text").mapInArrow(run, LEDGER)
+    return texts.select("blob", "text").mapInArrow(run, f"blob string, spans {_SPANS}")
+
+
+def _write_segment(rows: DataFrame, ledger_path: str, version: str) -> None:
+    """Files ``(blob, spans)`` by prefix, as a segment of its own, so that writers don't disturb each other."""
+    filed = rows.select("blob", "spans", _prefix("blob").alias("prefix"))
+    filed.repartition("prefix", F.pmod(F.xxhash64("blob"), F.lit(16))).write.partitionBy("prefix").parquet(f"{ledger_path}/version={version}/segment={uuid.uuid4().hex}")
 
 
 def extend_ledger(blobs: DataFrame, ledger_path: str, rules: tuple[Rule, ...] = RULES) -> int:
     """Scans the blobs that the ledger lacks under these rules and adds them as a segment; returns how many.
 
-    Each call writes a segment of its own, so writers don't disturb each other:
-    a row says all about its blob, two that say the same do no harm.
+    A row says all about its blob, so two that say the same do no harm.
     """
-    spark = blobs.sparkSession
-    unseen = cut(unseen_blobs(blobs, read_ledger(spark, ledger_path), version_of(rules)))
+    version = version_of(rules)
+    unseen = cut(unseen_blobs(blobs, read_ledger(blobs.sparkSession, ledger_path, version)))
     n = unseen.count()
     if n:
         texts = blobs.select("blob", "text")
@@ -128,24 +141,43 @@ def extend_ledger(blobs: DataFrame, ledger_path: str, rules: tuple[Rule, ...] =
             texts = texts.join(F.broadcast(unseen), "blob", "left_semi").groupBy("blob").agg(F.first("text").alias("text"))
         else:  # copies are merged before they are moved
             texts = texts.groupBy("blob").agg(F.first("text").alias("text")).join(unseen, "blob", "left_semi")
-        scan_blobs(texts, rules).write.parquet(f"{ledger_path}/segment-{uuid.uuid4().hex}")
+        _write_segment(scan_blobs(texts, rules), ledger_path, version)
     return n
 
 
+def compact_ledger(spark: SparkSession, ledger_path: str, rules: tuple[Rule, ...] = RULES) -> int:
+    """Merges the segments that a version has now into one, a row a blob; returns how many there were.
+
+    The merged segment is there before the old ones go: a run that dies between leaves
+    rows twice, which do no harm, and segments written meanwhile stay.
+    """
+    version = version_of(rules)
+    ledger = read_ledger(spark, ledger_path, version)
+    old = [r.segment for r in ledger.select("segment").distinct().collect()]  # a name a run since the last merge
+    if len(old) > 1:
+        _write_segment(ledger.where(F.col("segment").isin(old)).dropDuplicates(["blob"]), ledger_path, version)
+        folder = spark._jvm.org.apache.hadoop.fs.Path(f"{ledger_path}/version={version}")
+        system = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+        for name in old:
+            system.delete(spark._jvm.org.apache.hadoop.fs.Path(folder, f"segment={name}"), True)
+    return len(old)
+
+
 def scan_secrets(docs: DataFrame, ledger_path: str, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """Per row of ``docs(doc_id, text)``: doc_id, blob and ``spans`` (kind, start, end; code points).
 
     What the ledger at ``ledger_path`` holds isn't scanned again; new rows are added to it.
+    Of its findings only those of the blobs of ``docs`` are kept.
     """
     blobs = blobs_of(docs)
     extend_ledger(blobs, ledger_path, rules)
-    ledger = read_ledger(docs.sparkSession, ledger_path)
-    findings = cut(ledger.where((F.col("version") == version_of(rules)) & (F.size("spans") > 0)).select("blob", "spans").dropDuplicates(["blob"]))
+    ledger = read_ledger(docs.sparkSession, ledger_path, version_of(rules)).where(F.size("spans") > 0)
+    own = blobs.select(_prefix("blob").alias("prefix"), "blob").distinct()
+    findings = cut(ledger.join(own, ["prefix", "blob"], "left_semi").select("blob", "spans").dropDuplicates(["blob"]))
     n, spans = findings.agg(F.count("*"), F.coalesce(F.sum(F.size("spans")), F.lit(0))).first()
     if max(n, spans) <= FEW_BLOBS:  # else the join is split at run time where copies crowd
         findings = F.broadcast(findings)
-    none = F.array().cast("array<struct<kind: string, start: int, end: int>>")
-    return blobs.select("doc_id", "blob").join(findings, "blob", "left").select("doc_id", "blob", F.coalesce("spans", none).alias("spans"))
+    return blobs.select("doc_id", "blob").join(findings, "blob", "left").select("doc_id", "blob", F.coalesce("spans", F.array().cast(_SPANS)).alias("spans"))
 
 
 def joined(spans):

@@ -287,11 +287,12 @@ def test_secrets(spark, tmp_path):
     got = {r.doc_id: r for r in found.select("doc_id", Q.F.sha2(secret_scan.joined(secret_scan.of_kinds("spans", "assign", "access", "hex")), 256).alias("d"), secret_scan.joined("spans").alias("s")).collect()}
     assert {i: r.d for i, r in got.items()} == {i: brute_secrets(t) for i, t in enumerate(texts)}
     assert "private_key:0:31" in got[len(texts) - 1].s
-    n = secret_scan.read_ledger(spark, ledger).count()
+    version = secret_scan.version_of(secret_scan.RULES)
+    n = secret_scan.read_ledger(spark, ledger, version).count()
     assert n == len({t or "" for t in texts})
     more = table(spark, [*texts, "token=abcdefgh", "same"])
     assert secret_scan.scan_secrets(more, ledger).count() == len(texts) + 2
-    assert secret_scan.read_ledger(spark, ledger).count() == n + 1
+    assert secret_scan.read_ledger(spark, ledger, version).count() == n + 1
     assert secret_scan.scan_secrets(docs.limit(0), ledger).count() == 0
 
 
@@ -303,14 +304,15 @@ def test_ledger_scans_only_unseen_pairs(spark, tmp_path, monkeypatch):
     assert len(first) == 5 and sum("assign" in r for r in first) == 3
     assert secret_scan.extend_ledger(blobs, ledger) == 0
     assert sorted(map(str, secret_scan.scan_secrets(versions, ledger).collect())) == first
-    assert secret_scan.read_ledger(spark, ledger).count() == 3
+    version = secret_scan.version_of(secret_scan.RULES)
+    assert secret_scan.read_ledger(spark, ledger, version).count() == 3
     assert secret_scan.extend_ledger(blobs, ledger, secret_scan.BASE_RULES) == 3  # another version of the rules
     monkeypatch.setattr(secret_scan, "FEW_BLOBS", 0)
     long = "x " * 600_000 + "token=abcdefg"
     more = versions.unionByName(spark.createDataFrame([(9, long, "n"), (9, long, "n")], versions.schema))
     assert secret_scan.extend_ledger(secret_scan.blobs_of(more), ledger) == 1
     # A segment that another writer made of the same blobs changes nothing.
-    secret_scan.read_ledger(spark, ledger).write.parquet(f"{ledger}/segment-twice")
+    secret_scan.read_ledger(spark, ledger, version).drop("segment").write.partitionBy("prefix").parquet(f"{ledger}/version={version}/segment=twice")
     again = secret_scan.scan_secrets(more, ledger)
     assert again.where("doc_id IS NULL OR doc_id < 9").count() == 5 and again.where("doc_id = 9 AND spans[0].start = 1200000").count() == 2
 
@@ -500,3 +502,31 @@ def test_shards(spark, monkeypatch):
     assert max(total.values()) == brute_capacity([n for _, n in sorted(ranges.items())], 6)
     assert sorted(map(str, got)) == sorted(map(str, sharding.assign_shards(table(spark, texts).repartition(5), 6).collect()))
     assert sharding.assign_shards(table(spark, []), 6).count() == 0
+
+
+def test_ledger_segments_are_merged_and_findings_are_the_inputs_own(spark, tmp_path):
+    ledger = str(tmp_path / "ledger")
+    rows = lambda *texts: spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    version = secret_scan.version_of(secret_scan.RULES)
+    for texts in (["password = abcdef1", "x"], ["token: abcdef2"], ["x", "secret=abcdef3"]):
+        secret_scan.scan_secrets(rows(*texts), ledger).count()
+    secret_scan.extend_ledger(secret_scan.blobs_of(rows("x")), ledger, secret_scan.BASE_RULES)  # another version's rows aren't read
+    before = sorted((r.blob, str(r.spans)) for r in secret_scan.read_ledger(spark, ledger, version).collect())
+    assert len(before) == 4 and secret_scan.compact_ledger(spark, ledger) == 3
+    assert sorted((r.blob, str(r.spans)) for r in secret_scan.read_ledger(spark, ledger, version).collect()) == before
+    assert secret_scan.compact_ledger(spark, ledger) == 1 and secret_scan.extend_ledger(secret_scan.blobs_of(rows("x", "token: abcdef2")), ledger) == 0
+    assert [len(r.spans) for r in secret_scan.scan_secrets(rows("token: abcdef2"), ledger).collect()] == [1]
+
+
+def test_conversations_of_one_table_take_all_layouts(spark):
+    shapes = [[("user", "q"), ("assistant", "r")], [("user", "a\n\nb"), ("assistant", "")], [("system", "s"), ("user", "q"), ("assistant", "r")], [("human", "x"), ("gpt", "y")], [("assistant", "only")], [("user", ""), ("assistant", "</s>[INST]")]]
+    rows = [(c, t, role, text) for c in [*range(-9, 45), None] for t, (role, text) in enumerate(shapes[((c or 0) // 9) % len(shapes)])]
+    rows = [r[:3] + (None if r[3] == "" and r[0] == -9 else r[3],) for r in rows]
+    frame = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")
+    turns = chat_format.to_turns(chat_format.records_of_layouts(frame)).collect()
+    assert {r.layout for r in turns} == {m.name for m in chat_format.MAPPINGS}
+    want = collections.defaultdict(list)
+    for c, _, role, text in rows:
+        want[c].append((role, text or ""))
+    assert {r.conv_id: [(t.role, t.text) for t in r.turns] for r in turns} == dict(want)
+    assert chat_format.records_of_layouts(frame.limit(0)).count() == 0
