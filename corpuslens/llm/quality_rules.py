@@ -193,8 +193,8 @@ def _covers(rule: Rule, x: dict[str, np.ndarray]) -> np.ndarray:
     return out
 
 
-def _grow(x: dict[str, np.ndarray], bad: np.ndarray) -> Rule:
-    """Adds the condition of the most information gain until only bad rows are covered."""
+def _grow(x: dict[str, np.ndarray], bad: np.ndarray, barred: frozenset = frozenset()) -> Rule:
+    """Adds the condition of the most information gain until only bad rows are covered; none of the ``barred`` (feature, above) comes first."""
     rule: Rule = ()
     inside = np.ones(len(bad), bool)
     while len(rule) < MAX_CONDITIONS and (inside & ~bad).any():
@@ -207,6 +207,8 @@ def _grow(x: dict[str, np.ndarray], bad: np.ndarray) -> Rule:
                 k = int(np.searchsorted(distinct, t))
                 t = (distinct[k] + distinct[min(k + 1, len(distinct) - 1)]) / 2  # half-way to the next value
                 for above in (True, False):
+                    if not rule and (name, above) in barred:
+                        continue
                     c = Condition(name, above, float(t))
                     hit = inside & c.holds(x)
                     p, n = (hit & bad).sum(), hit.sum()
@@ -232,24 +234,30 @@ def _prune(rule: Rule, x: dict[str, np.ndarray], bad: np.ndarray) -> Rule:
 
 
 def learn_rules(stats: dict[str, np.ndarray], bad: np.ndarray, part: np.ndarray) -> list[Rule]:
-    """Ordered rules that reject. ``part`` (0, 1 or 2 by row) says which rows prune: those of 0."""
+    """Ordered rules that reject. ``part`` (0, 1 or 2 by row) says which rows prune: those of 0.
+
+    A rule that isn't precise enough on either part is given up, and the next one
+    begins with another feature or direction, until none is left to begin with.
+    """
     x = feature_arrays(stats)
     grows = part != 0
     rules: list[Rule] = []
+    barred: frozenset = frozenset()
     left = np.ones(len(bad), bool)
     while len(rules) < MAX_RULES and (left & grows & bad).sum() >= 3:
         on = left & grows
-        rule = _grow({k: v[on] for k, v in x.items()}, bad[on])
+        grown = _grow({k: v[on] for k, v in x.items()}, bad[on], barred)
         on = left & ~grows
-        rule = _prune(rule, {k: v[on] for k, v in x.items()}, bad[on])
+        rule = _prune(grown, {k: v[on] for k, v in x.items()}, bad[on])
         if not rule:
             break
         hit = _covers(rule, x) & left
-        for rows in (hit & ~grows, hit & grows):
-            if (rows & bad).sum() < max(MIN_SUPPORT, MIN_PRECISION * rows.sum()):
-                return rules
+        if any((rows & bad).sum() < max(MIN_SUPPORT, MIN_PRECISION * rows.sum()) for rows in (hit & ~grows, hit & grows)):
+            barred |= {(grown[0].feature, grown[0].above)}
+            continue
         rules.append(rule)
         left &= ~hit
+        barred = frozenset()
     return rules
 
 
