@@ -37,6 +37,9 @@ SAMPLED, MOST_HOT = 16, 100_000
 #: Tasks that the classes of such a key are dealt to.
 SALTS = 64
 
+#: No more ids of documents that go, or share an id, than this are broadcast (about 50 bytes each).
+FEW_MARKED = 500_000
+
 
 def token_sets(column: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
     """(distinct n-gram hashes of all texts one after another, where each text's begin)."""
@@ -309,9 +312,15 @@ def drop_similar(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) ->
     Of rows that share the first doc_id, one of the smallest text stays. Rows
     without a doc_id all stay.
     """
-    ids = similar_documents(docs, k, num, den)
-    gone = cut(ids.where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct())
-    left = docs.where(docs["doc_id"].isNotNull()).select(docs["doc_id"].alias("__id"), docs["text"].alias("__text"), F.struct(*[docs[c] for c in docs.columns]).alias("__row"))
-    left = left.join(gone, F.col("__id") == F.col("__gone"), "left_anti")
-    first = left.groupBy("__id").agg(F.min_by("__row", F.coalesce("__text", F.lit(""))).alias("__row"))
-    return first.select(*[F.col("__row").getField(c).alias(c) for c in docs.columns]).union(docs.where(docs["doc_id"].isNull()))
+    ids = similar_documents(docs, k, num, den).where("doc_id IS NOT NULL")
+    marked = ids.groupBy(F.col("doc_id").alias("__id")).agg(F.bool_or(F.col("doc_id") != F.col("component_id")).alias("__gone"), (F.count("*") > 1).alias("__twice"))
+    marked = cut(marked.where("__gone OR __twice"))
+    if at_most(marked, FEW_MARKED):  # texts stay where they are
+        marked = F.broadcast(marked)
+    left = docs.join(marked, docs["doc_id"].cast("bigint") == F.col("__id"), "left").where("NOT coalesce(__gone, false)")
+    row = F.struct(*[docs[c].alias(f"c{i}") for i, c in enumerate(docs.columns)])
+    left = left.select(F.col("__id"), F.coalesce("__twice", F.lit(False)).alias("__twice"), docs["text"].alias("__text"), row.alias("__row"))
+    # Only rows that share an id are brought together.
+    first = left.where("__twice").groupBy("__id").agg(F.min_by("__row", F.coalesce("__text", F.lit(""))).alias("__row"))
+    every = left.where("NOT __twice").select("__row").unionByName(first.select("__row"))
+    return every.select(*[F.col("__row").getField(f"c{i}").alias(c) for i, c in enumerate(docs.columns)])
