@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.arrays import running, settled
+from ..sources.storage import stored
 from . import patterns as P
 
 #: Kinds of blocks by the stripped line, tried in this order.
@@ -277,9 +278,10 @@ def compare_events(left: DataFrame, right: DataFrame) -> DataFrame:
     An image on the left waits for the next image on the right, and what the right
     has before that is reported; a quote matches a paragraph; kinds that differ are
     reported and passed by; tables compare by rows and cells, others by text
-    without marks and white space. Positions count from 0; -1 is none.
+    without marks and white space. Positions count from 0; -1 is none. Both streams
+    are written to the shared folder first, so what makes them runs once.
     """
-    a, b = _placed(left, "left"), _placed(right, "right")
+    a, b = stored(_placed(left, "left")), stored(_placed(right, "right"))
     plan = _shifts(a, b)
     stretches = plan.select("doc_id", "n_right", F.posexplode("stretches").alias("k", "s")).select("doc_id", "k", "n_right", "s.begin", "s.shift", "s.skipped", "s.ends")
     missing = stretches.where("skipped > 0").select("doc_id", F.col("begin").alias("left_seq"), F.explode(F.sequence(F.col("begin") + F.col("shift") - F.col("skipped"), F.col("begin") + F.col("shift") - 1)).alias("right_seq"), F.lit(0).alias("rank"), F.lit("image missing").alias("problem"))
