@@ -16,6 +16,11 @@ def texts(df):
     return {r.doc_id: (r.text, r.lang) for r in df.collect()}
 
 
+def renamed(d):
+    """A change as cheap as can be, of the form of ``resequence``."""
+    return d.selectExpr("doc_id", "replace(text, '图5', '图1') AS text", "contains(text, '图5') AS changed")
+
+
 ROWS = ((1, "图5 甲\n见图 5", "zh"), (2, "plain", "en"), (3, None, None))
 
 
@@ -29,7 +34,7 @@ def test_dry_run_rewrite_and_restore(spark, tmp_path):
     assert [r.new_text for r in table.rewrite(markdown.resequence).collect()] == ["图1 甲\n见图1"]
     assert texts(table.read()) == {1: ("图1 甲\n见图1", "zh"), 2: ("plain", "en"), 3: (None, None)}
     assert table.read().columns == ["doc_id", "text", "lang"] and texts(table.read(1))[1][0] == "图5 甲\n见图 5"
-    assert table.rewrite(markdown.resequence).count() == 0 and table.versions() == [1, 2]  # nothing left to change
+    assert table.rewrite(renamed).count() == 0 and table.versions() == [1, 2]  # nothing left to change
     assert table.restore(1) == 3 and texts(table.read())[1][0] == "图5 甲\n见图 5" and table.versions() == [1, 2, 3]
     with pytest.raises(LookupError):
         table.restore(9)
@@ -44,10 +49,10 @@ def test_a_crash_between_the_phases_leaves_the_table(spark, tmp_path, monkeypatc
 
     monkeypatch.setattr(Published, "switch", dies)
     with pytest.raises(RuntimeError):
-        table.rewrite(markdown.resequence)
+        table.rewrite(renamed)
     monkeypatch.undo()
     assert table.versions() == [1] and texts(table.read())[1][0] == "图5 甲\n见图 5"
-    assert table.rewrite(markdown.resequence).count() == 1 and table.versions() == [1, 2]
+    assert table.rewrite(renamed).count() == 1 and table.versions() == [1, 2]
 
 
 def test_of_two_writers_of_a_version_one_is_refused(spark, tmp_path):
