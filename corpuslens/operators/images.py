@@ -95,9 +95,10 @@ def html_with_images(docs: DataFrame, files: DataFrame, embed: bool = True) -> D
     held = image_paths(docs.withColumn("__folder", folder).withColumn("__key", F.xxhash64("path", "text")))
     wanted = held.where(F.size("__images") > 0).select("doc_id", "__key", "__folder", F.posexplode("__images").alias("nth", "src")).distinct()
     wanted = wanted.withColumn("__at", resolved(F.col("__folder"), F.col("src")))
-    data = F.concat(F.lit("data:"), mime_of("path"), F.lit(";base64,"), F.base64("content")) if embed else F.concat(F.lit("file:///"), F.regexp_replace("path", "^/+", ""))
-    known = files.select(F.col("path").alias("__at"), data.alias("source")).dropDuplicates(["__at"])
-    found = wanted.join(known, "__at", "left").groupBy(F.col("doc_id").alias("__id"), F.col("__key").alias("__of")).agg(F.array_sort(F.collect_list(F.struct("nth", "source"))).alias("__found"))
+    known = files.select(F.col("path").alias("__at"), F.lit(True).alias("there"), *(["content"] if embed else [])).dropDuplicates(["__at"])
+    # Only what a page holds is encoded.
+    data = F.concat(F.lit("data:"), mime_of("__at"), F.lit(";base64,"), F.base64(F.coalesce("content", F.lit(b"")))) if embed else F.concat(F.lit("file:///"), F.regexp_replace("__at", "^/+", ""))
+    found = wanted.join(known, "__at", "left").withColumn("source", F.when(F.col("there"), data)).groupBy(F.col("doc_id").alias("__id"), F.col("__key").alias("__of")).agg(F.array_sort(F.collect_list(F.struct("nth", "source"))).alias("__found"))
     rows = docs.withColumn("__key", F.xxhash64("path", "text")).join(found, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__of")), "left")
     rows = rows.select("doc_id", "text", F.transform(F.coalesce("__found", F.array().cast("array<struct<nth: int, source: string>>")), lambda x: x["source"]).alias("__sources"))
     return md_to_html(rows, "__sources")
