@@ -133,3 +133,12 @@ def test_images_far_apart_are_aligned_in_one_pass(spark):
         got.setdefault(r.doc_id, []).append((r.problem, r.left_seq, r.right_seq))
     for d, (left, right) in enumerate(zip(*sides, strict=True)):
         assert sorted(got.get(d, [])) == brute(left, right), (left, right)
+
+
+@pytest.mark.parametrize("check", [markdown.md_tables, markdown.md_events, markdown.md_captions, markdown.image_paths, markdown.table_rows], ids=lambda c: c.__name__)
+def test_lines_are_passed_once(spark, check):
+    rows = check(table(spark, (1, TEXT_A)))
+    rows = rows.where(F.size("__images") > 0) if "__images" in rows.columns else rows
+    plan = rows._jdf.queryExecution().optimizedPlan()
+    filters = [line for line in plan.toString().split("\n") if "Filter" in line]
+    assert not any("aggregate(" in line for line in filters)  # a filter on an array isn't moved below what makes it
