@@ -8,13 +8,13 @@ its count is read off the states, and counts are summed over all shards.
 
 No phrase is more frequent than a word or a pair of words in it, and none is more
 frequent than all phrases whose hash is the same, so four passes go over the texts.
-The first counts hashes of words; each of the others counts the phrases whose hashes
-are frequent, and hashes of phrases of one level more: words and hashes of pairs,
-pairs and hashes of phrases of three and four words, at last those phrases. Words
-and pairs of rare hashes end a run, as the end of a piece does. A hash is a few
-bytes in a shuffle where a phrase is many. Which hashes are frequent is told to the
-shards as a bitmap of fixed size (``BITS``); hashes that meet in a bucket or a bit
-only let more phrases through to the exact counts.
+The first three count hashes: of words, of pairs, of phrases of three and four words.
+The last counts the phrases whose hashes are frequent. Words and pairs of rare hashes
+end a run, as the end of a piece does. A hash is a few bytes in a shuffle where a
+phrase is many: a shard's counts go out as arrays, one for each range of hashes, and
+are summed range by range. Which hashes are frequent is told to the shards as a bitmap
+of fixed size (``BITS``); hashes that meet in a bucket or a bit only let more phrases
+through to the exact counts.
 
 A phrase is dropped if a longer candidate holds it and is nearly as frequent. A
 longer candidate's parts are at least as frequent as it is, so only candidates of
@@ -29,7 +29,6 @@ looking back three words; other columns are ignored, whatever their names.
 
 from __future__ import annotations
 
-import functools
 import zlib
 from collections.abc import Iterator
 
@@ -48,15 +47,29 @@ LEAST_COUNT, DEPTH, SHOWN = 30, 4, 2000
 SHARD, BLOCK = 1 << 18, 2 << 20
 #: Hashes that are told apart when counted, and bits of a bitmap of frequent ones; 16 MB whatever the corpus.
 BUCKETS, BITS = 1 << 36, 1 << 27
+#: Ranges that buckets are summed in, of RANGE buckets each.
+RANGES = 1 << 9
+RANGE = BUCKETS // RANGES
 #: No more counts (about 50 bytes each) than this are broadcast.
 FEW_COUNTS = 200_000
 #: Parts that phrases of one language are dealt to.
 SALTS = 32
-#: A count of a phrase, or (both null) of a hash's bucket.
-COUNTS = "lang string, phrase string, bucket bigint, cnt bigint"
+#: A count of a phrase (of no word: all words of the language).
+COUNTS = "lang string, phrase string, cnt bigint"
+#: Counts of one shard's hashes in a range, as arrays of unsigned 32-bit integers.
+PACKED = "part int, buckets binary, counts binary"
 _PAIR = np.uint64(0x9E3779B97F4A7C15)
 
 
+def _coded(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(where each distinct key occurs first, the number of each key among them), by a hash table instead of sorting."""
+    coded = pa.array(keys).dictionary_encode()
+    inverse = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    first = np.empty(len(coded.dictionary), np.int64)
+    first[inverse[::-1]] = np.arange(len(keys) - 1, -1, -1)
+    return first, inverse
+
+
 class Automaton:
     """The suffix automaton of runs of words, bounded to phrases of ``depth`` words.
 
@@ -73,7 +86,7 @@ class Automaton:
         for m in range(1, depth + 1):
             ends = np.flatnonzero(runs[m - 1 :] == runs[: n - m + 1]) + (m - 1) if n >= m else np.zeros(0, np.int64)
             key = ids[ends] if m == 1 else name[ends - 1] * width + ids[ends]
-            _, first, inverse = np.unique(key, return_index=True, return_inverse=True)
+            first, inverse = _coded(key)
             count = np.bincount(inverse[ends >= begin], minlength=len(first))
             suffix = name[ends[first]] if m > 1 else np.zeros(len(first), np.int64)
             levels.append((ends[first], count, suffix))
@@ -138,11 +151,12 @@ class _Shard:
         codes, names, of_lang = langs
         lang = codes[text_of[a:b]]
         key = lang * len(coded.dictionary) + coded.indices.to_numpy(zero_copy_only=False)
-        unique, first, self.ids = np.unique(key, return_index=True, return_inverse=True)
+        first, self.ids = _coded(key)
+        unique = key[first]
         self.words = coded.dictionary.take(pa.array(unique % len(coded.dictionary)))
         self.langs = names.take(pa.array(unique // len(coded.dictionary)))
         self.hashes, self.lang_hash = hashed[a:b][first], of_lang[lang[first]]
-        self.pieces = pieces[a:b]
+        self.pieces, self.first = pieces[a:b], first
 
     def buckets(self, ends: np.ndarray, length: int) -> np.ndarray:
         """Buckets of the phrases of ``length`` words that end at these places."""
@@ -155,10 +169,7 @@ class _Shard:
         """Numbers of the runs that words are in: pieces, cut at words and between pairs of rare hashes."""
         cut = np.diff(self.pieces, prepend=self.pieces[:1] - 1) != 0
         if frequent_words is not None:
-            every = np.arange(len(self.words), dtype=np.int64)
-            first = np.full(len(self.words), -1, np.int64)
-            first[self.ids[::-1]] = np.arange(len(self.ids))[::-1]
-            rare = ~_has(frequent_words, self.buckets(first[every], 1))[self.ids]
+            rare = ~_has(frequent_words, self.buckets(self.first, 1))[self.ids]
             cut |= rare
             cut[1:] |= rare[:-1]
         if frequent_pairs is not None and len(cut) > 1:
@@ -168,11 +179,22 @@ class _Shard:
     def rows(self, ends: np.ndarray, count: np.ndarray, length: int) -> pa.RecordBatch:
         parts = [self.words.take(pa.array(self.ids[ends - k])) for k in range(length - 1, -1, -1)]
         phrase = parts[0] if length == 1 else pc.binary_join_element_wise(*parts, pa.scalar(" ", pa.large_string()))
-        return _batch(self.langs.take(pa.array(self.ids[ends])), phrase.cast(pa.string()), pa.nulls(len(ends), pa.int64()), count)
+        return _batch(self.langs.take(pa.array(self.ids[ends])), phrase.cast(pa.string()), count)
+
+
+def _batch(lang, phrase, count) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([lang, phrase, pa.array(count, pa.int64())], ["lang", "phrase", "cnt"])
 
 
-def _batch(lang, phrase, bucket, count) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([lang, phrase, bucket, pa.array(count, pa.int64())], ["lang", "phrase", "bucket", "cnt"])
+def _packed(buckets: np.ndarray, count: np.ndarray) -> pa.RecordBatch:
+    """PACKED rows of the ranges that buckets are in."""
+    order = np.argsort(buckets)
+    part, low = buckets[order] // RANGE, buckets[order] % RANGE
+    ends = np.searchsorted(part, np.arange(RANGES + 1))
+    some = np.flatnonzero(np.diff(ends))
+    offsets = pa.py_buffer((np.append(ends[some], len(order)) * 4).astype(np.int32))
+    arrays = [pa.Array.from_buffers(pa.binary(), len(some), [None, offsets, pa.py_buffer(x.astype(np.uint32))]) for x in (low, count[order])]
+    return pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), *arrays], ["part", "buckets", "counts"])
 
 
 def shards(batches: Iterator[pa.RecordBatch], back: int) -> Iterator[_Shard]:
@@ -188,45 +210,63 @@ def shards(batches: Iterator[pa.RecordBatch], back: int) -> Iterator[_Shard]:
             yield _Shard(low, found, text_of, pieces, langs, a, min(len(starts), a + SHARD), back)
 
 
-def _count(docs: DataFrame, exact: tuple[int, ...], hashed: tuple[int, ...], frequent: dict) -> DataFrame:
-    """Counts of phrases of the lengths ``exact`` and of buckets of phrases of the lengths ``hashed``.
+def _frequent(docs: DataFrame, lengths: tuple[int, ...], frequent: dict, least: int) -> DataFrame:
+    """``(bucket)``: buckets that phrases of these lengths fall in ``least`` times.
 
-    ``frequent`` has broadcast bitmaps by length (3 is for phrases of three and four
-    words). The first pass, which has none, also counts all words of a language, as the
-    phrase of no word.
+    ``frequent`` has broadcast bitmaps by length, of which the shorter ones say where runs end.
     """
-    depth = max(exact + hashed)
+    depth = max(lengths)
 
     def run(batches):
         known = {k: v.value for k, v in frequent.items()}
         for shard in shards(batches, depth - 1):
-            if not known:
-                own = shard.langs.take(pa.array(shard.ids[shard.begin :])).value_counts()
-                yield _batch(own.field("values"), pa.array([""] * len(own), pa.string()), pa.nulls(len(own), pa.int64()), own.field("counts").to_numpy())
             automaton = Automaton(shard.ids, shard.runs(known.get(1), known.get(2)), shard.begin, depth)
-            for length in exact:
+            found = [(shard.buckets(ends, length), count) for length in lengths for ends, count in [automaton.phrases(length)]]
+            yield _packed(np.concatenate([x for x, _ in found]), np.concatenate([n for _, n in found]))
+
+    def sums(rows: pa.Table) -> pa.Table:
+        column = lambda name: np.concatenate([np.frombuffer(x.as_buffer(), np.uint32) for x in rows.column(name)])
+        low, count = column("buckets"), column("counts")
+        order = np.argsort(low, kind="stable")
+        low = low[order]
+        first = np.flatnonzero(np.diff(low.astype(np.int64), prepend=-1))
+        often = np.add.reduceat(count[order].astype(np.int64), first) >= least
+        return pa.table({"bucket": low[first][often].astype(np.int64) + RANGE * rows.column("part")[0].as_py()})
+
+    return docs.mapInArrow(run, PACKED).groupBy("part").applyInArrow(sums, "bucket bigint")
+
+
+def _phrases(docs: DataFrame, frequent: dict, least: int) -> DataFrame:
+    """Counts of phrases of one to DEPTH words whose buckets are frequent and that occur ``least`` times, and of all words of each language.
+
+    ``frequent`` has broadcast bitmaps by length (3 is for phrases of three and four words).
+    """
+
+    def run(batches):
+        known = {k: v.value for k, v in frequent.items()}
+        for shard in shards(batches, DEPTH - 1):
+            own = shard.langs.take(pa.array(shard.ids[shard.begin :])).value_counts()
+            yield _batch(own.field("values"), pa.array([""] * len(own), pa.string()), own.field("counts").to_numpy())
+            automaton = Automaton(shard.ids, shard.runs(known[1], known[2]), shard.begin, DEPTH)
+            for length in range(1, DEPTH + 1):
                 ends, count = automaton.phrases(length)
                 if length != 2:  # runs hold no other pairs
                     some = _has(known[min(length, 3)], shard.buckets(ends, length))
                     ends, count = ends[some], count[some]
                 yield shard.rows(ends, count, length)
-            for length in hashed:
-                ends, count = automaton.phrases(length)
-                nothing = pa.nulls(len(ends), pa.string())
-                yield _batch(nothing, nothing, pa.array(shard.buckets(ends, length)), count)
 
-    return docs.mapInArrow(run, COUNTS).groupBy("lang", "phrase", "bucket").agg(F.sum("cnt").alias("cnt"))
+    return docs.mapInArrow(run, COUNTS).groupBy("lang", "phrase").agg(F.sum("cnt").alias("cnt")).where((F.col("cnt") >= least) | (F.col("phrase") == ""))
 
 
-def _bitmap(counts: DataFrame):
-    """A broadcast bitmap of the buckets of ``counts``; no more than BITS bits come to the driver."""
+def _bitmap(found: DataFrame):
+    """A broadcast bitmap of the buckets that were ``found``; no more than BITS bits come to the driver."""
     at = F.col("bucket") % BITS + 1
-    parts = counts.where("bucket IS NOT NULL").groupBy(F.bitmap_bucket_number(at).alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits"))
+    parts = found.groupBy(F.bitmap_bucket_number(at).alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits"))
     bits = np.zeros(BITS // 8, np.uint8)
     for r in parts.toLocalIterator():
         part = np.frombuffer(r.bits, np.uint8)
         bits[(r.part - 1) * 4096 :][: len(part)] = part
-    return counts.sparkSession.sparkContext.broadcast(bits)
+    return found.sparkSession.sparkContext.broadcast(bits)
 
 
 def phrase_counts(docs: DataFrame, least: int = LEAST_COUNT) -> tuple[DataFrame, DataFrame]:
@@ -235,16 +275,11 @@ def phrase_counts(docs: DataFrame, least: int = LEAST_COUNT) -> tuple[DataFrame,
     Takes ``docs(lang, text)``.
     """
     docs = docs.select(F.coalesce(docs["lang"].cast("string"), F.lit("und")).alias("lang"), docs["text"].alias("text")).where("text IS NOT NULL")
-    enough = F.col("cnt") >= least
-    first = stored(_count(docs, (), (1,), {}).where(enough | (F.col("phrase") == "")))
-    frequent = {1: _bitmap(first)}
-    found = []
-    for exact, hashed, level in (((1,), (2,), 2), ((2,), (3, 4), 3), ((3, 4), (), None)):
-        counted = stored(_count(docs, exact, hashed, frequent).where(enough))
-        found.append(counted.where("phrase IS NOT NULL").select("lang", "phrase", "cnt"))
-        if level:
-            frequent = frequent | {level: _bitmap(counted)}
-    return first.where("phrase = ''").select("lang", F.col("cnt").alias("n")), functools.reduce(DataFrame.unionByName, found)
+    frequent = {}
+    for level, lengths in ((1, (1,)), (2, (2,)), (3, (3, 4))):
+        frequent = frequent | {level: _bitmap(stored(_frequent(docs, lengths, frequent, least)))}
+    counted = stored(_phrases(docs, frequent, least))
+    return counted.where("phrase = ''").select("lang", F.col("cnt").alias("n")), counted.where("phrase <> ''")
 
 
 def _words(phrase: Column | str) -> Column:
