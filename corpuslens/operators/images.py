@@ -46,8 +46,8 @@ def _jpeg_frame(data: Column) -> Column:
     return F.aggregate(rounds, state(F.lit(3), F.lit(False)), some, lambda s: F.when(s["done"], s["at"]).otherwise(F.lit(0)))
 
 
-def image_sizes(files: DataFrame) -> DataFrame:
-    """``(path, kind, width, height, width_cm, height_cm, mime)`` of ``files(path, content)``.
+def image_sizes(files: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """``(path, kind, width, height, width_cm, height_cm, mime)`` and the kept columns of ``files(path, content)``.
 
     kind (png, gif, jpeg, else null) and pixels are those of the first bytes; a file cut
     short has no pixels. On a page a tall image takes the full height, any other the
@@ -60,16 +60,16 @@ def image_sizes(files: DataFrame) -> DataFrame:
     rows = rows.withColumn("__frame", F.when(F.col("kind") == "jpeg", _jpeg_frame(F.col("content"))).otherwise(F.lit(0)))
     c, frame = F.col("content"), F.col("__frame")
     size = lambda png, gif, jpeg: F.when(F.col("kind") == "png", _number(c, png, 4)).when(F.col("kind") == "gif", _number(c, gif, 2, True)).when(frame > 0, _number(c, frame + jpeg, 2))
-    rows = settled(rows, ["path", "kind"], __w=size(17, 7, 7), __h=size(21, 9, 5))
+    rows = settled(rows, ["path", "kind", *keep], __w=size(17, 7, 7), __h=size(21, 9, 5))
     both = F.col("__w").isNotNull() & F.col("__h").isNotNull()
-    rows = rows.select("path", "kind", *[F.when(both, F.col(c)).alias(name) for c, name in (("__w", "width"), ("__h", "height"))])
+    rows = rows.select("path", "kind", *keep, *[F.when(both, F.col(c)).alias(name) for c, name in (("__w", "width"), ("__h", "height"))])
     ratio = F.when((F.col("width") > 0) & (F.col("height") > 0), F.col("height") / F.col("width"))
     tall = ratio > MOST_HEIGHT_CM / MOST_WIDTH_CM
     fit = F.when(tall, MOST_HEIGHT_CM / ratio).when(ratio.isNotNull(), F.lit(MOST_WIDTH_CM)), F.when(tall, F.lit(MOST_HEIGHT_CM)).otherwise(MOST_WIDTH_CM * ratio)
-    return rows.select("path", "kind", "width", "height", fit[0].alias("width_cm"), fit[1].alias("height_cm"), mime_of("path").alias("mime"))
+    return rows.select("path", "kind", *keep, "width", "height", fit[0].alias("width_cm"), fit[1].alias("height_cm"), mime_of("path").alias("mime"))
 
 
-def mime_of(path: str) -> Column:
+def mime_of(path: Column | str) -> Column:
     """The type of a file by its extension."""
     name = F.element_at(F.split(path, "/"), -1)
     known = F.create_map(*[F.lit(x) for pair in MIME.items() for x in pair])
@@ -83,22 +83,35 @@ def resolved(folder: Column, path: Column) -> Column:
     return F.array_join(parts, "/")
 
 
-def html_with_images(docs: DataFrame, files: DataFrame, embed: bool = True) -> DataFrame:
-    """``(doc_id, html)`` of ``docs(doc_id, path, text)`` with the images among ``files(path, content)``.
+def with_images(docs: DataFrame, files: DataFrame, what: str) -> DataFrame:
+    """``docs(doc_id, path, text)`` with ``__found``: of each image of a document, in order, its path in the text (src) and the column ``what`` of ``files(path, ...)`` that has it, or null.
 
-    Images are looked for from the folder of their document. With ``embed`` pages hold
-    their bytes, else their addresses; what is missing is noted in the page. Only paths
-    and the files they name are exchanged: a document's images are joined in their order
-    and put in while its page is made.
+    Images are looked for from the folder of their document. Only paths and the files
+    they name are exchanged by path, and a document once to meet its images; documents
+    without images aren't. Of rows with the same id, path and text the images are looked
+    up once.
     """
     folder = F.regexp_replace(F.coalesce("path", F.lit("")), r"/?[^/]*$", "")
-    held = image_paths(docs.withColumn("__folder", folder).withColumn("__key", F.xxhash64("path", "text")))
+    key = F.xxhash64("path", "text")
+    held = image_paths(docs.select("doc_id", "text", folder.alias("__folder"), key.alias("__key")))
     wanted = held.where(F.size("__images") > 0).select("doc_id", "__key", "__folder", F.posexplode("__images").alias("nth", "src")).distinct()
     wanted = wanted.withColumn("__at", resolved(F.col("__folder"), F.col("src")))
-    known = files.select(F.col("path").alias("__at"), F.lit(True).alias("there"), *(["content"] if embed else [])).dropDuplicates(["__at"])
-    # Only what a page holds is encoded.
-    data = F.concat(F.lit("data:"), mime_of("__at"), F.lit(";base64,"), F.base64(F.coalesce("content", F.lit(b"")))) if embed else F.concat(F.lit("file:///"), F.regexp_replace("__at", "^/+", ""))
-    found = wanted.join(known, "__at", "left").withColumn("source", F.when(F.col("there"), data)).groupBy(F.col("doc_id").alias("__id"), F.col("__key").alias("__of")).agg(F.array_sort(F.collect_list(F.struct("nth", "source"))).alias("__found"))
-    rows = docs.withColumn("__key", F.xxhash64("path", "text")).join(found, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__of")), "left")
-    rows = rows.select("doc_id", "text", F.transform(F.coalesce("__found", F.array().cast("array<struct<nth: int, source: string>>")), lambda x: x["source"]).alias("__sources"))
+    known = files.select(F.col("path").alias("__at"), F.col(what))
+    found = wanted.join(known, "__at", "left").groupBy(F.col("doc_id").alias("__id"), F.col("__key").alias("__of")).agg(F.array_sort(F.collect_list(F.struct("nth", "src", what)), lambda a, b: a["nth"] - b["nth"]).alias("__found"))
+    rows = docs.withColumn("__key", key).join(found, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__of")), "left").drop("__key", "__id", "__of")
+    none = F.array().cast(found.schema["__found"].dataType)
+    return rows.withColumn("__found", F.coalesce("__found", none))
+
+
+def html_with_images(docs: DataFrame, files: DataFrame, embed: bool = True) -> DataFrame:
+    """``(doc_id, html)`` of ``docs(doc_id, path, text)`` with the images among ``files(path, content)``.
+
+    Images are looked for from the folder of their document. With ``embed`` pages hold
+    their bytes, else their addresses; what is missing is noted in the page. Bytes are
+    encoded while their page is made, not before they are exchanged.
+    """
+    known = files.select("path", F.struct(F.lit(True).alias("there"), F.col("path").alias("path"), *(["content"] if embed else [])).alias("file")).dropDuplicates(["path"])
+    rows = with_images(docs.select("doc_id", "path", "text"), known, "file")
+    data = lambda f: F.concat(F.lit("data:"), mime_of(f["path"]), F.lit(";base64,"), F.base64(F.coalesce(f["content"], F.lit(b"")))) if embed else F.concat(F.lit("file:///"), F.regexp_replace(f["path"], "^/+", ""))
+    rows = rows.select("doc_id", "text", F.transform("__found", lambda x: F.when(x["file"]["there"], data(x["file"]))).alias("__sources"))
     return md_to_html(rows, "__sources")
