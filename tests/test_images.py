@@ -68,6 +68,13 @@ def test_office_documents_hold_images_and_captions(spark):
     assert [e[0] for e in events] == ["heading", "image", "para", "para", "para", "image"] and events[4][2] == "[缺失图片: ./none.png]"
 
 
+def test_office_documents_of_rows_that_share_an_id(spark):
+    docs, held = frames(spark)
+    made = docx_writer.md_to_docx(docs, held)
+    kinds = sorted([e[0] for e in docx.events_of(bytes(r.content))] for r in made.collect())
+    assert kinds == [["code"], ["heading", "image", "para", "para", "para", "image"], ["image"]]
+
+
 def test_headings_go_four_deep(spark):
     made = docx_writer.docx_bytes([("heading", 6, "deep"), ("heading", 2, "x")])
     assert [(e[0], e[1]) for e in docx.events_of(made)] == [("heading", 4), ("heading", 2)]
