@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from .docx import TWIP_CM, W, _text
+from .docx import TWIP_CM, W, _text, is_on, pieces, styles_of
 from .storage import stored
 
 _R = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
@@ -61,10 +61,6 @@ def rules_of(profile: str = "technical", custom: str | None = None) -> dict:
     return rules
 
 
-def _on(node) -> bool:
-    return node is not None and node.get(f"{W}val", "true") not in ("0", "false", "off")
-
-
 def _number(node, name: str) -> float | None:
     value = None if node is None else node.get(f"{W}{name}")
     return None if value is None else float(value)
@@ -74,8 +70,8 @@ def facts_of(content: bytes) -> list[dict]:
     """Rows of one file: its page, header, footer, then paragraphs, tables and images in order."""
     with zipfile.ZipFile(io.BytesIO(content)) as archive:
         part = lambda name: ElementTree.fromstring(archive.read(name)) if name in archive.namelist() else None
-        root, styles, rels = part("word/document.xml"), part("word/styles.xml"), part("word/_rels/document.xml.rels")
-        known = {s.get(f"{W}styleId"): (s.find(f"{W}name").get(f"{W}val"), _on(s.find(f"{W}rPr/{W}b"))) for s in (styles.iter(f"{W}style") if styles is not None else ()) if s.find(f"{W}name") is not None}
+        root, rels = part("word/document.xml"), part("word/_rels/document.xml.rels")
+        known = styles_of(archive.read("word/styles.xml")) if "word/styles.xml" in archive.namelist() else {}
         target = {r.get("Id"): r.get("Target") for r in (rels if rels is not None else ())}
         section = next(root.iter(f"{W}sectPr"), None)
         out = []
@@ -94,16 +90,19 @@ def facts_of(content: bytes) -> list[dict]:
         elif node.tag == f"{W}p":
             style, runs = node.find(f"{W}pPr/{W}pStyle"), [r for r in node.findall(f"{W}r")]
             name, style_bold = ("Normal", False) if style is None else known.get(style.get(f"{W}val"), (style.get(f"{W}val"), False))
-            said = [r for r in runs if _text(r).strip()]
-            fonts = [r.find(f"{W}rPr/{W}rFonts") for r in said]
+            texts = [_text(r) for r in runs]
+            said = [r.find(f"{W}rPr") for r, t in zip(runs, texts, strict=True) if t.strip()]
+            of = lambda name: [None if r is None else r.find(name) for r in said]  # noqa: B023, E731
+            fonts = of(f"{W}rFonts")
             latin = [None if f is None else f.get(f"{W}ascii") for f in fonts]
             own = [x if f is None else f.get(f"{W}eastAsia") or x for f, x in zip(fonts, latin, strict=True)]
-            half = [_number(r.find(f"{W}rPr/{W}sz"), "val") for r in said]
-            align, indent, gap = (node.find(f"{W}pPr/{W}{n}") for n in ("jc", "ind", "spacing"))
+            half = [_number(s, "val") for s in of(f"{W}sz")]
+            props = node.find(f"{W}pPr")
+            align, indent, gap = (None if props is None else props.find(f"{W}{n}") for n in ("jc", "ind", "spacing"))
             first, line = _number(indent, "firstLine"), _number(gap, "line")
             spacing = None if line is None else f"{line / 240:g}" if gap.get(f"{W}lineRule", "auto") == "auto" else f"{line / 20:g}pt"
             left = indent is not None and (indent.get(f"{W}left") or indent.get(f"{W}start")) is not None
-            out.append({"what": "paragraph", "style": name, "style_bold": style_bold, "text": "".join(map(_text, runs)), "fonts": own, "latin": latin, "sizes": [None if h is None else h / 2 for h in half], "bold": any(_on(r.find(f"{W}rPr/{W}b")) for r in said), "runs": len(runs), "centred": align is not None and align.get(f"{W}val") == "center", "left_indent": left, "indent": None if not first else round(first / 20), "spacing": spacing})
+            out.append({"what": "paragraph", "style": name, "style_bold": style_bold, "text": "".join(texts), "fonts": own, "latin": latin, "sizes": [None if h is None else h / 2 for h in half], "bold": any(map(is_on, of(f"{W}b"))), "runs": len(runs), "centred": align is not None and align.get(f"{W}val") == "center", "left_indent": left, "indent": None if not first else round(first / 20), "spacing": spacing})
         out += [{"what": "image", "width_cm": float(e.get("cx")) * EMU_CM} for i in node.iter(f"{_DRAWN}inline") for e in i.findall(f"{_DRAWN}extent")]
     return out
 
@@ -113,13 +112,15 @@ def docx_facts(files: DataFrame) -> DataFrame:
 
     def run(batches):
         kinds = pa.schema([("doc_id", pa.int64()), ("at", pa.int32()), ("what", pa.string()), ("style", pa.string()), ("style_bold", pa.bool_()), ("text", pa.string()), ("fonts", pa.list_(pa.string())), ("latin", pa.list_(pa.string())), ("sizes", pa.list_(pa.float64())), ("bold", pa.bool_()), ("runs", pa.int32()), ("centred", pa.bool_()), ("left_indent", pa.bool_()), ("indent", pa.int32()), ("spacing", pa.string()), ("bordered", pa.bool_()), ("width_cm", pa.float64()), ("height_cm", pa.float64()), ("left_cm", pa.float64()), ("right_cm", pa.float64())])
-        for b in batches:
+        for b in pieces(batches):
+            found = []
             for doc, content in zip(b.column("doc_id").to_pylist(), b.column("content").to_pylist(), strict=True):
                 try:
                     rows = facts_of(content or b"")
                 except (zipfile.BadZipFile, KeyError, ElementTree.ParseError, AttributeError, TypeError):
                     rows = [{"what": "unreadable"}]
-                yield pa.RecordBatch.from_pylist([{"doc_id": doc, "at": i, **r} for i, r in enumerate(rows)], kinds)
+                found += [{"doc_id": doc, "at": i, **r} for i, r in enumerate(rows)]
+            yield pa.RecordBatch.from_arrays([pa.array([r.get(k.name) for r in found], k.type) for k in kinds], schema=kinds)
 
     return files.select("doc_id", "content").mapInArrow(run, FACTS)
 
@@ -178,14 +179,21 @@ def format_issues(facts: DataFrame, rules: dict) -> DataFrame:
 
 
 def format_notes(facts: DataFrame) -> DataFrame:
-    """``(doc_id, what, value, n)``: how many paragraphs of each group, and how fonts, sizes, indents and spacings of body text are spread ("" where not set); "widest image" has its centimetres as value."""
-    paragraphs = facts.where("what = 'paragraph'").withColumn("group", paragraph_group())
+    """``(doc_id, what, value, n)``: how many paragraphs of each group, and how fonts, sizes, indents and spacings of body text are spread ("" where not set); "widest image" has its centimetres as value.
+
+    The facts are passed once, so files are read once.
+    """
+    paragraphs = facts.where("what IN ('paragraph', 'table', 'image')").withColumn("group", paragraph_group())
     text = lambda c: F.coalesce(c.cast("string"), F.lit(""))
-    one = lambda what, value: F.array(F.struct(F.lit(what).alias("what"), text(value).alias("value")))
+    one = lambda what, value: F.array(F.struct(T.column(F.lit(what) if isinstance(what, str) else what).alias("what"), text(value).alias("value")))
     each = lambda what, values: F.transform(values, lambda v: F.struct(F.lit(what).alias("what"), text(v).alias("value")))
     body = F.concat(one("indent", F.col("indent")), one("spacing", F.col("spacing")), each("font", F.col("fonts")), each("size", F.filter("sizes", lambda s: s.isNotNull())))
-    rows = paragraphs.select("doc_id", F.inline(F.concat(one("group", F.col("group")), F.when(F.col("group") == "body", body).otherwise(F.array().cast("array<struct<what: string, value: string>>")))))
-    other = facts.where("what IN ('table', 'image')").select("doc_id", "what", F.lit("").alias("value"))
-    counted = rows.unionByName(other).groupBy("doc_id", "what", "value").agg(F.count("*").alias("n"))
-    widest = facts.where("what = 'image'").groupBy("doc_id").agg(F.max("width_cm").alias("w")).select("doc_id", F.lit("widest image").alias("what"), F.format_string("%.2f", "w").alias("value"), F.lit(1).cast("bigint").alias("n"))
-    return counted.unionByName(widest)
+    none = F.array().cast("array<struct<what: string, value: string>>")
+    said = F.when(F.col("what") != "paragraph", one(F.col("what"), F.lit(""))).otherwise(F.concat(one("group", F.col("group")), F.when(F.col("group") == "body", body).otherwise(none)))
+    rows = paragraphs.select("doc_id", "width_cm", said.alias("said")).select("doc_id", "width_cm", F.inline("said"))
+    counted = rows.groupBy("doc_id", "what", "value").agg(F.count("*").alias("n"), F.max("width_cm").alias("w"))
+    # The width goes into a row of its own beside the count of images.
+    note = lambda what, value, n: F.struct(what.alias("what"), value.alias("value"), n.cast("bigint").alias("n"))
+    own = note(F.col("what"), F.col("value"), F.col("n"))
+    widest = note(F.lit("widest image"), F.format_string("%.2f", "w"), F.lit(1))
+    return counted.select("doc_id", F.inline(F.array_compact(F.array(own, F.when(F.col("what") == "image", widest)))))
