@@ -6,6 +6,8 @@ that Spark and other SQL engines read alike.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -127,8 +129,11 @@ EDIT_LEVEL = "CASE WHEN kind = 'heading' AND (doc_id + seq) % 5 = 0 THEN level +
 EDIT_TEXT = "CASE WHEN kind = 'table' AND doc_id % 4 = 0 THEN replace(text, '1', '7') WHEN kind = 'table' AND doc_id % 10 = 6 THEN replace(text, chr(31) || 'y', '') WHEN kind = 'para' AND (doc_id + seq) % 23 = 0 THEN text || ' (edited)' ELSE text END"
 
 
-def edited(events: DataFrame) -> DataFrame:
-    return events.where(f"NOT ({EDIT_GONE})").withColumns({"level": F.expr(EDIT_LEVEL), "text": F.expr(EDIT_TEXT)})
+def edited(rows: DataFrame) -> DataFrame:
+    """``(doc_id, events)`` of arrays of events, edited within their rows."""
+    of = lambda e: re.sub(r"\b(seq|kind|level|text)\b", r"e.\1", e)
+    placed = rows.select("doc_id", F.transform("events", lambda e, i: F.struct(i.alias("seq"), e["kind"].alias("kind"), e["level"].alias("level"), e["text"].alias("text"))).alias("events"))
+    return placed.select("doc_id", F.expr(f"transform(filter(events, e -> NOT ({of(EDIT_GONE)})), e -> struct(e.kind AS kind, {of(EDIT_LEVEL)} AS level, {of(EDIT_TEXT)} AS text))").alias("events"))
 
 
 def versions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:

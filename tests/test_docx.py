@@ -1,6 +1,9 @@
 import zipfile
 
+import pyarrow as pa
+
 from corpuslens.operators import markdown, relations
+from corpuslens.plans import fixtures as X
 from corpuslens.sources import docx, docx_format, docx_writer
 
 NS = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
@@ -64,3 +67,29 @@ def test_format_rules(spark, tmp_path):
     notes = {(r.what, r.value): r.n for r in docx_format.format_notes(facts).collect()}
     assert notes[("group", "body")] == 2 and notes[("group", "cover")] == 2 and notes[("group", "caption")] == notes[("group", "code")] == notes[("group", "heading")] == 1
     assert notes[("indent", "24")] == 1 and notes[("spacing", "1.5")] == 1 and notes[("table", "")] == 2 and notes[("image", "")] == 2
+
+
+def test_rows_of_one_id_are_files_of_their_own(spark):
+    docs = relations.documents(spark.createDataFrame([(1, "# A\n- x"), (1, "B"), (2, "")], "doc_id bigint, text string"))
+    files = docx_writer.docx_files(markdown.event_arrays(docs)).collect()
+    assert sorted(docx.events_of(bytes(r.content)) for r in files) == [[("heading", 1, "A"), ("bullet", 0, "x")], [("para", 0, "B")]]
+
+
+def test_batches_are_cut_to_pieces_of_bounded_size(spark):
+    whole = pa.RecordBatch.from_pydict({"doc_id": range(9), "content": [b"x" * docx.PIECE * (i == 4) + b"y" * 400_000 for i in range(9)]})
+    cut = list(docx.pieces([whole, whole.slice(0, 0)]))
+    assert all(b.num_rows == 1 or b.nbytes <= docx.PIECE for b in cut) and pa.Table.from_batches(cut).equals(pa.Table.from_batches([whole]))
+
+
+def test_files_are_read_once_for_notes(spark):
+    facts = docx_format.docx_facts(spark.createDataFrame([(1, b"no zip")], "doc_id bigint, content binary"))
+    plan = docx_format.format_notes(facts)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1
+
+
+def test_edits_within_rows_are_those_of_events(spark):
+    docs = spark.createDataFrame([(i, "# T\n![p](q)\n| a | y |\n|---|---|\n| 1 | y |\n" + "\n".join(f"p{k}" for k in range(25))) for i in range(13)], "doc_id bigint, text string")
+    rows = markdown.event_arrays(docs)
+    flat = rows.selectExpr("doc_id", "posexplode(events) AS (seq, e)").selectExpr("doc_id", "seq", "e.kind", "e.level", "e.text").where(f"NOT ({X.EDIT_GONE})")
+    want = sorted(tuple(r) for r in flat.selectExpr("doc_id", "kind", f"{X.EDIT_LEVEL} AS level", f"{X.EDIT_TEXT} AS text").collect())
+    assert sorted(tuple(r) for r in X.edited(rows).selectExpr("doc_id", "inline(events)").collect()) == want
