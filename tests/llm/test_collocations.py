@@ -68,3 +68,15 @@ def test_states_of_automata():
         assert len(made.count) == len({tuple(e) for e in places.values()})  # a state is a set of ends
         for state, link in enumerate(made.link):
             assert made.longest[link] == made.shortest[state] - 1 and made.count[link] > made.count[state] if link >= 0 else made.shortest[state] == 1
+
+
+def test_hashes_go_out_by_range():
+    rng = np.random.default_rng(5)
+    buckets, count = rng.integers(0, C.BUCKETS, 3000), rng.integers(1, 1 << 18, 3000)
+    buckets[:2] = 0, C.BUCKETS - 1
+    got = collections.Counter()
+    for r in C._packed(buckets, count).to_pylist():
+        low, n = (np.frombuffer(r[k], np.uint32).astype(np.int64) for k in ("buckets", "counts"))
+        got.update(dict(zip((low + C.RANGE * r["part"]).tolist(), n.tolist(), strict=True)))
+    assert got == collections.Counter(dict(zip(buckets.tolist(), count.tolist(), strict=True)))
+    assert C._packed(buckets[:0], count[:0]).num_rows == 0
