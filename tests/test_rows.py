@@ -142,3 +142,29 @@ def test_lines_are_passed_once(spark, check):
     plan = rows._jdf.queryExecution().optimizedPlan()
     filters = [line for line in plan.toString().split("\n") if "Filter" in line]
     assert not any("aggregate(" in line for line in filters)  # a filter on an array isn't moved below what makes it
+
+
+def exchanged(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+
+
+def test_events_are_compared_in_their_rows_or_after_one_exchange(spark, tmp_path):
+    table(spark, (1, TEXT_A), (2, TEXT_B)).write.parquet(str(tmp_path / "documents.parquet"))
+    assert exchanged(catalog.queries()["compare_events"](spark, str(tmp_path))) == 0
+    kinds = ["image", "para", "quote", "heading", "table"]
+    rnd = random.Random(31)
+    make = lambda: [(rnd.choice(kinds), rnd.randrange(2), rnd.choice(["a", "**a**", " `a`", "b\x1fc\nd", "b\x1fc\nd\x1fe"])) for _ in range(rnd.randrange(12))]
+    sides = [[make() for _ in range(80)] for _ in range(2)]
+    frames = [spark.createDataFrame([(d, 10 * i, *e) for d, side in enumerate(s) for i, e in enumerate(side)], "doc_id bigint, seq int, kind string, level int, text string") for s in sides]
+    streams = markdown.compare_events(*frames)
+    arrays = "array<struct<kind: string, level: int, text: string>>"
+    rows = markdown.compare_arrays(spark.createDataFrame([(d, *p) for d, p in enumerate(zip(*sides, strict=True))], f"doc_id bigint, left {arrays}, right {arrays}"))
+    assert exchanged(streams) == 1 and sorted(streams.collect()) == sorted(rows.collect()) and rows.count()
+
+
+def test_tables_that_differ_are_told_by_rows_columns_and_cells(spark):
+    event = lambda text: [("table", 0, text)]
+    pairs = [("a\x1fb\nc", "a\x1fb\nc"), ("a\x1fb\nc", "a\nc\x1fd\ne"), ("**a**\x1fb", "a\x1f b"), ("a", "b")]
+    arrays = "array<struct<kind: string, level: int, text: string>>"
+    found = markdown.compare_arrays(spark.createDataFrame([(d, event(a), event(b)) for d, (a, b) in enumerate(pairs)], f"doc_id bigint, left {arrays}, right {arrays}")).orderBy("doc_id", "seq").collect()
+    assert [(r.doc_id, r.seq, r.problem, r.left_seq, r.right_seq) for r in found] == [(1, 0, "table rows", 0, 0), (1, 1, "table columns", 0, 0), (1, 2, "table columns", 0, 0), (1, 3, "table cells", 0, 0), (3, 0, "table cells", 0, 0)]
