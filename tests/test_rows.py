@@ -9,6 +9,7 @@ import pytest
 from corpuslens.functions import text as T
 from corpuslens.functions.arrays import running
 from corpuslens.operators import audit, consistency, cross, markdown, relations
+from corpuslens.operators import patterns as P
 from corpuslens.plans import catalog
 from pyspark.sql import functions as F
 
@@ -168,3 +169,33 @@ def test_tables_that_differ_are_told_by_rows_columns_and_cells(spark):
     arrays = "array<struct<kind: string, level: int, text: string>>"
     found = markdown.compare_arrays(spark.createDataFrame([(d, event(a), event(b)) for d, (a, b) in enumerate(pairs)], f"doc_id bigint, left {arrays}, right {arrays}")).orderBy("doc_id", "seq").collect()
     assert [(r.doc_id, r.seq, r.problem, r.left_seq, r.right_seq) for r in found] == [(1, 0, "table rows", 0, 0), (1, 1, "table columns", 0, 0), (1, 2, "table columns", 0, 0), (1, 3, "table cells", 0, 0), (3, 0, "table cells", 0, 0)]
+
+
+def test_quantities_equal_a_plain_reading(spark):
+    rnd = random.Random(41)
+    pieces = ["窗口", "窗口大小", "时延", "往返时延", "RTT", "rtt", "Rtt", "确认号", "字数", "文件大小", "耗时", "：", "= 约为 ", "\n", " ", "10", "2.50", "7", "ms", "MS", "毫秒", "字", "KB", "KB", "ſ", "byte", "bytes", "示例", "x" * 30, "é", "😀", "Rx", "r"]
+    texts = ["".join(rnd.choices(pieces, k=rnd.randrange(60))) for _ in range(400)]
+    texts += ["".join(f"{rnd.choice(['时延', '字数', 'RTT'])} {rnd.choice('123')} {rnd.choice(['s', 'KB'])}{rnd.choice([chr(10), '。', '示意', 'x' * 70])}" for _ in range(rnd.randrange(9))) for _ in range(800)]
+    want = set()
+    for d, t in enumerate(texts):
+        by = {}
+        for m in re.finditer(P.QUANTITY, t, re.I):
+            context = t[max(m.start() - P.CONTEXT, 0) : m.start() + P.CONTEXT]
+            by.setdefault(f"{m[1]}|{m[3]}", []).append((m[2], t.count("\n", 0, m.start()) + 1, context))
+        for key, found in by.items():
+            values = sorted({v for v, _, _ in found})
+            if len(values) > 1 and not any(re.search(P.PLACEHOLDER, c) for _, _, c in found):
+                want.add((d, key, ", ".join(values), found[0][1], len(found), " | ".join(c.replace("\n", " ")[:100] for _, _, c in found[:3])))
+    assert {tuple(r) for r in consistency.check_quantities(table(spark, *enumerate(texts))).collect()} == want and len(want) > 50
+
+
+def test_all_rules_of_consistency_pass_a_text_once(spark, tmp_path):
+    docs = [(1, TEXT_A), (2, TEXT_B), (3, "示例\n0xAB"), (4, "窗口 1 KB，窗口 2 KB"), (5, None)]
+    table(spark, *docs).write.parquet(str(tmp_path / "documents.parquet"))
+    plan = lambda name: catalog.queries()[name](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    assert all(plan(name).count("FileScan") == 1 for name in ("consistency_hits", "consistency_report"))
+    hits = consistency.consistency_hits(table(spark, *docs))
+    assert exchanged(hits) == 0 and exchanged(consistency.check_quantities(table(spark, *docs))) == 0
+    alone = [(r.doc_id, rule, r.line_no) for rule, check in (("时延表述矛盾", consistency.check_delay), ("占位值泄露", consistency.check_placeholder_leak), ("序号基准混用", consistency.check_sequence_basis)) for r in check(table(spark, *docs)).collect()]
+    alone += [(r.doc_id, "同一量多值", r.first_line) for r in consistency.check_quantities(table(spark, *docs)).collect()]
+    assert sorted((r.doc_id, r.rule, r.line_no) for r in hits.collect()) == sorted(alone) and {rule for _, rule, _ in alone} >= {"占位值泄露", "同一量多值", "序号基准混用"}
