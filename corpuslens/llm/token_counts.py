@@ -210,7 +210,7 @@ def frequent_pre_tokens(docs: DataFrame, path: str, text_column: str = "text") -
 
     def run(batches):
         seen, left = Counter(), sample
-        cutter = Cutter(load_tokenizer(path))
+        cutter = worker_of(path).cutter
         for b in blocks(batches, "__text", 1 << 20):
             if left <= 0:  # the rest of the partition isn't needed
                 continue
@@ -238,12 +238,23 @@ def frequent_pre_tokens(docs: DataFrame, path: str, text_column: str = "text") -
 _workers: dict[str, Worker] = {}
 
 
+def worker_of(path: str) -> Worker:
+    """This Python worker's own, for all its tasks.
+
+    A function sent to a task takes along a copy of the data that it names outside
+    itself: one that named ``_workers`` would find it empty in every task.
+    """
+    if path not in _workers:
+        _workers[path] = Worker(path)
+    return _workers[path]
+
+
 def count_tokens(docs: DataFrame, path: str, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """One row per row of ``docs``: its id, ``n_bytes`` (UTF-8) and ``n_tokens`` as the tokenizer at ``path`` gives them."""
     table = docs.sparkSession.sparkContext.broadcast(Table(frequent_pre_tokens(docs, path, text_column)))
 
     def run(batches):
-        worker = _workers.get(path) or _workers.setdefault(path, Worker(path))
+        worker = worker_of(path)
         for b in blocks(batches, "__text"):
             texts = b.column("__text")
             n = worker.count(["" if t is None else t for t in texts.to_pylist()], table.value)

@@ -2,11 +2,15 @@
 
 import collections
 import hashlib
+import pickle
 import random
 import re
+import types
 import zlib
 
+import pyarrow as pa
 import pytest
+from pyspark import cloudpickle
 
 from corpuslens.llm import chat_format, decontaminate, mixing, quality_rules, secret_scan, sharding, token_counts, toxicity
 from corpuslens.llm import queries as Q
@@ -75,6 +79,20 @@ def test_token_counts_of_a_very_long_text(spark):
     assert got[0] == len(tokenizer.encode(texts[0], add_special_tokens=False))
 
 
+def test_token_counts_load_one_tokenizer_a_worker(spark, monkeypatch):
+    """A worker unpickles the function anew for each task, as here."""
+    docs, path, sent, loaded = table(spark), Q.tokenizer_path(), [], []
+    through, load = type(docs).mapInArrow, token_counts.load_tokenizer
+    monkeypatch.setattr(spark.sparkContext, "broadcast", lambda value: types.SimpleNamespace(value=value))
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda self, f, schema: sent.append(cloudpickle.dumps(f)) or through(self, f, schema))
+    token_counts.count_tokens(docs, path)
+    monkeypatch.setattr(token_counts, "load_tokenizer", lambda p: loaded.append(p) or load(p))
+    batch = pa.RecordBatch.from_pydict({"__id": [1, 2], "__text": ["some words", None]})
+    for f in sent * 3:
+        list(pickle.loads(f)(iter([batch])))
+    assert len(sent) == 2 and loaded == [path]
+
+
 def brute_stats(t):
     w = re.findall(r"[^\x20\x09-\x0D]+", t or "")
     seen = collections.Counter(tuple(w[i : i + 8]) for i in range(len(w) - 7))
